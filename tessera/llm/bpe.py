@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.text import slices
 
@@ -215,3 +215,11 @@ def bpe(docs: DataFrame, path: str, digests: bool = True, ids: bool = False, tex
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *(x.split()[0] for x in added)])
 
     return source.mapInArrow(run, schema)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``: ids and decoded text as digests."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return bpe(docs, public_tokenizers.path("word_bpe_49k.json"))
