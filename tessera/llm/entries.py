@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Name -> (module of this subpackage, its query function).
 _QUERIES = {
+    "op2_decontaminate": ("decontaminate", "query"),
     "op3_bpe": ("bpe", "query"),
+    "op4_ngram_join": ("ngram_join", "query"),
+    "op6_lm_score": ("pitman_yor", "query"),
+    "op7_language_id": ("langid", "query"),
+    "op8_substring_dedup": ("substring_dedup", "query"),
+    "op9_pii": ("pii", "query"),
+    "op10_quality": ("quality", "query"),
 }
 
 
