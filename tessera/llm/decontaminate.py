@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.filters import bit_table
 from tessera.llm.storage import materialize
 
 #: Token positions that each mask looks at. Each has six; windows of a passage with one substitution in five words hit some.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 9), (0, 1, 2, 5, 7, 8))
 SHORTEST = min(m[-1] + 1 for m in MASKS)
 _CONTEXT = 64  # tokens kept on either side of a hit for the comparison
-_LEAST_BITS, _MOST_BITS = 20, 27  # size of the filter: 128 kB to 16 MB, whatever the benchmark's size
 
 
 def _tokens(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, ...]:
@@ -78,33 +78,16 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, f"seed long, item_id {kind}, item_at int")
 
 
-def _filter_words(seeds: DataFrame, bits: int) -> np.ndarray:
-    """A bit table with two bits set for each seed: at most ``2 ** bits / 8`` bytes reach the driver."""
-    place = F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned("seed", 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1))))
-    words = seeds.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("b"))
-    table = np.zeros(1 << bits - 5, np.uint32)
-    found = words.toPandas()
-    table[found.w.to_numpy()] = found.b.to_numpy().astype(np.uint32)
-    return table
-
-
-def _segments(docs: DataFrame, table, bits: int, id_kind: str) -> DataFrame:
+def _segments(docs: DataFrame, table, id_kind: str) -> DataFrame:
     """Stretches of documents around positions whose seed may be one of the benchmark's, with the tokens and those seeds."""
 
-    def maybe(seeds: np.ndarray) -> np.ndarray:
-        t = table.value
-        a = (seeds >> T.U64(64 - bits)).astype(np.int64)
-        hit = np.flatnonzero((t[a >> 5] >> (a & 31).astype(np.uint32)) & 1)
-        b = (seeds[hit] >> T.U64(64 - 2 * bits)).astype(np.int64) & (1 << bits) - 1
-        return hit[((t[b >> 5] >> (b & 31).astype(np.uint32)) & 1).astype(bool)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 data, offsets, starts, ends, doc, hashes = _tokens(batch, "text")
                 found = []
                 for seeds, at in _seeds(hashes, doc):
-                    hit = maybe(seeds)
+                    hit = table.value.maybe(seeds)
                     found.append((at[hit], seeds[hit]))
                 at = np.concatenate([f[0] for f in found])
                 if not len(at):
@@ -191,11 +174,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_tokens: int = 12, min_i
     doc_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), bench.schema[item_id].dataType.simpleString()
     items = materialize(_items(bench, item_id, text_column=item_text), "items")
     seeds = materialize(_item_seeds(items), "item_seeds")
-    n = seeds.count()
-    bits = min(_MOST_BITS, max(_LEAST_BITS, (256 * max(n, 1)).bit_length()))
-    table = docs.sparkSession.sparkContext.broadcast(_filter_words(seeds, bits))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(seeds, "seed"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_column).alias("text"))
-    segments = materialize(_segments(texts, table, bits, doc_kind), "segments").withColumn("place", F.struct("doc_id", "segment"))
+    segments = materialize(_segments(texts, table, doc_kind), "segments")
     hits = segments.select("doc_id", "segment", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("doc_id", "segment", F.col("h.at").alias("at"), F.col("h.seeds").alias("seed"))
     # Many seeds of one passage give the same diagonal, which is compared once.
     lines = hits.join(seeds, "seed").select("doc_id", "segment", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()

@@ -16,7 +16,7 @@ Links between different texts are thus all counted, groups are exact components
 proportional to members times blocks.
 
 Defined cases: null, empty and blank texts have no shingles and link to nothing, each is its own class; rows without an id are
-left out; repeated rows of one id count once per row; empty tables give an empty result; other columns are not looked at.
+left out (and kept by ``keep_one``); repeated rows of one id count once per row and stay or go together; empty tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -1,11 +1,12 @@
-"""Substring deduplication by hashing lines and the clauses within them.
+"""Substring deduplication by hashing lines and the pieces of lines that content sets apart.
 
-A text is cut into units at line ends, after words that end in punctuation, and after words whose hash falls into one of 32
+A text is cut into units at line ends, after words that end a sentence, and after words whose hash falls into one of twelve
 classes, so the units of a passage are the same wherever it stands, also in the middle of a line. A unit is normalised (case of
 A-Z and white space don't count) and hashed to 128 bits. Over all texts, the occurrence of a digest that ranks first (lowest
-rank, then earliest place) stays; later ones are repeats. Repeats that follow each other in a text, with at most ``gap``
-words between them (units too short to be told apart are not hashed), form a span; spans of ``min_words`` words or more are
-removed, with their places in the original text kept.
+rank, then earliest place) stays; later ones are repeats. Repeats that follow each other in a text closely, or at the distance
+that they have where they are kept, form a span. A span is extended word by word as long as the words around it are those
+around the kept occurrence. Spans of ``min_words`` words or more are removed, with their places in the
+original text kept.
 
 Defined cases: null, empty and blank texts have no units; rows without a rank column value cannot be named and are left out;
 a passage that comes twice in one text is removed there the second time; equal ranks are ordered by place; empty tables give
@@ -22,15 +23,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.filters import bit_table
 from tessera.llm.storage import materialize
 
 _STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".,;:!?"]] = True
+_STOP[[ord(c) for c in ".!?"]] = True
 _SECOND = T.U64(0xD6E8FEB86659FD93)
+_REACH = 64  # words by which a span can be extended on either side
 
 
-def _units(docs: DataFrame, kind: str, min_unit: int) -> DataFrame:
-    """(doc_id, first word, start, end, n_words, digest): start and end in code points; units of ``min_unit`` words or more."""
+def _units(docs: DataFrame, kind: str, min_unit: int, only=None) -> DataFrame:
+    """(doc_id, first word, start, end, n_words, digest): start and end in code points; units of ``min_unit`` words or more.
+    With ``only``, a broadcast table of digests, the others are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -41,7 +45,7 @@ def _units(docs: DataFrame, kind: str, min_unit: int) -> DataFrame:
                     continue
                 hashes = T.word_hashes(data, starts, ends)
                 breaks = np.append(0, np.cumsum(data == 10))
-                cut = _STOP[data[ends - 1]] | (hashes % T.U64(32) == 0)
+                cut = _STOP[data[ends - 1]] | (hashes % T.U64(12) == 0)
                 cut[:-1] |= (breaks[starts[1:]] != breaks[ends[:-1]]) | (doc[1:] != doc[:-1])
                 cut[-1] = True
                 last = np.flatnonzero(cut)
@@ -54,6 +58,9 @@ def _units(docs: DataFrame, kind: str, min_unit: int) -> DataFrame:
                 for salt in (T.U64(0), _SECOND):
                     mixed = T.mix(hashes ^ salt) * T.mix(place.astype(np.uint64) + salt)
                     digests.append(T.mix(np.add.reduceat(mixed, first) + n.astype(np.uint64))[at])
+                if only is not None:
+                    maybe = only.value.maybe(digests[0])
+                    at, digests = at[maybe], [d[maybe] for d in digests]
                 points = T.code_points(data)
                 own = doc[first[at]]
                 base = points[offsets[own]]
@@ -73,23 +80,91 @@ def _units(docs: DataFrame, kind: str, min_unit: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, word int, start int, end int, n_words int, d1 long, d2 long")
 
 
-def find_repeats(docs: DataFrame, min_words: int = 20, min_unit: int = 4, gap: int = 4, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _contexts(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, at, after, hashes, places): the words before (nearest first) or after word ``at``, and where they start or end."""
+    asked = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "after")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in T.slices(whole, "text"):
+                data, offsets = T.buffer_of(batch.column("text"))
+                starts, ends, doc = T.words(data, offsets)
+                hashes, points = T.word_hashes(data, starts, ends).view(np.int64), T.code_points(data)
+                low = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                ids, out = [], ([], [], [], [])
+                for k, asked_here in enumerate(batch.column("asked").to_pylist()):
+                    base = points[offsets[k]]
+                    for x in asked_here:
+                        w = low[k] + x["at"]
+                        if x["after"]:
+                            own = slice(w, min(w + _REACH, low[k + 1]))
+                            found = hashes[own], points[ends[own]] - base
+                        else:
+                            own = slice(max(w - _REACH, low[k]), w)
+                            found = hashes[own][::-1], points[starts[own]][::-1] - base
+                        ids.append(k)
+                        for column, v in zip(out, (x["at"], x["after"], *found), strict=True):
+                            column.append(v)
+                kinds = (pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["doc_id", "at", "after", "hashes", "places"])
+
+    return texts.join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, at int, after boolean, hashes array<long>, places array<long>")
+
+
+def _extended(spans: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """Spans with the words on either side that also stand beside the kept occurrence, as far as that lies apart from the span."""
+    left = F.struct(F.lit(False).alias("after"), F.col("word").alias("at"), F.col("first.doc_id").alias("kept"), F.col("first.word").alias("kept_at"))
+    right = F.struct(F.lit(True).alias("after"), F.col("to").alias("at"), F.col("last.doc_id").alias("kept"), (F.col("last.word") + F.col("last_words")).alias("kept_at"))
+    edges = spans.select("doc_id", "word", (F.col("to") - F.col("word")).alias("size"), F.explode(F.array(left, right)).alias("e")).select("doc_id", "word", "size", "e.*")
+    apart = F.when(F.col("kept") == F.col("doc_id"), F.greatest(F.lit(0), F.col("at") - F.col("kept_at") - F.col("size"))).otherwise(F.lit(_REACH))
+    edges = edges.withColumn("most", apart).where("most > 0").drop("size")
+    edges = materialize(edges, "edges")
+    wanted = edges.select("doc_id", "at", "after").union(edges.select("kept", "kept_at", "after")).distinct()
+    around = materialize(_contexts(texts, wanted, kind), "contexts")
+    there = around.select(F.col("doc_id").alias("kept"), F.col("at").alias("kept_at"), "after", F.col("hashes").alias("kept_hashes"))
+    both = edges.join(around, ["doc_id", "at", "after"]).join(there, ["kept", "kept_at", "after"])
+    differs = F.array_position(F.zip_with("hashes", "kept_hashes", lambda a, b: F.coalesce(a != b, F.lit(True))), True)
+    n = F.least(F.when(differs > 0, differs - 1).otherwise(F.size("hashes")), "most").cast("int")
+    reach = both.select("doc_id", "word", "after", n.alias("n"), F.get("places", n - 1).cast("int").alias("place"))
+    reach = reach.groupBy("doc_id", "word").agg(F.max(F.when(~F.col("after"), F.struct("n", "place"))).alias("l"), F.max(F.when(F.col("after"), F.struct("n", "place"))).alias("r"))
+    joined = spans.join(reach, ["doc_id", "word"], "left")
+    more = lambda side: F.coalesce(F.col(f"{side}.n"), F.lit(0))
+    return joined.select(
+        "doc_id", (F.col("word") - more("l")).alias("word"), (F.col("to") + more("r")).alias("to"),
+        F.coalesce("l.place", "start").alias("start"), F.coalesce("r.place", "end").alias("end"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
+    )
+
+
+def find_repeats(docs: DataFrame, min_words: int = 20, min_unit: int = 3, gap: int = 4, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Spans to remove: doc_id (the rank column), start, end (code points, end exclusive), n_words, and where the first unit's
-    kept occurrence is: kept_doc_id, kept_start."""
+    kept occurrence is: kept_doc_id, kept_start. Spans of one text don't overlap."""
     kind = docs.schema[rank].dataType.simpleString()
     texts = docs.select(F.col(rank).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    units = _units(texts, kind, min_unit)
     # Only digests met twice go on; the smallest (rank, place) is what a task has kept so far, so a hot digest costs a row a task.
-    first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = _units(texts, kind, min_unit).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "word", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = materialize(first, "kept_units")
-    repeats = units.join(first, ["d1", "d2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
-    by_place = Window.partitionBy("doc_id").orderBy("word", "start")
-    after = F.col("word") - F.lag(F.col("word") + F.col("n_words")).over(by_place)
-    runs = repeats.withColumn("opens", F.coalesce(after > gap, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(by_place))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(first, "d1"))
+    repeats = _units(texts, kind, min_unit, table).join(first, ["d1", "d2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("word") != F.col("kept.word")))
+    repeats = materialize(repeats.drop("d1", "d2"), "repeats")
+    by_place = Window.partitionBy("doc_id").orderBy("word")
+    before = lambda c: F.lag(c).over(by_place)
+    between = F.col("word") - before(F.col("word") + F.col("n_words"))
+    same_kept = (F.col("kept.doc_id") == before(F.col("kept.doc_id"))) & (F.col("word") - F.col("kept.word") == before(F.col("word") - F.col("kept.word")))
+    joins = (between <= gap) | ((between <= _REACH) & same_kept)
+    runs = repeats.withColumn("opens", F.coalesce(~joins, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(by_place))
     spans = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).cast("long").alias("n_words"), F.min_by("kept", "start").alias("kept")
-    )
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+        F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min_by("kept", "word").alias("first"), F.max_by("kept", "word").alias("last"), F.max_by("n_words", "word").alias("last_words"),
+    ).drop("run")
+    spans = materialize(spans, "spans")
+    longer = _extended(spans, texts, kind).where(F.col("to") - F.col("word") >= min_words)
+    # Extended spans can meet: those become one.
+    order = Window.partitionBy("doc_id").orderBy("word", "to")
+    reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")
+    merged = longer.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy("doc_id", "run")
+    merged = merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("word")).cast("long").alias("n_words"), F.min_by(F.struct("kept_doc_id", "kept_start"), "word").alias("k"))
+    return merged.select("doc_id", "start", "end", "n_words", "k.kept_doc_id", "k.kept_start")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
