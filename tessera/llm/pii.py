@@ -128,7 +128,10 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     # A term within a base span is covered already.
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     spans = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", apart)))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    def number(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
+
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return both.select("doc_id", "text_hash", *counts, F.col("spans").alias("base_spans"), spans.alias("all_spans"))
 
 
