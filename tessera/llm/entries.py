@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Name -> (module of this subpackage, its query function).
 _QUERIES = {
+    "op1_url_filter": ("url_filter", "query"),
     "op2_decontaminate": ("decontaminate", "query"),
     "op3_bpe": ("bpe", "query"),
     "op4_ngram_join": ("ngram_join", "query"),

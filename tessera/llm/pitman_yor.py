@@ -340,8 +340,7 @@ def _partial(ids: pa.Array, doc: np.ndarray, known: np.ndarray, base: np.ndarray
         pa.array(np.full(n, rows), pa.int64()),
         pa.array(tokens, pa.int64()),
         pa.array(np.bincount(doc, weights=known, minlength=n).astype(np.int64)),
-        pa.array(np.bincount(doc, weights=base, minlength=n)),
-        pa.array(np.bincount(doc, weights=np.log10(p), minlength=n)),
+        *(pa.array(np.bincount(doc, weights=x, minlength=n).astype(np.float64)) for x in (base, np.log10(p))),
     ]
     return pa.RecordBatch.from_arrays([ids, *sums], ["doc_id", *_PARTIAL])
 
@@ -388,7 +387,7 @@ def fit_and_score(docs: DataFrame, train, contexts: int = 32, sweeps: int = 5, b
                 bucket = _bucket(w, m.buckets)
                 first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(w) else np.zeros(0, np.int64)
                 packs: list[list[bytes]] = [[], [], [], []]
-                for s, e in zip(first, np.append(first[1:], len(w)), strict=True):
+                for s, e in zip(first, np.append(first, len(w))[1:], strict=True):
                     own, number = np.unique(d[s:e], return_inverse=True)
                     names = pa.RecordBatch.from_arrays([ids.take(pa.array(own))], ["doc_id"])
                     sink = pa.BufferOutputStream()
