@@ -12,6 +12,7 @@ _QUERIES = {
     "op2_decontaminate": ("decontaminate", "query"),
     "op3_bpe": ("bpe", "query"),
     "op4_ngram_join": ("ngram_join", "query"),
+    "op5_warc": ("warc", "query"),
     "op6_lm_score": ("pitman_yor", "query"),
     "op7_language_id": ("langid", "query"),
     "op8_substring_dedup": ("substring_dedup", "query"),
@@ -36,8 +37,10 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _lazy(*place) for name, place in _QUERIES.items()}
+    return {name: _lazy(*place) for name, place in _QUERIES.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm import warc
+
+    return {"op5_warc": warc.ORACLE_SQL}
