@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LEAST_BITS, _MOST_BITS = 20, 27  # 128 kB to 16 MB
+_LEAST_BITS, _MOST_BITS = 20, 24  # 128 kB to 2 MB
 
 
 class BitTable:
-    """Tells whether a hash may be among those it was built from; it never denies one that is. Beyond about ten million hashes
+    """Tells whether a hash may be among those it was built from; it never denies one that is. Beyond some million hashes
     it lets more through, which the join that follows drops."""
 
     def __init__(self, words: np.ndarray, bits: int):
@@ -26,7 +26,7 @@ class BitTable:
 
 
 def bit_table(hashes: DataFrame, column: str) -> BitTable:
-    """Built by Spark; at most 4 million words of 32 bits reach the driver."""
+    """Built by Spark; at most half a million words of 32 bits reach the driver."""
     bits = min(_MOST_BITS, max(_LEAST_BITS, (256 * max(hashes.count(), 1)).bit_length()))
     h: Column = F.col(column)
     places = F.array(F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(h, 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1)))

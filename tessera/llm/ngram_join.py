@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as T
 from tessera.llm.components import components
+from tessera.llm.filters import bit_table
 from tessera.llm.storage import materialize
 
 _WORDS = 5
-_BLOCK_DOCS, _BLOCK_SHINGLES = 1024, 2_000_000
+_BLOCK_DOCS, _BLOCK_SHINGLES = 512, 400_000
 _COLUMNS = 2048
 
 
@@ -135,30 +136,25 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of ``a`` with all of ``b``: products of incidence matrices, some shingles at a time."""
-    counts = np.zeros((len(a), len(b)), np.float32)
-    u, v = np.concatenate(a), np.concatenate(b)
-    own_u, own_v = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    shared = np.intersect1d(u, v)
-    pu, pv = np.searchsorted(shared, u), np.searchsorted(shared, v)
-    for p, x, own in ((pu, u, "u"), (pv, v, "v")):
-        ok = p < len(shared)
-        ok[ok] = shared[p[ok]] == x[ok]
-        if own == "u":
-            pu, own_u = pu[ok], own_u[ok]
-        else:
-            pv, own_v = pv[ok], own_v[ok]
-    by_u, by_v = np.argsort(pu, kind="stable"), np.argsort(pv, kind="stable")
-    pu, own_u, pv, own_v = pu[by_u], own_u[by_u], pv[by_v], own_v[by_v]
-    for low in range(0, len(shared), _COLUMNS):
-        high = min(low + _COLUMNS, len(shared))
-        x, y = np.zeros((len(a), high - low), np.float32), np.zeros((len(b), high - low), np.float32)
-        s, e = np.searchsorted(pu, [low, high])
-        x[own_u[s:e], pu[s:e] - low] = 1
-        s, e = np.searchsorted(pv, [low, high])
-        y[own_v[s:e], pv[s:e] - low] = 1
-        counts += x @ y.T
+def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b`` (or with each other): products of incidence matrices
+    over the shingles that come twice, some of them at a time."""
+    sets = a + (b or [])
+    every = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    own = own[order]
+    new = np.append(True, np.diff(every[order]) != 0)
+    del every, order
+    code = np.cumsum(new, dtype=np.int32) - 1
+    twice = np.bincount(code)[code] > 1
+    own, code = own[twice], np.cumsum(new[twice], dtype=np.int32) - 1
+    counts = np.zeros((len(a), len(b) if b else len(a)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
+        s, e = np.searchsorted(code, [low, low + _COLUMNS])
+        x = np.zeros((len(sets), _COLUMNS), np.float32)
+        x[own[s:e], code[s:e] - low] = 1
+        counts += x[: len(a)] @ (x[len(a) :].T if b else x.T)
     return counts
 
 
@@ -195,7 +191,7 @@ def _compare(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
                 a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
             if not len(a) or not len(b) or len(sets) < 2:
                 continue
-            both = intersections([sets[x] for x in a], [sets[x] for x in b]).astype(np.float64)
+            both = intersections([sets[x] for x in a], None if i == j else [sets[x] for x in b]).astype(np.float64)
             linked = both / (n[a][:, None] + n[b][None, :] - both) >= threshold
             if i == j:
                 np.fill_diagonal(linked, False)
@@ -215,15 +211,20 @@ def _compare(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, f"rep {kind}, n_links long, n_docs long, joined {kind}")
 
 
-def _sets(docs: DataFrame, kind: str) -> DataFrame:
+def _sets(texts: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
+    """(rep, shingles) of the texts whose ids are in ``chosen``, and of a few more that a bit table of bounded size lets pass:
+    so sets travel to the join, and never the texts of all documents."""
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(chosen.select(F.xxhash64("rep").alias("h")), "h"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in T.slices(whole, "text", 1 << 20):
+            maybe = table.value.maybe(whole.column("h").to_numpy().view(np.uint64))
+            for batch in T.slices(whole.take(pa.array(maybe)), "text", 1 << 20):
                 shingles, offsets = shingle_sets(batch, "text")
                 packed = pa.array([shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n_docs", "cluster", "blocks")), packed], ["rep", "n_docs", "cluster", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], ["rep", "shingles"])
 
-    return docs.mapInArrow(run, f"rep {kind}, n_docs long, cluster {kind}, blocks int, shingles binary")
+    return texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, f"rep {kind}, shingles binary")
 
 
 def ngram_join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, recall: float = 0.999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,8 +247,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, recall:
     sized = materialize(classes.join(clusters, "rep").select("rep", "n_docs", "cluster", "n_shingles"), "sized")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = materialize(sized.join(materialize(blocks, "blocks"), "cluster").select("rep", "n_docs", "cluster", "blocks"), "placed")
-    chosen = texts.withColumnRenamed("doc_id", "rep").join(placed, "rep").dropDuplicates(["rep"])
-    sets = _sets(chosen.select("rep", "n_docs", "cluster", "blocks", "text"), kind)
+    sets = _sets(texts, placed, kind).hint("merge").join(placed, "rep").dropDuplicates(["rep"])
     sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_docs", "shingles")
