@@ -71,3 +71,23 @@ def url_words(query: Column) -> Column:
         return F.struct(F.when(kind == "plain", w).otherwise(name).alias("name"), F.when((kind == "named") & (sign == "="), F.regexp_extract(w, "^[^:=]*=(.*)$", 1)).otherwise("").alias("value"), kind.alias("kind"))
 
     return F.transform(words, word)
+
+
+def negotiate_encoding(header: Column) -> Column:
+    """The body encoding a client prefers: gzip, deflate or identity. A star stands for those not named, zero refuses, and a
+    tie goes to gzip."""
+
+    def offer(item: Column) -> Column:
+        name = F.lower(F.trim(F.substring_index(item, ";", 1)))
+        given = F.regexp_extract(item, r"^[^;]*;[ \t]*[qQ]=([0-9]*\.?[0-9]+)", 1)
+        return F.struct(name.alias("name"), F.when(given != "", given.try_cast("double")).otherwise(1.0).alias("q"))
+
+    offers = F.transform(F.split(F.coalesce(header, F.lit("")), ","), offer)
+
+    def of(*names: str) -> Column:
+        return F.element_at(F.filter(offers, lambda o: o["name"].isin(*names)), -1)["q"]
+
+    last = lambda *names: F.when(F.size(F.filter(offers, lambda o: o["name"].isin(*names))) > 0, of(*names))
+    any_q = F.coalesce(last("*"), F.lit(-1.0))
+    gzip, deflate = F.coalesce(last("gzip", "x-gzip"), any_q), F.coalesce(last("deflate"), any_q)
+    return F.when((gzip <= 0) & (deflate <= 0), "identity").when(gzip >= deflate, "gzip").otherwise("deflate")

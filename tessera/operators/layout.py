@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +39,32 @@ def bounding_box(px: DataFrame, ground: DataFrame) -> DataFrame:
     for c in "rgba":
         apart = apart | (F.col(c) != F.col(f"g{c}"))
     return px.join(own, "image_id").where(apart).groupBy("image_id").agg(*(f("x" if k in (0, 2) else "y").alias(n) for k, (n, f) in enumerate((("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max)))))
+
+
+def shelves(sizes: DataFrame, group: str = "group_id", quantum: int = 1, gap: int = 0) -> DataFrame:
+    """(group, seq, px, py, canvas_w, canvas_h): pictures on shelves, the tallest first, at the width whose canvas is squarest.
+
+    Only sizes reach a task, one group at a time; candidate widths are the running totals of the widths."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "seq"], ascending=[False, True], kind="stable")
+        w, h = pdf["w"].to_numpy(), pdf["h"].to_numpy()
+        room, deep = -(-w // quantum) * quantum, -(-h // quantum) * quantum
+        best = None
+        for width in (room + gap).cumsum() - gap:
+            at, x, y, shelf = [], 0, 0, 0
+            for k in range(len(w)):
+                if x and x + w[k] > width:
+                    x, y, shelf = 0, y + shelf + gap, 0
+                at.append((x, y))
+                x += room[k] + gap
+                shelf = max(shelf, deep[k])
+            canvas = max(px + r for (px, _), r in zip(at, room, strict=True)), y + shelf
+            score = max(canvas), canvas[0] * canvas[1], canvas[1]
+            if best is None or score < best[0]:
+                best = score, at, canvas
+        _, at, canvas = best
+        return pdf[[group, "seq"]].assign(px=[p[0] for p in at], py=[p[1] for p in at], canvas_w=canvas[0], canvas_h=canvas[1])
+
+    kinds = {c: sizes.schema[c].dataType.simpleString() for c in (group, "seq")}
+    return sizes.select(group, "seq", "w", "h").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, seq {kinds['seq']}, px int, py int, canvas_w int, canvas_h int")

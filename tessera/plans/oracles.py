@@ -208,6 +208,8 @@ ORACLES: dict[str, str] = {
     "single_flight": f"WITH {_LOG} SELECT key, min(id) AS first_id, count(*) - 1 AS waiters FROM lg GROUP BY key",
     "cache_hits": f"WITH {_LOG}, g AS (SELECT key, t - lag(t) OVER (PARTITION BY key ORDER BY t, id) AS gap FROM lg) SELECT key, CAST(sum(CASE WHEN gap < 3600 THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS n FROM g GROUP BY key",
     "cache_sessions": f"WITH {_LOG}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t, id) < 7200 THEN 0 ELSE 1 END AS new FROM lg), s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY t, id) AS session FROM g) SELECT key, CAST(session AS BIGINT) AS session, min(t) AS first, max(t) AS last, count(*) AS n FROM s GROUP BY key, session",
+    "netpbm_round_trip": f"WITH {_PX} SELECT CAST(image_id AS VARCHAR) AS path, x, y, r, g, b, 255 AS a FROM px",
+    "negotiated": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 11 >= 10 THEN 'gzip' ELSE 'deflate' END WHEN 1 THEN CASE WHEN event_id % 11 <= 5 THEN 'gzip' ELSE 'deflate' END WHEN 2 THEN 'identity' WHEN 3 THEN CASE WHEN event_id % 11 > 0 THEN 'gzip' ELSE 'identity' END ELSE 'identity' END AS encoding FROM events",
     "resize_exact": _resize("5", "11"),
     "resize_inside": _resize("3", "3"),
     "resize_cover": _resize("6", "6"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import color, text
 from tessera.operators import brush, composite, layout, palette, policy, transform
-from tessera.sources import raster
+from tessera.sources import files, raster
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +127,14 @@ def quantise(spark: SparkSession, sf_dir: str, dither: str) -> DataFrame:
     return palette.quantise(px, palette.slice_of("cga"), dither)
 
 
+def diffuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palette.diffuse(_rgba(spark, sf_dir), palette.slice_of("cga"))
+
+
+def most_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palette.most_apart(_rgba(spark, sf_dir), palette.slice_of("cga"), 4)
+
+
 def most_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palette.most_voted(_rgba(spark, sf_dir), palette.slice_of("cga"), 3)
 
@@ -136,6 +144,25 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.grid(part, 5, quantum=4, gap=1)
 
 
+def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a brand that have the same type are a group."""
+    part = raster.table(spark, sf_dir, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("group_id"), F.col("p_partkey").alias("seq"), (1 + F.col("p_size") % 16).cast("int").alias("w"), (1 + F.col("p_partkey") % 12).cast("int").alias("h"))
+    return layout.shelves(part, quantum=4, gap=1)
+
+
+def netpbm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures written as files in a column and read back as pixels."""
+    written = files.netpbm_file(raster.pack(_rgba(spark, sf_dir)))
+    return files.netpbm_pixels(written.select(F.col("image_id").cast("string").alias("path"), "content"))
+
+
+def negotiated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request headers made of the events."""
+    q = (F.col("event_id") % 11 / 10).cast("string")
+    header = F.element_at(F.array(F.concat(F.lit("gzip;q="), q, F.lit(", deflate")), F.concat(F.lit("deflate;q="), q, F.lit(",*;q=0.5")), F.lit("identity"), F.concat(F.lit("*;q="), q), F.lit("br, GZIP ; q=0")), (F.col("event_id") % 5 + 1).cast("int"))
+    return raster.table(spark, sf_dir, "events").select("event_id", text.negotiate_encoding(header).alias("encoding"))
+
+
 def _few_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rgba(spark, sf_dir).withColumns({c: F.floor(F.col(c) / 128).cast("int") for c in "rgba"})
 
@@ -214,6 +241,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         flagship, convert_packed, convert_unpacked, convert_yuv, crop, negate, radius, blur, edge_colour, histogram, brush_solid, brush_null, brush_gradient, brush_radial, brush_hald,
         most_voted, grid, runs, commonest_colour, bounding_box, pack, encodings, cobs, base62, request_lines, url_words, single_flight, cache_hits, cache_sessions, client_quota, rate_limit,
+        diffuse, most_apart, shelves, netpbm_round_trip, negotiated,
     )
 }
 QUERIES |= {f"resize_{n}": partial(resize, width=w, height=h, mode=m) for n, w, h, m in (("exact", 5, 11, "exact"), ("inside", 6, 3, "inside"), ("cover", 6, 3, "cover"), ("percent", 150, None, "percent"), ("width", 3, None, "exact"))}

@@ -154,3 +154,54 @@ def test_rate_limit_stream(spark, tmp_path):
     q.stop()
     want = {r.id: r.allowed for r in policy.rate_limit(log(spark, rows), 2.0).collect()}
     assert {r.id: r.allowed for r in spark.sql("SELECT * FROM limited").collect()} == want
+
+
+def test_files_and_archives(spark, tmp_path):
+    import gzip
+    import io
+    import tarfile
+    import zipfile
+
+    from tessera.sources import files
+
+    (tmp_path / "a.ppm").write_bytes(b"P6\n# note\n2 1\n255\n" + bytes([1, 2, 3, 4, 5, 6]))
+    (tmp_path / "b.pgm").write_bytes(b"P2 2 2 15 0 15\n5 10")
+    (tmp_path / "c.ppm").write_bytes(b"P6\n2 2\n255\nshort")
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("logo.png", b"P" * 4096)
+        z.writestr("../climbs", b"x")
+    with tarfile.open(tmp_path / "e.tar", "w") as t:
+        info = tarfile.TarInfo("./nested/" + "long" * 40)
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"abc"))
+    (tmp_path / "f.gz").write_bytes(gzip.compress(b"\0" * 5000))
+    (tmp_path / "g.zip").write_bytes(b"PK\3\4broken")
+    every = files.blobs(spark, f"file://{tmp_path}")
+    kinds = {r.path.rsplit("/", 1)[1]: r.k for r in every.select("path", files.kind_of(F.col("content")).alias("k")).collect()}
+    assert kinds == {"a.ppm": "netpbm", "b.pgm": "netpbm", "c.ppm": "netpbm", "d.zip": "zip", "e.tar": None, "f.gz": "gzip", "g.zip": "zip"}
+    got = sorted((r.path[-5:], r.x, r.y, r.r, r.g, r.b) for r in files.netpbm_pixels(every.where("path like '%.p_m'")).collect())
+    assert got == [("a.ppm", 0, 0, 1, 2, 3), ("a.ppm", 1, 0, 4, 5, 6), ("b.pgm", 0, 0, 0, 0, 0), ("b.pgm", 0, 1, 85, 85, 85), ("b.pgm", 1, 0, 255, 255, 255), ("b.pgm", 1, 1, 170, 170, 170)]
+    rows = {(r.path[-5:], r.entry): r for r in files.archive_entries(every.where("path not like '%.p_m'"), most_bytes=4500).collect()}
+    assert rows[("d.zip", "logo.png")].content == b"P" * 4096 and rows[("e.tar", "nested/" + "long" * 40)].content == b"abc"
+    assert rows[("/f.gz", "")].error == "too large" and rows[("g.zip", None)].error and len(rows) == 4
+
+
+def test_shelves(spark):
+    sizes = [(1, k, w, h) for k, (w, h) in enumerate([(64, 64)] * 4)] + [(2, k, w, h) for k, (w, h) in enumerate([(16, 16), (48, 48), (16, 32), (80, 16)])]
+    got = layout.shelves(spark.createDataFrame(sizes, "group_id int, seq int, w int, h int"), quantum=4).collect()
+    assert {(r.canvas_w, r.canvas_h) for r in got if r.group_id == 1} == {(128, 128)}
+    size = {(g, k): (w, h) for g, k, w, h in sizes}
+    rects = [(r.px, r.py, *size[r.group_id, r.seq]) for r in got if r.group_id == 2]
+    for i, (x, y, w, h) in enumerate(rects):
+        assert all(x + w <= a or a + c <= x or y + h <= b or b + d <= y for a, b, c, d in rects[i + 1 :])
+
+
+def test_error_diffusion_keeps_the_mean(spark):
+    idx = [r.idx for r in palette.diffuse(picture(spark, [(128, 128, 128, 255)] * 256, 16), [0x000000, 0xFFFFFF]).collect()]
+    assert 0.4 < sum(idx) / len(idx) < 0.6 and len(idx) == 256
+
+
+def test_most_apart(spark):
+    px = picture(spark, [(0, 0, 0, 255)] * 5 + [(1, 1, 1, 255)] * 4 + [(255, 0, 0, 255)] * 2, 11)
+    got = palette.most_apart(px, [0x000000, 0x010101, 0xFF0000, 0x00FF00], 4).orderBy("place").collect()
+    assert [r.idx for r in got] == [0, 2, 1]
