@@ -23,18 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
-from tessera.llm.filters import bit_table
 from tessera.llm.storage import materialize
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _SECOND = T.U64(0xD6E8FEB86659FD93)
-_REACH = 64  # words by which a span can be extended on either side
+_REACH = 32  # words by which a span can be extended on either side
 
 
-def _units(docs: DataFrame, kind: str, min_unit: int, only=None) -> DataFrame:
-    """(doc_id, first word, start, end, n_words, digest): start and end in code points; units of ``min_unit`` words or more.
-    With ``only``, a broadcast table of digests, the others are left out."""
+def _units(docs: DataFrame, kind: str, min_unit: int) -> DataFrame:
+    """(doc_id, first word, start, end, n_words, digest): start and end in code points; units of ``min_unit`` words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -58,9 +56,6 @@ def _units(docs: DataFrame, kind: str, min_unit: int, only=None) -> DataFrame:
                 for salt in (T.U64(0), _SECOND):
                     mixed = T.mix(hashes ^ salt) * T.mix(place.astype(np.uint64) + salt)
                     digests.append(T.mix(np.add.reduceat(mixed, first) + n.astype(np.uint64))[at])
-                if only is not None:
-                    maybe = only.value.maybe(digests[0])
-                    at, digests = at[maybe], [d[maybe] for d in digests]
                 points = T.code_points(data)
                 own = doc[first[at]]
                 base = points[offsets[own]]
@@ -89,7 +84,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
             for batch in T.slices(whole, "text"):
                 data, offsets = T.buffer_of(batch.column("text"))
                 starts, ends, doc = T.words(data, offsets)
-                hashes, points = T.word_hashes(data, starts, ends).view(np.int64), T.code_points(data)
+                hashes, points = T.word_hashes(data, starts, ends).view(np.int64).astype(np.int32), T.code_points(data)
                 low = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 ids, out = [], ([], [], [], [])
                 for k, asked_here in enumerate(batch.column("asked").to_pylist()):
@@ -103,12 +98,12 @@ def _contexts(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
                             own = slice(max(w - _REACH, low[k]), w)
                             found = hashes[own][::-1], points[starts[own]][::-1] - base
                         ids.append(k)
-                        for column, v in zip(out, (x["at"], x["after"], *found), strict=True):
+                        for column, v in zip(out, (x["at"], x["after"], found[0], found[1].astype(np.int32)), strict=True):
                             column.append(v)
-                kinds = (pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["doc_id", "at", "after", "hashes", "places"])
 
-    return texts.join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, at int, after boolean, hashes array<long>, places array<long>")
+    return texts.hint("merge").join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, at int, after boolean, hashes array<int>, places array<int>")
 
 
 def _extended(spans: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
@@ -135,7 +130,7 @@ def _extended(spans: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def find_repeats(docs: DataFrame, min_words: int = 20, min_unit: int = 3, gap: int = 4, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, min_words: int = 20, min_unit: int = 3, gap: int = 4, min_seed: int = 8, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Spans to remove: doc_id (the rank column), start, end (code points, end exclusive), n_words, and where the first unit's
     kept occurrence is: kept_doc_id, kept_start. Spans of one text don't overlap."""
     kind = docs.schema[rank].dataType.simpleString()
@@ -143,8 +138,7 @@ def find_repeats(docs: DataFrame, min_words: int = 20, min_unit: int = 3, gap: i
     # Only digests met twice go on; the smallest (rank, place) is what a task has kept so far, so a hot digest costs a row a task.
     first = _units(texts, kind, min_unit).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "word", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = materialize(first, "kept_units")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(first, "d1"))
-    repeats = _units(texts, kind, min_unit, table).join(first, ["d1", "d2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("word") != F.col("kept.word")))
+    repeats = _units(texts, kind, min_unit).join(first.hint("merge"), ["d1", "d2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("word") != F.col("kept.word")))
     repeats = materialize(repeats.drop("d1", "d2"), "repeats")
     by_place = Window.partitionBy("doc_id").orderBy("word")
     before = lambda c: F.lag(c).over(by_place)
@@ -156,7 +150,8 @@ def find_repeats(docs: DataFrame, min_words: int = 20, min_unit: int = 3, gap: i
         F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
         F.min_by("kept", "word").alias("first"), F.max_by("kept", "word").alias("last"), F.max_by("n_words", "word").alias("last_words"),
     ).drop("run")
-    spans = materialize(spans, "spans")
+    # Runs of fewer than ``min_seed`` words are phrases that texts share by chance.
+    spans = materialize(spans.where(F.col("to") - F.col("word") >= min_seed), "spans")
     longer = _extended(spans, texts, kind).where(F.col("to") - F.col("word") >= min_words)
     # Extended spans can meet: those become one.
     order = Window.partitionBy("doc_id").orderBy("word", "to")
