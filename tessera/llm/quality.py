@@ -57,72 +57,77 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "n_lines": F.size("_lines"),
         "n_distinct_words": F.size(F.array_distinct("_hashes")),
         "n_letters": letters,
+        "n_capitals": F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", "")),
         "n_shouts": F.length(text) - F.length(F.translate(text, "!?", "")),
     }
     kept = [c for c in docs.columns if c not in stats]
     return step.select(*kept, *(v.cast("long").alias(k) for k, v in stats.items()))
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    vote = F.when(bad, F.lit(-1))
+    return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0))
 
 
 def rules() -> dict[str, Column]:
-    """Votes of every rule, from the columns of ``statistics``."""
-    c, n = F.col, F.greatest(F.col("n_words"), F.lit(1))
-    mean = c("word_chars") / n
+    """Votes of every rule, from the columns of ``statistics``. Most rules know bad texts only, and abstain on all others."""
+    c, n, chars = F.col, F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    variety = F.least(n, F.lit(200))
     return {
-        "length": _vote(c("n_words") >= 50, c("n_words") < 20),
-        "word_length": _vote((mean >= 3) & (mean <= 10), (mean < 2) | (mean > 15)),
-        "symbols": _vote(c("n_symbols") * 100 <= n, c("n_symbols") * 10 > n),
-        "dup_lines": _vote(c("n_dup_lines") * 20 <= c("n_lines"), c("n_dup_lines") * 10 > c("n_lines") * 3),
-        "repeats": _vote(c("n_repeat_words") * 50 <= n, c("n_repeat_words") * 10 > n),
-        "variety": _vote(c("n_distinct_words") * 10 >= F.least(n, F.lit(200)) * 4, c("n_distinct_words") * 10 < F.least(n, F.lit(200)) * 2),
-        "letters": _vote(c("n_letters") * 10 >= c("word_chars") * 8, c("n_letters") * 10 < c("word_chars") * 6),
-        "shouts": _vote(c("n_shouts") * 50 <= n, c("n_shouts") * 4 > n),
+        "symbols": _vote(c("n_symbols") * 10 > n),
+        "letters": _vote(c("n_letters") * 10 < chars * 8, c("n_letters") * 10 >= chars * 9),
+        "repeats": _vote(c("n_repeat_words") * 10 > n),
+        "dup_lines": _vote(c("n_dup_lines") * 10 > c("n_lines") * 3),
+        "variety": _vote(c("n_distinct_words") * 10 < variety * 4, c("n_distinct_words") * 10 >= variety * 7),
+        "shouts": _vote(c("n_shouts") * 10 > n),
+        "capitals": _vote(c("n_capitals") * 10 > chars * 3),
+        "word_length": _vote((chars < n * 3) | (chars > n * 10)),
     }
 
 
+#: What a rule's votes (-1, 0, 1) are taken to be before anything is learned, on good and on bad texts.
+_GOOD, _BAD = {-1: 0.05, 0: 0.45, 1: 0.5}, {-1: 0.5, 0: 0.4, 1: 0.1}
+
+
 @dataclass(frozen=True)
 class Weights:
-    """Log-odds of being good: a bias, and for each rule what a good and a bad vote add."""
+    """Log-odds of being good: a bias, and what each vote of each rule adds."""
 
     bias: float
-    good: dict[str, float]
-    bad: dict[str, float]
+    of: dict[tuple[str, int], float]
 
     def log_odds(self) -> Column:
         total = F.lit(self.bias)
-        for r in self.good:
-            total = total + F.when(F.col(r) == 1, F.lit(self.good[r])).when(F.col(r) == -1, F.lit(self.bad[r])).otherwise(F.lit(0.0))
+        for r in dict.fromkeys(r for r, _ in self.of):
+            total = total + F.when(F.col(r) == 1, self.of[r, 1]).when(F.col(r) == -1, self.of[r, -1]).otherwise(self.of[r, 0])
         return total
 
     def posterior(self) -> Column:
         return 1 / (1 + F.exp(-self.log_odds()))
 
 
-def expectation_maximisation(votes: DataFrame, names: list[str], rounds: int = 12, prior: float = 0.8, accuracy: float = 0.75, weight: float = 20.0) -> Weights:
-    """Learn from vote patterns. Rules start with ``accuracy`` on votes that they cast, which is also a prior worth ``weight``
-    texts, so that "good" keeps its meaning and a rule that never votes stays neutral. A round is an aggregation over patterns
-    and gives three sums for each rule."""
+def expectation_maximisation(votes: DataFrame, names: list[str], rounds: int = 12, prior: float = 0.8, weight: float = 20.0) -> Weights:
+    """Learn from vote patterns how often each rule votes, and how, on good and on bad texts.
+
+    What is assumed at first is also a prior worth ``weight`` texts, so that "good" keeps its meaning. At first only cast votes
+    count; later abstentions tell something too. A vote never counts against what it says. A round is one aggregation over
+    patterns that gives a few sums for each rule."""
     patterns = materialize(votes.groupBy(*names).agg(F.count("*").alias("n")), "patterns")
-    odds = math.log(accuracy / (1 - accuracy))
-    now = Weights(math.log(prior / (1 - prior)), dict.fromkeys(names, odds), dict.fromkeys(names, -odds))
+    now = Weights(math.log(prior / (1 - prior)), {(r, v): math.log(_GOOD[v] / _BAD[v]) if v else 0.0 for r in names for v in (-1, 0, 1)})
     for _ in range(rounds):
         p = patterns.withColumn("g", now.posterior() * F.col("n")).withColumn("b", (1 - now.posterior()) * F.col("n"))
-        parts = [F.sum(F.when(F.col(r) == v, F.col(s)).otherwise(0.0)).alias(f"{r}_{v}_{s}") for r in names for v in (1, -1) for s in "gb"]
+        parts = [F.sum(F.when(F.col(r) == v, F.col(s)).otherwise(0.0)).alias(f"{r}_{v}_{s}") for r in names for v in (-1, 0, 1) for s in "gb"]
         sums = p.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), *parts).first()
-        good, bad = {}, {}
+        good, bad = (float(sums[s] or 0) for s in "gb")
+        of = {}
         for r in names:
-            g1, b1, g0, b0 = (float(sums[f"{r}_{v}_{s}"] or 0) for v in (1, -1) for s in "gb")
-            # The classes' rates of casting a vote at all are shared, so abstaining says nothing.
-            right, wrong = g1 + accuracy * weight, g0 + (1 - accuracy) * weight
-            hit, miss = b0 + accuracy * weight, b1 + (1 - accuracy) * weight
-            a, c = right / (right + wrong), hit / (hit + miss)
-            a, c = max(a, 0.5), max(c, 0.5)  # no rule is taken to mean the opposite of what it says
-            good[r], bad[r] = math.log(a / (1 - c)), math.log((1 - a) / c)
-        share = (float(sums["g"] or 0) + prior * weight) / (float(sums["g"] or 0) + float(sums["b"] or 0) + weight)
-        now = Weights(math.log(share / (1 - share)), good, bad)
+            for v in (-1, 0, 1):
+                on_good = (float(sums[f"{r}_{v}_g"] or 0) + weight * _GOOD[v]) / (good + weight)
+                on_bad = (float(sums[f"{r}_{v}_b"] or 0) + weight * _BAD[v]) / (bad + weight)
+                odds = math.log(on_good / on_bad)
+                of[r, v] = max(odds, 0.0) if v > 0 else min(odds, 0.0) if v < 0 else odds
+        share = (good + prior * weight) / (good + bad + weight)
+        now = Weights(math.log(share / (1 - share)), of)
     return now
 
 

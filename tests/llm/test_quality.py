@@ -37,14 +37,14 @@ def test_small_texts(spark, text):
 
 
 def test_expectation_maximisation_finds_the_reliable_rule(spark):
-    # 70 % good; rule a is right in 95 % of cases, b in 60 %, c abstains always.
+    # 70 % good; rule a is right in 95 % of cases, b in 60 %, d and e in 85 %; c abstains always.
     rows, rng = [], random.Random(4)
     for _ in range(3000):
         good = rng.random() < 0.7
-        a, b, d = (good if rng.random() < right else not good for right in (0.95, 0.6, 0.85))
-        rows.append((1 if a else -1, 1 if b else -1, 0, 1 if d else -1))
-    w = expectation_maximisation(spark.createDataFrame(rows, "a int, b int, c int, d int"), ["a", "b", "c", "d"])
-    assert w.good["a"] > w.good["d"] > w.good["b"] and w.bad["a"] < w.bad["b"] <= 0
+        a, b, d, e = (good if rng.random() < right else not good for right in (0.95, 0.6, 0.85, 0.85))
+        rows.append((1 if a else -1, 1 if b else -1, 0, 1 if d else -1, 1 if e else -1))
+    w = expectation_maximisation(spark.createDataFrame(rows, "a int, b int, c int, d int, e int"), ["a", "b", "c", "d", "e"], rounds=40)
+    assert w.of["a", 1] > w.of["d", 1] > w.of["b", 1] >= 0 and w.of["a", -1] < w.of["d", -1] < w.of["b", -1] <= 0 and abs(w.of["c", 0]) < 0.1
 
 
 def test_verdicts(spark):
@@ -52,7 +52,7 @@ def test_verdicts(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     r = judged.join(labels, "doc_id").groupBy(labels["quality"].alias("label")).agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
     rate = {x.label: x.k for x in r}
-    assert rate[1] > 0.97 and rate[0] < rate[1]
+    assert rate[1] > 0.97 and rate[0] < 0.2
 
 
 def test_odd_tables(spark):
