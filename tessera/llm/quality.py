@@ -112,13 +112,14 @@ def expectation_maximisation(votes: DataFrame, names: list[str], rounds: int = 1
     What is assumed at first is also a prior worth ``weight`` texts, so that "good" keeps its meaning. At first only cast votes
     count; later abstentions tell something too. A vote never counts against what it says. A round is one aggregation over
     patterns that gives a few sums for each rule."""
-    patterns = materialize(votes.groupBy(*names).agg(F.count("*").alias("n")), "patterns")
+    patterns = materialize(votes.groupBy(*names).agg(F.count("*").alias("_n")), "patterns")
     now = Weights(math.log(prior / (1 - prior)), {(r, v): math.log(_GOOD[v] / _BAD[v]) if v else 0.0 for r in names for v in (-1, 0, 1)})
     for _ in range(rounds):
-        p = patterns.withColumn("g", now.posterior() * F.col("n")).withColumn("b", (1 - now.posterior()) * F.col("n"))
-        parts = [F.sum(F.when(F.col(r) == v, F.col(s)).otherwise(0.0)).alias(f"{r}_{v}_{s}") for r in names for v in (-1, 0, 1) for s in "gb"]
-        sums = p.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), *parts).first()
-        good, bad = (float(sums[s] or 0) for s in "gb")
+        weights = {"g": now.posterior() * F.col("_n"), "b": (1 - now.posterior()) * F.col("_n")}
+        p = patterns.withColumns({f"_{s}": w for s, w in weights.items()})
+        parts = [F.sum(F.when(F.col(r) == v, F.col(f"_{s}")).otherwise(0.0)).alias(f"{r}_{v}_{s}") for r in names for v in (-1, 0, 1) for s in "gb"]
+        sums = p.agg(*(F.sum(f"_{s}").alias(f"_{s}") for s in "gb"), *parts).first()
+        good, bad = (float(sums[f"_{s}"] or 0) for s in "gb")
         of = {}
         for r in names:
             for v in (-1, 0, 1):
