@@ -36,7 +36,7 @@ from tessera.llm.storage import materialize
 
 _END = T.U64(0x5851F42D4C957F2D)  # the hash of the end token, which no word has but by chance
 _EXACT = 48
-_BUCKET_TOKENS = 12_000_000  # tokens that one bucket should hold
+_BUCKET_TOKENS = 3_000_000  # tokens that one bucket should hold
 
 
 def _stream(batch: pa.RecordBatch, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def _count(docs: DataFrame, m: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in T.slices(whole, "text", 16 << 20):
+            for batch in T.slices(whole, "text", 4 << 20):
                 words, context, _ = _stream(batch, m.contexts)
                 yield from _packed(*_tally(words, context), m.buckets)
 
@@ -110,7 +110,7 @@ def _gather(counts: DataFrame) -> DataFrame:
             for k, b in enumerate(batch.column("bucket").to_pylist()):
                 parts = held.setdefault(b, [])
                 parts.append(tuple(np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("words", np.uint64), ("contexts", np.uint8), ("counts", np.uint32))))
-                if sum(len(p[0]) for p in parts) > 4_000_000 and len(parts) > 1:
+                if sum(len(p[0]) for p in parts) > 1_000_000 and len(parts) > 1:
                     held[b] = [_added(parts)]
         for b, parts in held.items():
             w, c, n = _added(parts)
@@ -145,8 +145,9 @@ def draw_tables(c: np.ndarray, log_a: np.ndarray, discount: float, uniform: np.n
         if size < 2:
             continue
         at = np.flatnonzero(small == size)
-        for low in range(0, len(at), 1 << 18):
-            part = at[low : low + (1 << 18)]
+        step = (1 << 20) // int(size)  # rows at a time, so that the weights stay small
+        for low in range(0, len(at), step):
+            part = at[low : low + step]
             weight = table[size, 1 : size + 1][None, :] + log_a[part][:, None] * np.arange(1, size + 1)[None, :]
             weight = np.exp(weight - weight.max(1)[:, None])
             total = np.cumsum(weight, 1)
@@ -372,7 +373,7 @@ def fit_and_score(docs: DataFrame, train, contexts: int = 32, sweeps: int = 5, b
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(near.value, history, kept, m)
         for whole in batches:
-            for batch in T.slices(whole, "text", 16 << 20):
+            for batch in T.slices(whole, "text", 4 << 20):
                 words, context, doc = _stream(batch, m.contexts)
                 at = look.find(words)
                 here = np.flatnonzero(at >= 0)
