@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.text import slices
 
 _BITS = 16  # trigrams are hashed into this many bits, so a language is a table of fixed size
-_BLOCK = 1 << 20  # letters scored at a time
+_BLOCK = 1 << 18  # letters scored at a time
 
 # First and last code points of scripts, by the Unicode blocks that hold them.
 _SCRIPTS = {
@@ -101,7 +101,7 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
             held.clear()
 
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
                 points, inside, hashes, script, *_, offsets = _words(texts)
                 names = sorted(set(langs))
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, spans: bool =
         m = own.value
         names = pa.array([*m.langs, "und"], pa.string())
         for whole in batches:
-            for batch in slices(whole, text_column, 8 << 20):
+            for batch in slices(whole, text_column, 2 << 20):
                 texts = [t or "" for t in batch.column(text_column).to_pylist()]
                 pred, score, lists = np.full(len(texts), len(m.langs)), np.zeros(len(texts)), [[] for _ in texts]
                 if m.langs:

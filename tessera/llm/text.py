@@ -45,7 +45,7 @@ _POW = _powers(_BASE)
 _INV = _powers(pow(_BASE, -1, 1 << 64))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece has ``most`` bytes of text, or a single longer text."""
     n = batch.num_rows
     if n == 0:
