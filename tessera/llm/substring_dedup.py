@@ -1,16 +1,19 @@
-"""Substring deduplication by hashing lines and the pieces of lines that content sets apart.
-
-A text is cut into units at line ends, after words that end a sentence, and after words whose hash falls into one of twelve
-classes, so the units of a passage are the same wherever it stands, also in the middle of a line. A unit is normalised (case of
-A-Z and white space don't count) and hashed to 128 bits. Over all texts, the occurrence of a digest that ranks first (lowest
-rank, then earliest place) stays; later ones are repeats. Repeats that follow each other in a text closely, or at the distance
-that they have where they are kept, form a span. A span is extended word by word as long as the words around it are those
-around the kept occurrence. Spans of ``min_words`` words or more are removed, with their places in the
-original text kept.
-
-Defined cases: null, empty and blank texts have no units; rows without a rank column value cannot be named and are left out;
-a passage that comes twice in one text is removed there the second time; equal ranks are ordered by place; empty tables give
-an empty result; other columns are not looked at, whatever their names.
+"""Substring deduplication: every run of ``min_words`` words that stands earlier in the corpus is removed.
+
+A text is a sequence of words; case of A-Z and white space, line ends among it, don't count, so a passage is the same however
+its lines are broken. Over all texts, the occurrence of a window of ``min_words`` words that ranks first (lowest rank, then
+earliest place) stays; later ones are repeats, and the words of repeats that overlap or touch are one span. So a span ends
+exactly where the texts differ, is of any length from ``min_words`` words, and holds no word that isn't part of a repeat.
+
+Few windows move by themselves. Of the shorter windows in a window of ``min_words`` words the one with the smallest hash stands
+for it, wherever the passage stands (winnowing), and the windows that follow each other with the same such mark are a piece.
+Equal windows have equal marks, so what a mark's pieces hold is all that there is of their windows. A piece that stands earlier
+as a whole is a repeat. Windows are compared one by one where a mark has different pieces, as at the ends of passages, and
+only in those pieces that aren't repeats as a whole: the first occurrence of any window is in one of them.
+
+Defined cases: null, empty and blank texts have no words; rows without a rank column value cannot be named and are left out;
+a passage that comes twice in one text is removed there the second time, where the two don't overlap; equal ranks are ordered
+by place; empty tables give an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,141 +28,121 @@ from pyspark.sql import functions as F
 from tessera.llm import text as T
 from tessera.llm.storage import materialize
 
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
 _SECOND = T.U64(0xD6E8FEB86659FD93)
-_REACH = 32  # words by which a span can be extended on either side
+_STEP = 1 << 16  # windows compared at a time
 
 
-def _units(docs: DataFrame, kind: str, min_unit: int) -> DataFrame:
-    """(doc_id, first word, start, end, n_words, digest): start and end in code points; units of ``min_unit`` words or more."""
+def _pieces(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """(doc_id, word, n_windows, start, end, mark, digest): the pieces of every text, with the places of all of their words.
+
+    Pieces are compared within a mark, so the two hashes are 128 bits."""
+    short = max(1, 2 * min_words // 5)
+    within = min_words - short + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 data, offsets = T.buffer_of(batch.column("text"))
                 starts, ends, doc = T.words(data, offsets)
-                if not len(starts):
+                if len(starts) < min_words:
                     continue
                 hashes = T.word_hashes(data, starts, ends)
-                breaks = np.append(0, np.cumsum(data == 10))
-                cut = _STOP[data[ends - 1]] | (hashes % T.U64(12) == 0)
-                cut[:-1] |= (breaks[starts[1:]] != breaks[ends[:-1]]) | (doc[1:] != doc[:-1])
-                cut[-1] = True
-                last = np.flatnonzero(cut)
-                first = np.append(0, last[:-1] + 1)
+                full, held = T.window_hashes(hashes, doc, list(range(min_words)))
+                if not len(held):
+                    continue
+                found, at = T.window_hashes(hashes, doc, list(range(short)))
+                every = np.zeros(len(starts), np.uint64)
+                every[at] = found
+                view = np.lib.stride_tricks.sliding_window_view(every, within)
+                marks = np.concatenate([(part := held[k : k + _STEP]) + view[part].argmin(1) for k in range(0, len(held), _STEP)])
+                first = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+                last = np.append(first[1:], len(held)) - 1
                 n = last - first + 1
-                at = np.flatnonzero(n >= min_unit)
-                # Polynomials over each unit's word hashes, in two bases: the word's place in its unit is the power.
-                place = np.arange(len(hashes)) - np.repeat(first, n)
-                digests = []
-                for salt in (T.U64(0), _SECOND):
-                    mixed = T.mix(hashes ^ salt) * T.mix(place.astype(np.uint64) + salt)
-                    digests.append(T.mix(np.add.reduceat(mixed, first) + n.astype(np.uint64))[at])
+                # The first and the last window overlap, so they hold all words of the piece.
+                digest = T.mix(T.mix(full[first] + n.astype(np.uint64)) ^ full[last])
                 points = T.code_points(data)
-                own = doc[first[at]]
+                own = doc[held[first]]
                 base = points[offsets[own]]
-                low = np.searchsorted(doc, own)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(own)),
-                        pa.array((first[at] - low).astype(np.int32)),
-                        pa.array((points[starts[first[at]]] - base).astype(np.int32)),
-                        pa.array((points[ends[last[at]]] - base).astype(np.int32)),
-                        pa.array(n[at].astype(np.int32)),
-                        *(pa.array(d.view(np.int64)) for d in digests),
+                        pa.array((held[first] - np.searchsorted(doc, own)).astype(np.int32)),
+                        pa.array(n.astype(np.int32)),
+                        pa.array((points[starts[held[first]]] - base).astype(np.int32)),
+                        pa.array((points[ends[held[last] + min_words - 1]] - base).astype(np.int32)),
+                        *(pa.array(x.view(np.int64)) for x in (every[marks[first]], digest)),
                     ],
-                    ["doc_id", "word", "start", "end", "n_words", "d1", "d2"],
+                    ["doc_id", "word", "n_windows", "start", "end", "mark", "digest"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, word int, start int, end int, n_words int, d1 long, d2 long")
+    return docs.mapInArrow(run, f"doc_id {kind}, word int, n_windows int, start int, end int, mark long, digest long")
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, at, after, hashes, places): the words before (nearest first) or after word ``at``, and where they start or end."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "after")).alias("asked"))
+def _windows(texts: DataFrame, pieces: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """(doc_id, word, start, end, d1, d2): the windows of ``pieces``."""
+    asked = pieces.groupBy("doc_id").agg(F.collect_set(F.struct("word", "n_windows")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 data, offsets = T.buffer_of(batch.column("text"))
                 starts, ends, doc = T.words(data, offsets)
-                hashes, points = T.word_hashes(data, starts, ends).view(np.int64).astype(np.int32), T.code_points(data)
+                if len(starts) < min_words:
+                    continue
+                hashes = T.word_hashes(data, starts, ends)
                 low = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                ids, out = [], ([], [], [], [])
-                for k, asked_here in enumerate(batch.column("asked").to_pylist()):
-                    base = points[offsets[k]]
-                    for x in asked_here:
-                        w = low[k] + x["at"]
-                        if x["after"]:
-                            own = slice(w, min(w + _REACH, low[k + 1]))
-                            found = hashes[own], points[ends[own]] - base
-                        else:
-                            own = slice(max(w - _REACH, low[k]), w)
-                            found = hashes[own][::-1], points[starts[own]][::-1] - base
-                        ids.append(k)
-                        for column, v in zip(out, (x["at"], x["after"], found[0], found[1].astype(np.int32)), strict=True):
-                            column.append(v)
-                kinds = (pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["doc_id", "at", "after", "hashes", "places"])
-
-    return texts.hint("merge").join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, at int, after boolean, hashes array<int>, places array<int>")
-
-
-def _extended(spans: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    """Spans with the words on either side that also stand beside the kept occurrence, as far as that lies apart from the span."""
-    left = F.struct(F.lit(False).alias("after"), F.col("word").alias("at"), F.col("first.doc_id").alias("kept"), F.col("first.word").alias("kept_at"))
-    right = F.struct(F.lit(True).alias("after"), F.col("to").alias("at"), F.col("last.doc_id").alias("kept"), (F.col("last.word") + F.col("last_words")).alias("kept_at"))
-    edges = spans.select("doc_id", "word", (F.col("to") - F.col("word")).alias("size"), F.explode(F.array(left, right)).alias("e")).select("doc_id", "word", "size", "e.*")
-    apart = F.when(F.col("kept") == F.col("doc_id"), F.greatest(F.lit(0), F.col("at") - F.col("kept_at") - F.col("size"))).otherwise(F.lit(_REACH))
-    edges = edges.withColumn("most", apart).where("most > 0").drop("size")
-    edges = materialize(edges, "edges")
-    wanted = edges.select("doc_id", "at", "after").union(edges.select("kept", "kept_at", "after")).distinct()
-    around = materialize(_contexts(texts, wanted, kind), "contexts")
-    there = around.select(F.col("doc_id").alias("kept"), F.col("at").alias("kept_at"), "after", F.col("hashes").alias("kept_hashes"))
-    both = edges.join(around, ["doc_id", "at", "after"]).join(there, ["kept", "kept_at", "after"])
-    differs = F.array_position(F.zip_with("hashes", "kept_hashes", lambda a, b: F.coalesce(a != b, F.lit(True))), True)
-    n = F.least(F.when(differs > 0, differs - 1).otherwise(F.size("hashes")), "most").cast("int")
-    reach = both.select("doc_id", "word", "after", n.alias("n"), F.get("places", n - 1).cast("int").alias("place"))
-    reach = reach.groupBy("doc_id", "word").agg(F.max(F.when(~F.col("after"), F.struct("n", "place"))).alias("l"), F.max(F.when(F.col("after"), F.struct("n", "place"))).alias("r"))
-    joined = spans.join(reach, ["doc_id", "word"], "left")
-    more = lambda side: F.coalesce(F.col(f"{side}.n"), F.lit(0))
-    return joined.select(
-        "doc_id", (F.col("word") - more("l")).alias("word"), (F.col("to") + more("r")).alias("to"),
-        F.coalesce("l.place", "start").alias("start"), F.coalesce("r.place", "end").alias("end"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
-    )
-
-
-def find_repeats(docs: DataFrame, min_words: int = 20, min_unit: int = 3, gap: int = 4, min_seed: int = 8, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Spans to remove: doc_id (the rank column), start, end (code points, end exclusive), n_words, and where the first unit's
-    kept occurrence is: kept_doc_id, kept_start. Spans of one text don't overlap."""
+                lists = batch.column("asked")
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                word, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                change = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(change, np.minimum(low[row] + word, low[row + 1]), 1)
+                np.add.at(change, np.minimum(low[row] + word + n, low[row + 1]), -1)
+                keep = list(range(min_words))
+                d1, first = T.window_hashes(hashes, doc, keep)
+                d2, _ = T.window_hashes(T.mix(hashes ^ _SECOND), doc, keep)
+                wanted = np.cumsum(change)[first] > 0
+                d1, d2, first = d1[wanted], d2[wanted], first[wanted]
+                points = T.code_points(data)
+                own = doc[first]
+                base = points[offsets[own]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(own)),
+                        pa.array((first - low[own]).astype(np.int32)),
+                        pa.array((points[starts[first]] - base).astype(np.int32)),
+                        pa.array((points[ends[first + min_words - 1]] - base).astype(np.int32)),
+                        *(pa.array(d.view(np.int64)) for d in (d1, d2)),
+                    ],
+                    ["doc_id", "word", "start", "end", "d1", "d2"],
+                )
+
+    return texts.hint("merge").join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, word int, start int, end int, d1 long, d2 long")
+
+
+def find_repeats(docs: DataFrame, min_words: int = 20, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Spans to remove: doc_id (the rank column), start, end (code points, end exclusive), n_words, and where the first
+    words' kept occurrence is: kept_doc_id, kept_start. Spans of one text don't overlap."""
     kind = docs.schema[rank].dataType.simpleString()
     texts = docs.select(F.col(rank).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    # Only digests met twice go on; the smallest (rank, place) is what a task has kept so far, so a hot digest costs a row a task.
-    first = _units(texts, kind, min_unit).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "word", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = materialize(first, "kept_units")
-    repeats = _units(texts, kind, min_unit).join(first.hint("merge"), ["d1", "d2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("word") != F.col("kept.word")))
-    repeats = materialize(repeats.drop("d1", "d2"), "repeats")
+    # Only marks met twice go on. Marks and digests are counted in each task before they move, so a hot one costs a row a task.
+    marks = _pieces(texts, kind, min_words).groupBy("mark").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    marks = materialize(marks.where("n > 1").select("mark", (F.col("low") < F.col("high")).alias("varied")), "marks")
+    pieces = materialize(_pieces(texts, kind, min_words).join(marks.hint("merge"), "mark"), "pieces")
+    kept = F.min(F.struct("doc_id", "word", "start")).alias("kept")
+    first = materialize(pieces.groupBy("mark", "digest").agg(kept, F.count("*").alias("n")).where("n > 1").drop("n"), "kept_pieces")
+    apart = (F.col("doc_id") != F.col("kept.doc_id")) | (F.col("word") - F.col("kept.word") >= min_words)
+    told = pieces.join(first.hint("merge"), ["mark", "digest"], "left").withColumn("repeated", F.coalesce(apart, F.lit(False)))
+    told = materialize(told.where("repeated or varied").select("doc_id", "word", "n_windows", "start", "end", "kept", "repeated"), "told")
+    windows = materialize(_windows(texts, told.where("not repeated"), kind, min_words), "windows")
+    single = materialize(windows.groupBy("d1", "d2").agg(kept, F.count("*").alias("n")).where("n > 1").drop("n"), "kept_windows")
+    single = windows.join(single.hint("merge"), ["d1", "d2"]).where(apart)
+    whole = told.where("repeated").select("doc_id", "word", (F.col("word") + F.col("n_windows") - 1 + min_words).alias("to"), "start", "end", "kept")
+    repeats = whole.union(single.select("doc_id", "word", (F.col("word") + min_words).alias("to"), "start", "end", "kept"))
     by_place = Window.partitionBy("doc_id").orderBy("word")
-    before = lambda c: F.lag(c).over(by_place)
-    between = F.col("word") - before(F.col("word") + F.col("n_words"))
-    same_kept = (F.col("kept.doc_id") == before(F.col("kept.doc_id"))) & (F.col("word") - F.col("kept.word") == before(F.col("word") - F.col("kept.word")))
-    joins = (between <= gap) | ((between <= _REACH) & same_kept)
-    runs = repeats.withColumn("opens", F.coalesce(~joins, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(by_place))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min_by("kept", "word").alias("first"), F.max_by("kept", "word").alias("last"), F.max_by("n_words", "word").alias("last_words"),
-    ).drop("run")
-    # Runs of fewer than ``min_seed`` words are phrases that texts share by chance.
-    spans = materialize(spans.where(F.col("to") - F.col("word") >= min_seed), "spans")
-    longer = _extended(spans, texts, kind).where(F.col("to") - F.col("word") >= min_words)
-    # Extended spans can meet: those become one.
-    order = Window.partitionBy("doc_id").orderBy("word", "to")
-    reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")
-    merged = longer.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy("doc_id", "run")
-    merged = merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("word")).cast("long").alias("n_words"), F.min_by(F.struct("kept_doc_id", "kept_start"), "word").alias("k"))
-    return merged.select("doc_id", "start", "end", "n_words", "k.kept_doc_id", "k.kept_start")
+    reached = F.max("to").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    spans = repeats.withColumn("opens", F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run")
+    spans = spans.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("word")).cast("long").alias("n_words"), F.min_by("kept", "word").alias("k"))
+    return spans.select("doc_id", "start", "end", "n_words", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.start").alias("kept_start"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, rank: str = "doc_id", text_column: str = "text") -> DataFrame:

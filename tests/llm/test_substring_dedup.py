@@ -62,3 +62,37 @@ def test_odd_tables(spark):
     assert find_repeats(odd_documents(spark, empty=True)).count() == 0
     odd = odd_documents(spark)
     assert remove_spans(odd, find_repeats(odd)).columns == odd.columns and remove_spans(odd, find_repeats(odd)).count() == 11
+
+
+def brute_force(texts, n=20):
+    """Words of every text that are part of a window of n words which stands earlier, in another text or apart in the same."""
+    seen, out = {}, set()
+    for d, t in sorted(texts.items()):
+        w = t.lower().split()
+        for k in range(len(w) - n + 1):
+            first = seen.setdefault(tuple(w[k : k + n]), (d, k))
+            if first[0] != d or k - first[1] >= n:
+                out |= {(d, j) for j in range(k, k + n)}
+    return out
+
+
+def test_every_repeat_from_min_words_on(spark):
+    rng = random.Random(5)
+    # Sentences end and lines break after every word or two, and passages of 19 to 23 words lie among others.
+    passages = [prose(rng, n).split(" ") for n in (19, 20, 21, 23, 60, 300)]
+    lists = ["\n".join(prose(rng, 60).split(" ")), "\n".join(f"{w}. {v}!" for w, v in zip(prose(rng, 30).split(" "), prose(rng, 30).split(" ")))]
+    texts = {}
+    for d in range(48):
+        parts = [*prose(rng, rng.randrange(12)).split(" "), *passages[d % 6], *prose(rng, rng.randrange(1, 12)).split(" ")]
+        texts[d] = (rng.choice([" ", "\n"])).join(parts) + "\n" + lists[d % 2]
+    # A phrase that stands earlier in other company, a changed word between equal stretches, and a text that repeats itself.
+    w = prose(rng, 50).split(" ")
+    texts[50], texts[51], texts[52], texts[53] = " ".join(w[10:22]), " ".join(w), " ".join(w[:25] + ["changed"] + w[26:]), " ".join(w[:7] * 9)
+    rows = find_repeats(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    got = set()
+    for r in rows:
+        before = len(texts[r.doc_id][: r.start].split())
+        n = len(texts[r.doc_id][r.start : r.end].split())
+        assert n == r.n_words
+        got |= {(r.doc_id, k) for k in range(before, before + n)}
+    assert got == brute_force(texts) and (52, 25) not in got and (52, 24) in got
