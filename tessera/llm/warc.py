@@ -115,12 +115,12 @@ class LoserTree:
 
 
 def revisits(pages: DataFrame, id_column: str, payload_column: str, least: int) -> DataFrame:
-    """(id, refers_to) of the pages whose payload stands in another's record. Payloads are hashed once and don't move."""
+    """(id, digest, n_bytes, refers_to) of the pages whose payload stands in another's record, a row for each payload of an id."""
     payload = F.coalesce(F.col(payload_column), F.lit(""))
-    hashed = pages.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
-    hashed = materialize(hashed.drop("n"), "digests")
-    kept = materialize(hashed.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "kept")
-    return materialize(hashed.join(kept, "digest").where("id <> refers_to").select("id", "refers_to").distinct(), "revisits")
+    hashed = pages.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n_bytes")).where(F.col("n_bytes") >= least)
+    hashed = materialize(hashed, "digests")
+    kept = materialize(hashed.groupBy("digest", "n_bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "kept")
+    return materialize(hashed.join(kept, ["digest", "n_bytes"]).where("id <> refers_to").select("id", "digest", "n_bytes", "refers_to").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 1000, archive_bytes: int = 256 << 20) -> DataFrame:
@@ -128,7 +128,10 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
 
     An archive that a lost task left behind is not named by any capture."""
     refers = revisits(pages, id_column, payload_column, least)
-    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(payload_column).alias("payload")).join(refers, "id", "left")
+    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(payload_column).alias("payload"))
+    # An id can have several payloads, of which some stand elsewhere.
+    stated = rows.withColumns({"digest": F.sha1(F.coalesce("payload", F.lit(""))), "n_bytes": F.octet_length(F.coalesce("payload", F.lit("")))})
+    rows = stated.join(refers, ["id", "digest", "n_bytes"], "left").select("id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)

@@ -83,3 +83,14 @@ def test_query_against_sql(spark):
 def test_empty_table(spark):
     folder = new_path(spark, "archives")
     assert warc.read_archives(warc.merge_index(warc.write_archives(odd_pages(spark, empty=True), folder)), folder).count() == 0
+
+
+def test_several_payloads_of_one_id(spark):
+    shared, second, own = "x" * 1500, "y" * 1500, "z" * 1500
+    rows = [(1, "http://a.com/1", shared), (1, "http://a.com/1", own), (1, "http://a.com/1", "short"), (1, "http://a.com/1", second), (2, "http://b.com/", shared), (3, "http://c.com/", second)]
+    folder = new_path(spark, "archives")
+    index = warc.merge_index(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder))
+    got = sorted((r.record_id, r.payload_digest, r.refers_to, bytes(r.payload).decode() if r.payload is not None else None) for r in warc.read_archives(index, folder).collect())
+    refers = {(1, shared): "urn:x-page:2", (1, second): "urn:x-page:3"}
+    want = [(f"urn:x-page:{k}", hashlib.sha1(t.encode()).hexdigest(), refers.get((k, t)), None if (k, t) in refers else t) for k, _, t in rows]
+    assert got == sorted(want, key=lambda r: r[:2])
