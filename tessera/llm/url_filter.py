@@ -2,8 +2,9 @@
 
 Features are lengths, depth, digit ratio, character entropy, parameter counts and suffix statistics (how often labelled URLs
 under the same host suffix were to be blocked, smoothed by the overall share), all built-in functions. The trees are Spark's,
-fitted on a bounded sample of labelled URLs: ``most_labelled`` rows, those with the smallest hash of id and URL. The suffix
-statistics come from the same rows, so the table that is broadcast has a row for each of them at most.
+fitted on a bounded sample of labelled URLs: ``most_labelled`` rows, those with the smallest hash of id and URL (of the URL
+alone where ``fit`` is given no id column). The suffix statistics and the overall share count all labelled URLs; their table is
+broadcast where it is small, and joined by shuffle otherwise.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged like others, its
 features those of an empty text; where labelled URLs are missing, or are all of one kind, the trees give way to that kind, or
@@ -21,6 +22,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -36,6 +39,7 @@ class Rule:
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "path_digits", "hyphens", "entropy", "n_params", "query_length", "has_fragment", "secure", "suffix_share", "suffix_seen")
 _PRIOR = 20.0  # labelled URLs that the overall share counts for in a suffix's share
+_MOST_BROADCAST = 100_000, 8 << 20  # suffixes, and their bytes, that are broadcast
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -78,52 +82,51 @@ def features(urls: DataFrame, url_column: str) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """Fitted trees and the suffix statistics they were fitted with; without trees, one verdict for all."""
+    """Fitted trees and the suffix statistics of all labelled URLs; without trees, one verdict for all."""
 
     trees: PipelineModel | None
     suffixes: DataFrame | None
     share: float
+    small: bool = False
 
     def blocked(self, rows: DataFrame) -> DataFrame:
         """``rows`` of ``features`` with the trees' verdict in ``_blocked``."""
         if self.trees is None:
             return rows.withColumn("_blocked", F.lit(self.share > 0.5))
-        judged = self.trees.transform(_with_suffix(rows, self.suffixes, self.share))
+        judged = self.trees.transform(_with_suffix(rows.join(F.broadcast(self.suffixes) if self.small else self.suffixes.hint("merge"), "suffix", "left"), self.share))
         return judged.withColumn("_blocked", F.col("prediction") == 1).drop("_features", "rawPrediction", "probability", "prediction", "suffix_share", "suffix_seen")
 
 
-def _with_suffix(rows: DataFrame, suffixes: DataFrame, share: float) -> DataFrame:
+def _with_suffix(rows: DataFrame, share: float) -> DataFrame:
     known = F.coalesce("_n", F.lit(0.0))
     return (
-        rows.join(F.broadcast(suffixes), "suffix", "left")
-        .withColumn("suffix_share", (F.coalesce("_blocks", F.lit(0.0)) + share * _PRIOR) / (known + _PRIOR))
+        rows.withColumn("suffix_share", (F.coalesce("_blocks", F.lit(0.0)) + share * _PRIOR) / (known + _PRIOR))
         .withColumn("suffix_seen", F.log1p(known))
         .drop("_n", "_blocks")
     )
 
 
-def fit(labelled: DataFrame, url_column: str = "url", label_column: str = "label", most_labelled: int = 20_000, trees: int = 12, depth: int = 4) -> UrlModel:
+def fit(labelled: DataFrame, url_column: str = "url", label_column: str = "label", most_labelled: int = 20_000, trees: int = 12, depth: int = 4, id_column: str | None = None) -> UrlModel:
     """Learn from URLs labelled 1 (block) and 0 (allow)."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(label_column).isNotNull() & F.col(url_column).isNotNull()).select(F.col(url_column).alias("url"), F.col(label_column).cast("double").alias("label"))
-    chosen = rows.orderBy(F.xxhash64("url"), "url", "label").limit(most_labelled).collect()
-    share = sum(r.label for r in chosen) / len(chosen) if chosen else 0.0
+    own = F.xxhash64(*([id_column] if id_column else []), url_column).alias("own")
+    rows = labelled.where(F.col(label_column).isNotNull() & F.col(url_column).isNotNull()).select(F.col(url_column).alias("url"), F.col(label_column).cast("double").alias("label"), own)
+    counts = rows.groupBy(_suffix(split_url(F.col("url"))[0]).alias("suffix")).agg(F.count("*").cast("double").alias("_n"), F.sum("label").alias("_blocks"))
+    suffixes = materialize(counts, "suffixes")
+    all_of = suffixes.agg(F.sum("_n").alias("n"), F.sum("_blocks").alias("blocks"), F.count("*").alias("rows"), F.sum(F.octet_length("suffix")).alias("bytes")).first()
+    share = all_of.blocks / all_of.n if all_of.n else 0.0
     if share in (0.0, 1.0):
         return UrlModel(None, None, share)
+    chosen = rows.orderBy("own", "url", "label").limit(most_labelled).select("url", "label").collect()
     sample = features(spark.createDataFrame(chosen, "url string, label double").coalesce(1), "url")
     # Statistics leave the row itself out, else the trees would trust suffixes that are seen once.
-    counts: dict[str, list[float]] = {}
-    for r in sample.select("suffix", "label").collect():
-        own = counts.setdefault(r.suffix, [0.0, 0.0])
-        own[0] += 1
-        own[1] += r.label
-    suffixes = spark.createDataFrame([(k, *v) for k, v in counts.items()], "suffix string, _n double, _blocks double")
-    without = sample.join(F.broadcast(suffixes), "suffix").withColumn("_n", F.col("_n") - 1).withColumn("_blocks", F.col("_blocks") - F.col("label"))
-    without = without.withColumn("suffix_share", (F.col("_blocks") + share * _PRIOR) / (F.col("_n") + _PRIOR)).withColumn("suffix_seen", F.log1p("_n"))
+    met = suffixes.join(F.broadcast(sample.select("suffix").distinct()), "suffix", "left_semi").collect()
+    without = sample.join(F.broadcast(spark.createDataFrame(met, suffixes.schema)), "suffix").withColumn("_n", F.col("_n") - 1).withColumn("_blocks", F.col("_blocks") - F.col("label"))
+    without = _with_suffix(without, share)
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     booster = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=7, maxMemoryInMB=128)
     fitted = booster.fit(table.transform(without).select("_features", "label"))
-    return UrlModel(PipelineModel([table, fitted]), suffixes, share)
+    return UrlModel(PipelineModel([table, fitted]), suffixes, share, all_of.rows <= _MOST_BROADCAST[0] and all_of.bytes <= _MOST_BROADCAST[1])
 
 
 def judge(urls: DataFrame, rules: tuple[Rule, ...], model: UrlModel, url_column: str = "url") -> DataFrame:
@@ -141,16 +144,17 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...], model: UrlModel, url_column:
     return rows.select("_row.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), verdict.isNull().alias("by_model"))
 
 
-def labelled_by(urls: DataFrame, rules: tuple[Rule, ...], url_column: str = "url") -> DataFrame:
-    """URLs that a rule fits, labelled by the longest."""
+def labelled_by(urls: DataFrame, rules: tuple[Rule, ...], url_column: str = "url", id_column: str | None = None) -> DataFrame:
+    """URLs that a rule fits, labelled by the longest; with their id where its column is given."""
     host, path = split_url(F.coalesce(F.col(url_column), F.lit("")))
     label = F.lit(None).cast("double")
     for r in sorted(rules, key=lambda r: (len(str(r)), str(r))):
         label = F.when(fits(r, host, path), F.lit(float(r.verdict == "block"))).otherwise(label)
-    return urls.select(F.col(url_column).alias("url"), label.alias("label")).where("label is not null")
+    ids = [F.col(id_column).alias("id")] if id_column else []
+    return urls.select(*ids, F.col(url_column).alias("url"), label.alias("label")).where("label is not null")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All URLs of ``pages``; the trees learn from those that rules decide."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, RULES, fit(labelled_by(pages, RULES)))
+    return judge(pages, RULES, fit(labelled_by(pages, RULES, id_column="page_id"), id_column="id"))

@@ -77,3 +77,24 @@ def test_odd_tables(spark):
     assert judge(empty, RULES, fit(labelled_by(empty, RULES))).count() == 0
     one_kind = spark.createDataFrame([("http://a.com/en/1", 1.0)], "url string, label double")
     assert {r.verdict for r in judge(odd, (), fit(one_kind)).collect()} == {"block"}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_suffixes_count_all_labelled(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("tessera.llm.url_filter._MOST_BROADCAST", (10, 10))
+    labelled = [(k, f"http://h{k}.s{k % 97}.org/", float(k % 97 % 2)) for k in range(970)]
+    model = fit(spark.createDataFrame(labelled, "id long, url string, label double"), most_labelled=40, trees=2, id_column="id")
+    assert model.small == small
+    assert sorted(map(tuple, model.suffixes.collect())) == sorted((f"s{k}.org", 10.0, 10.0 * (k % 2)) for k in range(97))
+    urls = spark.createDataFrame([(k, f"http://new.s{k}.org/") for k in range(97)] + [(97, "http://new.other.net/")], "page_id long, url string")
+    got = judge(urls, (), model).collect()
+    assert len(got) == 98 and sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got if r.page_id < 97) >= 92
+
+
+def test_copies_of_one_url_leave_room_for_others(spark):
+    urls = [f"http://a{k}.site.org/x" for k in range(300)]
+    hot = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("min_by(url, xxhash64(url)) AS url").first().url
+    labelled = [(k, u, 0.0) for k, u in enumerate(urls) if u != hot] + [(1000 + k, hot, 1.0) for k in range(400)]
+    model = fit(spark.createDataFrame(labelled, "id long, url string, label double"), most_labelled=200, trees=2, id_column="id")
+    assert model.trees is not None and model.share == 400 / 699
