@@ -6,7 +6,8 @@ compared token by token along the diagonal that the seed gives, which tolerates
 
 Tokens are runs of letters and digits (bytes from 128 on count as letters), A-Z lower-cased. An item matches a document if
 some stretch of ``min_tokens`` aligned tokens or more (the whole item where it is shorter) agrees in ``min_identity`` of its
-positions. Items with fewer tokens than the shortest mask are too short to be evidence and match nothing.
+positions; substitutions at its rim count for its length, but not for the place that is reported. Items of fewer than six
+tokens are too short to be evidence and match nothing.
 
 Defined cases: null and empty texts have no tokens and match nothing; rows without an id cannot be named and are left out; repeated documents each
 match by themselves; of equally good alignments the earliest is reported; empty tables give an empty result. Other columns of
@@ -26,9 +27,10 @@ from tessera.llm import text as T
 from tessera.llm.filters import bit_table
 from tessera.llm.storage import materialize
 
-#: Token positions that each mask looks at. Each has six; windows of a passage with one substitution in five words hit some.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 9), (0, 1, 2, 5, 7, 8))
-SHORTEST = min(m[-1] + 1 for m in MASKS)
+#: Token positions that each mask looks at. However one substitution in five words lies in a stretch of 12 tokens or more, or
+#: in a shorter item, some mask fits between: stretches from 24 tokens on have a half in which no more is substituted.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 2, 3, 4, 5), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5), (0, 1, 2, 3, 6))
+SHORTEST = 6  # tokens of an item
 _CONTEXT = 64  # tokens kept on either side of a hit for the comparison
 
 
@@ -125,8 +127,10 @@ def _segments(docs: DataFrame, table, id_kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_kind}, segment long, tokens array<long>, starts array<long>, ends array<long>, at array<int>, seeds array<long>")
 
 
-def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int]:
-    """The stretch with the most agreeing positions among those that agree in ``identity`` of their positions (earliest on ties)."""
+def best_stretch(same: np.ndarray, identity: float, least: int = 0) -> tuple[int, int]:
+    """The stretch with the most agreeing positions among those that agree in ``identity`` of their positions (earliest on ties).
+
+    Only stretches of ``least`` positions or more count; without any, an empty one."""
     # A stretch qualifies if its sum of (agreement - identity) isn't negative: for each start the furthest end is found over
     # suffix maxima of the running sum.
     run = np.append(0.0, np.cumsum(same - identity))
@@ -134,7 +138,9 @@ def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int]:
     # far falls from left to right, so the last place where far >= run[start] is the furthest end.
     ends = len(run) - np.searchsorted(far[::-1], run - 1e-9, side="left") - 1
     agreed = np.append(0, np.cumsum(same))
-    gain = agreed[ends] - agreed
+    gain = np.where(ends - np.arange(len(ends)) >= least, agreed[ends] - agreed, -1)
+    if gain.max() < 0:
+        return 0, 0
     start = int(np.argmax(gain))
     return start, int(ends[start])
 
@@ -152,13 +158,15 @@ def _compare(pairs: DataFrame, min_tokens: int, identity: float, doc_kind: str,
                 shift = columns["diagonal"][k].as_py()  # place in the segment of the item's first token
                 low, high = max(0, shift), min(len(a), shift + len(b))
                 same = a[low:high] == b[low - shift : high - shift]
-                s, e = best_stretch(same, identity)
-                # Substitutions at the rim are left out.
+                least = min(min_tokens, len(b))
+                s, e = best_stretch(same, identity, least)
+                long_enough = e - s >= least
+                # Substitutions at the rim are left out of the place.
                 while e > s and not same[e - 1]:
                     e -= 1
                 while s < e and not same[s]:
                     s += 1
-                if e - s >= min(min_tokens, len(b)) and len(b) >= SHORTEST:
+                if long_enough and e > s and len(b) >= SHORTEST:
                     keep.append(k)
                     out.append((columns["starts"][k].values[low + s].as_py(), columns["ends"][k].values[low + e - 1].as_py(), e - s, int(same[s:e].sum()), len(b)))
             if keep:

@@ -1,12 +1,13 @@
 """Decontamination: every benchmark passage is found, also with substituted words; clean texts are left alone."""
 
+import itertools
 import re
 
 import numpy as np
 import pytest
 
 from common import SF, odd_documents
-from tessera.llm.decontaminate import best_stretch, decontaminate
+from tessera.llm.decontaminate import MASKS, SHORTEST, best_stretch, decontaminate
 
 words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -77,3 +78,30 @@ def test_odd_tables(spark):
     assert decontaminate(odd_documents(spark), bench.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "so one two three four five six seven eight " * 3)] * 2, "doc_id long, text string")
     assert [(r.doc_id, r.item_id, r.start) for r in decontaminate(twice, bench).collect()] == [(1, 1, 3)]
+
+
+def test_masks_fit_every_pattern():
+    """All places of one substitution in five tokens; of 24 tokens or more, one of two halves has such a pattern."""
+    for n in range(SHORTEST, 24):
+        seen = [sum(1 << (at + k) for k in m) for m in MASKS for at in range(n - m[-1])]
+        for bad in itertools.combinations(range(n), n // 5):
+            hidden = sum(1 << k for k in bad)
+            assert any(not hidden & m for m in seen), (n, bad)
+
+
+def test_every_place_of_substitutions(spark):
+    rows, bench, want = [], [], set()
+    for n in (6, 10, 12):
+        for k, bad in enumerate(itertools.combinations(range(n), n // 5)):
+            item = 1000 * n + k
+            tokens = [f"w{item}x{j}" for j in range(n)]
+            bench.append((item, " ".join(tokens)))
+            rows.append((item, "some words before " + " ".join("other" if j in bad else t for j, t in enumerate(tokens)) + " and after it"))
+            want.add((item, item, n - len(bad)))
+    # Twelve aligned tokens of a longer item, of which the last one differs; one more is too many.
+    long = [f"long{j}" for j in range(40)]
+    bench.append((1, " ".join(long)))
+    rows += [(1, " ".join(["before", *long[:9], "x", long[10], "after"])), (2, " ".join(["before", *long[:9], "x", "y", "z", "after"]))]
+    want.add((1, 1, 10))
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_same) for r in got} == want
