@@ -24,7 +24,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.text import slices
 
+# Where the tokenizers library knows an older Unicode than Python and regex do. Code points, in hexadecimal, that
+# are no letters to it, no numbers, and marks that neither move nor compose; and capitals that only it lowers.
+_NOT_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 "
+    "187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
+    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_NOT_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+_FIRM_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 "
+    "11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+_LOWERED = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LOWERED |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def _set_of(ranges: str) -> str:
+    """Ranges of code points in hexadecimal as a set of a regular expression."""
+    return "[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in ranges.split()) + "]"
+
+
+_LETTER, _NUMBER = rf"[\p{{L}}--{_set_of(_NOT_LETTERS)}]", rf"[\p{{N}}--{_set_of(_NOT_NUMBERS)}]"
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.V0)
+# The same for texts with characters that only regex takes for letters or numbers; sets cut out of sets make it slower.
+_RARE_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|[^\s{_LETTER}{_NUMBER}]+", regex.V1)
+_RARE = regex.compile(_set_of(f"{_NOT_LETTERS} {_NOT_NUMBERS}"))
+_FIRM = regex.compile(f"({_set_of(_FIRM_MARKS)})")
+_CAPITAL = regex.compile(f"[{''.join(map(chr, _LOWERED))}]")
 _WORD_END = "</w>"
 
 
@@ -128,9 +155,22 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
 
 
 def normalize(text: str) -> str:
+    """NFC and small letters, as the tokenizers library gives them."""
+    if text.isascii():
+        return text.lower()
+    if _FIRM.search(text):
+        text = "".join([unicodedata.normalize("NFC", part) for part in _FIRM.split(text)])
+    else:
+        text = unicodedata.normalize("NFC", text)
+    if _CAPITAL.search(text):
+        text = text.translate(_LOWERED)
     # Letters are lowered one by one, so a capital sigma at a word's end becomes the ordinary small one.
-    text = unicodedata.normalize("NFC", text)
-    return text.replace("Σ", "σ").lower() if not text.isascii() else text.lower()
+    return text.replace("Σ", "σ").lower()
+
+
+def words_of(text: str) -> list[str]:
+    text = normalize(text)
+    return (_RARE_WORD if not text.isascii() and _RARE.search(text) else _WORD).findall(text)
 
 
 class Encoder:
@@ -143,13 +183,13 @@ class Encoder:
 
     def split(self, text: str) -> list[str]:
         if self.specials is None or "<|" not in text:
-            return _WORD.findall(normalize(text))
+            return words_of(text)
         out = []
         for k, part in enumerate(self.specials.split(text)):
             if k % 2:
                 out.append("\0" + part)  # no word begins with a null character and goes on with a bar
             elif part:
-                out += _WORD.findall(normalize(part))
+                out += words_of(part)
         return out
 
     def learn(self, words: set[str]) -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import bpe, decode
+from tessera.llm.bpe import Encoder, bpe, decode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -49,3 +49,21 @@ def test_documents(spark):
 def test_empty_table(spark, rows):
     docs = spark.createDataFrame([(1, "a")][:rows], "doc_id long, text string")
     assert bpe(docs, PATH).count() == rows
+
+
+def test_every_code_point():
+    """Alone, between letters, and with marks before and after that could move or compose."""
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation(), library.no_padding()
+    points = [c for c in [*range(0x34000), *range(0x34000, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    encoder = Encoder(PATH)
+    wrong = []
+    for low in range(0, len(points), 2048):
+        part = [chr(c) for c in points[low : low + 2048]]
+        texts = [t for c in part for t in (c, f"x{c}y", f"a\u0323{c}\u0301")]
+        # One text of many is much quicker than many texts; parts that differ are looked at one by one.
+        whole = [" ".join(texts)]
+        if [next(encoder.encode(whole))[0]] != [" ".join(map(str, library.encode(whole[0], add_special_tokens=False).ids))]:
+            ids = [" ".join(map(str, e.ids)) for e in library.encode_batch(texts, add_special_tokens=False)]
+            wrong += [ascii(t) for t, (mine, *_), i in zip(texts, encoder.encode(texts), ids, strict=True) if mine != i]
+    assert not wrong, (len(wrong), wrong[:40])
