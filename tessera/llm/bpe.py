@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,7 +52,7 @@ _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 _RARE_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|[^\s{_LETTER}{_NUMBER}]+", regex.V1)
 _RARE = regex.compile(_set_of(f"{_NOT_LETTERS} {_NOT_NUMBERS}"))
 _FIRM = regex.compile(f"({_set_of(_FIRM_MARKS)})")
-_CAPITAL = regex.compile(f"[{''.join(map(chr, _LOWERED))}]")
+_ANY_OF_THESE = re.compile("[\u0558-\U0010ffff]")  # all code points above are in this range, most texts have none of it
 _WORD_END = "</w>"
 
 
@@ -154,23 +155,25 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
     return symbols[order], np.searchsorted(word[order], np.arange(len(words) + 1))
 
 
-def normalize(text: str) -> str:
-    """NFC and small letters, as the tokenizers library gives them."""
+def normalize(text: str, plain: bool = False) -> str:
+    """NFC and small letters, as the tokenizers library gives them; ``plain`` texts have no code point that it sees otherwise."""
     if text.isascii():
         return text.lower()
-    if _FIRM.search(text):
-        text = "".join([unicodedata.normalize("NFC", part) for part in _FIRM.split(text)])
-    else:
+    if plain or not _FIRM.search(text):
         text = unicodedata.normalize("NFC", text)
-    if _CAPITAL.search(text):
+    else:
+        text = "".join([unicodedata.normalize("NFC", part) for part in _FIRM.split(text)])
+    if not plain:
         text = text.translate(_LOWERED)
     # Letters are lowered one by one, so a capital sigma at a word's end becomes the ordinary small one.
     return text.replace("Σ", "σ").lower()
 
 
 def words_of(text: str) -> list[str]:
+    if text.isascii() or not _ANY_OF_THESE.search(text):
+        return _WORD.findall(normalize(text, plain=True))
     text = normalize(text)
-    return (_RARE_WORD if not text.isascii() and _RARE.search(text) else _WORD).findall(text)
+    return (_RARE_WORD if _RARE.search(text) else _WORD).findall(text)
 
 
 class Encoder:
