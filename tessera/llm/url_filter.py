@@ -2,18 +2,21 @@
 
 Features are lengths, depth, digit ratio, character entropy, parameter counts and suffix statistics (how often labelled URLs
 under the same host suffix were to be blocked, smoothed by the overall share), all built-in functions. The trees are Spark's,
-fitted on a bounded sample of labelled URLs: ``most_labelled`` rows, those with the smallest hash of id and URL (of the URL
-alone where ``fit`` is given no id column). The suffix statistics and the overall share count all labelled URLs; their table is
-broadcast where it is small, and joined by shuffle otherwise.
+fitted on a bounded sample of labelled URLs: ``most_labelled`` distinct URLs, those with the smallest hashes, so copies of one
+URL count once. Only hashes below a threshold that follows the number of URLs are sorted, and a task sends about its share of
+the sample. The suffix statistics and the overall share count all labelled rows; their table is broadcast where it is small,
+and joined by shuffle otherwise.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged like others, its
-features those of an empty text; where labelled URLs are missing, or are all of one kind, the trees give way to that kind, or
-to ``allow``; repeated rows give repeated results; empty tables give empty results; other columns stay, those whose names the
-operator adds are replaced.
+features those of an empty text; URLs of any length are taken whole; a URL labelled both ways is learned as what most of its
+rows say, ``block`` on ties, and equal hashes are ordered by URL; where labelled URLs are missing, or are all of one kind, the
+trees give way to that kind, or to ``allow``; repeated rows give repeated results; empty tables give empty results; other
+columns stay, those whose names the operator adds are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -63,10 +66,10 @@ def features(urls: DataFrame, url_column: str) -> DataFrame:
     """Lexical features, with the columns host, path and suffix."""
     url = F.coalesce(F.col(url_column), F.lit(""))
     host, path = split_url(url)
-    rows = urls.withColumn("host", host).withColumn("path", path).withColumn("_chars", F.array_sort(F.split(url, "")))
+    rows = urls.withColumn("host", host).withColumn("path", path).withColumn("_chars", F.array_distinct(F.split(url, "")))
     n = F.greatest(F.length(url), F.lit(1))
-    # Entropy over characters: sorted characters joined again fall into runs, one for each character.
-    run = F.transform(F.array_distinct("_chars"), lambda c: F.length(url) - F.length(F.replace(url, c, F.lit(""))))
+    # Entropy over characters: how often each of them comes is what the URL gets shorter without it.
+    run = F.transform("_chars", lambda c: F.length(url) - F.length(F.replace(url, c, F.lit(""))))
     entropy = F.aggregate(F.filter(run, lambda k: k > 0), F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
     query = F.when(F.instr(url, "?") > 0, F.regexp_extract(url, r"(?s)^[^?]*\?([^#]*)", 1)).otherwise("")
     digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
@@ -106,22 +109,30 @@ def _with_suffix(rows: DataFrame, share: float) -> DataFrame:
     )
 
 
-def fit(labelled: DataFrame, url_column: str = "url", label_column: str = "label", most_labelled: int = 20_000, trees: int = 12, depth: int = 4, id_column: str | None = None) -> UrlModel:
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` distinct URLs with the smallest hashes: url, label, and the numbers of their rows and of those to block."""
+    one = rows.groupBy("url").agg(F.count("*").cast("double").alias("own_n"), F.sum("label").alias("own_blocks"))
+    one = materialize(one.withColumn("own", F.shiftrightunsigned(F.xxhash64("url"), 1)), "labelled_urls")
+    n = one.count()
+    if n > most:  # six deviations more than are wanted, then the exact number
+        one = one.where(F.col("own") < int((most + 6 * math.sqrt(most) + 6) / n * 2**63))
+    chosen = one.orderBy("own", "url").limit(most)
+    return chosen.select("url", (F.col("own_blocks") * 2 >= F.col("own_n")).cast("double").alias("label"), "own_n", "own_blocks")
+
+
+def fit(labelled: DataFrame, url_column: str = "url", label_column: str = "label", most_labelled: int = 20_000, trees: int = 12, depth: int = 4) -> UrlModel:
     """Learn from URLs labelled 1 (block) and 0 (allow)."""
-    spark = labelled.sparkSession
-    own = F.xxhash64(*([id_column] if id_column else []), url_column).alias("own")
-    rows = labelled.where(F.col(label_column).isNotNull() & F.col(url_column).isNotNull()).select(F.col(url_column).alias("url"), F.col(label_column).cast("double").alias("label"), own)
+    rows = labelled.where(F.col(label_column).isNotNull() & F.col(url_column).isNotNull()).select(F.col(url_column).alias("url"), F.col(label_column).cast("double").alias("label"))
     counts = rows.groupBy(_suffix(split_url(F.col("url"))[0]).alias("suffix")).agg(F.count("*").cast("double").alias("_n"), F.sum("label").alias("_blocks"))
     suffixes = materialize(counts, "suffixes")
     all_of = suffixes.agg(F.sum("_n").alias("n"), F.sum("_blocks").alias("blocks"), F.count("*").alias("rows"), F.sum(F.octet_length("suffix")).alias("bytes")).first()
     share = all_of.blocks / all_of.n if all_of.n else 0.0
     if share in (0.0, 1.0):
         return UrlModel(None, None, share)
-    chosen = rows.orderBy("own", "url", "label").limit(most_labelled).select("url", "label").collect()
-    sample = features(spark.createDataFrame(chosen, "url string, label double").coalesce(1), "url")
-    # Statistics leave the row itself out, else the trees would trust suffixes that are seen once.
-    met = suffixes.join(F.broadcast(sample.select("suffix").distinct()), "suffix", "left_semi").collect()
-    without = sample.join(F.broadcast(spark.createDataFrame(met, suffixes.schema)), "suffix").withColumn("_n", F.col("_n") - 1).withColumn("_blocks", F.col("_blocks") - F.col("label"))
+    sample = materialize(features(_sample(rows, most_labelled).coalesce(1), "url"), "sample")
+    # Statistics leave a URL's own rows out, else the trees would trust suffixes that are seen once. The sample's are few.
+    met = materialize(suffixes.join(F.broadcast(sample.select("suffix").distinct()), "suffix", "left_semi"), "met_suffixes")
+    without = sample.join(F.broadcast(met), "suffix").withColumn("_n", F.col("_n") - F.col("own_n")).withColumn("_blocks", F.col("_blocks") - F.col("own_blocks"))
     without = _with_suffix(without, share)
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     booster = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=7, maxMemoryInMB=128)
@@ -144,17 +155,16 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...], model: UrlModel, url_column:
     return rows.select("_row.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), verdict.isNull().alias("by_model"))
 
 
-def labelled_by(urls: DataFrame, rules: tuple[Rule, ...], url_column: str = "url", id_column: str | None = None) -> DataFrame:
-    """URLs that a rule fits, labelled by the longest; with their id where its column is given."""
+def labelled_by(urls: DataFrame, rules: tuple[Rule, ...], url_column: str = "url") -> DataFrame:
+    """URLs that a rule fits, labelled by the longest."""
     host, path = split_url(F.coalesce(F.col(url_column), F.lit("")))
     label = F.lit(None).cast("double")
     for r in sorted(rules, key=lambda r: (len(str(r)), str(r))):
         label = F.when(fits(r, host, path), F.lit(float(r.verdict == "block"))).otherwise(label)
-    ids = [F.col(id_column).alias("id")] if id_column else []
-    return urls.select(*ids, F.col(url_column).alias("url"), label.alias("label")).where("label is not null")
+    return urls.select(F.col(url_column).alias("url"), label.alias("label")).where("label is not null")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All URLs of ``pages``; the trees learn from those that rules decide."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, RULES, fit(labelled_by(pages, RULES, id_column="page_id"), id_column="id"))
+    return judge(pages, RULES, fit(labelled_by(pages, RULES)))

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from common import odd_documents
-from tessera.llm.url_filter import RULES, features, fit, judge, labelled_by, query, split_url
+from tessera.llm.url_filter import RULES, _sample, features, fit, judge, labelled_by, query, split_url
 
 ODD = [
     None, "", "no scheme/at all", "http://", "HTTP://Www.EXAMPLE.Com/en/7", "x://a.com/en/", "http://com/en/x", "http://ecom/en/x", "http://a.com?/en/", "http://a.com#/en/", "http://a.com/EN/",
@@ -84,7 +85,7 @@ def test_suffixes_count_all_labelled(spark, monkeypatch, small):
     if not small:
         monkeypatch.setattr("tessera.llm.url_filter._MOST_BROADCAST", (10, 10))
     labelled = [(k, f"http://h{k}.s{k % 97}.org/", float(k % 97 % 2)) for k in range(970)]
-    model = fit(spark.createDataFrame(labelled, "id long, url string, label double"), most_labelled=40, trees=2, id_column="id")
+    model = fit(spark.createDataFrame(labelled, "id long, url string, label double"), most_labelled=40, trees=2)
     assert model.small == small
     assert sorted(map(tuple, model.suffixes.collect())) == sorted((f"s{k}.org", 10.0, 10.0 * (k % 2)) for k in range(97))
     urls = spark.createDataFrame([(k, f"http://new.s{k}.org/") for k in range(97)] + [(97, "http://new.other.net/")], "page_id long, url string")
@@ -94,7 +95,24 @@ def test_suffixes_count_all_labelled(spark, monkeypatch, small):
 
 def test_copies_of_one_url_leave_room_for_others(spark):
     urls = [f"http://a{k}.site.org/x" for k in range(300)]
-    hot = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("min_by(url, xxhash64(url)) AS url").first().url
+    hot = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("min_by(url, shiftrightunsigned(xxhash64(url), 1)) AS url").first().url
     labelled = [(k, u, 0.0) for k, u in enumerate(urls) if u != hot] + [(1000 + k, hot, 1.0) for k in range(400)]
-    model = fit(spark.createDataFrame(labelled, "id long, url string, label double"), most_labelled=200, trees=2, id_column="id")
+    model = fit(spark.createDataFrame(labelled, "id long, url string, label double"), most_labelled=200, trees=2)
     assert model.trees is not None and model.share == 400 / 699
+
+
+def test_sample_is_bounded_and_of_distinct_urls(spark):
+    rows = spark.createDataFrame([(f"http://a{k}.org/", 1.0) for k in range(3000)] + [("http://hot.org/", float(k % 3 == 0)) for k in range(500)], "url string, label double")
+    got = {r.url: r for r in _sample(rows, 1000).collect()}
+    assert len(got) == 1000 and all(r.own_n == (500 if u == "http://hot.org/" else 1) for u, r in got.items())
+    assert {r.url: r.label for r in _sample(rows, 5000).collect()}["http://hot.org/"] == 0.0 and _sample(rows, 5000).count() == 3001
+
+
+def test_trees_on_pages_that_they_have_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labelled = labelled_by(pages, RULES).distinct()
+    held = F.crc32("url") % 5 == 0
+    rows = judge(labelled.where(held).withColumnRenamed("label", "truth"), (), fit(labelled.where(~held))).collect()
+    share = sum(r.truth for r in rows) / len(rows)
+    right = sum((r.verdict == "block") == (r.truth == 1) for r in rows) / len(rows)
+    assert len(rows) > 100 and right > max(share, 1 - share)
