@@ -33,6 +33,7 @@ from tessera.llm.text import slices
 
 _EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 _RUN_ROWS = 250_000  # captures that one merging task should hold
+_READ_BYTES = 64 << 20  # of archives that one task should read
 
 CAPTURE = "url_key string, timestamp string, record_id string, archive string, offset long, length long, record_type string"
 
@@ -221,7 +222,10 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    spread = index.repartition("archive").sortWithinPartitions("archive", "offset")
+    # As many tasks as the archives' bytes ask for; a large archive is dealt out over several.
+    size = index.agg(F.sum("length").alias("b")).first().b or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(size / _READ_BYTES))
+    spread = index.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return spread.select("archive", "offset", "length").mapInArrow(run, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
 
 
