@@ -4,7 +4,11 @@ Languages are learned from labelled texts as counts of letter trigrams (a word i
 their letters. To label a text, each word's script narrows its candidate languages, trigram likelihoods score the word under
 each of them, and a Viterbi pass with a penalty for switching labels every word, so that mixed texts fall into spans.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0 and no spans; if nothing was learned every text is
+Trigrams are hashed into tables of fixed size, 2^16 cells each; with more than 128 languages each gets fewer cells, so that all
+tables together stay as large.
+
+Defined cases: a text that is null or has no letter is ``und`` with score 0 and no spans (marks belong to a word, but a word
+of marks alone is none); texts of any length are labelled whole; if nothing was learned every text is
 ``und``; rows without text or label are not learned from; ties go to the language that comes first by name; repeated rows give
 repeated results; empty tables give empty results; input columns stay, those whose names the operator adds are replaced.
 """
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.text import slices
 
-_BITS = 16  # trigrams are hashed into this many bits, so a language is a table of fixed size
+_BITS, _LEAST_BITS = 16, 8  # trigrams are hashed into so many bits, so a language is a table of fixed size
+_CELLS = 1 << 23  # of all languages' tables together
 _BLOCK = 1 << 18  # letters scored at a time
 
 # First and last code points of scripts, by the Unicode blocks that hold them.
@@ -46,24 +51,29 @@ _SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
 }
 SCRIPTS = ["other", *_SCRIPTS]
+_MARK = len(SCRIPTS)
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point its small letter (0 if it's no letter), and its script."""
+    """For each code point its small letter (0 if it's neither letter nor mark), and its script (one of its own for marks)."""
     lower = np.zeros(sys.maxunicode + 1, np.uint32)
-    for c in range(0x40000):
-        if unicodedata.category(ch := chr(c))[0] in "LM":
+    marks = []
+    for c in [*range(0x40000), *range(0xE0000, 0xE0200)]:
+        if (kind := unicodedata.category(ch := chr(c))[0]) in "LM":
             low = ch.lower()
             lower[c] = ord(low) if len(low) == 1 else c
+            if kind == "M":
+                marks.append(c)
     script = np.zeros(sys.maxunicode + 1, np.uint8)
     for k, ranges in enumerate(_SCRIPTS.values(), 1):
         for a, b in ranges:
             script[a : b + 1] = k
+    script[marks] = _MARK
     return lower, script
 
 
-def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
+def _words(texts: list[str], bits: int) -> tuple[np.ndarray, ...]:
     """Small letters of all texts with blanks between them, trigram hashes and scripts; starts, ends and texts of the words."""
     lower, script = _tables()
     points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -71,11 +81,20 @@ def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
     inside = letters != 0
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # Words without a letter go; the others begin at their first letter.
+    at = np.flatnonzero(inside & (script[points] != _MARK))
+    place = np.searchsorted(at, starts)
+    held = place < np.searchsorted(at, ends)
+    inside = np.zeros(len(points) + 1, np.int8)
+    starts, ends = at[place[held]], ends[held]
+    inside[starts], inside[ends] = 1, -1
+    inside = np.cumsum(inside, dtype=np.int8)[:-1] > 0
+    letters = np.where(inside, letters, np.uint32(0))
     before, after = np.append(np.uint32(0), letters[:-1]), np.append(letters[1:], np.uint32(0))
     mixed = letters * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B) + after * np.uint32(0xC2B2AE35)
     mixed ^= mixed >> np.uint32(15)
     mixed *= np.uint32(0x2C1B3C6D)
-    hashes = mixed >> np.uint32(32 - _BITS)
+    hashes = mixed >> np.uint32(32 - bits)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return points, inside, hashes, script, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, offsets
 
@@ -85,51 +104,54 @@ class Model:
     langs: list[str]
     scores: np.ndarray  # trigram x language: log probabilities, float32
     scripts: np.ndarray  # script x language: whether the language is written in it
+    bits: int  # of a trigram's hash
 
 
-def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", most_langs: int = 500, least_share: float = 0.005) -> Model:
-    """Count trigrams and scripts of all labelled texts. What reaches the driver is bounded by ``most_langs`` tables of fixed size."""
+def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", least_share: float = 0.005) -> Model:
+    """Count trigrams and scripts of all labelled texts. At most ``_CELLS`` counts reach the driver, however many languages there are."""
+    rows = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
+    most = _CELLS >> _LEAST_BITS
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(most + 1).collect())
+    if len(langs) > most:
+        raise ValueError(f"the label column has more than {most} values: these aren't languages")
+    bits = _BITS
+    while len(langs) << bits > _CELLS:
+        bits -= 1
+    numbers = {x: k for k, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def drain() -> Iterator[pa.RecordBatch]:
             for lang, (grams, scripts) in held.items():
                 both = np.concatenate([grams, scripts])
                 at = np.flatnonzero(both)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(both[at], pa.int64())], ["lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, np.int32)), pa.array(at, pa.int32()), pa.array(both[at], pa.int64())], ["lang", "at", "n"])
             held.clear()
 
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-                points, inside, hashes, script, *_, offsets = _words(texts)
-                names = sorted(set(langs))
-                number = {x: k for k, x in enumerate(names)}
-                own = np.repeat(np.array([number[x] for x in langs]), np.diff(offsets))
-                for k, lang in enumerate(names):
-                    at = np.flatnonzero(inside & (own == k))
+                texts = batch.column("text").to_pylist()
+                points, inside, hashes, script, *_, offsets = _words(texts, bits)
+                own = np.repeat(np.array([numbers[x] for x in batch.column("lang").to_pylist()]), np.diff(offsets))
+                for lang in np.unique(own).tolist():
+                    at = np.flatnonzero(inside & (own == lang))
                     if lang not in held:
-                        held[lang] = np.zeros(1 << _BITS, np.int64), np.zeros(len(SCRIPTS), np.int64)
-                    held[lang][0][:] += np.bincount(hashes[at], minlength=1 << _BITS)
-                    held[lang][1][:] += np.bincount(script[points[at]], minlength=len(SCRIPTS))
+                        held[lang] = np.zeros(1 << bits, np.int64), np.zeros(len(SCRIPTS), np.int64)
+                    held[lang][0][:] += np.bincount(hashes[at], minlength=1 << bits)
+                    held[lang][1][:] += np.bincount(script[points[at]], minlength=len(SCRIPTS) + 1)[:-1]
                 if len(held) > 64:
                     yield from drain()
         yield from drain()
 
-    rows = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in labelled.select(F.col(lang_column).alias("lang")).where("lang is not null").distinct().limit(most_langs + 1).collect())
-    if len(langs) > most_langs:
-        raise ValueError(f"more than {most_langs} languages; raise most_langs if that is meant")
-    found = counts.toPandas()
-    table = np.zeros(((1 << _BITS) + len(SCRIPTS), len(langs)))
-    table[found["at"].to_numpy(int), np.searchsorted(langs, found["lang"].to_numpy(str)) if len(found) else found["at"].to_numpy(int)] = found["n"].to_numpy()
-    used = table[: 1 << _BITS].sum(0) > 0  # a language without a letter can't be told
+    found = rows.mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(((1 << bits) + len(SCRIPTS), len(langs)))
+    table[found["at"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
+    used = table[: 1 << bits].sum(0) > 0  # a language without a letter can't be told
     table, langs = table[:, used], [x for x, u in zip(langs, used, strict=True) if u]
-    grams, scripts = table[: 1 << _BITS], table[1 << _BITS :]
+    grams, scripts = table[: 1 << bits], table[1 << bits :]
     scores = np.log((grams + 0.1) / (grams.sum(0) + 0.1 * len(grams)))
-    return Model(langs, scores.astype(np.float32), scripts >= least_share * scripts.sum(0))
+    return Model(langs, scores.astype(np.float32), scripts >= least_share * scripts.sum(0), bits)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty: float) -> np.ndarray:
@@ -168,7 +190,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty:
 
 def label_words(texts: list[str], model: Model, penalty: float) -> tuple[np.ndarray, ...]:
     """Starts, ends (code points in their text), texts and labels of all words."""
-    points, inside, hashes, script, starts, ends, doc, offsets = _words(texts)
+    points, inside, hashes, script, starts, ends, doc, offsets = _words(texts, model.bits)
     scores = np.empty((len(starts), len(model.langs)), np.float32)
     k = 0
     step = max(1, _BLOCK * 4 // max(4, len(model.langs)))

@@ -61,3 +61,27 @@ def test_odd_tables(spark):
     nothing = learn(odd_documents(spark, empty=True))
     assert {r.lang_pred for r in identify(odd_documents(spark), nothing).collect()} == {"und"}
     assert identify(odd_documents(spark), learn(odd_documents(spark).where(F.col("doc_id") == 9))).where("lang_pred = 'de'").count() == 7
+
+
+def test_marks_alone_are_no_text(spark):
+    model = learn(spark.createDataFrame([("ordinary words of a text", "en"), ("wörter eines textes", "de")], "text string, lang string"))
+    rows = identify(spark.createDataFrame([(1, "́́ ̀"), (2, "́wordś ́"), (3, "a")], "doc_id long, text string"), model, spans=True).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in rows] == [True, False, False] and rows[0].score == 0 and rows[0].lang_spans == []
+    assert [(s.start, s.end) for s in rows[1].lang_spans] == [(1, 7)]
+
+
+def test_many_languages(spark):
+    rows = [(f"{chr(97 + k % 26)}{chr(97 + k // 26)}x" * 4, f"l{k:03}") for k in range(600)]
+    model = learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.langs) == 600 and model.scores.size <= 1 << 23
+    got = identify(spark.createDataFrame(rows, "text string, truth string"), model).collect()
+    assert sum(r.lang_pred == r.truth for r in got) > 590
+
+
+def test_trigram_scores_by_hand(spark):
+    labelled = [("abc abd", "x"), ("zzz abd", "y")]
+    model = learn(spark.createDataFrame(labelled, "text string, lang string"))
+    assert model.langs == ["x", "y"]
+    # Every letter is one trigram, so a language's table adds up to its letters, and scores to one.
+    assert np.allclose(np.exp(model.scores.astype(float)).sum(0), 1, atol=1e-3)
+    assert identify(spark.createDataFrame([("abc",), ("zzz",)], "text string"), model).collect()[1].lang_pred == "y"
