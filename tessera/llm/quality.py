@@ -5,7 +5,8 @@ all texts estimates how often each rule votes, and how, on good and on bad texts
 takes the place of demanding that every rule passes. Texts enter the estimate as counts of vote patterns, of which there are
 at most 3 to the power of the number of rules, however many texts there are.
 
-Everything is built-in DataFrame functions. Defined cases: null, empty and blank texts have no words, all statistics are 0 and
+Everything is built-in DataFrame functions. Defined cases: texts of any length are judged whole; equal votes have equal
+posteriors, and a posterior at the threshold is kept; null, empty and blank texts have no words, all statistics are 0 and
 they fail; a text of less than five words has no repeated window; rows without an id are judged like others; repeated rows
 give repeated results; empty tables give empty results; columns other than the id and the text are not looked at.
 """
@@ -132,11 +133,14 @@ def expectation_maximisation(votes: DataFrame, names: list[str], rounds: int = 1
     return now
 
 
-def judge(docs: DataFrame, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with statistics, ``base_failed``, ``quality`` (posterior probability of being good) and ``kept``."""
+def judge(docs: DataFrame, text_column: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns those in ``carry``, if given) with statistics, ``base_failed``, ``quality`` (posterior probability
+    of being good) and ``kept``. The carried columns are written once with the statistics, so leave the text out where it isn't needed."""
     votes = rules()
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    judged = materialize(statistics(docs, text_column).withColumn("base_failed", base).withColumns(votes), "statistics")
+    known = statistics(docs, text_column)
+    known = known if carry is None else known.drop(*(c for c in docs.columns if c not in carry))
+    judged = materialize(known.withColumn("base_failed", base).withColumns(votes), "statistics")
     learned = expectation_maximisation(judged, list(votes))
     return judged.withColumn("quality", learned.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop(*votes)
 
@@ -144,5 +148,5 @@ def judge(docs: DataFrame, text_column: str = "text", threshold: float = 0.5) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all whole ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    judged = judge(docs)
+    judged = judge(docs, carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
