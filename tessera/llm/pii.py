@@ -2,20 +2,28 @@
 
 Values found by pattern (e-mail and IP addresses, card and phone numbers) are the protected entities. How strongly a term t of
 the same text reveals an entity e is estimated from the corpus as pointwise mutual information,
-``PMI(e, t) = log2(p(e, t) / (p(e) p(t)))`` over documents. A term discloses e if it gives away at least the share ``1/alpha``
-of e's information content, ``PMI >= -log2 p(e) / alpha``, if they meet in ``min_texts`` different texts, and if these
-observations amount to ``min_bits`` bits (texts times PMI), so chance meetings of frequent entities don't count. In texts that
-hold the entity, such terms are spans of kind ``term``; redaction generalises every span to the name of its kind.
+``PMI(e, t) = log2(p(e, t) / (p(e) p(t)))`` over documents. A term (any run of letters, marks and digits) discloses e if it gives
+away at least the share ``1/alpha`` of e's information content, ``PMI >= -log2 p(e) / alpha``, if they meet in ``min_texts``
+different texts, and if their meeting is no chance: its evidence, as bits of a Poisson tail, must exceed by ``min_bits`` those
+that the number of pairs looked at makes likely, so equal evidence decides alike at every size. In texts that hold the entity,
+such terms are spans of kind ``term``; redaction generalises every span to the name of its kind.
+
+A term in very many texts can't reach the share for a rare entity, whatever it meets; so terms are counted before they are paired
+with a text's entities, and common ones are not paired at all. Equal texts are one text with a weight: they are paired once, and
+the places of its terms hold for each of its rows.
 
 Everything is built-in DataFrame functions. Patterns are written with possessive loops, which read a text in linear time and
-find the same matches. Defined cases: a null text is empty; rows without an id get their base spans, but no term spans;
-repeated rows give repeated results and count as one text for ``min_texts``; spans may overlap across kinds and are ordered by
-start, then kind; empty tables give empty results; other input columns are not looked at, and stay in ``redact``.
+find the same matches. Defined cases: a null text is empty; rows without an id are treated as all others; repeated rows give
+repeated results and count as one text for ``min_texts``; texts of any length are read whole; terms at a threshold disclose;
+spans may overlap across kinds and are ordered by start, then kind; empty tables give empty results; other input columns are not
+looked at, and stay in ``redact``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.storage import materialize
@@ -31,7 +39,9 @@ _PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried at all.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-_TERM = r"\p{L}{4,}+"
+_HOLDER = r"@|[0-9]"  # what every text with an entity has
+_TERM = r"[\p{L}\p{M}\p{N}]++"
+_SPANS = "array<struct<start:int,k:int,end:int,value:string>>"
 
 
 def _holds(kind: str, match: Column) -> Column:
@@ -49,7 +59,7 @@ def _found(text: Column, kind: str) -> Column:
     """array<struct<start, k, end, value>> of one kind; the pieces between the matches give their places."""
     pattern = F.lit(_PATTERNS[kind])
     pieces, matches = F.split(text, _PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    empty = F.array().cast("array<struct<start:int,k:int,end:int,value:string>>")
+    empty = F.array().cast(_SPANS)
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def add(s: Column, x: Column) -> Column:
@@ -78,70 +88,97 @@ def _written(spans: Column) -> Column:
 
 
 def _base(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, text hash, base spans and distinct entities of every row, without the text."""
+    """doc_id, base spans, distinct entities and, where there are any, text_hash of every row, without the text."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     found = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    return found.select("doc_id", F.xxhash64("text").alias("text_hash"), "spans", F.array_distinct(F.transform("spans", _entity)).alias("entities"))
-
-
-def term_spans(docs: DataFrame, base: DataFrame, id_column: str, text_column: str, alpha: float = 1.25, min_texts: int = 3, min_bits: float = 40.0, most_broadcast: int = 100_000) -> DataFrame:
-    """(doc_id, text_hash, terms): the disclosing terms' spans in texts that hold what they disclose."""
-    total = base.count()
-    holders = base.where("doc_id is not null and size(entities) > 0").select("doc_id", "text_hash", F.explode("entities").alias("entity"))
-    entities = holders.groupBy("entity").agg(F.count("*").alias("n_entity"), F.approx_count_distinct("text_hash", 0.02).alias("texts")).where(F.col("texts") >= min_texts).drop("texts")
-    entities = materialize(entities, "entities")
-    held = materialize(holders.join(entities, "entity").groupBy("doc_id", "text_hash").agg(F.collect_set("entity").alias("entities")), "held")
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    near = texts.join(held, "doc_id").where(F.xxhash64("text") == F.col("text_hash"))
-    near = materialize(near, "holders")
-    terms = near.select("text_hash", "entities", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
-    together = terms.select("text_hash", "term", F.explode("entities").alias("entity")).groupBy("entity", "term")
-    together = together.agg(F.count("*").alias("n_both"), F.approx_count_distinct("text_hash", 0.02).alias("texts")).where(F.col("texts") >= min_texts)
-    together = materialize(together, "together")
-    wanted = materialize(together.select("term").distinct(), "terms")
-    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
+    found = found.withColumn("entities", F.array_distinct(F.transform("spans", _entity)))
+    return found.select("doc_id", "spans", "entities", F.when(F.size("entities") > 0, F.md5("text")).alias("text_hash"))
+
+
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def disclosing(docs: DataFrame, base: DataFrame, text_column: str, alpha: float, min_texts: int, min_bits: float, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, term) of the disclosing terms, and (text_hash, text, n_rows, entities) of the different texts that hold entities."""
+    total = float(base.count())
+    holders = base.where("text_hash is not null").groupBy("text_hash").agg(F.count("*").alias("n_rows"), F.first("entities").alias("entities"))
+    single = materialize(holders.select("text_hash", "n_rows", F.explode("entities").alias("entity")), "holders")
+    entities = single.groupBy("entity").agg(F.sum("n_rows").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts).drop("texts")
+    # Where n_both <= n_entity, the share can only be reached by terms in so many documents at most.
+    reach = F.col("n_entity") * F.pow(F.lit(total) / F.col("n_entity"), F.lit(1 - 1 / alpha)) * (1 + 1e-9)
+    entities = materialize(entities.withColumn("reach", reach), "entities")
+    held = single.join(entities, "entity").groupBy("text_hash").agg(F.first("n_rows").alias("n_rows"), F.collect_list(F.struct("entity", "n_entity", "reach")).alias("entities"), F.max("reach").alias("reach"))
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    texts = docs.select(text.alias("text"))
+    near = texts.where(F.col("text").rlike(_HOLDER)).withColumn("text_hash", F.md5("text")).join(materialize(held, "held"), "text_hash")
+    near = materialize(near.groupBy("text_hash").agg(*(F.first(c).alias(c) for c in ("text", "n_rows", "entities", "reach"))), "near")
+    terms = near.select("text_hash", F.explode(_terms("text")).alias("term"))
+    wanted = materialize(terms.select("term").distinct(), "terms")
+    words = texts.select(F.explode(_terms("text")).alias("term"))
     if wanted.count() <= most_broadcast:
         counted = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     else:  # counted in each task before anything moves
         counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    known = together.join(counted, "term").join(entities, "entity")
-    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    disclosing = known.where((pmi >= content / alpha) & (pmi > 0) & (F.col("texts") * pmi >= min_bits)).select("entity", "term")
-    disclosing = materialize(disclosing, "disclosing")
-    # Places of all terms in the texts concerned: running sums of the lengths of terms and of what stands between them.
+    most = near.agg(F.max("reach").alias("m")).first().m or 0.0
+    counted = materialize(counted.where(F.col("n_term") <= most), "counted")
+    rare = terms.join(counted, "term").join(near.select("text_hash", "n_rows", "entities"), "text_hash")
+    paired = rare.select("term", "n_term", "n_rows", F.explode(F.filter("entities", lambda e: e["reach"] >= F.col("n_term"))).alias("e"))
+    together = paired.groupBy("e.entity", "e.n_entity", "term", "n_term").agg(F.sum("n_rows").alias("n_both"), F.count("*").alias("texts"))
+    together = materialize(together, "together")
+    pairs = together.count()
+    ratio = F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term"))
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    evidence = F.col("texts") * (F.log2(ratio) - (1 - 1 / ratio) / math.log(2))
+    found = together.where((F.col("texts") >= min_texts) & (ratio > 1) & (F.log2(ratio) >= content / alpha) & (evidence >= math.log2(max(pairs, 1)) + min_bits))
+    return materialize(found.select("entity", "term"), "disclosing"), near
+
+
+def term_spans(docs: DataFrame, base: DataFrame, text_column: str, alpha: float = 1.25, min_texts: int = 3, min_bits: float = 7.0, most_broadcast: int = 100_000) -> DataFrame:
+    """(text_hash, terms): the disclosing terms' spans in the different texts that hold what they disclose."""
+    found, near = disclosing(docs, base, text_column, alpha, min_texts, min_bits, most_broadcast)
+    own = near.select("text_hash", F.explode("entities.entity").alias("entity")).join(found, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("wanted"))
+    rows = near.select("text_hash", "text").join(own, "text_hash")
     matches, pieces = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.split("text", _TERM, -1)
-    placed = near.select("doc_id", "text_hash", "entities", F.posexplode(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("word")))).alias("at", "x"))
-    placed = placed.select("doc_id", "text_hash", "entities", "at", F.lower("x.word").alias("term"), F.length("x.word").alias("size"), "x.gap")
-    running = Window.partitionBy("doc_id", "text_hash").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(running).cast("int")).withColumn("start", (F.col("end") - F.col("size")).cast("int"))
-    hits = placed.select("doc_id", "text_hash", "term", "start", "end", F.explode("entities").alias("entity")).join(disclosing, ["entity", "term"], "left_semi")
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end", F.col("term").alias("value"))
-    return hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("terms"))
+
+    # The pieces between the terms give their places, as in base_spans; only what is found is kept.
+    def add(s: Column, x: Column) -> Column:
+        begin = s["at"] + F.length(x["p"])
+        end = begin + F.length(x["m"])
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index("term")).alias("k"), end.alias("end"), F.lower(x["m"]).alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains("wanted", F.lower(x["m"])), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+    zipped = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    return rows.select("text_hash", F.aggregate(zipped, start, add)["out"].alias("terms"))
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, counts of base spans, ``base_spans`` and ``all_spans`` (arrays of start, k, end, value) of every row."""
     base = materialize(_base(docs, id_column, text_column), "base_spans")
-    terms = materialize(term_spans(docs, base, id_column, text_column), "term_spans")
-    both = base.join(terms, ["doc_id", "text_hash"], "left")
+    terms = materialize(term_spans(docs, base, text_column), "term_spans")
+    # Texts without entities have no terms and take no part in the join.
+    some = base.where("text_hash is not null").join(terms, "text_hash", "left")
     # A term within a base span is covered already.
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    spans = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", apart)))
+    every = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", apart)))
+    both = some.select("doc_id", "spans", every.alias("every")).union(base.where("text_hash is null").select("doc_id", "spans", F.col("spans").alias("every")))
+
     def number(k: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
 
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return both.select("doc_id", "text_hash", *counts, F.col("spans").alias("base_spans"), spans.alias("all_spans"))
+    return both.select("doc_id", *counts, F.col("spans").alias("base_spans"), F.col("every").alias("all_spans"))
 
 
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every span replaced by the name of its kind, as ``<EMAIL>``; overlapping spans become one."""
     base = materialize(_base(docs, id_column, text_column), "base_spans")
-    terms = materialize(term_spans(docs, base, id_column, text_column), "term_spans").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "terms": "_terms"})
+    terms = materialize(term_spans(docs, base, text_column), "term_spans").withColumnsRenamed({"text_hash": "_hash", "terms": "_terms"})
     text = F.coalesce(F.col(text_column), F.lit(""))
-    joined = docs.join(terms, (docs[id_column] == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    spans = joined.withColumn("_spans", F.array_sort(F.concat(base_spans(text), F.coalesce("_terms", F.array().cast("array<struct<start:int,k:int,end:int,value:string>>")))))
+    maybe = text.rlike(_HOLDER)
+    joined = docs.where(maybe).join(terms, F.md5(text) == F.col("_hash"), "left")
+    spans = joined.withColumn("_spans", F.array_sort(F.concat(base_spans(text), F.coalesce("_terms", F.array().cast(_SPANS)))))
     empty = F.array().cast("array<struct<start:int,k:int,end:int>>")
 
     def merge(out: Column, s: Column) -> Column:
@@ -157,7 +194,7 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1)["end"])
     piece = lambda i: F.concat(F.substring(F.col(text_column), before(i) + 1, F.when(i == n, F.length(text_column)).otherwise(F.get("_cuts", i)["start"]) - before(i)), F.when(i == n, F.lit("")).otherwise(F.get(names, F.get("_cuts", i)["k"])))
     clean = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")).otherwise(F.col(text_column))
-    return spans.select(*(clean.alias(c) if c == text_column else F.col(c) for c in docs.columns))
+    return spans.select(*(clean.alias(c) if c == text_column else F.col(c) for c in docs.columns)).union(docs.where(~maybe))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

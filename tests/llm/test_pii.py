@@ -1,10 +1,13 @@
 """Personal data: base spans against Python's re; disclosing terms in a made corpus; redaction."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
+import regex
 
 from common import odd_documents
 from tessera.llm.pii import find, query, redact
@@ -86,7 +89,7 @@ def test_disclosing_terms(spark):
         terms = {by[r.doc_id][s.start : s.end].lower() for s in r.all_spans if s.k == 4}
         if r.doc_id % 20 == 0:
             # Every text with this word has one of three addresses, each has it always: five texts, log2(20) bits each and more.
-            assert "zebrafarm" not in terms or terms <= {"zebrafarm", "write", "about", "number"}
+            assert "zebrafarm" not in terms or terms <= {"zebrafarm", "write", "to", "about", "number"}
         else:
             assert not terms and not r.base_spans
 
@@ -97,10 +100,10 @@ def test_terms_that_give_one_entity_away(spark):
     by = dict(rows)
     for r in find(docs).collect():
         terms = {by[r.doc_id][s.start : s.end].lower() for s in r.all_spans if s.k == 4}
-        assert terms == ({"zebrafarm", "write", "about", "number"} if r.doc_id % 20 == 0 else set())
+        assert terms == ({"zebrafarm", "write", "to", "about", "number"} if r.doc_id % 20 == 0 else set())
     clean = {r.doc_id: r.text for r in redact(docs).collect()}
     for d, t in rows:
-        assert clean[d] == (re.sub("zebrafarm|write|about|number", "<TERM>", t.replace("ann.example0@mail.org", "<EMAIL>"), flags=re.I) if d % 20 == 0 else t)
+        assert clean[d] == (re.sub(r"\b(zebrafarm|write|to|about|number)\b", "<TERM>", t.replace("ann.example0@mail.org", "<EMAIL>"), flags=re.I) if d % 20 == 0 else t)
 
 
 def test_redaction_of_overlaps(spark):
@@ -115,3 +118,74 @@ def test_odd_tables(spark):
     got = redact(odd)
     assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
     assert redact(odd_documents(spark, empty=True)).count() == 0
+
+
+def terms_by_hand(rows, alpha=1.25, min_texts=3, min_bits=7.0):
+    """Spans of disclosing terms of every text, from the definitions."""
+    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t)]
+    known, entity, both, term, texts = {}, Counter(), Counter(), Counter(), defaultdict(set)
+    for t in rows:
+        if t not in known:
+            own = {x for x in brute_force(t).split(",") if x}
+            values = {(x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in own}
+            plain = {(k, v.lower() if k in ("email", "ip") else re.sub("[^0-9]", "", v)) for k, v in values}
+            known[t] = plain, [(int(x.split(":")[1]), int(x.split(":")[2])) for x in own]
+        own = {w for *_, w in words(t)}
+        term.update(own)
+        entity.update(known[t][0])
+        for e in known[t][0]:
+            texts[e].add(t)
+    strong = {e for e in entity if len(texts[e]) >= min_texts}
+    reach = {e: entity[e] * (len(rows) / entity[e]) ** (1 - 1 / alpha) * (1 + 1e-9) for e in strong}
+    pairs = defaultdict(set)
+    for t in rows:
+        for e in known[t][0] & strong:
+            for w in {w for *_, w in words(t)}:
+                if term[w] <= reach[e]:
+                    both[e, w] += 1
+                    pairs[e, w].add(t)
+    found = set()
+    for (e, w), n in both.items():
+        ratio = n * len(rows) / (entity[e] * term[w])
+        bits = len(pairs[e, w]) * (math.log2(ratio) - (1 - 1 / ratio) / math.log(2)) if ratio > 1 else 0
+        if len(pairs[e, w]) >= min_texts and ratio > 1 and math.log2(ratio) >= math.log2(len(rows) / entity[e]) / alpha and bits >= math.log2(len(both)) + min_bits:
+            found.add((e, w))
+    return {t: [(s, e) for s, e, w in words(t) if any((x, w) in found for x in known[t][0])] for t in known}, {t: known[t][1] for t in known}
+
+
+def test_terms_by_hand_on_repeated_rows(spark):
+    """Every row twice, two texts under one id, rows without id, short names, names with digits, names in other scripts."""
+    rng = random.Random(4)
+    rows = [(d if d % 7 else None, t) for d, t in corpus()]
+    for d, (mail, name) in enumerate([("kim@a.org", "Kim"), ("wu@b.org", "吳明"), ("c@c.org", "plate AB12")] * 4):
+        rows.append((d, f"{rng.choice(['so', 'then', 'now'])} {name} {rng.randrange(10**6)} wrote from {mail} on day {d}"))
+    rows = rows + rows
+    texts = [t for _, t in rows]
+    terms, base = terms_by_hand(texts)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in redact(docs).collect())
+    want, named = Counter(), set()
+    for d, t in rows:
+        cuts = []
+        for s, _, e, name in sorted([(s, 4, e, "<TERM>") for s, e in terms[t]] + [(s, 0, e, "<EMAIL>") for s, e in base[t]]):
+            if cuts and s < cuts[-1][1]:
+                cuts[-1] = cuts[-1][0], max(e, cuts[-1][1]), cuts[-1][2]
+            else:
+                cuts.append((s, e, name))
+        named |= {t[s:e].lower() for s, e in terms[t]}
+        out, at = "", 0
+        for s, e, name in cuts:
+            out, at = out + t[at:s] + name, e
+        want[d, out + t[at:]] += 1
+    assert got == want and {"kim", "吳明", "ab12"} <= named
+    spans = find(docs).collect()
+    assert len(spans) == len(rows)
+    for r in spans:
+        assert sum(s.k == 4 for s in r.all_spans) in {len([1 for s, e in terms[t] if not any(s < f and b < e for b, f in base[t])]) for d, t in rows if d == r.doc_id}
+
+
+def test_hot_repeated_text(spark):
+    rows = [(d, "write to ann@mail.org about Zebrafarm") for d in range(500)] + [(600 + d, f"other text {d}") for d in range(500)]
+    got = redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # One text, however often it comes, is no evidence of what discloses what.
+    assert len(got) == 1000 and {r.text for r in got if r.doc_id < 600} == {"write to <EMAIL> about Zebrafarm"}
