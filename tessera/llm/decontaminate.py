@@ -9,9 +9,13 @@ some stretch of ``min_tokens`` aligned tokens or more (the whole item where it i
 positions; substitutions at its rim count for its length, but not for the place that is reported. Items of fewer than six
 tokens are too short to be evidence and match nothing.
 
-Defined cases: null and empty texts have no tokens and match nothing; rows without an id cannot be named and are left out; repeated documents each
-match by themselves; of equally good alignments the earliest is reported; empty tables give an empty result. Other columns of
-the inputs are not looked at, whatever their names.
+A seed that comes often, as in a text of one repeated word, is one row with all of its places: the diagonals of a stretch and an
+item are worked out where the two are compared, and each of them is compared once.
+
+Defined cases: null and empty texts have no tokens and match nothing; texts of any length are read whole; rows without an id
+cannot be named and are left out; repeated documents and items, and several texts of one id, each match by themselves, and the
+best overlap of an id and an item is reported; of equally good alignments the one with the fewest tokens, then the earliest;
+empty tables give an empty result. Other columns of the inputs are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from tessera.llm.filters import bit_table
 from tessera.llm.storage import materialize
 
 #: Token positions that each mask looks at. However one substitution in five words lies in a stretch of 12 tokens or more, or
-#: in a shorter item, some mask fits between: stretches from 24 tokens on have a half in which no more is substituted.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 2, 3, 4, 5), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5), (0, 1, 2, 3, 6))
+#: in a shorter item, some mask fits between: stretches from 24 tokens on have a half in which no more is substituted. In items
+#: of under 12 tokens a substitution can leave no room for five positions and a gap, so these have a mask of four besides.
+MASKS = ((0, 1, 2, 4, 5), (0, 2, 3, 4, 5), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5), (0, 1, 2, 3, 6))
+SHORT_MASKS = ((0, 1, 2, 4),)
+SHORT = 12  # tokens from which on an item needs none of those
 SHORTEST = 6  # tokens of an item
 _CONTEXT = 64  # tokens kept on either side of a hit for the comparison
 
@@ -41,13 +48,22 @@ def _tokens(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, ...]:
 
 
 def _seeds(hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(MASKS + SHORT_MASKS):
         found, at = T.window_hashes(hashes, doc, list(mask))
         yield T.mix(found ^ T.U64(k + 1)), at
 
 
+def _by_seed(owner: np.ndarray, seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Owners and seeds, each pair once, with the list of its places."""
+    order = np.lexsort((at, seeds, owner))
+    owner, seeds, at = owner[order], seeds[order], at[order]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (seeds[1:] != seeds[:-1]))) if len(at) else np.zeros(0, np.int64)
+    return owner[first], seeds[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
+
+
 def _items(bench: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(item_id, tokens) of every item that has tokens."""
+    """(item, tokens) of every item that has an id and enough tokens; ``item`` is its id and the hash of its text."""
+    rows = bench.where(F.col(id_column).isNotNull()).select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h")).alias("item"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -55,14 +71,13 @@ def _items(bench: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 *_, doc, hashes = _tokens(batch, "text")
                 cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 tokens = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("item_id"), tokens], ["item_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("item"), tokens], ["item", "tokens"])
 
-    kind = bench.schema[id_column].dataType.simpleString()
-    return bench.select(F.col(id_column).alias("item_id"), F.col(text_column).alias("text")).mapInArrow(run, f"item_id {kind}, tokens array<long>")
+    return rows.mapInArrow(run, f"item {rows.schema['item'].dataType.simpleString()}, tokens array<long>").where(F.size("tokens") >= SHORTEST)
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, item_at): one row for each mask and window of an item."""
+    """(seed, item, item_at): one row for each seed of an item, with all of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,17 +86,20 @@ def _item_seeds(items: DataFrame) -> DataFrame:
             hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             doc = np.repeat(np.arange(batch.num_rows), lengths)
             first = np.cumsum(lengths) - lengths
-            for seeds, at in _seeds(hashes, doc):
-                own = doc[at]
-                ids = batch.column("item_id").take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), ids, pa.array(at - first[own], pa.int32())], ["seed", "item_id", "item_at"])
+            for k, (seeds, at) in enumerate(_seeds(hashes, doc)):
+                if k >= len(MASKS):
+                    short = lengths[doc[at]] < SHORT
+                    seeds, at = seeds[short], at[short]
+                own, seeds, places = _by_seed(doc[at], seeds, at - first[doc[at]])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), batch.column("item").take(pa.array(own)), places], ["seed", "item", "item_at"])
 
-    kind = items.schema["item_id"].dataType.simpleString()
-    return items.mapInArrow(run, f"seed long, item_id {kind}, item_at int")
+    return items.mapInArrow(run, f"seed long, item {items.schema['item'].dataType.simpleString()}, item_at array<int>")
 
 
-def _segments(docs: DataFrame, table, id_kind: str) -> DataFrame:
-    """Stretches of documents around positions whose seed may be one of the benchmark's, with the tokens and those seeds."""
+def _segments(docs: DataFrame, table, kind: str) -> DataFrame:
+    """Stretches of documents around positions whose seed may be one of the benchmark's, with the tokens, and those seeds with
+    their places."""
+    names = ["doc", "segment", "tokens", "starts", "ends", "seeds", "ats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -98,33 +116,29 @@ def _segments(docs: DataFrame, table, id_kind: str) -> DataFrame:
                 order = np.argsort(at, kind="stable")
                 at, seeds = at[order], seeds[order]
                 cuts = np.flatnonzero(np.append(True, (np.diff(at) > _CONTEXT) | (doc[at[1:]] != doc[at[:-1]])))
-                low_of = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                last = np.append(cuts[1:], len(at)) - 1
+                own = doc[at[cuts]]
+                low = np.maximum(np.searchsorted(doc, own), at[cuts] - _CONTEXT)
+                high = np.minimum(np.searchsorted(doc, own, side="right"), at[last] + _CONTEXT)
                 points = T.code_points(data)
-                rows = {n: [] for n in ("doc_id", "segment", "tokens", "starts", "ends", "at", "seeds")}
-                ids = batch.column("doc_id")
-                for c, e in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
-                    d = doc[at[c]]
-                    low, high = max(low_of[d], at[c] - _CONTEXT), min(low_of[d + 1], at[e - 1] + _CONTEXT)
-                    base = points[offsets[d]]
-                    rows["doc_id"].append(ids[int(d)])
-                    rows["segment"].append(int(low - low_of[d]))
-                    rows["tokens"].append(hashes[low:high].view(np.int64))
-                    rows["starts"].append(points[starts[low:high]] - base)
-                    rows["ends"].append(points[ends[low:high]] - base)
-                    rows["at"].append((at[c:e] - low).astype(np.int32))
-                    rows["seeds"].append(seeds[c:e].view(np.int64))
+                take = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+                base = np.repeat(points[offsets[own]], high - low)
+                lists = pa.array(np.append(0, np.cumsum(high - low)), pa.int32())
+                segment = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(at))))
+                of, seeds, places = _by_seed(segment, seeds, at - low[segment])
+                per = pa.array(np.searchsorted(of, np.arange(len(cuts) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x.as_py() for x in rows["doc_id"]], ids.type),
-                        pa.array(rows["segment"], pa.int64()),
-                        *(pa.array(rows[n], pa.list_(pa.int64())) for n in ("tokens", "starts", "ends")),
-                        pa.array(rows["at"], pa.list_(pa.int32())),
-                        pa.array(rows["seeds"], pa.list_(pa.int64())),
+                        batch.column("doc").take(pa.array(own)),
+                        pa.array(low - np.searchsorted(doc, own), pa.int64()),
+                        *(pa.ListArray.from_arrays(lists, pa.array(v)) for v in (hashes[take].view(np.int64), points[starts[take]] - base, points[ends[take]] - base)),
+                        pa.ListArray.from_arrays(per, pa.array(seeds.view(np.int64))),
+                        pa.ListArray.from_arrays(per, places),
                     ],
-                    list(rows),
+                    names,
                 )
 
-    return docs.mapInArrow(run, f"doc_id {id_kind}, segment long, tokens array<long>, starts array<long>, ends array<long>, at array<int>, seeds array<long>")
+    return docs.mapInArrow(run, f"doc {kind}, segment long, tokens array<long>, starts array<long>, ends array<long>, seeds array<long>, ats array<array<int>>")
 
 
 def best_stretch(same: np.ndarray, identity: float, least: int = 0) -> tuple[int, int]:
@@ -145,53 +159,69 @@ def best_stretch(same: np.ndarray, identity: float, least: int = 0) -> tuple[int
     return start, int(ends[start])
 
 
-def _compare(pairs: DataFrame, min_tokens: int, identity: float, doc_kind: str, item_kind: str) -> DataFrame:
-    names = ("doc_id", "item_id", "start", "end", "n_aligned", "n_same", "item_tokens")
+def best_overlap(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, min_tokens: int, identity: float) -> tuple[int, int, int] | None:
+    """Start and end in ``a`` and agreeing tokens of the best overlap with ``b`` on one of the diagonals (places in ``a`` of b's
+    first token, in ascending order): of most agreeing tokens, then of fewest tokens, then the earliest."""
+    best = None
+    least = min(min_tokens, len(b))
+    for shift in diagonals.tolist():
+        low, high = max(0, shift), min(len(a), shift + len(b))
+        same = a[low:high] == b[low - shift : high - shift]
+        s, e = best_stretch(same, identity, least)
+        if e - s < least:
+            continue
+        # Substitutions at the rim are left out of the place.
+        hit = np.flatnonzero(same[s:e])
+        if len(hit):
+            s, e = s + int(hit[0]), s + int(hit[-1]) + 1
+            if best is None or (len(hit), best[1] - best[0]) > (best[2], e - s):
+                best = low + s, low + e, len(hit)
+            if len(hit) == len(b):  # no later diagonal is better
+                break
+    return best
+
+
+def _compare(pairs: DataFrame, min_tokens: int, identity: float) -> DataFrame:
+    """(doc, item, start, end, n_aligned, n_same, item_tokens) of the pairs of a stretch and an item that match."""
+    names = ["doc", "item", "start", "end", "n_aligned", "n_same", "item_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, out = [], []
-            columns = {c: batch.column(c) for c in ("tokens", "starts", "ends", "item", "diagonal")}
+            column = {c: batch.column(c) for c in ("tokens", "starts", "ends", "item_tokens", "met")}
             for k in range(batch.num_rows):
-                a = columns["tokens"][k].values.to_numpy()
-                b = columns["item"][k].values.to_numpy()
-                shift = columns["diagonal"][k].as_py()  # place in the segment of the item's first token
-                low, high = max(0, shift), min(len(a), shift + len(b))
-                same = a[low:high] == b[low - shift : high - shift]
-                least = min(min_tokens, len(b))
-                s, e = best_stretch(same, identity, least)
-                long_enough = e - s >= least
-                # Substitutions at the rim are left out of the place.
-                while e > s and not same[e - 1]:
-                    e -= 1
-                while s < e and not same[s]:
-                    s += 1
-                if long_enough and e > s and len(b) >= SHORTEST:
+                a, b = (column[c][k].values.to_numpy() for c in ("tokens", "item_tokens"))
+                met = column["met"][k].values
+                met = zip(*(met.field(c) for c in ("at", "item_at")), strict=True)
+                shifts = [np.unique(x.values.to_numpy()[:, None] - y.values.to_numpy()[None, :]) for x, y in met]
+                found = best_overlap(a, b, np.unique(np.concatenate(shifts)), min_tokens, identity)
+                if found is not None:
+                    s, e, same = found
                     keep.append(k)
-                    out.append((columns["starts"][k].values[low + s].as_py(), columns["ends"][k].values[low + e - 1].as_py(), e - s, int(same[s:e].sum()), len(b)))
+                    out.append((column["starts"][k].values[s].as_py(), column["ends"][k].values[e - 1].as_py(), e - s, same, len(b)))
             if keep:
-                ids = [batch.column(c).take(pa.array(keep)) for c in ("doc_id", "item_id")]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], list(names))
+                ids = [batch.column(c).take(pa.array(keep)) for c in ("doc", "item")]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names)
 
-    return pairs.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, start long, end long, n_aligned long, n_same long, item_tokens long")
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("doc", "item")}
+    return pairs.mapInArrow(run, f"doc {kinds['doc']}, item {kinds['item']}, start long, end long, n_aligned long, n_same long, item_tokens long")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, min_tokens: int = 12, min_identity: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", text_column: str = "text", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it: doc_id, item_id, the longest overlap's start and end (code
     points, end exclusive), its aligned and agreeing tokens, and the item's tokens."""
-    doc_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), bench.schema[item_id].dataType.simpleString()
-    items = materialize(_items(bench, item_id, text_column=item_text), "items")
+    items = materialize(_items(bench, item_id, item_text), "items")
     seeds = materialize(_item_seeds(items), "item_seeds")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(seeds, "seed"))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_column).alias("text"))
-    segments = materialize(_segments(texts, table, doc_kind), "segments")
-    hits = segments.select("doc_id", "segment", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("doc_id", "segment", F.col("h.at").alias("at"), F.col("h.seeds").alias("seed"))
-    # Many seeds of one passage give the same diagonal, which is compared once.
-    lines = hits.join(seeds, "seed").select("doc_id", "segment", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = lines.join(segments.select("doc_id", "segment", "tokens", "starts", "ends"), ["doc_id", "segment"]).join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
-    found = _compare(pairs, min_tokens, min_identity, doc_kind, item_kind)
-    best = F.struct(F.col("n_same"), (-F.col("n_aligned")).alias("a"), (-F.col("start")).alias("s"), F.col("end"), F.col("item_tokens"))
-    return found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), (-F.col("b.a")).alias("n_aligned"), F.col("b.n_same").alias("n_same"), F.col("b.item_tokens").alias("item_tokens"))
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.col(text_column).alias("text"))
+    segments = materialize(_segments(texts, table, texts.schema["doc"].dataType.simpleString()), "segments")
+    hits = segments.select("doc", "segment", F.explode(F.arrays_zip("seeds", "ats")).alias("h")).select("doc", "segment", F.col("h.seeds").alias("seed"), F.col("h.ats").alias("at"))
+    met = hits.join(seeds, "seed").groupBy("doc", "segment", "item").agg(F.collect_list(F.struct("at", "item_at")).alias("met"))
+    pairs = met.join(items.withColumnRenamed("tokens", "item_tokens"), "item").join(segments.select("doc", "segment", "tokens", "starts", "ends"), ["doc", "segment"])
+    found = _compare(pairs, min_tokens, min_identity)
+    best = F.struct("n_same", (-F.col("n_aligned")).alias("a"), (-F.col("start")).alias("s"), "end", "item_tokens")
+    found = found.groupBy(F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id")).agg(F.max(best).alias("b"))
+    return found.select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), (-F.col("b.a")).alias("n_aligned"), F.col("b.n_same").alias("n_same"), F.col("b.item_tokens").alias("item_tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

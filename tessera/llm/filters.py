@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LEAST_BITS, _MOST_BITS = 20, 24  # 128 kB to 2 MB
+_LEAST_BITS, _MOST_BITS = 20, 28  # 128 kB to 32 MB
 
 
 class BitTable:
-    """Tells whether a hash may be among those it was built from; it never denies one that is. Beyond some million hashes
-    it lets more through, which the join that follows drops."""
+    """Tells whether a hash may be among those it was built from; it never denies one that is. Beyond some ten million
+    hashes it lets more through, which the join that follows drops."""
 
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
@@ -26,11 +26,11 @@ class BitTable:
 
 
 def bit_table(hashes: DataFrame, column: str) -> BitTable:
-    """Built by Spark; at most half a million words of 32 bits reach the driver."""
+    """Built by Spark; at most 8 million words of 32 bits reach the driver, for 256 bits a hash."""
     bits = min(_MOST_BITS, max(_LEAST_BITS, (256 * max(hashes.count(), 1)).bit_length()))
     h: Column = F.col(column)
     places = F.array(F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(h, 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1)))
-    found = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("b")).toPandas()
+    found = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("b")).toArrow()
     words = np.zeros(1 << bits - 5, np.uint32)
-    words[found.w.to_numpy(np.int64)] = found.b.to_numpy(np.int64).astype(np.uint32)
+    words[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
     return BitTable(words, bits)

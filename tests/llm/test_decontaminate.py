@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from common import SF, odd_documents
-from tessera.llm.decontaminate import MASKS, SHORTEST, best_stretch, decontaminate
+from tessera.llm.decontaminate import MASKS, SHORT, SHORT_MASKS, SHORTEST, best_stretch, decontaminate
 
 words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -83,7 +83,7 @@ def test_odd_tables(spark):
 def test_masks_fit_every_pattern():
     """All places of one substitution in five tokens; of 24 tokens or more, one of two halves has such a pattern."""
     for n in range(SHORTEST, 24):
-        seen = [sum(1 << (at + k) for k in m) for m in MASKS for at in range(n - m[-1])]
+        seen = [sum(1 << (at + k) for k in m) for m in (MASKS + SHORT_MASKS if n < SHORT else MASKS) for at in range(n - m[-1])]
         for bad in itertools.combinations(range(n), n // 5):
             hidden = sum(1 << k for k in bad)
             assert any(not hidden & m for m in seen), (n, bad)
@@ -105,3 +105,21 @@ def test_every_place_of_substitutions(spark):
     want.add((1, 1, 10))
     got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.n_same) for r in got} == want
+
+
+def test_masks_are_spaced():
+    assert all(len(m) <= m[-1] for m in MASKS + SHORT_MASKS)
+
+
+def test_texts_of_one_word(spark):
+    bench = spark.createDataFrame([(1, "again " * 20), (2, "again " * 11 + "never"), (3, "quite another item of more than twelve words that stands in none of them")], "item_id long, text string")
+    rows = [(1, "again " * 20_000), (2, "Some words first. " + "again " * 15), (3, "never " * 20_000), (2, "the same id with another text")]
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.n_same) for r in got} == {(1, 1, 0, 20), (1, 2, 0, 11), (2, 1, 18, 15), (2, 2, 18, 11)}
+
+
+def test_repeated_ids_and_items(spark):
+    passage = "a passage of fourteen words which is long enough to be found in any text"
+    bench = spark.createDataFrame([(7, passage), (7, "twelve quite different tokens under one item id and still it must be found"), (7, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "nothing here"), (1, f"x {passage}"), (1, f"x {passage}"), (2, "y y twelve quite different tokens under one item id and still it must be found")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.start) for r in decontaminate(docs, bench).collect()} == {(1, 7, 2), (2, 7, 4)} and decontaminate(docs, bench).count() == 2
