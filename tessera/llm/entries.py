@@ -41,6 +41,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import warc
+    from tessera.llm import substring_dedup, warc
 
-    return {"op5_warc": warc.ORACLE_SQL}
+    return {"op5_warc": warc.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL}

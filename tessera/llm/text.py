@@ -133,6 +133,13 @@ def window_hashes(hashes: np.ndarray, doc: np.ndarray, keep: list[int]) -> tuple
     return mix(total[at]), at
 
 
+def sequence_hashes(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of sequences of ``n`` words from each ``first`` on, whose order counts."""
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    each = mix(hashes[place + np.repeat(first, n)] + mix(place.astype(U64) + U64(1)))
+    return mix(np.add.reduceat(each, np.cumsum(n) - n) + n.astype(U64)) if len(n) else np.zeros(0, U64)
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """Code points before each byte position, and after the last."""
     out = np.zeros(len(data) + 1, np.int64)

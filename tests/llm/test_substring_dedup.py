@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
+
 from common import odd_documents
-from tessera.llm.substring_dedup import find_repeats, remove_spans
+from tessera.llm.substring_dedup import ORACLE_SQL, find_repeats, query, remove_spans
 
 VOCABULARY = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in "aeiou" for c in ("n", "r", "ll", "th")]
 
@@ -96,3 +98,50 @@ def test_every_repeat_from_min_words_on(spark):
         assert n == r.n_words
         got |= {(r.doc_id, k) for k in range(before, before + n)}
     assert got == brute_force(texts) and (52, 25) not in got and (52, 24) in got
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.sql(ORACLE_SQL).select('doc_id, "start", "end", n_words').fetchall())
+    assert want and sorted(map(tuple, query(spark, sf).collect())) == want
+
+
+def test_short_lines_and_paragraphs(spark):
+    """Lines of ten words and paragraphs of short lines: the first stays, all others go, and every line still stands somewhere."""
+    rng = random.Random(9)
+    line, block = prose(rng, 10), "\n".join(prose(rng, 6) for _ in range(4))
+    texts = {d: f"{prose(rng, 12)}\n\n  {line.upper() if d % 2 else line}\n\n{block}\n\n{prose(rng, 9)}" for d in range(30)}
+    texts[40], texts[41] = f"{line}. / B.", f"{prose(rng, 30)}\nonly here once\n{prose(rng, 30)}"
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    spans = find_repeats(docs, line_words=8)
+    rows = spans.collect()
+    assert {r.doc_id for r in rows} == set(range(1, 30))
+    for r in rows:
+        assert (r.kept_doc_id, r.n_words) in {(0, 10), (0, 24), (0, 34)} and r.end <= len(texts[r.doc_id])
+    cleaned = {r.doc_id: r.text for r in remove_spans(docs, spans).collect()}
+    plain = lambda t: {" ".join(x.lower().split()) for x in t.split("\n") if x.strip()}
+    assert set().union(*map(plain, texts.values())) == set().union(*map(plain, cleaned.values()))
+    assert all(len(cleaned[d].split()) == 21 for d in range(1, 30)) and cleaned[40] == texts[40] and cleaned[41] == texts[41]
+    # Without short lines only the paragraphs go.
+    assert {r.n_words for r in find_repeats(docs).collect()} == {34}
+
+
+def test_bridges_and_kept_copies(spark):
+    """What stands once stays, and so does one copy of everything that goes."""
+    rng = random.Random(6)
+    a, b, x, u = (prose(rng, 25) for _ in range(4))
+    texts = {0: f"{a}\n{x}\n{b}", 1: f"{a}\n{u}\n{b}", 2: f"{prose(rng, 5)}\n{u}\n{prose(rng, 5)}", 3: f"{a}\nonly here once\n{b}"}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    cleaned = {r.doc_id: r.text.split("\n") for r in remove_spans(docs, find_repeats(docs)).collect()}
+    assert cleaned[0] == texts[0].split("\n") and cleaned[1] == ["", u, ""] and u not in cleaned[2] and cleaned[3] == ["", "only here once", ""]
+
+
+def test_two_texts_of_one_id(spark):
+    rng = random.Random(2)
+    p = prose(rng, 60)
+    rows = [(1, f"{prose(rng, 8)} {p}"), (1, f"{prose(rng, 12)} {p} {prose(rng, 3)}"), (1, f"{prose(rng, 4)}"), (2, p), (2, p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(r.text.count(p) for r in remove_spans(docs, find_repeats(docs)).collect())
+    assert left == [0, 0, 0, 0, 1]
