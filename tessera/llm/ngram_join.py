@@ -3,20 +3,27 @@
 A text is the set of its five-word shingles (words are runs without white space, case of A-Z doesn't count; a text of one to
 four words is a single shingle). Two texts are linked if the Jaccard similarity of their sets is ``threshold`` or more.
 
-1. Texts with equal sets form a class, represented by its smallest id; the rest works on representatives only.
-2. Each of ``trees`` prefix tries holds the representatives' signatures. Every trie is matched at one prefix length, found by
-   shortening the longest prefix until a pair exactly at the threshold is met in some trie with probability ``recall``;
-   more similar pairs are met more surely. Grouping by the prefix is the distributed form of walking the sorted trie.
-3. Representatives that share prefixes, directly or through others, form a cluster. All pairs within a cluster are compared
-   exactly, on their full shingle sets. A large cluster is cut into blocks whose number follows its size, and every pair of
-   blocks is a task of bounded size, in which intersections are counted by products of incidence matrices. No pairs are
-   emitted: a block pair gives each member's number of links and the edges of a spanning forest of its links.
-
-Links between different texts are thus all counted, groups are exact components of the found links, and rows stay
-proportional to members times blocks.
-
-Defined cases: null, empty and blank texts have no shingles and link to nothing, each is its own class; rows without an id are
-left out (and kept by ``keep_one``); repeated rows of one id count once per row and stay or go together; empty tables give an empty result; other columns are not looked at.
+1. Texts with equal sets form a class; the rest works on one set of each class.
+2. Each of ``trees`` prefix tries holds the classes' signatures of ``longest`` MinHash values. Classes that are alone under even
+   the shortest prefix of each of their signatures meet nobody and go no further.
+3. The tries are matched from the longest prefix up. The pairs that share a prefix are verified on their full shingle sets, and
+   from the links found each class's recall is estimated: a link of similarity s is met at length k with probability
+   ``1 - (1 - s^k)^trees``, so it stands for the inverse of that many. Prefixes are shortened for those classes only that have
+   no link yet or whose estimated recall is below ``enough``; at the shortest length a pair just at the threshold is met with
+   probability ``recall``. A pair is verified in the round in which it first meets, once.
+4. For verification classes are put into blocks of bounded size by the largest node of a trie that they are in, and only blocks
+   that have classes under a common node are brought together. Of two such blocks only those pairs are looked at that met;
+   intersections are counted by products of incidence matrices. No pairs are emitted: a pair of blocks gives each class's
+   number of links and the edges of a spanning forest of its links.
+
+Links between different texts are thus counted as surely as the recall asks, groups are exact components of the found links, and
+rows stay proportional to members times blocks.
+
+Defined cases: null, empty and blank texts have no shingles and link to nothing, each is its own class; texts of any length are
+read whole; rows without an id are left out (and kept by ``keep_one``); repeated rows of one id and text count once per row and
+stay or go together; several texts of one id are texts of their own; of texts that tie for a group's place the one with the
+smallest id stays, and of one id's that with the smallest hash; empty tables give an empty result; other columns are not looked
+at.
 """
 
 from __future__ import annotations
@@ -38,6 +45,12 @@ _BLOCK_DOCS, _BLOCK_SHINGLES = 512, 400_000
 _COLUMNS = 2048
 
 
+def prefix_lengths(trees: int, recall: float, threshold: float, longest: int = 8) -> list[int]:
+    """The lengths at which tries are matched, from the longest to the one that suffices for any pair."""
+    last = prefix_length(trees, recall, threshold, longest)
+    return [*range(longest, last, -2), last]
+
+
 def prefix_length(trees: int, recall: float, threshold: float, longest: int = 8) -> int:
     """The longest prefix at which a pair at ``threshold`` is met in one of ``trees`` with probability ``recall``."""
     length = longest
@@ -67,29 +80,42 @@ def shingle_sets(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.nda
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum([0, *map(len, sets)])
 
 
-def signature_keys(shingles: np.ndarray, offsets: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """Prefix keys (sets x trees) of the sets between ``offsets``, which must not be empty."""
-    n = len(offsets) - 1
-    keys = np.zeros((n, trees), np.uint64)
+def signature_keys(shingles: np.ndarray, offsets: np.ndarray, trees: int, lengths: list[int]) -> np.ndarray:
+    """Keys (sets x lengths x trees) of the prefixes of the signatures of the sets between ``offsets``, which must not be empty."""
+    n, longest = len(offsets) - 1, max(lengths)
+    keys = np.zeros((n, len(lengths), trees), np.uint64)
     draw = np.random.default_rng(20_240_501)
-    factor = draw.integers(1, 1 << 63, trees * length, dtype=np.uint64) * T.U64(2) + T.U64(1)
+    factor = draw.integers(1, 1 << 63, (trees, longest), dtype=np.uint64) * T.U64(2) + T.U64(1)
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 16_384, side="right")) - 1)
         own = shingles[offsets[at] : offsets[to]]
         begins = offsets[at:to] - offsets[at]
         product = np.empty_like(own)
-        for k, a in enumerate(factor):
-            np.multiply(own, a, out=product)
-            least = np.minimum.reduceat(product, begins)
-            tree = k // length
-            keys[at:to, tree] = T.mix(keys[at:to, tree] + least + T.U64(tree + 1))
+        for tree in range(trees):
+            key = np.full(to - at, tree + 1, np.uint64)
+            for k in range(longest):
+                np.multiply(own, factor[tree, k], out=product)
+                key = T.mix(key + np.minimum.reduceat(product, begins))
+                if k + 1 in lengths:
+                    keys[at:to, lengths.index(k + 1), tree] = key
         at = to
     return keys
 
 
-def _classes(docs: DataFrame, kind: str, trees: int, length: int) -> DataFrame:
-    """(doc_id, digest, n_shingles, keys) of every text; without words the digest is null."""
+def _digests(shingles: np.ndarray, offsets: np.ndarray) -> list[str | None]:
+    """128 bits of every set, null for an empty one."""
+    has = np.flatnonzero(np.diff(offsets))
+    digest = np.zeros((len(offsets) - 1, 2), np.uint64)
+    for k in range(2):
+        if len(has):
+            digest[has, k] = T.mix(np.add.reduceat(T.mix(shingles + T.U64(k * 77)), offsets[has]))
+    return [f"{a:016x}{b:016x}" if n else None for a, b, n in zip(*digest.T.tolist(), np.diff(offsets).tolist(), strict=True)]
+
+
+def _classes(docs: DataFrame, kind: str, trees: int, lengths: list[int]) -> DataFrame:
+    """(doc, digest, n_shingles, keys) of every text; without words the digest is null."""
+    wide = trees * len(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -97,18 +123,13 @@ def _classes(docs: DataFrame, kind: str, trees: int, length: int) -> DataFrame:
                 shingles, offsets = shingle_sets(batch, "text")
                 sizes = np.diff(offsets)
                 has = np.flatnonzero(sizes)
-                digest = np.zeros((len(sizes), 2), np.int64)
-                keys = np.zeros((len(sizes), trees), np.uint64)
+                keys = np.zeros((len(sizes), wide), np.uint64)
                 if len(has):
-                    begins = offsets[has]
-                    for k in range(2):
-                        digest[has, k] = T.mix(np.add.reduceat(T.mix(shingles + T.U64(k * 77)), begins)).view(np.int64)
-                    keys[has] = signature_keys(shingles, np.append(begins, offsets[-1]), trees, length)
-                text = pa.array([f"{a:x}.{b:x}" if n else None for a, b, n in zip(*digest.T.tolist(), sizes.tolist(), strict=True)], pa.string())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * trees, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(sizes, pa.int64()), lists], ["doc_id", "digest", "n_shingles", "keys"])
+                    keys[has] = signature_keys(shingles, np.append(offsets[has], offsets[-1]), trees, lengths).reshape(len(has), wide)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * wide, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(_digests(shingles, offsets), pa.string()), pa.array(sizes, pa.int64()), lists], ["doc", "digest", "n_shingles", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, digest string, n_shingles long, keys array<long>")
+    return docs.mapInArrow(run, f"doc {kind}, digest string, n_shingles long, keys array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -158,61 +179,88 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.
     return counts
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
-    """For each node of a symmetric link matrix the first node of its component."""
-    label = np.arange(len(links))
-    while True:
-        least = np.minimum(label, np.where(links, label[None, :], len(links)).min(1, initial=len(links)))
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
-
-def _compare(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
-    keys = ["cluster", "i", "j"]
+def _compare(rows: DataFrame, threshold: float, trees: int, lengths: list[int], level: int) -> DataFrame:
+    """(digest, n_links, n_docs, estimates, joined) of the classes in pairs of blocks (i, j): links between pairs that meet at
+    ``lengths[level]`` and not before, one of them in search of links; the estimates of all links for each length from here on;
+    and the first class of those that it is linked with here."""
+    chance = lambda s, k: 1 - (1 - s**k) ** trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def made() -> pa.RecordBatch:
-            ids, links, docs, to = zip(*out, strict=True)
+            digests, links, docs, estimates, to = zip(*out, strict=True)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links, pa.int64()), pa.array(docs, pa.int64()), pa.array(to, pa.array(ids).type)], ["rep", "n_links", "n_docs", "joined"])
-
-        for group in _runs(batches, keys):
+            return pa.RecordBatch.from_arrays([pa.array(digests), pa.array(links, pa.int64()), pa.array(docs, pa.int64()), pa.array(estimates, pa.list_(pa.float64())), pa.array(to)], ["digest", "n_links", "n_docs", "estimates", "joined"])
+
+        def met(keys: np.ndarray, a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
+            some = np.zeros((len(a), len(b)), bool)
+            for tree in range(at * trees, (at + 1) * trees):
+                some |= keys[a, tree][:, None] == keys[b, tree][None, :]
+            return some
+
+        for group in _runs(batches, ["i", "j"]):
+            # A class can come twice where an id hash leads to its set twice.
+            _, once = np.unique(np.array(group.column("digest").to_pylist()), return_index=True)
+            group = group.take(pa.array(once))
+            digests, size, block = group.column("digest").to_pylist(), group.column("n_docs").to_numpy(), group.column("block").to_numpy()
+            keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(digests), -1)
+            active = group.column("active").to_numpy(zero_copy_only=False)
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            block, ids, size = group.column("block").to_numpy(), group.column("rep").to_pylist(), group.column("n_docs").to_numpy()
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles").combine_chunks()]
-            n = np.array([len(s) for s in sets])
+            a, b = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(digests)),) * 2
+            wanted = met(keys, a, b, level) & (active[a][:, None] | active[b][None, :])
+            if level:
+                wanted &= ~met(keys, a, b, level - 1)
             if i == j:
-                a = b = np.arange(len(sets))
-            else:
-                a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if not len(a) or not len(b) or len(sets) < 2:
+                np.fill_diagonal(wanted, False)
+            sizes = group.column("n_shingles").to_numpy()
+            wanted &= np.minimum(sizes[a][:, None], sizes[b][None, :]) >= threshold * np.maximum(sizes[a][:, None], sizes[b][None, :])
+            rows, columns = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+            if not len(rows):
                 continue
-            both = intersections([sets[x] for x in a], None if i == j else [sets[x] for x in b]).astype(np.float64)
-            linked = both / (n[a][:, None] + n[b][None, :] - both) >= threshold
-            if i == j:
-                np.fill_diagonal(linked, False)
-                whole = linked
-            else:
-                whole = np.zeros((len(sets), len(sets)), bool)
-                whole[np.ix_(a, b)] = linked
-                whole |= whole.T
-            degree, weight = whole.sum(1), whole @ size
-            label = _forest(whole)
-            out += [(ids[k], int(degree[k]), int(weight[k]), ids[label[k]]) for k in np.flatnonzero(degree)]
+            a, b, wanted = a[rows], b[columns], wanted[np.ix_(rows, columns)]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles").combine_chunks()]
+            same = i == j and len(a) == len(b) and (a == b).all()
+            both = intersections([sets[x] for x in a], None if same else [sets[x] for x in b]).astype(np.float64)
+            similar = both / (sizes[a][:, None] + sizes[b][None, :] - both)
+            linked = wanted & (similar >= threshold)
+            x, y = np.nonzero(linked)
+            if not len(x):
+                continue
+            stands_for = np.stack([1 / chance(similar[x, y], k) for k in lengths], 1)
+            # Within a block every link is seen from both of its ends, between two blocks from one.
+            ends = [(a[x], b[y])] if i == j else [(a[x], b[y]), (b[y], a[x])]
+            degree, weight, estimate = np.zeros(len(digests)), np.zeros(len(digests)), np.zeros((len(digests), len(lengths)))
+            for one, other in ends:
+                np.add.at(degree, one, 1)
+                np.add.at(weight, one, size[other])
+                np.add.at(estimate, one, stands_for)
+            label = _first_of_component(len(digests), a[x], b[y])
+            out += [(digests[k], int(degree[k]), int(weight[k]), estimate[k].tolist(), digests[label[k]]) for k in np.flatnonzero(degree)]
             if len(out) > 4096:
                 yield made()
         if out:
             yield made()
 
-    return rows.mapInArrow(run, f"rep {kind}, n_links long, n_docs long, joined {kind}")
+    return rows.mapInArrow(run, "digest string, n_links long, n_docs long, estimates array<double>, joined string")
+
+
+def _first_of_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the first node of its component, given edges."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def _sets(texts: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
-    """(rep, shingles) of the texts whose ids are in ``chosen``, and of a few more that a bit table of bounded size lets pass:
+def _sets(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(digest, shingles) of the texts of ``chosen`` classes, and of a few more that a bit table of bounded size lets pass:
     so sets travel to the join, and never the texts of all documents."""
     table = texts.sparkSession.sparkContext.broadcast(bit_table(chosen.select(F.xxhash64("rep").alias("h")), "h"))
 
@@ -222,56 +270,80 @@ def _sets(texts: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
             for batch in T.slices(whole.take(pa.array(maybe)), "text", 1 << 20):
                 shingles, offsets = shingle_sets(batch, "text")
                 packed = pa.array([shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], ["rep", "shingles"])
-
-    return texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, f"rep {kind}, shingles binary")
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(shingles, offsets), pa.string()), packed], ["digest", "shingles"])
+
+    return texts.select("text", F.xxhash64("doc").alias("h")).mapInArrow(run, "digest string, shingles binary")
+
+
+def _shared_prefixes(rows: DataFrame, trees: int, level: int) -> DataFrame:
+    """(key, node, n, n_shingles of all) of the prefixes at a level under which several classes stand, one of them active."""
+    under = rows.select("node", "n_shingles", "active", F.explode(F.slice("keys", level * trees + 1, trees)).alias("key"))
+    shared = under.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles"), F.max("active").alias("some")).where("n > 1 and some")
+    return under.select("key", "node").join(shared.select("key", "n", "all_shingles"), "key")
+
+
+def _verify(sets: DataFrame, threshold: float, trees: int, lengths: list[int], level: int) -> DataFrame:
+    """One round: blocks by the largest shared prefix, pairs of blocks with a common prefix, and their links."""
+    under = materialize(_shared_prefixes(sets, trees, level), "prefixes")
+    home = under.groupBy("node").agg(F.max(F.struct("n", "key", "all_shingles")).alias("h"))
+    parts = F.greatest(F.ceil(F.col("h.n") / _BLOCK_DOCS), F.ceil(F.col("h.all_shingles") / _BLOCK_SHINGLES))
+    placed = materialize(home.select("node", F.xxhash64("h.key", F.pmod(F.xxhash64("node"), parts)).alias("block")), "placed")
+    blocks = materialize(under.join(placed, "node").select("key", "block").distinct(), "blocks")
+    pairs = blocks.join(blocks.withColumnRenamed("block", "other").hint("merge"), "key").where("block <= other").select(F.col("block").alias("i"), F.col("other").alias("j")).distinct()
+    pairs = materialize(pairs, "block_pairs")
+    of = pairs.select(F.col("i").alias("block"), "i", "j").union(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
+    sent = materialize(placed.join(of, "block"), "sent")
+    rows = sets.join(sent, "node").select("i", "j", "block", "digest", "n_docs", "n_shingles", "keys", "active", "shingles")
+    return _compare(rows.repartition("i", "j").sortWithinPartitions("i", "j"), threshold, trees, lengths, level)
+
+
+def linked(docs: DataFrame, id_column: str, text_column: str, threshold: float, trees: int = 20, recall: float = 0.999, enough: float = 0.99999, longest: int = 8) -> DataFrame:
+    """(doc, class_doc, group_doc, n_links, n_similar_docs) of every row with an id; ``doc`` is (id, hash of the text)."""
+    lengths = prefix_lengths(trees, recall, threshold, longest)
+    texts = docs.where(F.col(id_column).isNotNull()).select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.col(text_column).alias("text"))
+    members = materialize(_classes(texts, texts.schema["doc"].dataType.simpleString(), trees, lengths), "members")
+    worded = members.where("digest is not null")
+    classes = worded.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    classes = materialize(classes.withColumns({"node": F.xxhash64("digest"), "active": F.lit(True)}), "classes")
+    # Those that are alone under all of their shortest prefixes go no further.
+    meets = _shared_prefixes(classes, trees, len(lengths) - 1).select("node").distinct()
+    chosen = materialize(classes.join(meets, "node", "left_semi"), "chosen")
+    sets = chosen.join(_sets(texts, chosen).hint("merge"), "digest").select(*chosen.columns, "shingles")
+    sets = materialize(sets.dropDuplicates(["digest"]).drop("active", "rep"), "sets")
+    found = None
+    for level in range(len(lengths)):
+        if found is None:
+            now = sets.withColumn("active", F.lit(True))
+        else:  # who has found enough only answers
+            done = found.groupBy("digest").agg(F.sum("n_links").alias("n"), F.sum(F.get("estimates", F.lit(level - 1))).alias("all")).where(F.col("n") >= enough * F.col("all"))
+            now = sets.join(materialize(done.select("digest", F.lit(True).alias("done")), "done"), "digest", "left").withColumn("active", F.col("done").isNull()).drop("done")
+        links = materialize(_verify(now, threshold, trees, lengths, level), "links")
+        found = links if found is None else found.union(links)
+    groups = components(found.select(F.col("digest").alias("a"), F.col("joined").alias("b")))
+    totals = found.groupBy("digest").agg(F.sum("n_links").alias("n_links"), F.sum("n_docs").alias("n_linked"))
+    groups = classes.select("digest", "rep").join(groups.withColumnRenamed("id", "digest"), "digest")
+    firsts = groups.groupBy("component").agg(F.min("rep").alias("group_doc"))
+    groups = materialize(groups.join(firsts, "component").select("digest", "group_doc"), "groups")
+    known = classes.select("digest", "rep", "n_docs").join(totals, "digest", "left").join(groups, "digest", "left")
+    known = materialize(known, "known")
+    none = F.lit(0).cast("long")
+    columns = {"class_doc": F.col("rep"), "group_doc": F.coalesce("group_doc", "rep"), "n_links": F.coalesce("n_links", none), "n_similar_docs": F.col("n_docs") - 1 + F.coalesce("n_linked", none)}
+    with_words = worded.select("doc", "digest").join(known, "digest").select("doc", *(v.alias(k) for k, v in columns.items()))
+    return with_words.union(members.where("digest is null").select("doc", "doc", "doc", none, none))
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, recall: float = 0.999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, recall: float = 0.999, enough: float = 0.99999, longest: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: doc_id, class_id (smallest id with the same shingles), n_links (classes that it links to),
     n_similar_docs (all other documents at the threshold, copies included) and group_id (smallest id of its component)."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    length = prefix_length(trees, recall, threshold)
-    members = materialize(_classes(texts, kind, trees, length), "members")
-    worded = members.where("digest is not null")
-    classes = worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.max("n_shingles").alias("n_shingles"))
-    classes = materialize(classes, "classes")
-    reps = worded.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"], "left_semi").dropDuplicates(["rep"])
-    # Tries: the representatives under each prefix; those that are alone under all of theirs go no further.
-    under = reps.select("rep", F.explode("keys").alias("key"))
-    under = materialize(under, "prefixes")
-    shared = materialize(under.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
-    meets = under.join(shared, "key").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    clusters = materialize(components(meets).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
-    sized = materialize(classes.join(clusters, "rep").select("rep", "n_docs", "cluster", "n_shingles"), "sized")
-    blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = materialize(sized.join(materialize(blocks, "blocks"), "cluster").select("rep", "n_docs", "cluster", "blocks"), "placed")
-    sets = _sets(texts, placed, kind).hint("merge").join(placed, "rep").dropDuplicates(["rep"])
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    paired = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = paired.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_docs", "shingles")
-    found = _compare(paired.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), kind, threshold)
-    found = materialize(found, "links")
-    groups = components(found.select(F.col("rep").alias("a"), F.col("joined").alias("b")))
-    totals = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"), F.sum("n_docs").alias("n_linked"))
-    known = classes.join(totals, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    known = materialize(known.select("digest", "rep", "n_docs", "n_links", "n_linked", "component"), "known")
-    none = F.lit(0).cast("long")
-    return members.select("doc_id", "digest").join(known, "digest", "left").select(
-        "doc_id",
-        F.coalesce("rep", "doc_id").alias("class_id"),
-        F.coalesce("n_links", none).alias("n_links"),
-        (F.coalesce("n_docs", F.lit(1)) - 1 + F.coalesce("n_linked", none)).alias("n_similar_docs"),
-        F.coalesce("component", "rep", "doc_id").alias("group_id"),
-    )
+    rows = linked(docs, id_column, text_column, threshold, trees, recall, enough, longest)
+    return rows.select(F.col("doc.id").alias("doc_id"), F.col("class_doc.id").alias("class_id"), "n_links", "n_similar_docs", F.col("group_doc.id").alias("group_id"))
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; columns stay as they are."""
-    joined = ngram_join(docs, threshold, id_column=id_column)
-    dropped = joined.where("doc_id <> group_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(materialize(dropped, "dropped"), docs[id_column] == F.col("_dropped"), "left_anti")
+    rows = linked(docs, id_column, text_column, threshold)
+    dropped = materialize(rows.where("doc <> group_doc").select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_hash")).distinct(), "dropped")
+    return docs.join(dropped, (docs[id_column] == dropped["_id"]) & (F.xxhash64(docs[text_column]) == dropped["_hash"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,7 @@ def test_keep_one(spark):
 
 
 def test_prefix_length():
+    assert N.prefix_lengths(20, 0.999, 0.8) == [8, 6, 5] and N.prefix_lengths(20, 0.5, 0.8) == [8]
     assert N.prefix_length(20, 0.999, 0.8) == 5 and N.prefix_length(1, 0.999, 0.8) == 1 and N.prefix_length(20, 0.5, 0.8) == 8
 
 
@@ -97,3 +98,49 @@ def test_odd_tables(spark):
     assert all(by[d].class_id == d and by[d].n_similar_docs == 0 for d in (1, 2, 3, 8, 9))
     assert N.ngram_join(odd_documents(spark, empty=True)).count() == 0
     assert N.keep_one(odd_documents(spark)).count() == 9  # both rows of the kept id 4, and the row without an id
+
+
+def test_prefixes_are_shortened_where_needed(spark, monkeypatch):
+    """A group far above the threshold is done at the longest prefix; pairs just above it are found at shorter ones."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows, levels = [], []
+    base = [rng.choice(words) for _ in range(400)]
+    for d in range(60):
+        own = list(base)
+        own[rng.randrange(400)] = rng.choice(words)
+        rows.append((d, " ".join(own)))
+    for d in range(120):
+        own = [rng.choice(words) for _ in range(400)]
+        rows.append((1000 + 2 * d, " ".join(own)))
+        for _ in range(7):  # up to 35 of 396 shingles differ
+            own[rng.randrange(400)] = rng.choice(words)
+        rows.append((1001 + 2 * d, " ".join(own)))
+    verify = N._verify
+
+    def watched(sets, *args):
+        out = verify(sets, *args)
+        levels.append((args[-1], {r.digest for r in sets.where("active").select("digest").collect()}, {r.digest for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(N, "_verify", watched)
+    assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
+    assert [x[0] for x in levels] == [0, 1, 2]
+    assert len(levels[0][2]) >= 60 and len(levels[1][1]) <= len(levels[0][1]) - 60  # the group is done
+    assert levels[1][2] or levels[2][2]
+
+
+def test_only_pairs_that_met_are_compared(spark):
+    """A chain of texts that each share much with the next, and nothing with the one after some more."""
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    rows = [(d, " ".join(long[d * 8 : d * 8 + 200])) for d in range(300)]
+    assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
+
+
+def test_two_texts_of_one_id(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(f"w{rng.randrange(500)}" for _ in range(90)) for _ in range(2))
+    docs = spark.createDataFrame([(3, a), (1, b), (1, a), (2, b), (4, b + " more"), (4, "quite another text of its own here")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in N.keep_one(docs).collect())
+    assert got == sorted([(1, b), (1, a), (4, "quite another text of its own here")])
