@@ -2,7 +2,9 @@
 
 Each stage reads what its predecessor wrote and passes on the columns of ``documents``; the last gives the tokens' digests.
 Rows with null or empty texts are rejected by the first stage; rows without an id go through all stages that don't need one.
-Empty tables give empty results.
+Texts of any length are taken whole; of repeated rows and near copies one document of each group stays (rows that repeat id and
+text stay or go together); ties are settled by id; further columns pass through under their names, whatever these are, up to the
+last stage, which keeps id, language and source. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from tessera.llm.storage import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told go on; those without a letter go."""
+    """Documents in which a language can be told go on, with that language; those without a letter go."""
     model = langid.learn(docs.select("text", "lang"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return langid.identify(rows, model).where("lang_pred <> 'und'").select("row.*")
+    told = langid.identify(rows, model).where("lang_pred <> 'und'")
+    return told.select(*(F.col("lang_pred" if c == "lang" else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline as P
 from tessera.llm.storage import materialize
+from common import odd_documents
 from test_decontaminate import brute_force as leaks
 from test_ngram_join import brute_force as near
 from test_pii import brute_force as personal
@@ -36,3 +37,19 @@ def test_stages(spark):
             assert r.text == texts[d]
     assert set(rows["personal data"]) == set(rows["BPE encoding and decoding"]) == third
     assert {r.doc_id: r.ids_sha256 for r in P.run(spark, SF).collect()} == {d: r.ids_sha256 for d, r in rows["BPE encoding and decoding"].items()}
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in all columns, empty and long texts, repeated rows, clashing columns, no rows."""
+    for empty in (False, True):
+        docs = odd_documents(spark, empty)
+        for name, stage in P.STAGES:
+            out = materialize(stage(spark, docs, SF), "odd")
+            if name != P.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                docs = out
+        rows = out.collect()
+        assert sorted((r.doc_id for r in rows), key=str) == ([] if empty else [4, 4, 6, 9, None])
+    repeated = spark.createDataFrame([(k, "Ann writes from ann@mail.org to all", "en", "s", 35) for k in (1, 1, 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = [r.text for r in P.personal_data(spark, repeated, SF).collect()]
+    assert clean == ["Ann writes from <EMAIL> to all"] * 3
