@@ -7,12 +7,13 @@ Channels and alphas are shares of 0 to 1. Three families differ in what they do
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.color import quantum_byte
-
+from tessera.operators.transform import negate
 
 
 def union_of(sa: Column, da: Column) -> Column:
@@ -84,30 +85,40 @@ def _luma(p: Pixel) -> Column:
     return 0.298839 * p["r"] + 0.586811 * p["g"] + 0.114350 * p["b"]
 
 
-def _hue(p: Pixel) -> tuple[Column, Column]:
-    """Hue of 0 to 6, and chroma."""
-    most = F.greatest(*(p[c] for c in "rgb"))
-    chroma = most - F.least(*(p[c] for c in "rgb"))
-    own = F.when(chroma != 0, chroma)
-    r, g, b = (p[c] for c in "rgb")
-    return F.when(chroma == 0, 0.0).when(r == most, _mod((g - b) / own + 6.0, 6.0)).when(g == most, (b - r) / own + 2.0).otherwise((r - g) / own + 4.0), chroma
-
-
-def _hcl(hue: str, chroma: str, luma: str) -> Callable[[Pixel, Pixel], Pixel]:
+class Hcl(NamedTuple):
     """Hue, chroma and luma from source or destination; where one is clear the other stays whole."""
 
-    def rule(s: Pixel, d: Pixel) -> Pixel:
-        of = {"s": s, "d": d}
-        h, c, y = _hue(of[hue])[0], _hue(of[chroma])[1], _luma(of[luma])
-        x = c * (1.0 - F.abs(_mod(h, 2.0) - 1.0))
-        zero = F.lit(0.0)
-        sixth = lambda *six: F.when(h < 1, six[0]).when(h < 2, six[1]).when(h < 3, six[2]).when(h < 4, six[3]).when(h < 5, six[4]).when(h < 6, six[5]).otherwise(zero)
-        rgb = {"r": sixth(c, x, zero, zero, x, c), "g": sixth(x, c, c, x, zero, zero), "b": sixth(zero, zero, x, c, c, x)}
-        lift = y - _luma(rgb)
-        mixed = {k: v + lift for k, v in rgb.items()} | {"a": F.greatest(s["a"], d["a"])}
-        return {k: F.when(s["a"] == 0, d[k]).when(d["a"] == 0, s[k]).otherwise(mixed[k]) for k in "rgba"}
-
-    return rule
+    hue: str
+    chroma: str
+    luma: str
+
+    def prepare(self, rows: DataFrame, s: Pixel, d: Pixel) -> tuple[DataFrame, Pixel]:
+        """``rows`` with the rule's steps as columns, and the result. Each step refers to columns of the one before, so that
+        none is written out again and the generated code stays small."""
+        rows = rows.withColumns({f"_{n}{c}": p[c] for n, p in (("s", s), ("d", d)) for c in "rgba"})
+        of = {n: {c: F.col(f"_{n}{c}") for c in "rgba"} for n in "sd"}
+        s, d = of["s"], of["d"]
+        top = lambda p: F.greatest(*(p[c] for c in "rgb"))
+        low = lambda p: F.least(*(p[c] for c in "rgb"))
+        own, wide = of[self.hue], of[self.chroma]
+        rows = rows.withColumns({"_top": top(own), "_width": top(own) - low(own), "_c": top(wide) - low(wide), "_y": _luma(of[self.luma])})
+        r, g, b, most, width = *(own[c] for c in "rgb"), F.col("_top"), F.when(F.col("_width") != 0, F.col("_width"))
+        hue = F.when(F.col("_width") == 0, 0.0).when(r == most, _mod((g - b) / width + 6.0, 6.0)).when(g == most, (b - r) / width + 2.0).otherwise((r - g) / width + 4.0)
+        rows = rows.withColumn("_h", hue)
+        rows = rows.withColumn("_x", F.col("_c") * (1.0 - F.abs(_mod(F.col("_h"), 2.0) - 1.0)))
+        h, c, x, zero = F.col("_h"), F.col("_c"), F.col("_x"), F.lit(0.0)
+
+        def sixth(*six: Column) -> Column:
+            out = F.when(h < 1, six[0])
+            for k in range(1, 6):
+                out = out.when(h < k + 1, six[k])
+            return out.otherwise(zero)
+
+        rows = rows.withColumns({"_r": sixth(c, x, zero, zero, x, c), "_g": sixth(x, c, c, x, zero, zero), "_b": sixth(zero, zero, x, c, c, x)})
+        rows = rows.withColumn("_lift", F.col("_y") - _luma({k: F.col(f"_{k}") for k in "rgb"}))
+        mixed = {k: F.col(f"_{k}") + F.col("_lift") for k in "rgb"} | {"a": F.greatest(s["a"], d["a"])}
+        rows = rows.withColumns({f"_o{k}": F.when(s["a"] == 0, d[k]).when(d["a"] == 0, s[k]).otherwise(mixed[k]) for k in "rgba"})
+        return rows, {k: F.col(f"_o{k}") for k in "rgba"}
 
 
 def _flat(rule: Callable[[Column], Column]) -> Callable[[Column, Column, Column, Column], Column]:
@@ -115,7 +126,7 @@ def _flat(rule: Callable[[Column], Column]) -> Callable[[Column, Column, Column,
 
 
 #: Rules over whole pixels, and whether the base is kept where the layer doesn't reach.
-PIXELS: dict[str, tuple[bool, Callable[[Pixel, Pixel], Pixel]]] = {
+PIXELS: dict[str, tuple[bool, Hcl | Callable[[Pixel, Pixel], Pixel]]] = {
     "src_in": (False, _each(lambda s, sa, d, da: s, lambda sa, da: sa * da)),
     "src_out": (False, _each(lambda s, sa, d, da: s, lambda sa, da: sa * (1 - da))),
     "src_atop": (True, _each(lambda s, sa, d, da: s * sa + d * (1 - sa), lambda sa, da: da)),
@@ -127,10 +138,10 @@ PIXELS: dict[str, tuple[bool, Callable[[Pixel, Pixel], Pixel]]] = {
     "modulus_add": (True, _each(_flat(lambda t: _if(t <= 1, t, t - 1)), union_of)),
     "modulus_subtract": (True, _each(lambda s, sa, d, da: _if(s * sa - d * da < 0, s * sa - d * da + 1, s * sa - d * da), union_of)),
     "hard_mix": (True, _each(lambda s, sa, d, da: _if(s * sa + d * da < 1, 0.0, reciprocal(union_of(sa, da))), union_of)),
-    "hue": (True, _hcl("s", "d", "d")),
-    "saturate": (True, _hcl("d", "s", "d")),
-    "luminize": (True, _hcl("d", "d", "s")),
-    "colorize": (True, _hcl("s", "s", "d")),
+    "hue": (True, Hcl("s", "d", "d")),
+    "saturate": (True, Hcl("d", "s", "d")),
+    "luminize": (True, Hcl("d", "d", "s")),
+    "colorize": (True, Hcl("s", "s", "d")),
     "src": (False, lambda s, d: s),
     "dst": (True, lambda s, d: d),
     "copy": (True, lambda s, d: s),
@@ -162,10 +173,49 @@ def _times(a: Column, b: Column) -> Column:
     return F.floor((a * b + 127) / 255).cast("int")
 
 
+# For each gravity the side that offsets are measured from, across and down.
+GRAVITIES = {
+    "northwest": ("near", "near"), "north": ("middle", "near"), "northeast": ("far", "near"), "west": ("near", "middle"), "center": ("middle", "middle"), "east": ("far", "middle"),
+    "southwest": ("near", "far"), "south": ("middle", "far"), "southeast": ("far", "far"), "none": ("near", "near"), "forget": ("near", "near"),
+}
+
+
+def place(base: Column, layer: Column, side: str, offset: int | Column) -> Column:
+    """Where a layer begins along one axis: from the near side, from the middle (halves towards zero), or from the far side."""
+    gap = base - layer
+    if side == "middle":
+        return F.when(gap < 0, -F.floor(-gap / 2)).otherwise(F.floor(gap / 2)).cast("int") + offset
+    return gap - offset if side == "far" else F.lit(0) + offset
+
+
+def placed(base: DataFrame, layer: DataFrame, gravity: str, dx: int = 0, dy: int = 0) -> DataFrame:
+    """``layer`` moved to where it lies over ``base``; only the sizes of the pictures are joined."""
+    across, down = GRAVITIES[gravity]
+    if (across, down) == ("near", "near"):
+        return layer.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
+    size = lambda px, w, h: px.groupBy("image_id").agg((F.max("x") + 1).alias(w), (F.max("y") + 1).alias(h))
+    both = size(base, "bw", "bh").join(size(layer, "lw", "lh"), "image_id")
+    at = both.select("image_id", place(F.col("bw"), F.col("lw"), across, dx).alias("px"), place(F.col("bh"), F.col("lh"), down, dy).alias("py"))
+    return layer.join(at, "image_id").withColumns({"x": F.col("x") + F.col("px"), "y": F.col("y") + F.col("py")}).select(*layer.columns)
+
+
+def compose(pictures: list[DataFrame], rule: str, gravity: str = "northwest", dx: int = 0, dy: int = 0) -> DataFrame:
+    """Two to four pictures: a base and a layer; a base, a shape and the colours that tint it; or a base, a shape, and colours for
+    the shape and for its negative, which goes under it."""
+    base, shape, *colours = pictures
+    if len(colours) > 2:
+        raise ValueError("a base and one to three pictures over it")
+    if colours:
+        inked = composite(shape, colours[0], "tint")
+        shape = composite(composite(negate(shape), colours[1], "tint"), inked, "over") if len(colours) == 2 else inked
+    return composite(base, placed(base, shape, gravity, dx, dy), rule)
+
+
 def composite(base: DataFrame, layer: DataFrame, rule: str, dx: int = 0, dy: int = 0) -> DataFrame:
     """``layer`` over ``base`` (pixel rows with the same image_id) with its corner at (dx, dy).
 
-    One join on (image_id, x, y), which is shuffled by the picture and never by colour; all rules stay in generated code.
+    One join on (image_id, x, y), which is shuffled by the picture and never by colour; all rules stay in
+    generated code: those with many steps keep each of them as a column.
     """
     moved = layer.select(F.col("image_id"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *(F.col(c).alias(f"s{c}") for c in "rgba"))
     if rule == "copy_opacity":  # a layer that is opaque everywhere has no alpha to copy
@@ -191,7 +241,10 @@ def composite(base: DataFrame, layer: DataFrame, rule: str, dx: int = 0, dy: int
         kept, blend = PIXELS[rule]
         if rule == "copy_opacity":
             s["mask"] = F.col("smask")
-        res = blend(s, d)
+        if isinstance(blend, Hcl):
+            rows, res = blend.prepare(rows, s, d)
+        else:
+            res = blend(s, d)
         a = 255 - quantum_byte(1 - res["a"])
         out = {c: _if(a == 0, 0, quantum_byte(res[c])) for c in "rgb"} | {"a": a}
         outside = {c: F.col(c) if kept else F.lit(0) for c in "rgba"}

@@ -12,7 +12,33 @@ from pyspark.sql import functions as F
 
 # Named palettes, 0xRRGGBB in their order.
 PALETTES: dict[str, list[int]] = {
-    "cga": [0x000000, 0x0000AA, 0x00AA00, 0x00AAAA, 0xAA0000, 0xAA00AA, 0xAA5500, 0xAAAAAA, 0x555555, 0x5555FF, 0x55FF55, 0x55FFFF, 0xFF5555, 0xFF55FF, 0xFFFF55, 0xFFFFFF],
+    "nes": [
+        0x808080, 0x003DA6, 0x0012B0, 0x440096, 0xA1005E, 0xC70028, 0xBA0600, 0x8C1700, 0x5C2F00, 0x104500, 0x054A00, 0x00472E, 0x004166, 0x000000, 0x050505, 0x050505,
+        0xC7C7C7, 0x0077FF, 0x2155FF, 0x8237FA, 0xEB2FB5, 0xFF2950, 0xFF2200, 0xD63200, 0xC46200, 0x358000, 0x058F00, 0x008A55, 0x0099CC, 0x212121, 0x090909, 0x090909,
+        0xFFFFFF, 0x0FD7FF, 0x69A2FF, 0xD480FF, 0xFF45F3, 0xFF618B, 0xFF8833, 0xFF9C12, 0xFABC20, 0x9FE30E, 0x2BF035, 0x0CF0A4, 0x05FBFF, 0x5E5E5E, 0x0D0D0D, 0x0D0D0D,
+        0xFFFFFF, 0xA6FCFF, 0xB3ECFF, 0xDAABEB, 0xFFA8F9, 0xFFABB3, 0xFFD2B0, 0xFFEFA6, 0xFFF79C, 0xD7E895, 0xA6EDAF, 0xA2F2DA, 0x99FFFC, 0xDDDDDD, 0x111111, 0x111111,
+    ],
+    "cga": [
+        0x000000, 0x0000AA, 0x00AA00, 0x00AAAA, 0xAA0000, 0xAA00AA, 0xAA5500, 0xAAAAAA, 0x555555, 0x5555FF, 0x55FF55, 0x55FFFF, 0xFF5555, 0xFF55FF, 0xFFFF55, 0xFFFFFF,
+    ],
+    "pico8": [
+        0x000000, 0x1D2B53, 0x7E2553, 0x008751, 0xAB5236, 0x5F574F, 0xC2C3C7, 0xFFF1E8, 0xFF004D, 0xFFA300, 0xFFEC27, 0x00E436, 0x29ADFF, 0x83769C, 0xFF77A8, 0xFFCCAA,
+    ],
+    "tic80": [
+        0x1A1C2C, 0x5D275D, 0xB13E53, 0xEF7D57, 0xFFCD75, 0xA7F070, 0x38B764, 0x257179, 0x29366F, 0x3B5DC9, 0x41A6F6, 0x73EFF7, 0xF4F4F4, 0x94B0C2, 0x566C86, 0x333C57,
+    ],
+    "cgagraphics": [
+        0x050505, 0xFFFFFF, 0xFF45F3, 0x05FBFF,
+    ],
+    "kokobatoru": [
+        0x050505, 0xFFFFFF, 0xFF9C12, 0xFF2200,
+    ],
+    "mario": [
+        0x69A2FF, 0xFF2200, 0xFF9C12, 0xC46200,
+    ],
+    "world": [
+        0x69A2FF, 0x9FE30E, 0x058F00, 0x050505,
+    ],
 }
 
 
@@ -54,7 +80,8 @@ def bayer(side: int) -> list[list[int]]:
 
 
 def quantise(px: DataFrame, palette: list[int], dither: str = "nearest") -> DataFrame:
-    """(image_id, x, y, idx): each pixel's palette index. ``strict`` gives null where a colour isn't in the palette."""
+    """(image_id, x, y, idx): each pixel's palette index. ``strict`` gives null where a colour isn't in the
+    palette, so that pictures to be refused can be told from the others."""
     if not 1 <= len(palette) <= 256:
         raise ValueError("a palette has 1 to 256 colours")
     r, g, b = (F.col(c) for c in "rgb")
@@ -65,12 +92,35 @@ def quantise(px: DataFrame, palette: list[int], dither: str = "nearest") -> Data
         offset = F.get(F.array(*map(F.lit, offsets)), (F.col("y") % side * side + F.col("x") % side).cast("int"))
         r, g, b = (F.least(F.lit(255), F.greatest(F.lit(0), c + offset)) for c in (r, g, b))
     found = px.withColumn("n", _nearest(r, g, b, palette))
-    index = F.when(F.col("n.d") == 0, F.col("n.i")) if dither == "strict" else F.col("n.i")
+    index = F.col("n.i")
+    if dither == "strict":
+        index = F.when(F.col("n.d") == 0, index)
     return found.select("image_id", "x", "y", index.alias("idx"))
 
 
+def expand(indices: DataFrame, palette: list[int]) -> DataFrame:
+    """The colours of palette indices (image_id, x, y, idx), opaque; an index past the palette fails."""
+    known = F.when(F.col("idx").between(0, len(palette) - 1), F.get(F.array(*map(F.lit, palette)), F.col("idx")))
+    colour = F.when(F.col("idx").isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(known, F.raise_error(F.concat(F.lit("no colour "), F.col("idx").cast("string"))).cast("int")))
+    rows = indices.withColumn("colour", colour)
+    part = lambda n: F.shiftright("colour", n).bitwiseAND(F.lit(255))
+    return rows.select("image_id", "x", "y", part(16).alias("r"), part(8).alias("g"), part(0).alias("b"), F.lit(255).alias("a"), "idx")
+
+
+def chr_indices(tiles: DataFrame) -> DataFrame:
+    """(image_id, x, y, idx) of pictures (image_id, width, data) in 8 by 8 tiles of two bit planes, eight bytes each, a row of tiles
+    after the other; the leftmost pixel is the highest bit. Sides are multiples of 8."""
+    byte = lambda at: F.conv(F.hex(F.substring("data", (at + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = tiles.withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor(F.length("data") / 16).cast("int") - 1))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    rows = rows.withColumns({"low": byte(F.col("tile") * 16 + F.col("row")), "high": byte(F.col("tile") * 16 + 8 + F.col("row")), "wide": F.floor(F.col("width") / 8).cast("int")})
+    rows = rows.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    bit = lambda c: F.expr(f"shiftright({c}, 7 - column) & 1")
+    return rows.select("image_id", (F.col("tile") % F.col("wide") * 8 + F.col("column")).alias("x"), (F.floor(F.col("tile") / F.col("wide")) * 8 + F.col("row")).cast("int").alias("y"), (bit("low") + 2 * bit("high")).alias("idx"))
+
+
 def most_voted(px: DataFrame, palette: list[int], keep: int) -> DataFrame:
-    """(image_id, idx, votes, place): the colours of a picture that most pixels are nearest to; ties go to the lower index.
+    """(image_id, idx, votes, place): the colours of a picture that most pixels are nearest to; ties go to the lower index. In
+    the order of ``idx`` they are the limited palette.
 
     Votes are counted before anything is ranked: a picture ranks at most 256 rows."""
     votes = quantise(px, palette).groupBy("image_id", "idx").agg(F.count("*").alias("votes"))
@@ -107,7 +157,10 @@ def diffuse(px: DataFrame, palette: list[int]) -> DataFrame:
 def most_apart(px: DataFrame, palette: list[int], keep: int) -> DataFrame:
     """(image_id, idx, place): colours chosen one by one for their votes times the distance from those chosen before.
 
-    A group is a picture's vote counts, at most 256 rows."""
+    A palette no larger than ``keep`` stays whole, in its order. A group is a picture's vote counts, at most 256 rows."""
+    if len(palette) <= keep:
+        whole = F.posexplode(F.array(*(F.lit(k) for k in range(len(palette))))).alias("p", "idx")
+        return px.select("image_id").distinct().select("image_id", whole).select("image_id", "idx", (F.col("p") + 1).alias("place"))
     votes = quantise(px, palette).groupBy("image_id", "idx").agg(F.count("*").alias("votes"))
     colours = np.array([[c >> 16, c >> 8 & 255, c & 255] for c in palette], np.int64)
     distance = ((colours[:, None] - colours[None]) ** 2 * np.array([2, 4, 3])).sum(2)

@@ -64,7 +64,10 @@ def quota(log: DataFrame, per_window: int, window: float) -> DataFrame:
 
 
 def rate_limit(log: DataFrame, per_second: float) -> DataFrame:
-    """(id, allowed): a bucket of one second's requests that fills at the same rate."""
+    """(id, allowed): a bucket of one second's requests that fills at the same rate. Requests without a client's name, and all of
+    them at a rate of 0, are allowed."""
+    unnamed = F.coalesce(F.col("client").cast("string"), F.lit("")) == ""
+    free = log.where(unnamed | F.lit(per_second <= 0)).select(F.col("id").cast("long"), F.lit(True).alias("allowed"))
 
     def step(state, t):
         tokens, filled = state or (per_second, t)
@@ -72,4 +75,4 @@ def rate_limit(log: DataFrame, per_second: float) -> DataFrame:
         ok = tokens >= 1
         return (tokens - ok, t), ok
 
-    return _in_order(log, step, "allowed")
+    return _in_order(log.where(~unnamed & F.lit(per_second > 0)), step, "allowed").union(free)

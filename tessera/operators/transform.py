@@ -13,7 +13,8 @@ def crop(px: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
 
 
 def negate(px: DataFrame) -> DataFrame:
-    return px.withColumns({c: 255 - F.col(c) for c in "rgb"})
+    """Colours or grey levels (``v``) turned around; alpha stays."""
+    return px.withColumns({c: 255 - F.col(c) for c in ("r", "g", "b", "v") if c in px.columns})
 
 
 def sized(px: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def sized(px: DataFrame) -> DataFrame:
 
 
 def target_size(width: int | None, height: int | None, mode: str, w: Column, h: Column) -> tuple[Column, Column]:
-    """The size a picture is resized to: ``exact``, ``inside`` or ``cover`` a box (missing sides follow), or ``percent``."""
+    """The size a picture is resized to: ``exact``, ``inside`` or ``cover`` a box (the other side to the nearest
+    pixel; missing sides follow, rounded down), or ``percent``."""
     least = lambda v: F.greatest(F.lit(1), v.cast("int"))
     if mode == "percent":
         return least(F.floor(w * width / 100)), least(F.floor(h * width / 100))
@@ -33,8 +35,9 @@ def target_size(width: int | None, height: int | None, mode: str, w: Column, h:
         return F.lit(width), least(F.floor(h * width / w))
     if mode == "exact":
         return F.lit(width), F.lit(height)
-    by_width = (F.lit(width) * h <= F.lit(height) * w) if mode == "inside" else (F.lit(width) * h >= F.lit(height) * w)
-    return F.when(by_width, width).otherwise(least(F.floor(w * height / h))), F.when(by_width, least(F.floor(h * width / w))).otherwise(height)
+    by_width = (F.lit(width) * h >= F.lit(height) * w) if mode == "cover" else (F.lit(width) * h <= F.lit(height) * w)
+    nearest = lambda side, to, of: least(F.floor((side * to + F.floor(of / 2)) / of))
+    return F.when(by_width, width).otherwise(nearest(w, height, h)), F.when(by_width, nearest(h, width, w)).otherwise(height)
 
 
 def resize(px: DataFrame, width: int | None = None, height: int | None = None, mode: str = "exact") -> DataFrame:
@@ -54,6 +57,33 @@ def resize(px: DataFrame, width: int | None = None, height: int | None = None, m
     return rows.select("image_id", F.col("nx").alias("x"), F.col("ny").alias("y"), *kept)
 
 
+def resize_pad(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Fitted inside the box and centred on it; the sides take the colour of the picture's edge, or are clear where it has none."""
+    fitted = resize(px, width, height, "inside")
+    sizes = fitted.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    at = sizes.select("image_id", F.floor((width - F.col("w")) / 2).cast("int").alias("px"), F.floor((height - F.col("h")) / 2).cast("int").alias("py"))
+    moved = fitted.join(at, "image_id").select("image_id", (F.col("x") + F.col("px")).alias("x"), (F.col("y") + F.col("py")).alias("y"), *"rgba")
+    ground = at.select("image_id").join(edge_colour(fitted).withColumnsRenamed({c: f"g{c}" for c in "rgba"}), "image_id", "left")
+    frame = ground.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    return frame.join(moved, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *(F.coalesce(c, f"g{c}", F.lit(0)).alias(c) for c in "rgba"))
+
+
+def moved_cuts(cuts: DataFrame, dx: Column | int, dy: Column | int, width: Column, height: Column) -> DataFrame:
+    """``cuts`` (x, y, w, h and more) moved and trimmed to a canvas; those that leave it are dropped."""
+    left, top = F.greatest(F.col("x") + dx, F.lit(0)), F.greatest(F.col("y") + dy, F.lit(0))
+    right, bottom = F.least(F.col("x") + dx + F.col("w"), width), F.least(F.col("y") + dy + F.col("h"), height)
+    return cuts.withColumns({"x": left, "y": top, "w": right - left, "h": bottom - top}).where("w > 0 and h > 0")
+
+
+def scaled_cuts(cuts: DataFrame, from_size: tuple[Column, Column], to_size: tuple[Column, Column]) -> DataFrame:
+    """``cuts`` of a picture that was resized: both edges are scaled, so cuts that touched still touch, and none is under a pixel."""
+    edge = lambda at, of, to: F.floor(at * to / of).cast("int")
+    (fw, fh), (tw, th) = from_size, to_size
+    left, top = edge(F.col("x"), fw, tw), edge(F.col("y"), fh, th)
+    w, h = edge(F.col("x") + F.col("w"), fw, tw) - left, edge(F.col("y") + F.col("h"), fh, th) - top
+    return moved_cuts(cuts.withColumns({"x": left, "y": top, "w": F.greatest(w, F.lit(1)), "h": F.greatest(h, F.lit(1))}), 0, 0, tw, th)
+
+
 def radius(px: DataFrame, size: int) -> DataFrame:
     """Round corners: alpha is cleared beyond the circle in the corner boxes."""
     rows = sized(px)
@@ -83,6 +113,7 @@ def _box_pass(px: DataFrame, size: int, along: str, across: str, channels: list[
 def blur(px: DataFrame, size: int, passes: int = 3) -> DataFrame:
     """Repeated box means across and down, rounded, all channels alike."""
     channels = [c for c in ("r", "g", "b", "a", "v") if c in px.columns]
+    px = px.repartition("image_id") if size > 0 else px  # all passes go by lines of a picture, so they need no further exchange
     for _ in range(passes if size > 0 else 0):
         px = _box_pass(_box_pass(px, size, "x", "y", channels), size, "y", "x", channels)
     return px

@@ -169,6 +169,62 @@ _SIDES = "x = 0 OR y = 0 OR x = 3 OR y = 3"
 _CHANGES = " OR ".join(f"{c} IS DISTINCT FROM lag({c}) OVER w" for c in "rgba")
 _COMMON = "cc AS (SELECT image_id, r, g, b, a, n FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b, a) AS k FROM (SELECT image_id, r, g, b, a, count(*) AS n FROM few GROUP BY ALL)) WHERE k = 1)"
 
+_ORDERED = "od AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t, id) AS k FROM lg)"
+
+
+def _in_turn(first: str, later: str, columns: str) -> str:
+    """Requests of each client one after the other: ``first`` and ``later`` give the state after a request, s is the state before."""
+    return f"WITH RECURSIVE {_LOG}, {_ORDERED}, st AS (SELECT id, client, k, t, {first} FROM od WHERE k = 1 UNION ALL SELECT o.id, o.client, o.k, o.t, {later} FROM st s JOIN od o ON o.client = s.client AND o.k = s.k + 1) SELECT id, {columns} FROM st"
+
+
+_OPENS = "o.t >= s.resets"
+_TOKENS = "least(1.0e0, s.tokens + (o.t / 10800.0e0 - s.t / 10800.0e0) * 1.0e0)"
+
+
+def _apart(keep: int) -> str:
+    """Colours chosen one by one, a table for each turn."""
+    between = " + ".join(f"{n} * (a.p{c} - b.p{c}) * (a.p{c} - b.p{c})" for n, c in ((2, "r"), (4, "g"), (3, "b")))
+    out = f"WITH {_PX}, {_PALETTE}, vo AS (SELECT image_id, idx, count(*) AS n FROM ({_fit('px')}) GROUP BY ALL), ds AS (SELECT a.i, b.i AS j, {between} AS d FROM pal a, pal b), "
+    out += "c1 AS (SELECT image_id, idx, 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, idx) AS rn FROM vo) WHERE rn = 1)"
+    for k in range(2, keep + 1):
+        out += (
+            f", s{k} AS (SELECT v.image_id, v.idx, v.n * min(d) AS score FROM vo v JOIN c{k - 1} c ON c.image_id = v.image_id JOIN ds ON ds.i = v.idx AND ds.j = c.idx GROUP BY v.image_id, v.idx, v.n HAVING min(d) > 0), "
+            f"c{k} AS (SELECT * FROM c{k - 1} UNION ALL SELECT image_id, idx, {k} AS place FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, idx) AS rn FROM s{k}) WHERE rn = 1)"
+        )
+    return f"{out} SELECT image_id, CAST(idx AS INT) AS idx, CAST(place AS INT) AS place FROM c{keep}"
+
+
+def _diffused() -> str:
+    """Pixel by pixel, with lists of what is owed (wr, wg, wb) to each place of a 4 by 4 picture."""
+    lists = {c: "[" + ", ".join(str(v >> n & 255) for v in _CGA) + "]" for c, n in (("r", 16), ("g", 8), ("b", 0))}
+    now = {c: f"least(255, greatest(0, v{c}[p + 1] + w{c}[p + 1]))" for c in "rgb"}
+    distance = " + ".join(f"{n} * ({now[c]} - {lists[c]}[i]) * ({now[c]} - {lists[c]}[i])" for n, c in ((2, "r"), (4, "g"), (3, "b")))
+    part = lambda c, n: f"CAST(trunc(({now[c]} - {lists[c]}[idx]) * {n} / 16.0e0) AS BIGINT)"
+    owed = lambda c: (
+        f"list_transform(range(16), lambda q: w{c}[q + 1] + CASE WHEN q = p + 1 AND p % 4 < 3 THEN {part(c, 7)} WHEN q = p + 3 AND p % 4 > 0 THEN {part(c, 3)} WHEN q = p + 4 THEN {part(c, 5)} WHEN q = p + 5 AND p % 4 < 3 THEN {part(c, 1)} ELSE 0 END)"
+    )
+    return (
+        f"WITH RECURSIVE {_PX}, vs AS (SELECT image_id, " + ", ".join(f"list({c} ORDER BY y, x) AS v{c}" for c in "rgb") + " FROM px GROUP BY 1), "
+        "st AS (SELECT image_id, vr, vg, vb, 0 AS p, CAST(NULL AS BIGINT) AS idx, " + ", ".join(f"list_transform(range(16), lambda q: CAST(0 AS BIGINT)) AS w{c}" for c in "rgb") + " FROM vs UNION ALL "
+        "SELECT image_id, vr, vg, vb, p + 1, idx, " + ", ".join(owed(c) for c in "rgb") + " FROM (SELECT *, list_position(ds, list_min(ds)) AS idx FROM "
+        f"(SELECT image_id, vr, vg, vb, p, wr, wg, wb, list_transform(range(1, 17), lambda i: {distance}) AS ds FROM st WHERE p < 16)))"
+        " SELECT image_id, CAST((p - 1) % 4 AS INT) AS x, CAST((p - 1) // 4 AS INT) AS y, CAST(idx - 1 AS INT) AS idx FROM st WHERE p > 0"
+    )
+
+
+_SHELVES = (
+    "WITH RECURSIVE sz AS (SELECT p_brand || '|' || p_type AS group_id, p_partkey AS seq, 1 + p_size % 16 AS w, 1 + p_partkey % 12 AS h FROM part), "
+    "od AS (SELECT *, (w + 3) // 4 * 4 AS room, (h + 3) // 4 * 4 AS deep, row_number() OVER (PARTITION BY group_id ORDER BY h DESC, seq) AS k FROM sz), "
+    "wi AS (SELECT group_id, k AS c, sum(room + 1) OVER (PARTITION BY group_id ORDER BY k) - 1 AS width FROM od), "
+    "st AS (SELECT i.group_id, c, width, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS shelf, CAST(0 AS BIGINT) AS px, CAST(0 AS BIGINT) AS py, CAST(0 AS BIGINT) AS reach FROM wi i UNION ALL "
+    "SELECT group_id, c, width, k, seq, nx + room + 1, ny, greatest(ns, deep), nx, ny, nx + room FROM (SELECT s.group_id, s.c, s.width, o.k, o.seq, o.room, o.deep, "
+    "CASE WHEN s.x > 0 AND s.x + o.w > s.width THEN 0 ELSE s.x END AS nx, CASE WHEN s.x > 0 AND s.x + o.w > s.width THEN s.y + s.shelf + 1 ELSE s.y END AS ny, CASE WHEN s.x > 0 AND s.x + o.w > s.width THEN 0 ELSE s.shelf END AS ns "
+    "FROM st s JOIN od o ON o.group_id = s.group_id AND o.k = s.k + 1)), "
+    "cv AS (SELECT group_id, c, max(reach) AS cw, max(py + shelf) AS ch FROM st WHERE k > 0 GROUP BY 1, 2), "
+    "be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY greatest(cw, ch), cw * ch, ch, c) AS rn FROM cv) WHERE rn = 1) "
+    "SELECT st.group_id, seq, CAST(px AS INT) AS px, CAST(py AS INT) AS py, CAST(cw AS INT) AS canvas_w, CAST(ch AS INT) AS canvas_h FROM st JOIN be ON st.group_id = be.group_id AND st.c = be.c WHERE st.k > 0"
+)
+
 ORACLES: dict[str, str] = {
     "flagship": f"WITH {_GRAY} SELECT 255 - v AS v, count(*) AS n FROM gr WHERE x >= 2 AND x < 6 AND y >= 1 AND y < 7 GROUP BY 1",
     "convert_packed": f"WITH {_PX} SELECT image_id, x, y, CAST(floor(0.212656e0 * r + 0.715158e0 * g + 0.072186e0 * b + 0.5) AS INT) AS gray8, {_565} AS rgb565, {_N5.format(c='r')} * 1024 + {_N5.format(c='g')} * 32 + {_N5.format(c='b')} AS rgb555, {_5551} AS rgba5551, CAST(a AS BIGINT) * 16777216 + r * 65536 + g * 256 + b AS argb FROM px",
@@ -216,3 +272,12 @@ ORACLES: dict[str, str] = {
     "resize_percent": _resize("12", "12"),
     "resize_width": _resize("3", "3"),
 } | {f"composite_{rule}": _composite(rule) for rule in _RULES}
+ORACLES |= {
+    "cobs": f"WITH {_PX}, z AS (SELECT image_id, y * 4 + x AS p, " + ", ".join(f"CASE WHEN {c} < 110 THEN 0 ELSE {c} END AS {c}" for c in "rgba") + " FROM px), h AS (SELECT image_id, string_agg(printf('%02x %02x %02x %02x ', r, g, b, a), '' ORDER BY p) AS s FROM z GROUP BY 1) "
+    "SELECT image_id, array_to_string(list_transform(string_split(s, '00 '), lambda p: printf('%02x', len(p) // 3 + 1) || replace(p, ' ', '')), '') AS cobs FROM h",
+    "client_quota": _in_turn("CAST(1 AS BIGINT) AS created, t + 86400.0e0 AS resets, true AS stored", f"CASE WHEN {_OPENS} THEN 1 ELSE s.created + CASE WHEN s.created < 3 THEN 1 ELSE 0 END END, CASE WHEN {_OPENS} THEN o.t + 86400.0e0 ELSE s.resets END, {_OPENS} OR s.created < 3", "stored"),
+    "rate_limit": _in_turn("0.0e0 AS tokens, true AS allowed", f"{_TOKENS} - CASE WHEN {_TOKENS} >= 1 THEN 1 ELSE 0 END, {_TOKENS} >= 1", "allowed"),
+    "most_apart": _apart(4),
+    "diffuse": _diffused(),
+    "shelves": _SHELVES,
+}

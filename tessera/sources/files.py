@@ -24,10 +24,13 @@ def blobs(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
 
 def kind_of(content: Column) -> Column:
     """Container of a blob by its first bytes, null where none fits."""
-    head = F.hex(F.substring(content, 1, 8))
-    # The first bytes of containers.
-    magic = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "zip": "504B0304", "gzip": "1F8B", "ktx": "AB4B5458", "dds": "44445320", "ar": "213C617263683E0A"}
-    found = F.when(head.rlike("^503[1-6](09|0A|0D|20|23)"), "netpbm")
+    head = F.hex(F.substring(content, 1, 12))
+    # The first bytes of containers; of two that begin alike the longer one comes first.
+    magic = {
+        "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "zip": "504B0304", "gzip": "1F8B", "ktx2": "AB4B5458203230BB0D0A1A0A", "ktx": "AB4B5458203131BB0D0A1A0A",
+        "dds": "44445320", "pvr": "50565203", "rom": "4E45531A", "ar": "213C617263683E0A",
+    }
+    found = F.when(head.rlike("^503[1-6](09|0A|0D|20|23)"), "netpbm").when(head.rlike("^52494646.{8}57454250"), "webp").when(head.rlike("^0A0[0-5]0[01]0[1248]"), "pcx")
     for name, first in magic.items():
         found = found.when(head.startswith(first), name)
     return found

@@ -13,11 +13,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def rate_limited(requests: DataFrame, per_second: float) -> DataFrame:
     """(client, id, allowed) for a stream of (client, id, t), t in seconds; batches are taken in order of time."""
 
+    if per_second <= 0:
+        return requests.select("client", F.col("id").cast("long").alias("id"), F.lit(True).alias("allowed"))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["t", "id"])
         tokens, filled = state.get if state.exists else (per_second, float(rows["t"].iloc[0]))
         allowed = []
         for t in rows["t"]:
+            if not key[0]:  # requests without a client's name are always allowed
+                allowed.append(True)
+                continue
             tokens = min(per_second, tokens + max(0.0, t - filled) * per_second)
             filled = max(filled, t)
             allowed.append(tokens >= 1)

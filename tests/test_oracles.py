@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from tessera.plans.oracles import ORACLES
-from tessera.plans.queries import QUERIES
+from tessera.plans import oracles, queries, wider
+
+ORACLES, QUERIES = {**oracles.ORACLES, **wider.ORACLES}, {**queries.QUERIES, **wider.QUERIES}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "part events embeddings documents pages".split()

@@ -205,3 +205,56 @@ def test_most_apart(spark):
     px = picture(spark, [(0, 0, 0, 255)] * 5 + [(1, 1, 1, 255)] * 4 + [(255, 0, 0, 255)] * 2, 11)
     got = palette.most_apart(px, [0x000000, 0x010101, 0xFF0000, 0x00FF00], 4).orderBy("place").collect()
     assert [r.idx for r in got] == [0, 2, 1]
+
+
+def test_urls(spark):
+    from tessera.functions import url
+
+    rows = [("HTTP://u:p@[::1]:80/a?b#c",), ("http://a b/",), ("http://h:x/",), ("mailto:a@b",), ("//h",), ("",), ("x/../y?",), ("http://h%2/",), ("http://[::1/x",)]
+    u = url.parse(F.col("u"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "u string").select(u["scheme"], u["userinfo"], u["host"], u["port"], u["path"], u["query"]).collect()]
+    none = (None,) * 6
+    assert got == [("http", "u:p", "[::1]", "80", "/a", "b"), none, none, ("mailto", "", None, "", "a@b", None), ("", "", "h", "", "", None), ("", "", None, "", "", None), ("", "", None, "", "x/../y", ""), none, none]
+    # RFC 3986, 5.4.1 and 5.4.2.
+    base, cases = "http://a/b/c/d;p?q", {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", ";x": "http://a/b/c/;x", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/",
+        "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y",
+    }
+    found = spark.createDataFrame([(r,) for r in cases], "r string").select("r", url.resolve(url.parse(F.lit(base)), url.parse(F.col("r"))).alias("t")).collect()
+    assert {r.r: r.t for r in found} == cases
+    texts = ["a%20b+c", "%zz%4", "%C3%A9", "100%", "é/ ?"]
+    back = spark.createDataFrame([(t,) for t in texts], "t string").select(url.percent_decode(F.col("t"), True), url.percent_encode_path(F.col("t"))).collect()
+    assert [r[0] for r in back] == ["a b c", "%zz%4", "é", "100%", "é/ ?"] and back[4][1] == "%C3%A9/%20%3F" and back[3][1] == "100%25"
+
+
+def test_names_and_frames(spark):
+    from tessera.functions import media, names
+
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert [value(names.colour(F.lit(x))) for x in ("AliceBlue", "#F00", "#12345678", "gray50", "grey101", "#12", "transparent")] == [0xFFF0F8FF, 0xFFFF0000, 0x78123456, 0xFF808080, None, None, 0]
+    assert value(names.unescape(F.lit(r"a\nb\\c\qd" + "\\"))) == "a\nb\\c\\qd\\"
+    assert tuple(value(names.crop_geometry(F.lit("8x4+1-2")))) == (1, -2, 8, 4) and value(names.crop_geometry(F.lit("8x4+1"))) is None and value(names.size(F.lit("0x4"))) is None
+    whole = media.frame(F.lit("image/x-zcis"), F.lit("name with spaces.zcis"), F.lit("hex"), F.unhex(F.lit("00FF1000")))
+    entry = value(media.unframe(whole))
+    assert (entry.content_type, entry.filename, entry.encoding, bytes(entry.body)) == ("image/x-zcis", "name with spaces.zcis", "hex", b"\x00\xff\x10\x00")
+    assert value(media.unframe(F.substring(whole, 1, 20))) is None
+    assert value(media.format_of_path(F.lit("a.b/c"))) == "raw" and value(media.format_of_path(F.lit("x.JPG"))) == "jpeg"
+
+
+def test_grid_that_does_not_fit(spark):
+    sizes = spark.createDataFrame([("g", k, 1, 1) for k in range(5)], "group_id string, seq int, w int, h int")
+    assert layout.grid(sizes, 3, rows=2).count() == 5
+    with pytest.raises(Exception, match="more pictures"):
+        layout.grid(sizes, 2, rows=2).collect()
+
+
+def test_free_requests(spark):
+    log = spark.createDataFrame([(k, c, 0.0) for k, c in enumerate(["", None, "a", "a", ""])], "id long, client string, t double")
+    assert {r.id: r.allowed for r in policy.rate_limit(log, 1.0).collect()} == {0: True, 1: True, 2: True, 3: False, 4: True}
+    assert all(r.allowed for r in policy.rate_limit(log, 0.0).collect())
+
+
+def test_small_palettes_stay_whole(spark):
+    px = picture(spark, [(255, 255, 255, 255)] * 4, 2)
+    assert [(r.idx, r.place) for r in palette.most_apart(px, [0, 0xFFFFFF], 4).orderBy("place").collect()] == [(0, 1), (1, 2)]
