@@ -1,23 +1,28 @@
 """Language-model scores under a hierarchical Pitman-Yor model.
 
 Words are dishes. The restaurant of a context serves the words that followed it; its parent, the root restaurant that all
-contexts share, is served a customer for every table of its children. A context is the class of the word before (words are
-hashed into ``contexts`` classes, the start of a text is a class of its own), so contexts share statistics and the number of
-restaurants doesn't grow with the vocabulary, while what each of them has seen does. The root's base measure has no atoms: an
-unknown word opens a new table there, and all unknown words together are one event, as in the base score.
-
-The seating is sampled by Gibbs sweeps. For a (context, word) with c customers only the number of tables t matters; given the
-totals of the sweep before and the root's probability of the word, its distribution is proportional to S(c, t) a^t with
-generalised Stirling numbers S and a = (strength + discount * tables of the context) * P_root(word). It is drawn exactly for c
-up to 48, and beyond that by seating the further customers in growing batches. All counts of a sweep are drawn given the sweep
-before, so a sweep is one pass over the counts without any shuffle but the sums for each word. Predictive probabilities are averaged over the sweeps after ``burn_in``. Draws
-are seeded by the key and the sweep, so a lost and repeated task draws the same.
+contexts share, is served a customer for every table of its children. The most frequent words are contexts of their own, as many
+as ``words_of_their_own``; all other words share the ``classes`` restaurants that their hashes lead to, and the start of a text
+is a context besides. So the number of restaurants doesn't grow with the vocabulary, while what each of them has seen does. The
+root's base measure has no atoms: an unknown word opens a new table there, and all unknown words together are one event, as in
+the base score.
+
+The seating is sampled by Gibbs sweeps. For a (context, word) with c customers only the number of tables t matters; given all
+other tables its distribution is proportional to S(c, t), the generalised Stirling number, times the probability that the t
+tables open in the context and send their customers to the root, one after the other. It is drawn exactly for c up to 256.
+Beyond that S(c, t) follows from its row of 256 customers, since it depends on t / c^discount but for known factors, and t is
+drawn one by one up to 128, and beyond from cells that each span a few per cent. Words are dealt out over buckets. In
+a bucket the draws of a sweep go by turns, each of them given what the turns before have changed in the context's tables and at
+the root; what other buckets have changed is seen in the next sweep (as in distributed samplers for topic models). So a sweep is
+one pass over the counts, of which only sums by context are shuffled. Predictive probabilities are averaged over the sweeps
+after ``burn_in``. Draws are seeded by the words and the sweep, so a lost and repeated task draws the same.
 
 Everything is joined by Spark on word hashes; bounded arrays hold what a task works on. Hash buckets bound what one task
 holds: their number follows the number of tokens.
 
-Defined cases: a null or empty text is the end token alone; rows without an id are scored but not learned from; with nothing
-learned every token is unknown; empty tables give empty results; other columns are not looked at.
+Defined cases: a null or empty text is the end token alone; texts of any length are scored whole; words that tie for a context of
+their own are ordered by hash; rows without an id are scored but not learned from; repeated rows count and score alike; with
+nothing learned every token is unknown; empty tables give empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +41,13 @@ from tessera.llm import text as T
 from tessera.llm.storage import materialize
 
 _END = T.U64(0x5851F42D4C957F2D)  # the hash of the end token, which no word has but by chance
-_EXACT = 48
-_BUCKET_TOKENS = 3_000_000  # tokens that one bucket should hold
+_EXACT = 256
+_SINGLE, _CELLS = 128, 256  # numbers of tables looked at one by one, and in cells, for a dish with more customers
+_TURNS = 8  # of a sweep; a power of two
+_BUCKET_TOKENS = 2_000_000  # tokens that one bucket should hold
 
 
-def _stream(batch: pa.RecordBatch, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stream(batch: pa.RecordBatch, m: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hash, context and text of every token, the end tokens included."""
     data, offsets = T.buffer_of(batch.column("text"))
     starts, ends, doc = T.words(data, offsets)
@@ -50,19 +58,37 @@ def _stream(batch: pa.RecordBatch, contexts: int) -> tuple[np.ndarray, np.ndarra
     is_end[np.cumsum(n + 1) - 1] = True
     out = np.full(len(all_docs), _END)
     out[~is_end] = hashes
-    context = np.full(len(out), contexts, np.int64)
-    context[1:] = (T.mix(out[:-1] + T.U64(1)) % T.U64(contexts)).astype(np.int64)
-    context[1:][is_end[:-1]] = contexts
+    context = np.full(len(out), m.contexts, np.int64)
+    context[1:] = m.context_of(out[:-1])
+    context[1:][is_end[:-1]] = m.contexts
     return out, context, all_docs
 
 
+def _frequent_words(docs: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of the ``most`` most frequent words. A slice of texts counts for the words that make up 1/4000 of it, so no
+    more than 4000 rows leave a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in T.slices(whole, "text"):
+                data, offsets = T.buffer_of(batch.column("text"))
+                starts, ends, _ = T.words(data, offsets)
+                words, n = np.unique(T.word_hashes(data, starts, ends), return_counts=True)
+                kept = n * 4000 >= len(starts)
+                yield pa.RecordBatch.from_arrays([pa.array(words[kept].view(np.int64)), pa.array(n[kept])], ["word", "n"])
+
+    counts = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
+
+
 def _count(docs: DataFrame, m: Shape) -> DataFrame:
     """(bucket, words, contexts, counts): packed counts of (word, context) of the training texts of a slice, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in T.slices(whole, "text", 4 << 20):
-                words, context, _ = _stream(batch, m.contexts)
+            for batch in T.slices(whole, "text", 2 << 20):
+                words, context, _ = _stream(batch, m)
                 yield from _packed(*_tally(words, context), m.buckets)
 
     return docs.mapInArrow(run, "bucket int, words binary, contexts binary, counts binary")
@@ -125,42 +151,77 @@ def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return _tally(*(np.concatenate([p[k] for p in parts]).astype(t) for k, t in enumerate((np.uint64, np.int64, np.int64))))
 
 
+@lru_cache(maxsize=4)
 def stirling(discount: float) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers S(c, t) for c and t up to ``_EXACT``."""
     s = np.full((_EXACT + 1, _EXACT + 1), -np.inf)
     s[0, 0] = 0
+    t = np.arange(1, _EXACT + 1)
     for c in range(_EXACT):
-        for t in range(1, c + 2):
-            stay = math.log(c - discount * t) + s[c, t] if c - discount * t > 0 else -np.inf
-            s[c + 1, t] = np.logaddexp(s[c, t - 1], stay)
+        stay = np.where(t <= c, np.log(np.maximum(c - discount * t, 1e-300)), -np.inf) + s[c, 1:]
+        s[c + 1, 1:] = np.logaddexp(s[c, :-1], stay)
     return s
 
 
-def draw_tables(c: np.ndarray, log_a: np.ndarray, discount: float, uniform: np.ndarray) -> np.ndarray:
-    """Numbers of tables of dishes with ``c`` customers each, given log a; ``uniform`` makes the draw repeatable."""
-    table = stirling(discount)
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers: shifted to where the asymptotic series is exact enough."""
+    shift = sum(np.log(x + k) for k in range(7))
+    y = x + 7
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def _log_rise(start: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log of (start + 1) (start + 2) ... (start + t - 1)."""
+    return log_gamma(start + t) - log_gamma(start + 1)
+
+
+@lru_cache(maxsize=4)
+def _scaling(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """t / c^discount, and what log S(c, t) has there beside its known factors, from the last exact row."""
+    t = np.arange(1, _EXACT + 1)
+    known = log_gamma(np.array(float(_EXACT))) - discount * math.log(_EXACT) - log_gamma(t.astype(float)) - (t - 1) * math.log(discount)
+    return t / _EXACT**discount, stirling(discount)[_EXACT, 1:] - known
+
+
+def draw_tables(c: np.ndarray, tables: np.ndarray, sent: np.ndarray, total: np.ndarray, m: Shape, uniform: np.ndarray) -> np.ndarray:
+    """Numbers of tables of dishes with ``c`` customers each, given the other tables of the context, and the root's other customers
+    of the word and of all words; ``uniform`` makes the draw repeatable."""
+    table = stirling(m.discount)
     t = np.ones(len(c), np.int64)
-    small = np.minimum(c, _EXACT)
-    for size in np.unique(small):
+    for size in np.unique(c[c <= _EXACT]):
         if size < 2:
             continue
-        at = np.flatnonzero(small == size)
-        step = (1 << 20) // int(size)  # rows at a time, so that the weights stay small
+        at = np.flatnonzero(c == size)
+        step = max(1, (1 << 19) // int(size))  # rows at a time, so that the weights stay small
+        k = np.arange(1, size)[None, :]
         for low in range(0, len(at), step):
             part = at[low : low + step]
-            weight = table[size, 1 : size + 1][None, :] + log_a[part][:, None] * np.arange(1, size + 1)[None, :]
+            opens = np.log(m.strength + m.discount * (tables[part, None] + k)) + np.log(sent[part, None] + k - m.root_discount) - np.log(m.strength + total[part, None] + k)
+            weight = np.repeat(table[size, 1 : size + 1][None, :], len(part), 0)
+            weight[:, 1:] += np.cumsum(opens, 1)
             weight = np.exp(weight - weight.max(1)[:, None])
-            total = np.cumsum(weight, 1)
-            t[part] = 1 + (total < uniform[part, None] * total[:, -1:]).sum(1)
-    # Further customers come in batches of an eighth of those seated: each opens a table with probability a / (a + n - d t).
+            upto = np.cumsum(weight, 1)
+            t[part] = 1 + (upto < uniform[part, None] * upto[:, -1:]).sum(1)
     large = np.flatnonzero(c > _EXACT)
-    if len(large):
-        a, n, goal, now = np.exp(log_a[large]), np.full(len(large), float(_EXACT)), c[large].astype(float), t[large].astype(float)
-        while (n < goal).any():
-            step = np.minimum(np.ceil(n / 8), goal - n)
-            now += step * a / (a + np.maximum(n - discount * now, 1e-9))
-            n += step
-        t[large] = np.clip(np.floor(now + uniform[large]), 1, c[large]).astype(np.int64)
+    x, extra = _scaling(m.discount)
+    for low in range(0, len(large), 1 << 10):
+        part = large[low : low + (1 << 10)]
+        size = c[part, None].astype(float)
+        most = np.minimum(size, x[-1] * size**m.discount)
+        first = _SINGLE + 0.5
+        single = np.broadcast_to(np.arange(_SINGLE + 1) + 0.5, (len(part), _SINGLE + 1))
+        edge = np.concatenate([single, first * (np.maximum(most, first + 1) / first) ** np.linspace(0, 1, _CELLS + 1)[None, 1:]], 1)
+        middle = (edge[:, 1:] + edge[:, :-1]) / 2
+        weight = np.log(edge[:, 1:] - edge[:, :-1]) - log_gamma(middle) - (middle - 1) * math.log(m.discount) + np.interp(middle / size**m.discount, x, extra)
+        weight += (middle - 1) * math.log(m.discount) + _log_rise(m.strength / m.discount + tables[part, None], middle)
+        weight += _log_rise(sent[part, None] - m.root_discount, middle) - _log_rise(m.strength + total[part, None], middle)
+        upto = np.cumsum(np.exp(weight - weight.max(1)[:, None]), 1)
+        goal = uniform[part, None] * upto[:, -1:]
+        cell = np.minimum((upto < goal).sum(1), _SINGLE + _CELLS - 1)
+        row = np.arange(len(part))
+        below = np.where(cell > 0, upto[row, cell - 1], 0.0)
+        within = (goal[:, 0] - below) / np.maximum(upto[row, cell] - below, 1e-300)
+        t[part] = np.clip(np.rint(edge[row, cell] + within * (edge[row, cell + 1] - edge[row, cell])), 1, c[part]).astype(np.int64)
     return t
 
 
@@ -168,12 +229,25 @@ def draw_tables(c: np.ndarray, log_a: np.ndarray, discount: float, uniform: np.n
 class Shape:
     """Parameters of the model that stay fixed."""
 
-    contexts: int
+    own: np.ndarray  # sorted hashes of the words that are contexts of their own
+    classes: int  # contexts that all other words share
     root_discount: float
     discount: float
     strength: float
     buckets: int
 
+    @property
+    def contexts(self) -> int:
+        return len(self.own) + self.classes
+
+    def context_of(self, words: np.ndarray) -> np.ndarray:
+        """The context that each word is to the next one."""
+        shared = len(self.own) + (T.mix(words + T.U64(1)) % T.U64(self.classes)).astype(np.int64)
+        if not len(self.own):
+            return shared
+        at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
+        return np.where(self.own[at] == words, at, shared)
+
 
 @dataclass(frozen=True)
 class Totals:
@@ -215,11 +289,20 @@ def seatings(words: np.ndarray, context: np.ndarray, n: np.ndarray, history: lis
     yield tables
     many = np.flatnonzero(n > 1)  # a lone customer sits at a table of its own
     for k, before in enumerate(history, 1):
-        root = before.root(np.add.reduceat(tables, first), m)[own[many]] if len(first) else np.zeros(0)
-        log_a = np.log((m.strength + m.discount * before.tables[context[many]]) * root)
-        seed = T.mix(words[many] + T.mix(context[many].astype(np.uint64) + T.U64(1000 * k)))
-        tables = tables.copy()
-        tables[many] = draw_tables(n[many], log_a, m.discount, (seed >> T.U64(11)).astype(np.float64) / 2.0**53)
+        at_first, tables = tables, tables.copy()
+        seed = T.mix(words + T.mix(context.astype(np.uint64) + T.U64(1000 * k)))
+        uniform = (seed >> T.U64(11)).astype(np.float64) / 2.0**53
+        turn = (seed & T.U64(_TURNS - 1)).astype(np.int64)
+        rng = np.random.default_rng([k, int(words[0] if len(words) else 0)])
+        for now in range(_TURNS):
+            part = many[turn[many] == now]
+            if not len(part):
+                continue
+            # What this bucket has changed in the sweep so far is seen at once; a dish's own tables stand up first.
+            changed = np.bincount(context, weights=tables - at_first, minlength=m.contexts + 1)
+            around = before.tables + changed
+            sent = np.add.reduceat(tables, first)[own[part]] - tables[part]
+            tables[part] = draw_tables(n[part], around[context[part]] - tables[part], sent, around.sum() - tables[part], m, uniform[part])
         yield tables
 
 
@@ -346,7 +429,7 @@ def _partial(ids: pa.Array, doc: np.ndarray, known: np.ndarray, base: np.ndarray
     return pa.RecordBatch.from_arrays([ids, *sums], ["doc_id", *_PARTIAL])
 
 
-def fit_and_score(docs: DataFrame, train, contexts: int = 32, sweeps: int = 5, burn_in: int = 2, root_discount: float = 0.75, discount: float = 0.7, strength: float = 1.0, most_frequent: int = 100_000) -> DataFrame:
+def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes: int = 48, sweeps: int = 5, burn_in: int = 2, root_discount: float = 0.75, discount: float = 0.7, strength: float = 1.0, most_frequent: int = 100_000) -> DataFrame:
     """Score the texts of ``docs`` (columns doc_id, text) under the model of those for which ``train`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text). Words that make
@@ -355,7 +438,10 @@ def fit_and_score(docs: DataFrame, train, contexts: int = 32, sweeps: int = 5, b
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    m = Shape(contexts, root_discount, discount, strength, max(24, math.ceil(size / 6 / _BUCKET_TOKENS)))
+    if words_of_their_own + classes > 255:
+        raise ValueError("contexts are numbered in a byte: at most 255 besides the start of a text")
+    own = _frequent_words(docs.where(train).select("text"), words_of_their_own)
+    m = Shape(own, classes, root_discount, discount, strength, max(32, math.ceil(size / 6 / _BUCKET_TOKENS)))
     counts = materialize(_gather(_count(docs.where(train).select("text"), m).repartition(m.buckets, "bucket")), "counts")
     history: list[Totals] = []
     for _ in range(sweeps + 1):
@@ -373,8 +459,8 @@ def fit_and_score(docs: DataFrame, train, contexts: int = 32, sweeps: int = 5, b
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(near.value, history, kept, m)
         for whole in batches:
-            for batch in T.slices(whole, "text", 4 << 20):
-                words, context, doc = _stream(batch, m.contexts)
+            for batch in T.slices(whole, "text", 2 << 20):
+                words, context, doc = _stream(batch, m)
                 at = look.find(words)
                 here = np.flatnonzero(at >= 0)
                 a = at[here]
@@ -442,4 +528,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     scored = fit_and_score(docs, ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
