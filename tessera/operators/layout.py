@@ -42,6 +42,24 @@ def runs(px: DataFrame) -> DataFrame:
     return numbered.groupBy("image_id", "y", "run", *"rgba").agg(F.min("x").alias("start"), F.count("*").alias("length")).drop("run")
 
 
+def draw_counts(px: DataFrame) -> DataFrame:
+    """(image_id, draws, kept): the runs of a picture that differ from its commonest colour, which is filled first, and the pixels
+    that the fill spares."""
+    ground = commonest_colour(px)
+    own = ground.select("image_id", *(F.col(c).alias(f"g{c}") for c in "rgba"), "n")
+    apart = F.lit(False)
+    for c in "rgba":
+        apart = apart | (F.col(c) != F.col(f"g{c}"))
+    found = runs(px).join(own, "image_id")
+    return found.groupBy("image_id").agg(F.sum(apart.cast("int")).alias("draws"), F.max("n").alias("kept"))
+
+
+def index_lines(cuts: DataFrame) -> DataFrame:
+    """(image_id, text): one line of x, y, width and height for each cut (image_id, seq, x, y, w, h), in order."""
+    lines = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(" ", *(F.col(c).cast("string") for c in ("x", "y", "w", "h"))).alias("line"))))
+    return cuts.groupBy("image_id").agg(F.array_join(F.transform(lines, lambda v: F.concat(v["line"], F.lit("\r\n"))), "").alias("text"))
+
+
 def commonest_colour(px: DataFrame) -> DataFrame:
     """(image_id, r, g, b, a, n): the colour of most pixels; the smallest of equals."""
     counts = px.groupBy("image_id", *"rgba").agg(F.count("*").alias("n"))

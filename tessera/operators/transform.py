@@ -112,13 +112,23 @@ def _box_pass(px: DataFrame, size: int, along: str, across: str, channels: list[
 
 def blur(px: DataFrame, size: int, passes: int = 3) -> DataFrame:
     """Repeated box means across and down, rounded, all channels alike."""
-    channels = [c for c in ("r", "g", "b", "a", "v") if c in px.columns]
+    channels = [c for c in ("r", "g", "b", "a", "u", "v") if c in px.columns]
     px = px.repartition("image_id") if size > 0 else px  # all passes go by lines of a picture, so they need no further exchange
     for _ in range(passes if size > 0 else 0):
         px = _box_pass(_box_pass(px, size, "x", "y", channels), size, "y", "x", channels)
     return px
 
 
+def blur_yuv420(luma: DataFrame, chroma: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Planes of 4:2:0 pictures blurred in place; chroma by half the size, rounded up."""
+    return blur(luma, size), blur(chroma, (size + 1) // 2)
+
+
+def resize_yuv420(luma: DataFrame, chroma: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
+    """Planes of pictures with even sides, resized to even sides plane by plane."""
+    return resize(luma, width, height), resize(chroma, width // 2, height // 2)
+
+
 def edge_colour(px: DataFrame) -> DataFrame:
     """(image_id, r, g, b, a): the upper median of the rim for each channel, where nine in ten of the rim are within 8 of it."""
     rows = sized(px)

@@ -7,11 +7,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import media, names, pixels, url
+from tessera.functions import media, names, pixels, sql, url
 from tessera.operators import brush, composite, layout, palette, transform
 from tessera.plans import oracles as O
-from tessera.plans.queries import _canvas, _gray, _layer, _pages, _rgba
-from tessera.sources import raster
+from tessera.plans.queries import _canvas, _few_colours, _gray, _layer, _pages, _rgba
+from tessera.sources import files, raster
 
 _FORMATS = ("rgb888", "rgba8888", "bgr888", "bgra8888", "gray8", "grayalpha88", "rgb565", "rgb555", "rgba5551")
 
@@ -208,6 +208,38 @@ def entries_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "e.filename", "e.encoding", F.md5("e.body").alias("body_md5"))
 
 
+def netpbm_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey pictures written as files in a column and read back."""
+    written = files.netpbm_gray_file(_gray(spark, sf_dir))
+    return files.netpbm_pixels(written.select(F.col("image_id").cast("string").alias("path"), "content"))
+
+
+def blur_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chroma planes of 4 by 4, of pictures of 8 by 8 in the colours of their levels, blurred for a size of 1."""
+    px = _gray(spark, sf_dir).select("image_id", "x", "y", F.col("v").alias("r"), (255 - F.col("v")).alias("g"), (F.col("v") % 100).alias("b"), F.lit(255).alias("a"))
+    return transform.blur_yuv420(*pixels.yuv420(px), 1)[1]
+
+
+def resize_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.of_yuv420(*transform.resize_yuv420(*pixels.yuv420(_rgba(spark, sf_dir)), 6, 2))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions called by name in Spark SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT image_id, x, y, gray8(r, g, b) AS gray, rgb565(r, g, b) AS packed, argb(r, g, b, a) AS argb, color_distance(r, g, b, 0, 170, 85) AS distance, base62_pair(image_id % 3844) AS pair, cache_key(CAST(image_id AS STRING)) AS key FROM {px}", px=_rgba(spark, sf_dir))
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.draw_counts(_few_colours(spark, sf_dir))
+
+
+def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = _cuts(spark, sf_dir).withColumn("image_id", F.col("p_partkey") % 50).withColumnRenamed("p_partkey", "seq")
+    lines = layout.index_lines(cuts)
+    return lines.select("image_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
 # ---- the same in SQL
 
 _PX, _GRAY, _CANVAS = O._PX, O._GRAY, O._CANVAS
@@ -345,7 +377,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pixel_bytes, palette_expanded, chr_tiles, yuv_luma, yuv_chroma, yuv_round_trip, forgotten, negate_gray, crop_palette, resize_palette, resize_pad, cuts_moved, cuts_scaled, grid_rows, grid_painted,
-        url_parts, url_resolved, url_params, percent_round_trip, sizes_parsed, colours_named, formats_found, responses, entries_framed,
+        url_parts, url_resolved, url_params, percent_round_trip, sizes_parsed, colours_named, formats_found, responses, entries_framed, netpbm_gray, blur_chroma, resize_planes, sql_functions, draws, cut_lines,
     )
 }
 QUERIES |= {f"pixels_of_{k}": partial(pixels_of_bytes, kind=k) for k in _FORMATS}
@@ -404,6 +436,30 @@ ORACLES = {
     "entries_framed": "WITH d AS (SELECT doc_id, text, source, doc_id % 3 = 0 AS cut, 4 + 12 + 4 + 6 + octet_length(encode(source)) + 1 AS head FROM documents WHERE text IS NOT NULL) "
     "SELECT doc_id, CAST(CASE WHEN cut THEN 25 + octet_length(encode(source)) ELSE head + octet_length(encode(text)) END AS INT) AS n, CASE WHEN NOT cut THEN 'näme ' || source END AS filename, CASE WHEN NOT cut THEN 'base64' END AS encoding, CASE WHEN NOT cut THEN md5(text) END AS body_md5 FROM d",
 }
+_VIVID = "vi AS (SELECT image_id, x, y, v AS r, 255 - v AS g, v % 100 AS b FROM gr)"
+
+
+def _box3(source: str, name: str, along: str) -> str:
+    """Means of three along an axis of a plane of 4 by 4, the edge repeated."""
+    other = "y" if along == "x" else "x"
+    joins = " ".join(f"JOIN {source} t{k} ON t{k}.image_id = s.image_id AND t{k}.{other} = s.{other} AND t{k}.{along} = least(3, greatest(0, s.{along} + {k - 1}))" for k in range(3))
+    mean = lambda c: f"(t0.{c} + t1.{c} + t2.{c} + 1) // 3 AS {c}"
+    return f"{name} AS MATERIALIZED (SELECT s.image_id, s.x, s.y, {mean('u')}, {mean('v')} FROM {source} s {joins})"
+
+
+ORACLES |= {
+    "netpbm_gray": f"WITH {_GRAY} SELECT CAST(image_id AS VARCHAR) AS path, x, y, v AS r, v AS g, v AS b, 255 AS a FROM gr",
+    "blur_chroma": f"WITH {_GRAY}, {_VIVID}, {_planes('vi', 7)}, " + ", ".join(_box3("ch" if k == 0 else f"k{k - 1}", f"k{k}", "xy"[k % 2]) for k in range(6)) + " SELECT image_id, x, y, CAST(u AS INT) AS u, CAST(v AS INT) AS v FROM k5",
+    "resize_planes": f"WITH {_PX}, {_planes('px', 3)}, tg AS (SELECT CAST(k % 6 AS INT) AS x, CAST(k // 6 AS INT) AS y FROM (SELECT unnest(range(12)) AS k)), "
+    "ll AS (SELECT image_id, i.x, i.y, v FROM lu, tg i WHERE lu.x = i.x * 4 // 6 AND lu.y = i.y * 4 // 2), cc AS (SELECT image_id, i.x, i.y, u, v FROM ch, tg i WHERE i.x < 3 AND i.y < 1 AND ch.x = i.x * 2 // 3 AND ch.y = 0) "
+    "SELECT ll.image_id, ll.x, ll.y, CAST(least(255, greatest(0, ll.v + floor(1436 * (cc.v - 128) / 1024.0))) AS INT) AS r, CAST(least(255, greatest(0, ll.v - floor((352 * (u - 128) + 731 * (cc.v - 128)) / 1024.0))) AS INT) AS g, "
+    "CAST(least(255, greatest(0, ll.v + floor(1815 * (u - 128) / 1024.0))) AS INT) AS b, 255 AS a FROM ll JOIN cc ON ll.image_id = cc.image_id AND ll.x // 2 = cc.x AND ll.y // 2 = cc.y",
+    "sql_functions": f"WITH {_PX} SELECT image_id, x, y, {_Y8} AS gray, CAST({O._565} AS INT) AS packed, CAST(a AS BIGINT) * 16777216 + r * 65536 + g * 256 + b AS argb, CAST(2 * r * r + 4 * (g - 170) * (g - 170) + 3 * (b - 85) * (b - 85) AS INT) AS distance, "
+    "substring('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(image_id % 3844 // 62 + 1 AS INT), 1) || substring('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(image_id % 3844 % 62 + 1 AS INT), 1) AS pair, md5(CAST(image_id AS VARCHAR)) AS key FROM px",
+    "draws": f"WITH {_PX}, {O._FEW}, {O._COMMON}, ru AS (SELECT image_id, y, x, r, g, b, a, CASE WHEN {O._CHANGES} THEN 1 ELSE 0 END AS starts FROM few WINDOW w AS (PARTITION BY image_id, y ORDER BY x)) "
+    "SELECT ru.image_id, CAST(sum(CASE WHEN starts = 1 AND (ru.r <> cc.r OR ru.g <> cc.g OR ru.b <> cc.b OR ru.a <> cc.a) THEN 1 ELSE 0 END) AS BIGINT) AS draws, max(n) AS kept FROM ru JOIN cc ON cc.image_id = ru.image_id GROUP BY 1",
+    "cut_lines": f"WITH {_CUTS}, l AS (SELECT p_partkey % 50 AS image_id, string_agg(x || ' ' || y || ' ' || w || ' ' || h || chr(13) || chr(10), '' ORDER BY p_partkey) AS t FROM ct GROUP BY 1) SELECT image_id, CAST(length(t) AS INT) AS n, md5(t) AS text_md5 FROM l",
+}
 ORACLES |= {f"pixels_of_{k}": _back(k) for k in _FORMATS}
 ORACLES |= {f"quantise_{n}": f"WITH {_PX}, {_colours(s)} {_fit('px')}" for n, s in (("nes", "nes"), ("tic80_bank", "tic80:2..5,7"), ("world", "world"), ("mario", "mario"), ("kokobatoru", "kokobatoru"), ("cgagraphics", "cgagraphics"), ("pico8", "pico8"))}
 ORACLES |= {

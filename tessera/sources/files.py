@@ -9,6 +9,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,38 +38,63 @@ def kind_of(content: Column) -> Column:
 
 
 def netpbm_pixels(files: DataFrame) -> DataFrame:
-    """Pixel rows (path, x, y, r, g, b, a) of grey and colour netpbm files, plain or raw; broken files have no rows."""
+    """Pixel rows (path, x, y, r, g, b, a) of bitmaps (1 is black), grey and colour netpbm files, plain or raw; broken files have
+    no rows."""
 
-    def values(data: bytes) -> tuple[int, int, int, list[int] | bytes] | None:
-        head = re.match(rb"P([2356])((?:\s+|#[^\n]*\n)+)(\d+)((?:\s+|#[^\n]*\n)+)(\d+)((?:\s+|#[^\n]*\n)+)(\d+)\s", data)
+    def levels(data: bytes) -> np.ndarray | None:
+        """height x width x 3."""
+        gap = rb"(?:\s+|#[^\n]*\n)+"
+        head = re.match(rb"P([1-6])" + gap + rb"(\d+)" + gap + rb"(\d+)" + rb"(?:(?<=\d)\s|(?=\s))", data) if data[1:2] in b"14" else re.match(rb"P([2356])" + gap + rb"(\d+)" + gap + rb"(\d+)" + gap + rb"(\d+)\s", data)
         if not head:
             return None
-        kind, w, h, most = int(head[1]), int(head[3]), int(head[5]), int(head[7])
+        kind, w, h = int(head[1]), int(head[2]), int(head[3])
+        most = 1 if kind in (1, 4) else int(head[4])
         channels = 3 if kind in (3, 6) else 1
         n = w * h * channels
         if not 0 < most < 256 or not n:
             return None
         body = data[head.end() :]
-        samples = [int(v) for v in re.sub(rb"#[^\n]*", b"", body).split()[:n]] if kind < 4 else body[:n]
-        return (w, channels, most, samples) if len(samples) == n else None
+        if kind < 4:
+            body = re.sub(rb"#[^\n]*", b"", body)
+            parts = re.findall(rb"[01]", body) if kind == 1 else body.split()
+            if len(parts) < n:
+                return None
+            samples = np.array([int(v) for v in parts[:n]], np.int32)
+        elif kind == 4:
+            row = -(-w // 8)
+            if len(body) < row * h:
+                return None
+            samples = np.unpackbits(np.frombuffer(body, np.uint8, row * h).reshape(h, row), axis=1)[:, :w].astype(np.int32).ravel()
+        else:
+            if len(body) < n:
+                return None
+            samples = np.frombuffer(body, np.uint8, n).astype(np.int32)
+        if kind in (1, 4):
+            samples = 1 - samples
+        out = (samples * 255 // most).reshape(h, w, channels)
+        return np.repeat(out, 3, axis=2) if channels == 1 else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if (found := values(content)) is None:
+                if (found := levels(content)) is None:
                     continue
-                w, channels, most, samples = found
-                levels = [v * 255 // most for v in samples]
-                rgb = [levels[k::3] for k in range(3)] if channels == 3 else [levels] * 3
-                n = len(rgb[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * n), pa.array([k % w for k in range(n)], pa.int32()), pa.array([k // w for k in range(n)], pa.int32()), *(pa.array(c, pa.int32()) for c in rgb), pa.array([255] * n, pa.int32())],
-                    ["path", "x", "y", "r", "g", "b", "a"],
-                )
+                h, w, _ = found.shape
+                y, x = (v.ravel().astype(np.int32) for v in np.mgrid[0:h, 0:w])
+                rgb = found.reshape(-1, 3)
+                opaque = np.full(len(x), 255, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(x)), *(pa.array(v) for v in (x, y, *np.ascontiguousarray(rgb.T), opaque))], ["path", "x", "y", "r", "g", "b", "a"])
 
     return files.select("path", "content").mapInArrow(run, "path string, x int, y int, r int, g int, b int, a int")
 
 
+def netpbm_gray_file(levels: DataFrame) -> DataFrame:
+    """(image_id, content): grey pictures (image_id, x, y, v), written as raw grey files; pictures must be whole."""
+    rows = levels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
+    body = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(p["v"].cast("long")), 2, "0")), ""))
+    return rows.select("image_id", F.concat(F.encode(F.format_string("P5\n%d %d\n255\n", "w", "h"), "UTF-8"), body).alias("content"))
+
+
 def netpbm_file(packed: DataFrame) -> DataFrame:
     """(image_id, content): pictures packed as RGBA bytes, written as raw colour files without their alpha."""
     pixels = F.regexp_replace(F.hex("data"), "(......)..", "$1")

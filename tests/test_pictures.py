@@ -258,3 +258,12 @@ def test_free_requests(spark):
 def test_small_palettes_stay_whole(spark):
     px = picture(spark, [(255, 255, 255, 255)] * 4, 2)
     assert [(r.idx, r.place) for r in palette.most_apart(px, [0, 0xFFFFFF], 4).orderBy("place").collect()] == [(0, 1), (1, 2)]
+
+
+def test_bitmaps(spark):
+    from tessera.sources import files
+
+    plain, raw = b"P1\n# note\n4 2\n0101 1 0 1 0\n", b"P4\n4 2\n" + bytes([0b01010000, 0b10100000])
+    rows = files.netpbm_pixels(spark.createDataFrame([("a", plain), ("b", raw), ("c", b"P4\n9 9\nx"), ("d", b"P1 2")], "path string, content binary")).collect()
+    of = lambda p: {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in rows if r.path == p}
+    assert of("a") == of("b") and len(rows) == 16 and of("a")[0, 0] == (255, 255, 255, 255) and of("a")[1, 0] == (0, 0, 0, 255) and of("b")[0, 1] == (0, 0, 0, 255)
