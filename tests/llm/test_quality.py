@@ -1,5 +1,6 @@
 """Quality rules: statistics against brute force, and what weak supervision makes of votes."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from common import SF, odd_documents
+from tessera.llm import quality as Q
 from tessera.llm.quality import expectation_maximisation, judge, statistics
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -62,3 +64,31 @@ def test_odd_tables(spark):
     assert all(by[d].base_failed and not by[d].kept and by[d].n_words == by[d].n_repeat_words == 0 for d in (1, 2, 3))
     assert judge(odd_documents(spark, empty=True)).count() == 0
     assert statistics(spark.read.parquet(f"{SF}/documents.parquet").limit(3)).columns[:1] == ["doc_id"]
+
+
+def test_kept_against_plain_expectation_maximisation(spark):
+    """The same estimate text by text in plain Python, from the votes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    votes = Q.rules()
+    rows = {r.doc_id: r for r in Q.statistics(docs).withColumns(votes).collect()}
+    names, weight, prior = list(votes), 20.0, 0.8
+    bias, of = math.log(prior / (1 - prior)), {(r, v): math.log(Q._GOOD[v] / Q._BAD[v]) if v else 0.0 for r in names for v in (-1, 0, 1)}
+    good = lambda r: 1 / (1 + math.exp(-(bias + sum(of[n, r[n]] for n in names))))
+    for _ in range(12):
+        p = {d: good(r) for d, r in rows.items()}
+        all_good, all_bad = sum(p.values()), sum(1 - x for x in p.values())
+        new = {}
+        for n in names:
+            for v in (-1, 0, 1):
+                own = [d for d, r in rows.items() if r[n] == v]
+                on_good = (sum(p[d] for d in own) + weight * Q._GOOD[v]) / (all_good + weight)
+                on_bad = (sum(1 - p[d] for d in own) + weight * Q._BAD[v]) / (all_bad + weight)
+                odds = math.log(on_good / on_bad)
+                new[n, v] = max(odds, 0.0) if v > 0 else min(odds, 0.0) if v < 0 else odds
+        share = (all_good + prior * weight) / (all_good + all_bad + weight)
+        bias, of = math.log(share / (1 - share)), new
+    got = Q.judge(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.quality == pytest.approx(good(rows[r.doc_id]), abs=1e-9)
+        assert r.kept == (not r.base_failed and good(rows[r.doc_id]) >= 0.5)
