@@ -48,7 +48,7 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)
     step = step.withColumn("_lines", lines)
     squeezed = F.translate(text, _BLANKS, "")
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]++", ""))
     stats = {
         "n_words": F.size("_words"),
         "word_chars": F.length(squeezed),
@@ -112,20 +112,24 @@ def expectation_maximisation(votes: DataFrame, names: list[str], rounds: int = 1
 
     What is assumed at first is also a prior worth ``weight`` texts, so that "good" keeps its meaning. At first only cast votes
     count; later abstentions tell something too. A vote never counts against what it says. A round is one aggregation over
-    patterns that gives a few sums for each rule."""
-    patterns = materialize(votes.groupBy(*names).agg(F.count("*").alias("_n")), "patterns")
+    patterns that gives two sums for each vote of each rule."""
+    patterns = votes.groupBy(*names).agg(F.count("*").alias("n")).select(F.array(*names).alias("votes"), "n")
+    patterns = materialize(patterns, "patterns")
     now = Weights(math.log(prior / (1 - prior)), {(r, v): math.log(_GOOD[v] / _BAD[v]) if v else 0.0 for r in names for v in (-1, 0, 1)})
     for _ in range(rounds):
-        weights = {"g": now.posterior() * F.col("_n"), "b": (1 - now.posterior()) * F.col("_n")}
-        p = patterns.withColumns({f"_{s}": w for s, w in weights.items()})
-        parts = [F.sum(F.when(F.col(r) == v, F.col(f"_{s}")).otherwise(0.0)).alias(f"{r}_{v}_{s}") for r in names for v in (-1, 0, 1) for s in "gb"]
-        sums = p.agg(*(F.sum(f"_{s}").alias(f"_{s}") for s in "gb"), *parts).first()
-        good, bad = (float(sums[f"_{s}"] or 0) for s in "gb")
+        # The weights are one array, so a round's generated code is that of the round before. Each rule has its part of the bias.
+        table = F.array(*(F.lit(now.of[r, v] + now.bias / len(names)) for r in names for v in (-1, 0, 1)))
+        odds = sum((F.get(table, F.get("votes", F.lit(k)) + 3 * k + 1) for k in range(len(names))), F.lit(0.0))
+        p = patterns.select("n", (1 / (1 + F.exp(-odds))).alias("p"), F.posexplode("votes").alias("rule", "vote"))
+        rows = p.groupBy("rule", "vote").agg(F.sum(F.col("p") * F.col("n")).alias("g"), F.sum((1 - F.col("p")) * F.col("n")).alias("b")).collect()
+        sums = {(names[r.rule], r.vote): (r.g, r.b) for r in rows}
+        good, bad = (sum(sums.get((names[0], v), (0.0, 0.0))[k] for v in (-1, 0, 1)) for k in range(2))
         of = {}
         for r in names:
             for v in (-1, 0, 1):
-                on_good = (float(sums[f"{r}_{v}_g"] or 0) + weight * _GOOD[v]) / (good + weight)
-                on_bad = (float(sums[f"{r}_{v}_b"] or 0) + weight * _BAD[v]) / (bad + weight)
+                seen = sums.get((r, v), (0.0, 0.0))
+                on_good = (seen[0] + weight * _GOOD[v]) / (good + weight)
+                on_bad = (seen[1] + weight * _BAD[v]) / (bad + weight)
                 odds = math.log(on_good / on_bad)
                 of[r, v] = max(odds, 0.0) if v > 0 else min(odds, 0.0) if v < 0 else odds
         share = (good + prior * weight) / (good + bad + weight)
