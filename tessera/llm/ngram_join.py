@@ -11,10 +11,10 @@ four words is a single shingle). Two texts are linked if the Jaccard similarity
    ``1 - (1 - s^k)^trees``, so it stands for the inverse of that many. Prefixes are shortened for those classes only that have
    no link yet or whose estimated recall is below ``enough``; at the shortest length a pair just at the threshold is met with
    probability ``recall``. A pair is verified in the round in which it first meets, once.
-4. For verification classes are put into blocks of bounded size by the largest node of a trie that they are in, and only blocks
-   that have classes under a common node are brought together. Of two such blocks only those pairs are looked at that met;
-   intersections are counted by products of incidence matrices. No pairs are emitted: a pair of blocks gives each class's
-   number of links and the edges of a spanning forest of its links.
+4. For verification classes that meet, directly or through others, are put into blocks of bounded size, those under the same
+   large node of a trie together, and only blocks that have classes under a common node are brought together. Of two such
+   blocks only those pairs are looked at that met; intersections are counted by products of incidence matrices. No pairs are
+   emitted: a pair of blocks gives each class's number of links and the edges of a spanning forest of its links.
 
 Links between different texts are thus counted as surely as the recall asks, groups are exact components of the found links, and
 rows stay proportional to members times blocks.
@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from tessera.llm import text as T
 from tessera.llm.components import components
 from tessera.llm.filters import bit_table
-from tessera.llm.storage import materialize
+from tessera.llm.storage import discard, materialize
 
 _WORDS = 5
 _BLOCK_DOCS, _BLOCK_SHINGLES = 512, 400_000
 _COLUMNS = 2048
+_MOST_BROADCAST = 200_000  # rows of a few numbers
 
 
 def prefix_lengths(trees: int, recall: float, threshold: float, longest: int = 8) -> list[int]:
@@ -276,24 +277,45 @@ def _sets(texts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _shared_prefixes(rows: DataFrame, trees: int, level: int) -> DataFrame:
-    """(key, node, n, n_shingles of all) of the prefixes at a level under which several classes stand, one of them active."""
-    under = rows.select("node", "n_shingles", "active", F.explode(F.slice("keys", level * trees + 1, trees)).alias("key"))
-    shared = under.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles"), F.max("active").alias("some")).where("n > 1 and some")
-    return under.select("key", "node").join(shared.select("key", "n", "all_shingles"), "key")
-
-
-def _verify(sets: DataFrame, threshold: float, trees: int, lengths: list[int], level: int) -> DataFrame:
-    """One round: blocks by the largest shared prefix, pairs of blocks with a common prefix, and their links."""
-    under = materialize(_shared_prefixes(sets, trees, level), "prefixes")
-    home = under.groupBy("node").agg(F.max(F.struct("n", "key", "all_shingles")).alias("h"))
-    parts = F.greatest(F.ceil(F.col("h.n") / _BLOCK_DOCS), F.ceil(F.col("h.all_shingles") / _BLOCK_SHINGLES))
-    placed = materialize(home.select("node", F.xxhash64("h.key", F.pmod(F.xxhash64("node"), parts)).alias("block")), "placed")
-    blocks = materialize(under.join(placed, "node").select("key", "block").distinct(), "blocks")
-    pairs = blocks.join(blocks.withColumnRenamed("block", "other").hint("merge"), "key").where("block <= other").select(F.col("block").alias("i"), F.col("other").alias("j")).distinct()
-    pairs = materialize(pairs, "block_pairs")
+    """(key, node, n) of the prefixes at a level under which several classes stand, one of them active, that haven't all met at the
+    level before."""
+    each = F.explode(F.arrays_zip(F.slice("keys", level * trees + 1, trees).alias("key"), F.slice("keys", max(0, level - 1) * trees + 1, trees).alias("longer"))).alias("k")
+    under = rows.select("node", "active", each).select("node", "active", "k.key", "k.longer")
+    new = F.lit(True) if level == 0 else F.min("longer") < F.max("longer")
+    shared = under.groupBy("key").agg(F.count("*").alias("n"), F.max("active").alias("some"), new.alias("new")).where("n > 1 and some and new")
+    return under.select("key", "node").join(shared.select("key", "n"), "key")
+
+
+def _blocks(sets: DataFrame, under: DataFrame) -> DataFrame:
+    """(node, block): as many blocks to a cluster of classes that meet as its size asks for, dealt by the largest shared prefix."""
+    firsts = under.groupBy("key").agg(F.min("node").alias("first"))
+    meets = under.join(firsts, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    clusters = materialize(components(meets).select(F.col("id").alias("node"), F.col("component").alias("cluster")), "clusters")
+    sized = clusters.join(sets.select("node", "n_shingles"), "node").groupBy("cluster")
+    parts = materialize(sized.agg(F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).alias("parts")), "parts")
+    home = under.groupBy("node").agg(F.max(F.struct("n", "key")).alias("h"))
+    share = F.pmod(F.xxhash64("node"), F.ceil(F.col("h.n") / _BLOCK_DOCS))
+    rows = home.join(clusters, "node").join(parts, "cluster")
+    return materialize(rows.select("node", F.xxhash64("cluster", F.pmod(F.xxhash64("h.key", share), F.col("parts"))).alias("block")), "placed")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, a few numbers each, with a hint to broadcast them where there are few; beyond that both sides are shuffled."""
+    return F.broadcast(rows) if rows.count() <= _MOST_BROADCAST else rows
+
+
+def _verify(sets: DataFrame, now: DataFrame, placed: DataFrame, threshold: float, trees: int, lengths: list[int], level: int) -> DataFrame:
+    """One round: the links of the pairs that meet at this level, in pairs of blocks that have a prefix in common. ``now`` has the
+    classes' keys, and whether they are in search of links."""
+    under = materialize(_shared_prefixes(now, trees, level).join(placed, "node").select("key", "node", "block"), "prefixes")
+    # A prefix has few blocks, and many prefixes have the same ones.
+    together = under.groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("b")).select("b").distinct()
+    pairs = together.select(F.explode(F.transform("b", lambda i, k: F.struct(i.alias("i"), F.slice("b", k + 1, F.size("b") - k).alias("js")))).alias("p"))
+    pairs = materialize(pairs.select("p.i", F.explode("p.js").alias("j")).distinct(), "block_pairs")
     of = pairs.select(F.col("i").alias("block"), "i", "j").union(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
-    sent = materialize(placed.join(of, "block"), "sent")
-    rows = sets.join(sent, "node").select("i", "j", "block", "digest", "n_docs", "n_shingles", "keys", "active", "shingles")
+    sent = under.select("node", "block").distinct().join(of, "block").join(now.select("node", "active"), "node")
+    sent = materialize(sent.groupBy("node", "block", "i", "j").agg(F.max("active").alias("active")), "sent")
+    rows = sets.join(_small(sent), "node").select("i", "j", "block", "digest", "n_docs", "n_shingles", "keys", "active", "shingles")
     return _compare(rows.repartition("i", "j").sortWithinPartitions("i", "j"), threshold, trees, lengths, level)
 
 
@@ -306,18 +328,23 @@ def linked(docs: DataFrame, id_column: str, text_column: str, threshold: float,
     classes = worded.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     classes = materialize(classes.withColumns({"node": F.xxhash64("digest"), "active": F.lit(True)}), "classes")
     # Those that are alone under all of their shortest prefixes go no further.
-    meets = _shared_prefixes(classes, trees, len(lengths) - 1).select("node").distinct()
-    chosen = materialize(classes.join(meets, "node", "left_semi"), "chosen")
+    under = classes.select("node", F.explode(F.slice("keys", (len(lengths) - 1) * trees + 1, trees)).alias("key"))
+    shared = materialize(under.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    under = materialize(under.join(shared, "key"), "under")
+    chosen = materialize(classes.join(under.select("node").distinct(), "node", "left_semi"), "chosen")
     sets = chosen.join(_sets(texts, chosen).hint("merge"), "digest").select(*chosen.columns, "shingles")
     sets = materialize(sets.dropDuplicates(["digest"]).drop("active", "rep"), "sets")
+    placed = _blocks(sets, under)
+    discard(shared, under, chosen)
     found = None
     for level in range(len(lengths)):
         if found is None:
-            now = sets.withColumn("active", F.lit(True))
+            now = sets.select("node", "digest", "keys").withColumn("active", F.lit(True))
         else:  # who has found enough only answers
             done = found.groupBy("digest").agg(F.sum("n_links").alias("n"), F.sum(F.get("estimates", F.lit(level - 1))).alias("all")).where(F.col("n") >= enough * F.col("all"))
-            now = sets.join(materialize(done.select("digest", F.lit(True).alias("done")), "done"), "digest", "left").withColumn("active", F.col("done").isNull()).drop("done")
-        links = materialize(_verify(now, threshold, trees, lengths, level), "links")
+            done = _small(materialize(done.select("digest", F.lit(True).alias("done")), "done"))
+            now = materialize(sets.select("node", "digest", "keys").join(done, "digest", "left").withColumn("active", F.col("done").isNull()).drop("done"), "now")
+        links = materialize(_verify(sets, now, placed, threshold, trees, lengths, level), "links")
         found = links if found is None else found.union(links)
     groups = components(found.select(F.col("digest").alias("a"), F.col("joined").alias("b")))
     totals = found.groupBy("digest").agg(F.sum("n_links").alias("n_links"), F.sum("n_docs").alias("n_linked"))

@@ -118,9 +118,9 @@ def test_prefixes_are_shortened_where_needed(spark, monkeypatch):
         rows.append((1001 + 2 * d, " ".join(own)))
     verify = N._verify
 
-    def watched(sets, *args):
-        out = verify(sets, *args)
-        levels.append((args[-1], {r.digest for r in sets.where("active").select("digest").collect()}, {r.digest for r in out.collect()}))
+    def watched(sets, now, *args):
+        out = verify(sets, now, *args)
+        levels.append((args[-1], {r.digest for r in now.where("active").select("digest").collect()}, {r.digest for r in out.collect()}))
         return out
 
     monkeypatch.setattr(N, "_verify", watched)
