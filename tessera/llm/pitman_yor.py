@@ -188,20 +188,20 @@ def draw_tables(c: np.ndarray, tables: np.ndarray, sent: np.ndarray, total: np.n
     of the word and of all words; ``uniform`` makes the draw repeatable."""
     table = stirling(m.discount)
     t = np.ones(len(c), np.int64)
-    for size in np.unique(c[c <= _EXACT]):
-        if size < 2:
-            continue
-        at = np.flatnonzero(c == size)
-        step = max(1, (1 << 19) // int(size))  # rows at a time, so that the weights stay small
+    size = 2
+    while size <= _EXACT:  # dishes of about as many customers together; the table has nothing beyond a dish's own
+        at = np.flatnonzero((c <= size) & (c > size // 2))
+        step = max(1, (1 << 19) // size)  # rows at a time, so that the weights stay small
         k = np.arange(1, size)[None, :]
         for low in range(0, len(at), step):
             part = at[low : low + step]
-            opens = np.log(m.strength + m.discount * (tables[part, None] + k)) + np.log(sent[part, None] + k - m.root_discount) - np.log(m.strength + total[part, None] + k)
-            weight = np.repeat(table[size, 1 : size + 1][None, :], len(part), 0)
-            weight[:, 1:] += np.cumsum(opens, 1)
+            opens = (m.strength + m.discount * (tables[part, None] + k)) * (sent[part, None] + k - m.root_discount) / (m.strength + total[part, None] + k)
+            weight = table[c[part], 1 : size + 1]
+            weight[:, 1:] += np.cumsum(np.log(opens), 1)
             weight = np.exp(weight - weight.max(1)[:, None])
             upto = np.cumsum(weight, 1)
-            t[part] = 1 + (upto < uniform[part, None] * upto[:, -1:]).sum(1)
+            t[part] = np.minimum(1 + (upto < uniform[part, None] * upto[:, -1:]).sum(1), c[part])
+        size *= 2
     large = np.flatnonzero(c > _EXACT)
     x, extra = _scaling(m.discount)
     for low in range(0, len(large), 1 << 10):
@@ -289,20 +289,22 @@ def seatings(words: np.ndarray, context: np.ndarray, n: np.ndarray, history: lis
     yield tables
     many = np.flatnonzero(n > 1)  # a lone customer sits at a table of its own
     for k, before in enumerate(history, 1):
-        at_first, tables = tables, tables.copy()
-        seed = T.mix(words + T.mix(context.astype(np.uint64) + T.U64(1000 * k)))
+        tables = tables.copy()
+        seed = T.mix(words[many] + T.mix(context[many].astype(np.uint64) + T.U64(1000 * k)))
         uniform = (seed >> T.U64(11)).astype(np.float64) / 2.0**53
         turn = (seed & T.U64(_TURNS - 1)).astype(np.int64)
-        rng = np.random.default_rng([k, int(words[0] if len(words) else 0)])
+        around, total = before.tables.astype(float), float(before.tables.sum())
+        sent = np.add.reduceat(tables, first) if len(first) else np.zeros(0, np.int64)
         for now in range(_TURNS):
-            part = many[turn[many] == now]
-            if not len(part):
-                continue
+            chosen = np.flatnonzero(turn == now)
+            part = many[chosen]
             # What this bucket has changed in the sweep so far is seen at once; a dish's own tables stand up first.
-            changed = np.bincount(context, weights=tables - at_first, minlength=m.contexts + 1)
-            around = before.tables + changed
-            sent = np.add.reduceat(tables, first)[own[part]] - tables[part]
-            tables[part] = draw_tables(n[part], around[context[part]] - tables[part], sent, around.sum() - tables[part], m, uniform[part])
+            was, at, word = tables[part], context[part], own[part]
+            new = draw_tables(n[part], around[at] - was, sent[word] - was, total - was, m, uniform[chosen])
+            around += np.bincount(at, weights=new - was, minlength=m.contexts + 1)
+            total += float((new - was).sum())
+            np.add.at(sent, word, new - was)
+            tables[part] = new
         yield tables
 
 
@@ -429,7 +431,7 @@ def _partial(ids: pa.Array, doc: np.ndarray, known: np.ndarray, base: np.ndarray
     return pa.RecordBatch.from_arrays([ids, *sums], ["doc_id", *_PARTIAL])
 
 
-def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes: int = 48, sweeps: int = 5, burn_in: int = 2, root_discount: float = 0.75, discount: float = 0.7, strength: float = 1.0, most_frequent: int = 100_000) -> DataFrame:
+def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes: int = 48, sweeps: int = 4, burn_in: int = 1, root_discount: float = 0.75, discount: float = 0.7, strength: float = 1.0, most_frequent: int = 100_000) -> DataFrame:
     """Score the texts of ``docs`` (columns doc_id, text) under the model of those for which ``train`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text). Words that make
