@@ -18,6 +18,9 @@ _QUERIES = {
     "op8_substring_dedup": ("substring_dedup", "query"),
     "op9_pii": ("pii", "query"),
     "op10_quality": ("quality", "query"),
+    "op11_filter_audit": ("filter_audit", "query"),
+    "op12_simhash": ("simhash", "query"),
+    "op13_resample": ("resampling", "query"),
 }
 
 
@@ -41,6 +44,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import substring_dedup, warc
+    from tessera.llm import filter_audit, substring_dedup, warc
 
-    return {"op5_warc": warc.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op5_warc": warc.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL}

@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))[LOWER]
+_CASED = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
+_BYTE = _CASED[LOWER]
 
 
 def _powers(base: int) -> np.ndarray:
@@ -86,33 +87,34 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
     return starts, np.flatnonzero(ends_here) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words without regard to the case of A-Z; equal bytes give equal hashes wherever they stand."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cased: bool = False) -> np.ndarray:
+    """64-bit hashes of words, unless ``cased`` without regard to the case of A-Z; equal bytes give equal hashes wherever they stand."""
+    table = _CASED if cased else _BYTE
     out = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):
         low = int(starts[at])
         to = int(np.searchsorted(ends, low + _CHUNK, side="right"))
         if to <= at:
-            out[at] = _long_hash(data[low : ends[at]])
+            out[at] = _long_hash(data[low : ends[at]], table)
             at += 1
             continue
         high = int(ends[to - 1])
         sums = np.zeros(high - low + 1, U64)
-        np.cumsum(_BYTE[data[low:high]] * _POW[: high - low], out=sums[1:], dtype=U64)
+        np.cumsum(table[data[low:high]] * _POW[: high - low], out=sums[1:], dtype=U64)
         first = starts[at:to] - low
         out[at:to] = (sums[ends[at:to] - low] - sums[first]) * _INV[first]
         at = to
     return mix(out)
 
 
-def _long_hash(data: np.ndarray) -> np.uint64:
+def _long_hash(data: np.ndarray, table: np.ndarray) -> np.uint64:
     """The same polynomial for a word longer than a chunk."""
     total, shift = 0, 1
     step = pow(_BASE, _CHUNK, 1 << 64)
     for k in range(0, len(data), _CHUNK):
         part = data[k : k + _CHUNK]
-        total += int((_BYTE[part] * _POW[: len(part)]).sum(dtype=U64)) * shift
+        total += int((table[part] * _POW[: len(part)]).sum(dtype=U64)) * shift
         shift = shift * step % (1 << 64)
     return U64(total % (1 << 64))
 
