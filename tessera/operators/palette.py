@@ -119,19 +119,23 @@ def chr_indices(tiles: DataFrame) -> DataFrame:
 
 
 def most_voted(px: DataFrame, palette: list[int], keep: int) -> DataFrame:
-    """(image_id, idx, votes, place): the colours of a picture that most pixels are nearest to; ties go to the lower index. In
-    the order of ``idx`` they are the limited palette.
+    """(image_id, idx, votes, place): the first ``keep`` colours of the whole palette by how many of a picture's pixels are nearest
+    to them; ties, those without votes too, go to the lower index. In the order of ``idx`` they are the limited palette, which is
+    the whole of one that is no larger than ``keep``.
 
-    Votes are counted before anything is ranked: a picture ranks at most 256 rows."""
+    Votes are counted before anything is ranked: a picture ranks at most 256 colours, in one array."""
     votes = quantise(px, palette).groupBy("image_id", "idx").agg(F.count("*").alias("votes"))
-    ranked = votes.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("votes"), "idx")))
-    return ranked.where(F.col("place") <= keep)
+    counts = votes.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "votes"))).alias("votes"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(len(palette) - 1)), lambda k: F.struct((-F.coalesce(F.element_at("votes", k), F.lit(0))).alias("less"), k.alias("idx")))
+    ranked = counts.select("image_id", F.posexplode(F.slice(F.array_sort(every), 1, keep)).alias("at", "c"))
+    return ranked.select("image_id", "c.idx", (-F.col("c.less")).alias("votes"), (F.col("at") + 1).alias("place"))
 
 
 def diffuse(px: DataFrame, palette: list[int]) -> DataFrame:
     """(image_id, x, y, idx) with the error of each pixel passed on to the pixels after and below it (7, 3, 5 and 1 sixteenths).
 
-    The one palette fit that is sequential: each picture is a group and goes through a task by itself."""
+    The one palette fit that is sequential: each picture is a group and goes through a task by itself. What a pixel is owed comes
+    from its left and from three pixels of the row above, so all pixels with the same x + 2 y are fitted together."""
     colours = np.array([[c >> 16, c >> 8 & 255, c & 255] for c in palette], np.int64)
     weights = np.array([2, 4, 3])
 
@@ -141,13 +145,14 @@ def diffuse(px: DataFrame, palette: list[int]) -> DataFrame:
         wanted = picture[["r", "g", "b"]].to_numpy(np.int64).reshape(h, w, 3)
         owed = np.zeros((h + 1, w + 2, 3), np.int64)  # a rim takes what leaves the picture
         index = np.zeros((h, w), np.int32)
-        for y in range(h):
-            for x in range(w):
-                now = np.clip(wanted[y, x] + owed[y, x + 1], 0, 255)
-                index[y, x] = k = int((weights * (now - colours) ** 2).sum(1).argmin())
-                left = now - colours[k]
-                for dy, dx, part in ((0, 2, 7), (1, 0, 3), (1, 1, 5), (1, 2, 1)):
-                    owed[y + dy, x + dx] += np.trunc(left * part / 16).astype(np.int64)
+        for front in range(w + 2 * (h - 1)):
+            y = np.arange(max(0, (front - w + 2) // 2), min(h - 1, front // 2) + 1)
+            x = front - 2 * y
+            now = np.clip(wanted[y, x] + owed[y, x + 1], 0, 255)
+            index[y, x] = k = (weights * (now[:, None] - colours) ** 2).sum(2).argmin(1)
+            left = now - colours[k]
+            for dy, dx, part in ((0, 2, 7), (1, 0, 3), (1, 1, 5), (1, 2, 1)):  # no two of a front share a pixel here
+                owed[y + dy, x + dx] += np.trunc(left * part / 16).astype(np.int64)
         return picture[["image_id", "x", "y"]].assign(idx=index.ravel())
 
     kind = px.schema["image_id"].dataType.simpleString()

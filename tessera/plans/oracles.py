@@ -242,13 +242,13 @@ ORACLES: dict[str, str] = {
     "histogram": f"WITH {_PX} SELECT r // 64 AS r, g // 64 AS g, b // 64 AS b, a // 64 AS a, count(*) AS n FROM px GROUP BY 1, 2, 3, 4",
     "brush_solid": f"WITH {_CANVAS} SELECT image_id, x, y, 17 AS r, 130 AS g, 251 AS b, 200 AS a FROM cv",
     "brush_null": f"WITH {_CANVAS} SELECT image_id, x, y, 0 AS r, 0 AS g, 0 AS b, 0 AS a FROM cv",
-    "brush_gradient": f"WITH {_CANVAS} SELECT image_id, x, y, {_mix((255, 0, 0, 128), (0, 0, 255, 255))} FROM (SELECT *, CASE WHEN h > 1 THEN CAST(y AS DOUBLE) / (h - 1) ELSE 0.0 END AS t FROM cv)",
     "brush_radial": f"WITH {_CANVAS}, z AS (SELECT *, greatest(w - 1, h - 1) / 2.0e0 AS half, x - (w - 1) / 2.0e0 AS ex, y - (h - 1) / 2.0e0 AS ey FROM cv) SELECT image_id, x, y, {_mix((255, 255, 255, 255), (0, 0, 0, 255))} FROM (SELECT *, CASE WHEN half > 0 THEN least(1.0, sqrt((ex / half) * (ex / half) + (ey / half) * (ey / half))) ELSE 0.0 END AS t FROM z)",
     "brush_hald": "SELECT CAST(0 AS BIGINT) AS image_id, CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y, CAST((i % 16) * 255 // 15 AS INT) AS r, CAST((i // 16 % 16) * 255 // 15 AS INT) AS g, CAST((i // 256 % 16) * 255 // 15 AS INT) AS b, 255 AS a FROM range(4096) t(i)",
     "quantise_nearest": f"WITH {_PX}, {_PALETTE} SELECT image_id, x, y, idx FROM ({_fit('px')})",
     "quantise_strict": f"WITH {_PX}, {_PALETTE}, st AS (SELECT image_id, x, y, r // 86 * 85 AS r, g // 86 * 85 AS g, b // 86 * 85 AS b FROM px) SELECT image_id, x, y, CASE WHEN dist = 0 THEN idx END AS idx FROM ({_fit('st')})",
     "quantise_bayer": f"WITH {_PX}, {_PALETTE}, th AS (SELECT *, ({_BAYER} - 8) * 2 AS o FROM px), moved AS (SELECT image_id, x, y, least(255, greatest(0, r + o)) AS r, least(255, greatest(0, g + o)) AS g, least(255, greatest(0, b + o)) AS b FROM th) SELECT image_id, x, y, idx FROM ({_fit("moved")})",
-    "most_voted": f"WITH {_PX}, {_PALETTE}, f AS ({_fit('px')}), v AS (SELECT image_id, idx, count(*) AS votes FROM f GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, idx) AS INT) AS place FROM v) WHERE place <= 3",
+    "most_voted": f"WITH {_PX}, {_PALETTE}, f AS ({_fit('px')}), v AS (SELECT image_id, idx, count(*) AS votes FROM f GROUP BY ALL), e AS (SELECT im.image_id, CAST(pal.i AS INT) AS idx, coalesce(votes, 0) AS votes FROM (SELECT DISTINCT image_id FROM px) im CROSS JOIN pal LEFT JOIN v ON v.image_id = im.image_id AND v.idx = pal.i) "
+    "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, idx) AS INT) AS place FROM e) WHERE place <= 3",
     "grid": "WITH s AS (SELECT p_brand AS group_id, p_partkey AS seq, CAST(1 + p_size % 16 AS INT) AS w, CAST(1 + p_partkey % 12 AS INT) AS h FROM part), k AS (SELECT *, (max(w) OVER (PARTITION BY group_id) + 3) // 4 * 4 AS cell_w, (max(h) OVER (PARTITION BY group_id) + 3) // 4 * 4 AS cell_h, row_number() OVER (PARTITION BY group_id ORDER BY seq) - 1 AS n FROM s) "
     "SELECT group_id, seq, w, h, cell_w, cell_h, CAST((n % 5) * (cell_w + 1) AS INT) AS px, CAST((n // 5) * (cell_h + 1) AS INT) AS py FROM k",
     "runs": f"WITH {_PX}, {_FEW}, k AS (SELECT *, CASE WHEN {_CHANGES} THEN 1 ELSE 0 END AS new FROM few WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), n AS (SELECT *, sum(new) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM k) SELECT image_id, y, r, g, b, a, min(x) AS start, count(*) AS length FROM n GROUP BY image_id, y, run, r, g, b, a",

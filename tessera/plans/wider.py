@@ -391,7 +391,8 @@ QUERIES |= {"composite_three": partial(composite_of, n=3), "composite_four": par
 ORACLES = {
     "pixel_bytes": f"WITH {_PX} SELECT image_id, x, y, " + ", ".join(f"{v} AS {k}" for k, v in _BYTES_SQL.items()) + " FROM px",
     "palette_expanded": f"WITH {_PX}, {_colours('pico8')}, fi AS ({_fit('px')}) SELECT image_id, x, y, pr AS r, pg AS g, pb AS b, 255 AS a, idx FROM fi JOIN pal ON i = idx",
-    "palette_kept": f"WITH {_PX}, {_colours('nes')}, fi AS ({_fit('px')}), vo AS (SELECT image_id, idx, count(*) AS n FROM fi GROUP BY ALL) SELECT image_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, idx) AS k FROM vo) WHERE k <= 4",
+    "palette_kept": f"WITH {_PX}, {_colours('nes')}, fi AS ({_fit('px')}), vo AS (SELECT image_id, idx, count(*) AS n FROM fi GROUP BY ALL), en AS (SELECT im.image_id, CAST(pal.i AS INT) AS idx, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM px) im CROSS JOIN pal LEFT JOIN vo ON vo.image_id = im.image_id AND vo.idx = pal.i) "
+    "SELECT image_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, idx) AS k FROM en) WHERE k <= 4",
     "chr_tiles": f"WITH {_GRAY}, t AS (SELECT image_id, (y * 8 + x) // 16 AS tile, (y * 8 + x) % 16 AS at, v FROM gr), r AS (SELECT a.image_id, a.tile, a.at AS row, a.v AS low, b.v AS high FROM t a JOIN t b ON a.image_id = b.image_id AND a.tile = b.tile AND b.at = a.at + 8) "
     "SELECT image_id, CAST(tile % 2 * 8 + c AS INT) AS x, CAST(tile // 2 * 8 + row AS INT) AS y, CAST((low >> (7 - c)) & 1 AS INT) + 2 * CAST((high >> (7 - c)) & 1 AS INT) AS idx FROM r, (SELECT CAST(unnest(range(8)) AS INT) AS c)",
     "yuv_luma": f"WITH {_PX}, {_ODD}, {_planes('od', 2)} SELECT * FROM lu",
@@ -463,7 +464,7 @@ ORACLES |= {
 ORACLES |= {f"pixels_of_{k}": _back(k) for k in _FORMATS}
 ORACLES |= {f"quantise_{n}": f"WITH {_PX}, {_colours(s)} {_fit('px')}" for n, s in (("nes", "nes"), ("tic80_bank", "tic80:2..5,7"), ("world", "world"), ("mario", "mario"), ("kokobatoru", "kokobatoru"), ("cgagraphics", "cgagraphics"), ("pico8", "pico8"))}
 ORACLES |= {
-    "gradient_north": _line("0", "h", "0", "0"), "gradient_northeast": _line("0", "h", "w", "0"), "gradient_east": _line("0", "0", "w", "0"), "gradient_southeast": _line("0", "0", "w", "h"), "gradient_south": _line("0", "0", "0", "h"),
+    "brush_gradient": _line("0", "0", "0", "h"), "gradient_north": _line("0", "h", "0", "0"), "gradient_northeast": _line("0", "h", "w", "0"), "gradient_east": _line("0", "0", "w", "0"), "gradient_southeast": _line("0", "0", "w", "h"), "gradient_south": _line("0", "0", "0", "h"),
     "gradient_southwest": _line("w", "0", "0", "h"), "gradient_west": _line("w", "0", "0", "0"), "gradient_northwest": _line("w", "h", "0", "0"), "gradient_angle": _line("0", "h / 2", "w", "h / 2"),
     "radial_minimum": _circle("least(hw, hh)", "least(hw, hh)"), "radial_diagonal": _circle("sqrt(hw * hw + hh * hh)", "sqrt(hw * hw + hh * hh)"), "radial_ellipse": _circle("hw", "hh"), "radial_at": _circle("3.0", "0.0", "2.0e0", "1.5e0"),
     "place_northwest": _placed(1, 0), "place_north": _placed(1, 0), "place_center": _placed(1, 1), "place_southeast": _placed(0, 3), "place_west": _placed(1, 1),

@@ -203,8 +203,37 @@ def test_error_diffusion_keeps_the_mean(spark):
 
 def test_most_apart(spark):
     px = picture(spark, [(0, 0, 0, 255)] * 5 + [(1, 1, 1, 255)] * 4 + [(255, 0, 0, 255)] * 2, 11)
-    got = palette.most_apart(px, [0x000000, 0x010101, 0xFF0000, 0x00FF00], 4).orderBy("place").collect()
-    assert [r.idx for r in got] == [0, 2, 1]
+    colours = [0x000000, 0x010101, 0xFF0000, 0x00FF00]
+    assert [r.idx for r in palette.most_apart(px, colours, 3).orderBy("place").collect()] == [0, 2, 1]
+    assert [r.idx for r in palette.most_apart(px, colours, 4).orderBy("place").collect()] == [0, 1, 2, 3]
+
+
+def test_most_voted_takes_from_the_whole_palette(spark):
+    px = picture(spark, [(0, 0, 0, 255)] * 2 + [(255, 0, 0, 255)] * 5, 7)
+    colours = [0x000000, 0x00FF00, 0x0000FF, 0xFF0000]
+    assert [(r.idx, r.votes, r.place) for r in palette.most_voted(px, colours, 3).orderBy("place").collect()] == [(3, 5, 1), (0, 2, 2), (1, 0, 3)]
+    assert {r.idx for r in palette.most_voted(px, colours, 9).collect()} == {0, 1, 2, 3}
+
+
+def test_diffusion_equals_pixel_by_pixel(spark):
+    rng = random.Random(5)
+    w, h, colours = 9, 7, [0x000000, 0xFFFFFF, 0xAA3311, 0x2255CC, 0x55FF55]
+    values = [tuple(rng.randrange(256) for _ in range(3)) + (255,) for _ in range(w * h)]
+    now = {(k % w, k // w): list(v[:3]) for k, v in enumerate(values)}
+    owed, want = {}, {}
+    for y in range(h):
+        for x in range(w):
+            c = [min(255, max(0, now[x, y][k] + owed.get((x, y, k), 0))) for k in range(3)]
+            rgb = [(p >> 16, p >> 8 & 255, p & 255) for p in colours]
+            want[x, y] = best = min(range(len(rgb)), key=lambda i: (sum(q * (a - b) ** 2 for q, a, b in zip((2, 4, 3), c, rgb[i], strict=True)), i))
+            for dx, dy, part in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+                for k in range(3):
+                    owed[x + dx, y + dy, k] = owed.get((x + dx, y + dy, k), 0) + int((c[k] - rgb[best][k]) * part / 16)
+    for shape in (w, w * h, 1):
+        got = palette.diffuse(picture(spark, values, shape), colours).collect()
+        assert len(got) == w * h
+        if shape == w:
+            assert {(r.x, r.y): r.idx for r in got} == want
 
 
 def test_urls(spark):
