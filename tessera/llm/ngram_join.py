@@ -10,7 +10,8 @@ four words is a single shingle). Two texts are linked if the Jaccard similarity
    from the links found each class's recall is estimated: a link of similarity s is met at length k with probability
    ``1 - (1 - s^k)^trees``, so it stands for the inverse of that many. Prefixes are shortened for those classes only that have
    no link yet or whose estimated recall is below ``enough``; at the shortest length a pair just at the threshold is met with
-   probability ``recall``. A pair is verified in the round in which it first meets, once.
+   probability ``recall``. A pair is verified in the first round in which it meets while one of both is in search, once. A class
+   that had found enough searches again when links found from other ends show that it hadn't.
 4. For verification classes that meet, directly or through others, are put into blocks of bounded size, those under the same
    large node of a trie together, and only blocks that have classes under a common node are brought together. Of two such
    blocks only those pairs are looked at that met; intersections are counted by products of incidence matrices. No pairs are
@@ -29,6 +30,7 @@ at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ from tessera.llm.storage import discard, materialize
 _WORDS = 5
 _BLOCK_DOCS, _BLOCK_SHINGLES = 512, 400_000
 _COLUMNS = 2048
+_LINKS = "digest string, n_links long, n_docs long, estimates array<double>, joined string"
 _MOST_BROADCAST = 200_000  # rows of a few numbers
 
 
@@ -182,8 +185,8 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.
 
 def _compare(rows: DataFrame, threshold: float, trees: int, lengths: list[int], level: int) -> DataFrame:
     """(digest, n_links, n_docs, estimates, joined) of the classes in pairs of blocks (i, j): links between pairs that meet at
-    ``lengths[level]`` and not before, one of them in search of links; the estimates of all links for each length from here on;
-    and the first class of those that it is linked with here."""
+    ``lengths[level]``, one of them in search of links, and were not verified before; the estimates of all links for each length;
+    and the first class of those that it is linked with here. Bit k of ``active`` tells whether a class searched at level k."""
     chance = lambda s, k: 1 - (1 - s**k) ** trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +209,14 @@ def _compare(rows: DataFrame, threshold: float, trees: int, lengths: list[int],
             group = group.take(pa.array(once))
             digests, size, block = group.column("digest").to_pylist(), group.column("n_docs").to_numpy(), group.column("block").to_numpy()
             keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(digests), -1)
-            active = group.column("active").to_numpy(zero_copy_only=False)
+            active = group.column("active").to_numpy()
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             a, b = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (np.arange(len(digests)),) * 2
-            wanted = met(keys, a, b, level) & (active[a][:, None] | active[b][None, :])
-            if level:
-                wanted &= ~met(keys, a, b, level - 1)
+            searched = active[a][:, None] | active[b][None, :]
+            wanted = met(keys, a, b, level) & (searched >> level & 1 == 1)
+            for before in range(level):
+                if wanted.any():
+                    wanted &= ~(met(keys, a, b, before) & (searched >> before & 1 == 1))
             if i == j:
                 np.fill_diagonal(wanted, False)
             sizes = group.column("n_shingles").to_numpy()
@@ -243,7 +248,7 @@ def _compare(rows: DataFrame, threshold: float, trees: int, lengths: list[int],
         if out:
             yield made()
 
-    return rows.mapInArrow(run, "digest string, n_links long, n_docs long, estimates array<double>, joined string")
+    return rows.mapInArrow(run, _LINKS)
 
 
 def _first_of_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -277,12 +282,13 @@ def _sets(texts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _shared_prefixes(rows: DataFrame, trees: int, level: int) -> DataFrame:
-    """(key, node, n) of the prefixes at a level under which several classes stand, one of them active, that haven't all met at the
-    level before."""
+    """(key, node, n) of the prefixes at a level under which several classes stand, one of them in search, that haven't all met at
+    the level before, or of which one didn't search then."""
     each = F.explode(F.arrays_zip(F.slice("keys", level * trees + 1, trees).alias("key"), F.slice("keys", max(0, level - 1) * trees + 1, trees).alias("longer"))).alias("k")
     under = rows.select("node", "active", each).select("node", "active", "k.key", "k.longer")
-    new = F.lit(True) if level == 0 else F.min("longer") < F.max("longer")
-    shared = under.groupBy("key").agg(F.count("*").alias("n"), F.max("active").alias("some"), new.alias("new")).where("n > 1 and some and new")
+    searches = lambda k: F.col("active").bitwiseAND(F.lit(1 << k)) != 0
+    new = F.lit(True) if level == 0 else (F.min("longer") < F.max("longer")) | F.max(searches(level) & ~searches(level - 1))
+    shared = under.groupBy("key").agg(F.count("*").alias("n"), F.max(searches(level)).alias("some"), new.alias("new")).where("n > 1 and some and new")
     return under.select("key", "node").join(shared.select("key", "n"), "key")
 
 
@@ -299,29 +305,37 @@ def _blocks(sets: DataFrame, under: DataFrame) -> DataFrame:
     return materialize(rows.select("node", F.xxhash64("cluster", F.pmod(F.xxhash64("h.key", share), F.col("parts"))).alias("block")), "placed")
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """``rows``, a few numbers each, with a hint to broadcast them where there are few; beyond that both sides are shuffled."""
-    return F.broadcast(rows) if rows.count() <= _MOST_BROADCAST else rows
-
-
-def _verify(sets: DataFrame, now: DataFrame, placed: DataFrame, threshold: float, trees: int, lengths: list[int], level: int) -> DataFrame:
+def _verify(sets: DataFrame, now: DataFrame, placed: DataFrame, threshold: float, trees: int, lengths: list[int], level: int) -> DataFrame | None:
     """One round: the links of the pairs that meet at this level, in pairs of blocks that have a prefix in common. ``now`` has the
-    classes' keys, and whether they are in search of links."""
+    classes' keys, and the levels at which they search for links. None if nobody meets."""
     under = materialize(_shared_prefixes(now, trees, level).join(placed, "node").select("key", "node", "block"), "prefixes")
     # A prefix has few blocks, and many prefixes have the same ones.
     together = under.groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("b")).select("b").distinct()
     pairs = together.select(F.explode(F.transform("b", lambda i, k: F.struct(i.alias("i"), F.slice("b", k + 1, F.size("b") - k).alias("js")))).alias("p"))
-    pairs = materialize(pairs.select("p.i", F.explode("p.js").alias("j")).distinct(), "block_pairs")
-    of = pairs.select(F.col("i").alias("block"), "i", "j").union(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
+    pairs = pairs.select("p.i", F.explode("p.js").alias("j")).distinct()
+    ends = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    of = pairs.select(F.explode(ends).alias("block"), "i", "j")
     sent = under.select("node", "block").distinct().join(of, "block").join(now.select("node", "active"), "node")
-    sent = materialize(sent.groupBy("node", "block", "i", "j").agg(F.max("active").alias("active")), "sent")
-    rows = sets.join(_small(sent), "node").select("i", "j", "block", "digest", "n_docs", "n_shingles", "keys", "active", "shingles")
-    return _compare(rows.repartition("i", "j").sortWithinPartitions("i", "j"), threshold, trees, lengths, level)
+    sent = materialize(sent.select("node", "block", "i", "j", "active"), "sent")
+    n_sent = sent.count()
+    if not n_sent:
+        discard(under, sent)
+        return None
+    rows = sets.join(F.broadcast(sent) if n_sent <= _MOST_BROADCAST else sent, "node").select("i", "j", "block", "digest", "n_docs", "n_shingles", "keys", "active", "shingles")
+    links = materialize(_compare(rows.repartition("i", "j").sortWithinPartitions("i", "j"), threshold, trees, lengths, level), "links")
+    discard(under, sent)
+    return links
+
+
+def _all(found: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """The links of all rounds so far."""
+    return reduce(DataFrame.union, found, spark.createDataFrame([], _LINKS))
 
 
 def linked(docs: DataFrame, id_column: str, text_column: str, threshold: float, trees: int = 20, recall: float = 0.999, enough: float = 0.99999, longest: int = 8) -> DataFrame:
     """(doc, class_doc, group_doc, n_links, n_similar_docs) of every row with an id; ``doc`` is (id, hash of the text)."""
     lengths = prefix_lengths(trees, recall, threshold, longest)
+    spark = docs.sparkSession
     texts = docs.where(F.col(id_column).isNotNull()).select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.col(text_column).alias("text"))
     members = materialize(_classes(texts, texts.schema["doc"].dataType.simpleString(), trees, lengths), "members")
     worded = members.where("digest is not null")
@@ -336,16 +350,16 @@ def linked(docs: DataFrame, id_column: str, text_column: str, threshold: float,
     sets = materialize(sets.dropDuplicates(["digest"]).drop("active", "rep"), "sets")
     placed = _blocks(sets, under)
     discard(shared, under, chosen)
-    found = None
+    found = []
+    now = sets.select("node", "digest", "keys").withColumn("active", F.lit(1))
     for level in range(len(lengths)):
-        if found is None:
-            now = sets.select("node", "digest", "keys").withColumn("active", F.lit(True))
-        else:  # who has found enough only answers
-            done = found.groupBy("digest").agg(F.sum("n_links").alias("n"), F.sum(F.get("estimates", F.lit(level - 1))).alias("all")).where(F.col("n") >= enough * F.col("all"))
-            done = _small(materialize(done.select("digest", F.lit(True).alias("done")), "done"))
-            now = materialize(sets.select("node", "digest", "keys").join(done, "digest", "left").withColumn("active", F.col("done").isNull()).drop("done"), "now")
-        links = materialize(_verify(sets, now, placed, threshold, trees, lengths, level), "links")
-        found = links if found is None else found.union(links)
+        if level:  # who has found enough only answers
+            done = _all(found, spark).groupBy("digest").agg(F.sum("n_links").alias("n"), F.sum(F.get("estimates", F.lit(level - 1))).alias("all")).where(F.col("n") >= enough * F.col("all"))
+            searches = F.when(F.col("done").isNull(), F.col("active") + (1 << level)).otherwise(F.col("active"))
+            now = materialize(now.join(done.select("digest", F.lit(True).alias("done")), "digest", "left").withColumn("active", searches).drop("done"), "now")
+        links = _verify(sets, now, placed, threshold, trees, lengths, level)
+        found += [] if links is None else [links]
+    found = _all(found, spark)
     groups = components(found.select(F.col("digest").alias("a"), F.col("joined").alias("b")))
     totals = found.groupBy("digest").agg(F.sum("n_links").alias("n_links"), F.sum("n_docs").alias("n_linked"))
     groups = classes.select("digest", "rep").join(groups.withColumnRenamed("id", "digest"), "digest")
@@ -369,8 +383,9 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, recall:
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; columns stay as they are."""
     rows = linked(docs, id_column, text_column, threshold)
-    dropped = materialize(rows.where("doc <> group_doc").select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_hash")).distinct(), "dropped")
-    return docs.join(dropped, (docs[id_column] == dropped["_id"]) & (F.xxhash64(docs[text_column]) == dropped["_hash"]), "left_anti")
+    dropped = materialize(rows.where("doc <> group_doc").select("doc").distinct(), "dropped")
+    whole = docs.select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.struct(*docs.columns).alias("row"))
+    return whole.join(dropped, "doc", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

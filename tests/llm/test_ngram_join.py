@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from common import SF, odd_documents
 from tessera.llm import ngram_join as N
@@ -120,7 +122,7 @@ def test_prefixes_are_shortened_where_needed(spark, monkeypatch):
 
     def watched(sets, now, *args):
         out = verify(sets, now, *args)
-        levels.append((args[-1], {r.digest for r in now.where("active").select("digest").collect()}, {r.digest for r in out.collect()}))
+        levels.append((args[-1], {r.digest for r in now.where(F.col("active").bitwiseAND(1 << args[-1]) != 0).select("digest").collect()}, {r.digest for r in out.collect()}))
         return out
 
     monkeypatch.setattr(N, "_verify", watched)
@@ -144,3 +146,22 @@ def test_two_texts_of_one_id(spark):
     docs = spark.createDataFrame([(3, a), (1, b), (1, a), (2, b), (4, b + " more"), (4, "quite another text of its own here")], "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in N.keep_one(docs).collect())
     assert got == sorted([(1, b), (1, a), (4, "quite another text of its own here")])
+
+
+def test_a_class_that_searches_again(spark):
+    """Two equal prefixes at both lengths: who searched at the first is not compared again, whoever didn't is."""
+    shingles = np.arange(10, dtype=np.uint64)
+    for masks, found in (((0b10, 0b00), 2), ((0b11, 0b00), 0), ((0b01, 0b10), 0), ((0b00, 0b10), 2), ((0b00, 0b01), 0)):
+        rows = [(1, 1, 1, f"d{k}", 1, 10, [5, 6], mask, bytearray((shingles + np.uint64(k)).tobytes())) for k, mask in enumerate(masks)]
+        table = spark.createDataFrame(rows, "i long, j long, block long, digest string, n_docs long, n_shingles long, keys array<long>, active int, shingles binary")
+        assert N._compare(table.coalesce(1), 0.8, 1, [2, 1], 1).count() == found
+        under = spark.createDataFrame([(k, [5, 6], mask) for k, mask in enumerate(masks)], "node long, keys array<long>, active int")
+        assert N._shared_prefixes(under, 1, 1).count() == (2 if found else 0) or masks == (0b01, 0b10)
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["doc", "row", "digest", "_id", "_hash", "node", "h", "id", "class_doc", "group_doc"]
+    docs = spark.createDataFrame([(1, "one two three four five six", *names), (2, "one two three four five six", *names), (3, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted([(1, "one two three four five six", *names), (3, None, *names)])
+    assert N.ngram_join(docs).count() == 3
