@@ -22,6 +22,7 @@ looked at, and stay in ``redact``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "pho
 _HOLDER = r"@|[0-9]"  # what every text with an entity has
 _TERM = r"[\p{L}\p{M}\p{N}]++"
 _SPANS = "array<struct<start:int,k:int,end:int,value:string>>"
+_CHUNK = 128  # numbers summed one by one
 
 
 def _holds(kind: str, match: Column) -> Column:
@@ -55,21 +57,41 @@ def _holds(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _found(text: Column, kind: str) -> Column:
-    """array<struct<start, k, end, value>> of one kind; the pieces between the matches give their places."""
-    pattern = F.lit(_PATTERNS[kind])
-    pieces, matches = F.split(text, _PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    empty = F.array().cast(_SPANS)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(xs: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _CHUNK).cast("int")), lambda k: F.slice(xs, k * _CHUNK + 1, _CHUNK))
+
 
-    def add(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("k"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(_holds(kind, x["m"]), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+def _before(numbers: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array what ``add`` makes, from 0 on, of those before it. Appending to an array copies it, so numbers are
+    taken by chunks, and the chunks' totals then added: work is proportional to the array up to millions of numbers."""
+    append = lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    running = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), append)["out"]
+    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+    chunked = lambda cs: F.flatten(F.zip_with(running(F.transform(cs, total)), F.transform(cs, running), lambda first, own: F.transform(own, lambda v: add(first, v))))
+    return _let(numbers, lambda xs: F.when(F.size(xs) <= _CHUNK, running(xs)).otherwise(_let(_chunks(xs), chunked)))
 
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.when(text.rlike(_NEEDS[kind]), F.aggregate(zipped, start, add)["out"]).otherwise(empty)
+
+def _places(text: Column, pattern: str, k: int, value: Callable[[Column], Column], holds: Callable[[Column], Column]) -> Column:
+    """array<struct<start, k, end, value>> of a pattern's matches; the pieces between them give their places."""
+    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("p"), F.coalesce(F.length(m), F.lit(0)).alias("n"), m.alias("m")))
+
+    def placed(xs: Column) -> Column:
+        before = _before(F.transform(xs, lambda x: x["p"] + x["n"]), lambda a, b: a + b)
+        spans = F.zip_with(xs, before, lambda x, at: F.when(x["m"].isNotNull() & holds(x["m"]), F.struct((at + x["p"]).alias("start"), F.lit(k).alias("k"), (at + x["p"] + x["n"]).alias("end"), value(x["m"]).alias("value"))))
+        return F.filter(spans, lambda v: v.isNotNull())
+
+    return _let(both, placed)
+
+
+def _found(text: Column, kind: str) -> Column:
+    found = _places(text, _PATTERNS[kind], KINDS.index(kind), lambda m: m, lambda m: _holds(kind, m))
+    return F.when(text.rlike(_NEEDS[kind]), found).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -137,20 +159,13 @@ def disclosing(docs: DataFrame, base: DataFrame, text_column: str, alpha: float,
 def term_spans(docs: DataFrame, base: DataFrame, text_column: str, alpha: float = 1.25, min_texts: int = 3, min_bits: float = 7.0, most_broadcast: int = 100_000) -> DataFrame:
     """(text_hash, terms): the disclosing terms' spans in the different texts that hold what they disclose."""
     found, near = disclosing(docs, base, text_column, alpha, min_texts, min_bits, most_broadcast)
-    own = near.select("text_hash", F.explode("entities.entity").alias("entity")).join(found, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("wanted"))
-    rows = near.select("text_hash", "text").join(own, "text_hash")
-    matches, pieces = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.split("text", _TERM, -1)
-
-    # The pieces between the terms give their places, as in base_spans; only what is found is kept.
-    def add(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index("term")).alias("k"), end.alias("end"), F.lower(x["m"]).alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains("wanted", F.lower(x["m"])), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
-
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return rows.select("text_hash", F.aggregate(zipped, start, add)["out"].alias("terms"))
+    own = near.select("text_hash", F.explode("entities.entity").alias("entity")).join(found, "entity").select("text_hash", "term").distinct()
+    own = materialize(own, "own_terms")
+    rows = near.select("text_hash", "text").join(own.select("text_hash").distinct(), "text_hash", "left_semi")
+    # Every place of a term is a row, which finds its text's terms by hash, however many either are.
+    places = rows.select("text_hash", F.explode(_places(F.col("text"), _TERM, KINDS.index("term"), F.lower, lambda m: F.lit(True))).alias("s"))
+    kept = places.withColumn("term", F.col("s.value")).join(own, ["text_hash", "term"])
+    return kept.groupBy("text_hash").agg(F.sort_array(F.collect_list("s")).alias("terms"))
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -174,27 +189,28 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every span replaced by the name of its kind, as ``<EMAIL>``; overlapping spans become one."""
     base = materialize(_base(docs, id_column, text_column), "base_spans")
-    terms = materialize(term_spans(docs, base, text_column), "term_spans").withColumnsRenamed({"text_hash": "_hash", "terms": "_terms"})
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    maybe = text.rlike(_HOLDER)
-    joined = docs.where(maybe).join(terms, F.md5(text) == F.col("_hash"), "left")
-    spans = joined.withColumn("_spans", F.array_sort(F.concat(base_spans(text), F.coalesce("_terms", F.array().cast(_SPANS)))))
-    empty = F.array().cast("array<struct<start:int,k:int,end:int>>")
-
-    def merge(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        own = F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))
-        longer = F.struct(last["start"].alias("start"), last["k"].alias("k"), F.greatest(last["end"], s["end"]).alias("end"))
-        overlaps = (F.size(out) > 0) & (s["start"] < F.get(out, F.size(out) - 1)["end"])
-        return F.when(overlaps, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(own)))
-
-    spans = spans.withColumn("_cuts", F.aggregate("_spans", empty, merge))
+    terms = materialize(term_spans(docs, base, text_column), "term_spans")
+    # The input's columns travel in one of their own, so none of them can have the name of a helper.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_column).alias("text"))
+    maybe = F.coalesce(F.col("text"), F.lit("")).rlike(_HOLDER)
+    joined = rows.where(maybe).withColumn("text_hash", F.md5("text")).join(terms, "text_hash", "left")
+    spans = joined.withColumn("spans", F.array_sort(F.concat(base_spans(F.col("text")), F.coalesce("terms", F.array().cast(_SPANS)))))
+    # A span that no earlier one reaches into opens a cut, and text goes on where the farthest span so far ends.
+    opens = _let(F.col("spans"), lambda xs: F.filter(F.zip_with(xs, _before(F.transform(xs, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda x, at: F.struct(x["start"].alias("start"), x["k"].alias("k"), at.alias("at"))), lambda o: o["start"] >= o["at"]))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    n = F.size("_cuts")
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1)["end"])
-    piece = lambda i: F.concat(F.substring(F.col(text_column), before(i) + 1, F.when(i == n, F.length(text_column)).otherwise(F.get("_cuts", i)["start"]) - before(i)), F.when(i == n, F.lit("")).otherwise(F.get(names, F.get("_cuts", i)["k"])))
-    clean = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")).otherwise(F.col(text_column))
-    return spans.select(*(clean.alias(c) if c == text_column else F.col(c) for c in docs.columns)).union(docs.where(~maybe))
+
+    # A substring is found from the text's start on, so first what a chunk of cuts covers is taken, and from that the pieces.
+    def pieces(cuts: Column) -> Column:
+        first = F.get(cuts, F.lit(0))["at"]
+        covered = F.substring("text", first + 1, F.element_at(cuts, -1)["start"] - first)
+        piece = lambda part, o: F.concat(F.substring(part, o["at"] - first + 1, o["start"] - o["at"]), F.get(names, o["k"]))
+        return _let(covered, lambda part: F.array_join(F.transform(cuts, lambda o: piece(part, o)), ""))
+
+    end = F.aggregate("spans", F.lit(0), lambda s, x: F.greatest(s, x["end"]))
+    clean = F.concat(_let(opens, lambda cuts: F.array_join(F.transform(_chunks(cuts), pieces), "")), F.substring("text", end + 1, F.length("text")))
+    clean = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
+    of = lambda c: F.col(f"row.`{c}`").alias(c)
+    return spans.select(*(clean.alias(c) if c == text_column else of(c) for c in docs.columns)).union(rows.where(~maybe).select(*map(of, docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,3 +189,29 @@ def test_hot_repeated_text(spark):
     got = redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     # One text, however often it comes, is no evidence of what discloses what.
     assert len(got) == 1000 and {r.text for r in got if r.doc_id < 600} == {"write to <EMAIL> about Zebrafarm"}
+
+
+def test_text_full_of_entities(spark):
+    """Time grows with the text: 40,000 addresses, with and without other kinds among them."""
+    import time
+
+    text = " ".join(f"u{k}@h{k}.org" if k % 50 else f"10.0.{k % 256}.7, +49 30 {1000000 + k}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    find(docs.limit(0)).count()
+    began = time.time()
+    row = find(docs).select("n_email", "n_ip", "n_phone", "all_spans").first()
+    took = time.time() - began
+    assert (row.n_email, row.n_ip, row.n_phone) == (39_200, 800, 800)
+    assert all(text[s.start : s.end] == s.value for s in row.all_spans)
+    left = redact(docs).first().text
+    assert left == " ".join("<EMAIL>" if k % 50 else "<IP>, <PHONE>" for k in range(40_000))
+    assert took < 20  # the machine may be busy; the work of appending to arrays would be minutes
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["row", "text_hash", "terms", "spans", "_hash", "_terms", "_spans", "_cuts", "entities", "h"]
+    docs = spark.createDataFrame([(1, "mail a@b.org now", *names), (2, None, *names), (3, "nothing", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = redact(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "mail <EMAIL> now", *names), (2, None, *names), (3, "nothing", *names)]
+    assert find(docs).count() == 3
