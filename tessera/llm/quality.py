@@ -8,7 +8,8 @@ at most 3 to the power of the number of rules, however many texts there are.
 Everything is built-in DataFrame functions. Defined cases: texts of any length are judged whole; equal votes have equal
 posteriors, and a posterior at the threshold is kept; null, empty and blank texts have no words, all statistics are 0 and
 they fail; a text of less than five words has no repeated window; rows without an id are judged like others; repeated rows
-give repeated results; empty tables give empty results; columns other than the id and the text are not looked at.
+give repeated results; empty tables give empty results; columns other than the text are not looked at and stay, but for those named like
+a result.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     A text's windows are compared by hash; only texts that have a window twice go on to sort them.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.translate(text, _BLANKS[1:], " " * (len(_BLANKS) - 1))
-    step = docs.withColumn("_words", F.array_remove(F.split(plain, " "), ""))
+    # The input's columns travel in one of their own, so none of them can have the name of a helper.
+    step = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_column).alias("text"))
+    step = step.withColumn("_words", F.array_remove(F.split(plain, " "), ""))
     step = step.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     five = F.transform(F.sequence(F.lit(0), F.size("_hashes") - 5), lambda i: F.xxhash64(*(F.get("_hashes", i + k) for k in range(5))))
     step = step.withColumn("_windows", F.when(F.size("_hashes") >= 5, five).otherwise(F.array().cast("array<bigint>")))
@@ -62,7 +65,7 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "n_shouts": F.length(text) - F.length(F.translate(text, "!?", "")),
     }
     kept = [c for c in docs.columns if c not in stats]
-    return step.select(*kept, *(v.cast("long").alias(k) for k, v in stats.items()))
+    return step.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *(v.cast("long").alias(k) for k, v in stats.items()))
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -139,14 +142,18 @@ def expectation_maximisation(votes: DataFrame, names: list[str], rounds: int = 1
 
 def judge(docs: DataFrame, text_column: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (of its columns those in ``carry``, if given) with statistics, ``base_failed``, ``quality`` (posterior probability
-    of being good) and ``kept``. The carried columns are written once with the statistics, so leave the text out where it isn't needed."""
+    of being good) and ``kept``; columns of these names are replaced, all others stay. The carried columns are written once
+    with the statistics, so leave the text out where it isn't needed."""
     votes = rules()
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    known = statistics(docs, text_column)
-    known = known if carry is None else known.drop(*(c for c in docs.columns if c not in carry))
+    carry = docs.columns if carry is None else carry
+    known = statistics(docs.select(F.struct(*carry).alias("row"), F.col(text_column).alias("text"))).drop("text")
+    stats = [c for c in known.columns if c != "row"]
     judged = materialize(known.withColumn("base_failed", base).withColumns(votes), "statistics")
-    learned = expectation_maximisation(judged, list(votes))
-    return judged.withColumn("quality", learned.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop(*votes)
+    learned = expectation_maximisation(judged.select(*votes), list(votes))
+    verdict = {"base_failed": F.col("base_failed"), "quality": learned.posterior(), "kept": ~F.col("base_failed") & (learned.posterior() >= threshold)}
+    others = [c for c in carry if c not in stats and c not in verdict]
+    return judged.select(*(F.col(f"row.`{c}`").alias(c) for c in others), *stats, *(v.alias(k) for k, v in verdict.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

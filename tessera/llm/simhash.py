@@ -89,7 +89,9 @@ def links(nodes: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
     radius = (distance + 1) // 2
     masks = segment_balls(radius, segments)
     signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks))
-    met = nodes.select("bits", F.explode(signed).alias("mask")).select("bits", F.col("bits").bitwiseXOR(F.col("mask")).alias("key"))
+    # A few rows a file become many: they are dealt out first.
+    dealt = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bits")
+    met = dealt.select("bits", F.explode(signed).alias("mask")).select("bits", F.col("bits").bitwiseXOR(F.col("mask")).alias("key"))
     # By distance from the key, then value: the first is the star's middle.
     off = F.bit_count(F.col("bits").bitwiseXOR(F.col("key")))
     groups = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(off.alias("off"), "bits"))).alias("g")).where(F.size("g") > 1)

@@ -210,19 +210,22 @@ def find_repeats(docs: DataFrame, min_words: int = 20, rank: str = "doc_id", tex
 
 def remove_spans(docs: DataFrame, spans: DataFrame, rank: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of ``text_column``, in place; texts without spans stay as they are."""
-    cuts = spans.groupBy(F.col("doc_id").alias("_rank"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    text, n = F.col(text_column), F.size("_cuts")
+    named = F.struct("doc_id", "text_hash").alias("doc")
+    cuts = spans.groupBy(named).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    # The input's columns travel in one of their own, so none of them can have the name of a helper.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_column).alias("text"), F.struct(F.col(rank).alias("doc_id"), F.xxhash64(text_column).alias("text_hash")).alias("doc"))
+    n = F.size("cuts")
     pieces = F.transform(
         F.sequence(F.lit(0), n),
         lambda i: F.substring(
-            text,
-            F.when(i == 0, F.lit(1)).otherwise(F.get("_cuts", i - 1)["end"] + 1),
-            F.when(i == n, F.length(text)).otherwise(F.get("_cuts", i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1)["end"]),
+            "text",
+            F.when(i == 0, F.lit(1)).otherwise(F.get("cuts", i - 1)["end"] + 1),
+            F.when(i == n, F.length("text")).otherwise(F.get("cuts", i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)["end"]),
         ),
     )
-    joined = docs.join(cuts, (docs[rank] == cuts["_rank"]) & (F.xxhash64(docs[text_column]) == cuts["_hash"]), "left")
-    cleaned = F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(pieces, ""))
-    return joined.select(*(cleaned.alias(c) if c == text_column else docs[c] for c in docs.columns))
+    joined = rows.join(cuts, "doc", "left")
+    cleaned = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    return joined.select(*(cleaned.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,11 @@ def test_kept_against_plain_expectation_maximisation(spark):
     for r in got:
         assert r.quality == pytest.approx(good(rows[r.doc_id]), abs=1e-9)
         assert r.kept == (not r.base_failed and good(rows[r.doc_id]) >= 0.5)
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["_words", "_hashes", "_windows", "_sorted", "_at", "_lines", "_twice", "row", "votes", *Q.rules()]
+    docs = spark.createDataFrame([(1, "some words of a plain text that is long enough to be kept here", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = Q.judge(docs).collect()
+    assert len(rows) == 2 and all(r[n] == n for r in rows for n in names) and {r.doc_id: r.n_words for r in rows} == {1: 14, 2: 0}
+    assert [r.n_words for r in Q.judge(docs.withColumn("n_words", docs["text"]), carry=["doc_id", "n_words"]).orderBy("doc_id").collect()] == [14, 0]

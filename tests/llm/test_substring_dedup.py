@@ -145,3 +145,12 @@ def test_two_texts_of_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = sorted(r.text.count(p) for r in remove_spans(docs, find_repeats(docs)).collect())
     assert left == [0, 0, 0, 0, 1]
+
+
+def test_columns_named_like_helpers(spark):
+    rng = random.Random(4)
+    names, p = ["row", "doc", "cuts", "_rank", "_hash", "_cuts", "text_hash", "start"], prose(rng, 30)
+    docs = spark.createDataFrame([(1, p, *names), (2, p, *names), (None, p, *names), (3, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = remove_spans(docs, find_repeats(docs))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, p, *names), (2, "", *names), (None, p, *names), (3, None, *names)], key=repr)
