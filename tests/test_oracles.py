@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from tessera.plans import oracles, queries, wider
+from tessera.plans import further, oracles, queries, wider
 
-ORACLES, QUERIES = {**oracles.ORACLES, **wider.ORACLES}, {**queries.QUERIES, **wider.QUERIES}
+ORACLES, QUERIES = {**oracles.ORACLES, **wider.ORACLES, **further.ORACLES}, {**queries.QUERIES, **wider.QUERIES, **further.QUERIES}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "part events embeddings documents pages".split()
