@@ -73,6 +73,30 @@ def too_large(width: Column, height: Column, share: Column, most_pixels: int, mo
     return F.when(F.coalesce(share, F.lit(0)) != 0, by_share).otherwise(F.lit(most_pixels > 0) & (F.greatest(width, height) > most_pixels))
 
 
+def grid_too_large(cell: Column, gap: Column, most_pixels: int) -> Column:
+    """Whether a grid is refused: a side of its cells or of the gaps between them over the limit; a limit of 0 is none. ``cell`` and
+    ``gap`` are structs of width and height, null where they aren't given."""
+    sides = [F.coalesce(v[c], F.lit(0)) for v in (cell, gap) for c in ("width", "height")]
+    return F.lit(most_pixels > 0) & (F.greatest(*sides) > most_pixels)
+
+
+def over_limits(sources: Column, steps: Column, most_sources: int = 0, most_steps: int = 0) -> Column:
+    """Why a request is refused before anything is fetched: "steps", "sources" or "nothing" that is asked for; null where it isn't. A
+    limit of 0 is none."""
+    many = lambda n, most: F.lit(most > 0) & (n > most)
+    return F.when(F.coalesce(sources, F.lit(0)) + F.coalesce(steps, F.lit(0)) == 0, "nothing").when(many(steps, most_steps), "steps").when(many(sources, most_sources), "sources")
+
+
+def blob_format(by_bytes: Column, content_type: Column, path: Column) -> Column:
+    """struct<format, content_type> of a blob: its container by its first bytes, else by its declared type, else by its path's ending. A
+    container that none of them tells keeps the declared type."""
+    known = F.when(by_bytes == "netpbm", "ppm").when(by_bytes.isin(*CONTAINERS), by_bytes)
+    told = lambda v: F.when(v != "raw", v)
+    found = F.coalesce(known, told(format_of_content_type(content_type)), told(format_of_path(path)), F.lit("raw"))
+    kind = F.when(found != "raw", content_type_of(found)).when(content_type != "", content_type).otherwise("application/octet-stream")
+    return F.struct(found.alias("format"), kind.alias("content_type"))
+
+
 def response_headers(content_type: Column, filename: Column, length: Column, accepted: Column, body_encoding: Column) -> Column:
     """map<string, string> of a response's headers; ``accepted`` is the encoding negotiated with the client. Pictures that are
     compressed already, and empty bodies, are sent as they are."""

@@ -7,10 +7,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import blocks, escape, glob, media
 from tessera.operators import byte_cache, drawing
 from tessera.plans import oracles as O
 from tessera.plans.queries import _gray
-from tessera.sources import raster
+from tessera.sources import files, raster
 
 _BYTES, _TTL = 60_000, 43_200.0
 
@@ -81,7 +82,54 @@ def slack_least(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing.least_slack(px, cuts_of(px), 20, 40)
 
 
-QUERIES = {f.__name__: f for f in (byte_lru_totals, fills_merged, slack_walk, slack_least)}
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = raster.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.regexp_replace("url", "^[a-z]+://|[?#].*$", "").alias("path"), F.coalesce(F.length("html"), F.lit(0)).alias("bytes"))
+
+
+def names_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of written pictures by patterns with escapes, padded, cut and zero-filled."""
+    k = F.col("page_id")
+    values = {**escape.of_path(F.col("path")), "index": k, "count": F.lit(250), "width": k * 7 % 500, "height": k * 11 % 300, "bytes": F.col("bytes"), "alpha": F.when(k % 2 == 0, "True").otherwise("False")}
+    of = lambda pattern: escape.expand(pattern, values)
+    return _page_paths(spark, sf_dir).select("page_id", of("%t-%03d.%e").alias("plain"), of("%-12t|%10B|%[directory]").alias("padded"), of("%.3t%%%05h %f").alias("short"), of("out/%s of %n, %wx%[height] %A.png").alias("sizes"))
+
+
+#: Patterns of paths.
+_GLOBS = {"endings": "*.example.com/**/*.html|htm", "folder": "m.*/en/*", "deep": "**/1*", "middle": "www.**/de/*"}
+
+
+def paths_globbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_paths(spark, sf_dir).select("page_id", *(glob.matches(F.col("path"), p).alias(n) for n, p in _GLOBS.items()))
+
+
+def blob_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs by what their bytes, else their types, else their paths say."""
+    k = F.col("page_id")
+    of = lambda *v: F.element_at(F.array(*(F.lit(x) for x in v)), (k % len(v) + 1).cast("int"))
+    first = F.unhex(of("89504E470D0A1A0A00", "50350A", "213C617263683E0A" + b"0000000000.txt/ ".hex() + "20" * 42 + "600A", "213C617263683E0A" + b"other.txt/".hex(), "", "3C68746D6C3E", "504B0304"))
+    path = F.concat("path", of(".dds", "", ".tar"))
+    found = media.blob_format(files.kind_of(first), of("image/GIF; q=1", "text/html", "", "image/x-pcx"), path)
+    return _page_paths(spark, sf_dir).select("page_id", found.alias("b")).select("page_id", "b.format", "b.content_type")
+
+
+def requests_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests over the limits of sources and steps, and grids over those of cells and gaps."""
+    k = F.col("event_id")
+    rows = raster.table(spark, sf_dir, "events").select("event_id")
+    side = lambda w, h: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
+    cell, gap = F.when(k % 3 > 0, side(k % 3000, k % 700)), F.when(k % 2 > 0, side(k % 2500, F.lit(1)))
+    return rows.select("event_id", media.over_limits(k % 5, k % 9, 3, 6).alias("refused"), media.grid_too_large(cell, gap, 2048).alias("grid"), media.grid_too_large(cell, gap, 0).alias("unlimited"))
+
+
+def etc1_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of grey pictures taken as blocks of a texture, four blocks wide."""
+    rows = _gray(spark, sf_dir).groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("p"))
+    block = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(p["v"].cast("long")), 2, "0")), ""))
+    return blocks.etc1_pixels(rows.select("image_id", (F.col("y") % 4).alias("bx"), F.floor(F.col("y") / 4).cast("int").alias("by"), block.alias("block")))
+
+
+QUERIES = {f.__name__: f for f in (byte_lru_totals, fills_merged, slack_walk, slack_least, names_written, paths_globbed, blob_formats, requests_refused, etc1_decoded)}
 QUERIES |= {"byte_lru": partial(byte_lru, ranges=1 << 18), "byte_lru_ranges": partial(byte_lru, ranges=300)}
 QUERIES |= {"fills_kept": partial(fills_kept, even=False), "fills_even": partial(fills_kept, even=True), "fills_near": partial(fills_kept, even=False, levels=64)}
 QUERIES |= {"draw_cost": partial(draw_cost, stretched=True), "draw_cost_flat": partial(draw_cost, stretched=False)}
@@ -178,3 +226,51 @@ ORACLES = {
     "draw_cost_flat": f"WITH {_flat(20)}, {_MERGE}, {_cost(False, 'fr')} SELECT * FROM co",
     "slack_walk": f"WITH RECURSIVE {_STEPPED}, {_MERGE}, {_WALKED}, {_cost(True, 'nw')}, wo AS (SELECT image_id, max(off) AS worst FROM nw GROUP BY 1) SELECT image_id, worst, draws FROM wo JOIN co USING (image_id)",
 }
+
+_PATHS = (
+    "pp AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, coalesce(length(html), 0) AS bytes FROM pages), "
+    "pf AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS f FROM pp), pe AS (SELECT *, regexp_extract(f, '^.+([.][^.]*)$', 1) AS e FROM pf), "
+    "pt AS (SELECT *, left(f, length(f) - length(e)) AS t, CASE WHEN contains(path, '/') THEN left(path, length(path) - length(f) - 1) ELSE '.' END AS d FROM pe)"
+)
+_PAD = "CASE WHEN length({v}) < {n} THEN {f}({v}, {n}, '{c}') ELSE {v} END"
+
+
+def _pad(v: str, n: int, f: str = "lpad", c: str = " ") -> str:
+    return _PAD.format(v=f"CAST({v} AS VARCHAR)", n=n, f=f, c=c)
+
+
+def _picked(k: str, *values: str) -> str:
+    return "[" + ", ".join(values) + f"][CAST({k} % {len(values)} AS INT) + 1]"
+
+
+def _texture(c: str, k: int) -> str:
+    five = f"(v[{k}] >> 3)"
+    other = f"(({five} + (v[{k}] & 7) - CASE WHEN (v[{k}] & 7) >= 4 THEN 8 ELSE 0 END) & 31)"
+    wide = lambda x: f"({x} * 8 + ({x} >> 2))"
+    return f"CASE WHEN (v[4] & 2) = 2 THEN {wide(five)} ELSE (v[{k}] >> 4) * 17 END AS {c}0, CASE WHEN (v[4] & 2) = 2 THEN {wide(other)} ELSE (v[{k}] & 15) * 17 END AS {c}1"
+
+
+_BLOCK_ROWS = (
+    "bl AS (SELECT image_id, y % 4 AS bx, y // 4 AS b_y, list(v ORDER BY x) AS v FROM gr GROUP BY image_id, y), "
+    f"bc AS (SELECT image_id, bx, b_y, (v[4] & 1) = 1 AS flipped, (v[4] >> 5) & 7 AS t0, (v[4] >> 2) & 7 AS t1, ((CAST(v[5] AS BIGINT) * 256 + v[6]) * 256 + v[7]) * 256 + v[8] AS low, {', '.join(_texture(c, k + 1) for k, c in enumerate('rgb'))} FROM bl), "
+    "bp AS (SELECT *, p // 4 AS dx, p % 4 AS dy, CASE WHEN flipped THEN p % 4 >= 2 ELSE p // 4 >= 2 END AS second, (low >> p) & 1 AS large, (low >> (p + 16)) & 1 AS minus FROM (SELECT *, unnest(range(16)) AS p FROM bc)), "
+    f"bs AS (SELECT *, {[list(x) for x in blocks.STEPS]}[CAST(CASE WHEN second THEN t1 ELSE t0 END AS INT) + 1][CAST(large AS INT) + 1] * (1 - 2 * minus) AS change FROM bp)"
+)
+_FIRST = ("png", "ppm", "zcis", "none", "none", "none", "none")
+_TYPES = {"png": "image/png", "ppm": "image/x-portable-pixmap", "zcis": "image/x-zcis", "gif": "image/gif", "pcx": "image/x-pcx", "dds": "image/vnd-ms.dds"}
+_DECLARED = _picked("page_id", "'gif'", "'none'", "'none'", "'pcx'")
+_ENDED = _picked("page_id", "'dds'", "'none'", "'none'")
+ORACLES |= {
+    "names_written": f"WITH {_PATHS} SELECT page_id, t || '-' || {_pad('page_id', 3, c='0')} || '.' || substr(e, 2) AS plain, {_pad('t', 12, 'rpad')} || '|' || {_pad('bytes', 10)} || '|' || d AS padded, "
+    f"left(t, 3) || '%' || {_pad('(page_id * 11 % 300)', 5, c='0')} || ' ' || f AS short, 'out/' || page_id || ' of 250, ' || (page_id * 7 % 500) || 'x' || (page_id * 11 % 300) || ' ' || CASE WHEN page_id % 2 = 0 THEN 'True' ELSE 'False' END || '.png' AS sizes FROM pt",
+    "paths_globbed": f"WITH {_PATHS}, h AS (SELECT page_id, path, NOT regexp_matches(path, '(^|/)[.]') AS seen FROM pp) SELECT page_id, seen AND regexp_matches(path, '^[^/]*[.]example[.]com/(.*/)?[^/]*[.](html|htm)$') AS endings, "
+    "seen AND regexp_matches(path, '^m[.][^/]*/en/[^/]*$') AS folder, seen AND regexp_matches(path, '^(.*/)?1[^/]*$') AS deep, seen AND regexp_matches(path, '^www[.](.*/)?de/[^/]*$') AS middle FROM h",
+    "blob_formats": f"WITH {_PATHS}, k AS (SELECT page_id, {_picked('page_id', *(repr(x) for x in _FIRST))} AS a, {_DECLARED} AS b, {_ENDED} AS c, {_picked('page_id', repr('image/GIF; q=1'), repr('text/html'), repr(''), repr('image/x-pcx'))} AS said FROM pp), "
+    "f AS (SELECT page_id, said, CASE WHEN a <> 'none' THEN a WHEN b <> 'none' THEN b WHEN c <> 'none' THEN c ELSE 'raw' END AS format FROM k) "
+    f"SELECT page_id, format, CASE {' '.join(f'WHEN format = {n!r} THEN {t!r}' for n, t in _TYPES.items())} WHEN said <> '' THEN said ELSE 'application/octet-stream' END AS content_type FROM f",
+    "requests_refused": "WITH k AS (SELECT event_id, event_id AS k FROM events), s AS (SELECT *, CASE WHEN k % 3 > 0 THEN greatest(k % 3000, k % 700) ELSE 0 END AS c, CASE WHEN k % 2 > 0 THEN greatest(k % 2500, 1) ELSE 0 END AS g FROM k) "
+    "SELECT event_id, CASE WHEN k % 5 + k % 9 = 0 THEN 'nothing' WHEN k % 9 > 6 THEN 'steps' WHEN k % 5 > 3 THEN 'sources' END AS refused, greatest(c, g) > 2048 AS grid, false AS unlimited FROM s",
+    "etc1_decoded": f"WITH {O._GRAY}, {_BLOCK_ROWS} SELECT image_id, CAST(bx * 4 + dx AS INT) AS x, CAST(b_y * 4 + dy AS INT) AS y, "
+    + ", ".join(f"CAST(least(255, greatest(0, CASE WHEN second THEN {c}1 ELSE {c}0 END + change)) AS INT) AS {c}" for c in "rgb")
+    + ", 255 AS a FROM bs",
+}

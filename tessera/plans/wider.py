@@ -157,8 +157,8 @@ def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percent_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as paths, and what comes back; digests, since they are long."""
-    docs = raster.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", url.percent_encode_path(F.col("text")).alias("path"))
+    """Whole texts (null: empty) as paths, and what comes back; digests, since they are long."""
+    docs = raster.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", "text", url.percent_encode_path(F.col("text")).alias("path"))
     return docs.select("doc_id", F.length("path").alias("n"), F.md5("path").alias("path_md5"), F.md5(url.percent_decode(F.col("path"))).alias("text_md5"))
 
 
@@ -201,7 +201,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as cache entries and back; every third entry is cut short by a byte after its name."""
-    docs = raster.table(spark, sf_dir, "documents").where("text is not null")
+    docs = raster.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     framed = docs.select("doc_id", media.frame(F.lit("image/x-zcis"), F.concat(F.lit("näme "), F.col("source")), F.lit("base64"), F.encode("text", "UTF-8")).alias("entry"), (17 + 5 + F.length("source") + 3).alias("head"))
     framed = framed.withColumn("entry", F.when(F.col("doc_id") % 3 == 0, F.substring("entry", F.lit(1), F.col("head"))).otherwise(F.col("entry")))
     found = framed.select("doc_id", F.octet_length("entry").alias("n"), media.unframe(F.col("entry")).alias("e"))
@@ -420,7 +420,7 @@ ORACLES = {
     "SELECT page_id, CASE page_id % 6 WHEN 0 THEN site || folder || 'x' WHEN 1 THEN site || path || '?q=1' WHEN 2 THEN site || '/a/c/d' WHEN 3 THEN scheme || '://other.org/' WHEN 4 THEN 'https://z.net/k' ELSE site || folder || 's/t/' END AS target FROM v",
     "url_params": f"WITH u AS (SELECT page_id, string_split({_url(4)}, '&') AS items FROM pages WHERE {_url(4)} <> ''), v AS (SELECT page_id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS seq FROM u) "
     "SELECT page_id, CAST(seq AS INT) AS seq, url_decode(replace(split_part(item, '=', 1), '+', ' ')) AS name, url_decode(replace(regexp_extract(item, '^[^=]*=(.*)$', 1), '+', ' ')) AS value FROM v",
-    "percent_round_trip": "WITH f AS (SELECT doc_id, text, " + "replace(" * 14 + "url_encode(text)" + "".join(f", '%{ord(c):02X}', chr({ord(c)}))" for c in "!$&'()*+,;=:@/") + " AS p FROM documents WHERE text IS NOT NULL) "
+    "percent_round_trip": "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS (SELECT doc_id, text, " + "replace(" * 14 + "url_encode(text)" + "".join(f", '%{ord(c):02X}', chr({ord(c)}))" for c in "!$&'()*+,;=:@/") + " AS p FROM t) "
     "SELECT doc_id, CAST(length(p) AS INT) AS n, md5(p) AS path_md5, md5(text) AS text_md5 FROM f",
     "sizes_parsed": "WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS p_partkey, CAST(CASE k % 5 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN -k END AS INT) AS n, "
     "CAST(CASE WHEN k % 4 < 2 AND k > 0 THEN k END AS INT) AS w, CAST(CASE WHEN k % 4 < 2 AND k > 0 THEN s END AS INT) AS h, CAST(CASE WHEN k % 3 < 2 THEN s ELSE 0 END AS INT) AS share, "
@@ -434,7 +434,7 @@ ORACLES = {
     "responses": "WITH e AS (SELECT event_id AS k, event_type FROM events), f AS (SELECT *, " + _PICK.format("'image/png', 'image/x-zcis', 'text/x-ansi'", "k % 3") + " AS ct, " + _PICK.format("'gzip', 'identity'", "k % 2") + " AS acc, " + _PICK.format("'identity', 'cobs', 'hex', 'identity'", "k % 4") + " AS be FROM e) "
     "SELECT k AS event_id, k % 4 < 2 AS allowed, CAST(" + _PICK.format("404, 502, 200, 500, 504", "k % 5") + " AS INT) AS status, CASE WHEN k % 3 = 0 AND k % 500 <> 0 THEN k % 500 > 400 ELSE greatest(k % 3000, k % 700) > 2048 END AS refused, "
     "'inline; filename=\"' || event_type || '\"' AS disposition, CASE WHEN ct <> 'image/png' AND k % 5 > 0 THEN 'Accept-Encoding' END AS vary, CASE WHEN ct <> 'image/png' AND k % 5 > 0 AND acc = 'gzip' THEN 'gzip' END AS encoding, CASE WHEN be <> 'identity' THEN be END AS x_encoding FROM f",
-    "entries_framed": "WITH d AS (SELECT doc_id, text, source, doc_id % 3 = 0 AS cut, 4 + 12 + 4 + 6 + octet_length(encode(source)) + 1 AS head FROM documents WHERE text IS NOT NULL) "
+    "entries_framed": "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, doc_id % 3 = 0 AS cut, 4 + 12 + 4 + 6 + octet_length(encode(source)) + 1 AS head FROM documents) "
     "SELECT doc_id, CAST(CASE WHEN cut THEN 25 + octet_length(encode(source)) ELSE head + octet_length(encode(text)) END AS INT) AS n, CASE WHEN NOT cut THEN 'näme ' || source END AS filename, CASE WHEN NOT cut THEN 'base64' END AS encoding, CASE WHEN NOT cut THEN md5(text) END AS body_md5 FROM d",
 }
 _VIVID = "vi AS (SELECT image_id, x, y, v AS r, 255 - v AS g, v % 100 AS b FROM gr)"

@@ -8,12 +8,15 @@ import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import glob
+
 _ENTRY = "path string, entry string, size long, content binary, error string"
 
 
@@ -23,6 +26,20 @@ def blobs(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content", "length")
 
 
+def globbed(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, content, length, relative) of all files whose paths fit a pattern with ``*``, ``**`` and alternatives of an ending. Listing
+    starts at the folder before the first wildcard; ``relative`` is what stands below it."""
+
+    def one(single: str) -> DataFrame:
+        folder, rest = glob.fixed_folder(single)
+        found = blobs(spark, folder or ".", rest.rsplit("/", 1)[-1].replace("**", "*"))
+        root = "/" + folder.split("://", 1)[-1].strip("/") + "/" if folder else "/"
+        below = F.col("path") if not folder else F.substring("path", F.locate(root, F.col("path")) + len(root), F.length("path"))
+        return found.withColumn("relative", below).where(F.col("relative").rlike(glob.expression(rest)))
+
+    return reduce(DataFrame.union, map(one, dict.fromkeys(glob.alternatives(pattern))))
+
+
 def kind_of(content: Column) -> Column:
     """Container of a blob by its first bytes, null where none fits."""
     head = F.hex(F.substring(content, 1, 12))
@@ -31,7 +48,10 @@ def kind_of(content: Column) -> Column:
         "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "zip": "504B0304", "gzip": "1F8B", "ktx2": "AB4B5458203230BB0D0A1A0A", "ktx": "AB4B5458203131BB0D0A1A0A",
         "dds": "44445320", "pvr": "50565203", "rom": "4E45531A", "ar": "213C617263683E0A",
     }
-    found = F.when(head.rlike("^503[1-6](09|0A|0D|20|23)"), "netpbm").when(head.rlike("^52494646.{8}57454250"), "webp").when(head.rlike("^0A0[0-5]0[01]0[1248]"), "pcx")
+    # An archive whose first member is the index of a cut picture.
+    member = F.decode(F.substring(content, 9, 60), "ISO-8859-1")
+    indexed = head.startswith("213C617263683E0A") & (F.regexp_replace(F.substring(member, 1, 16), "[ /]+$", "") == "0000000000.txt") & (F.substring(member, 59, 2) == "`\n")
+    found = F.when(indexed, "zcis").when(head.rlike("^503[1-6](09|0A|0D|20|23)"), "netpbm").when(head.rlike("^52494646.{8}57454250"), "webp").when(head.rlike("^0A0[0-5]0[01]0[1248]"), "pcx")
     for name, first in magic.items():
         found = found.when(head.startswith(first), name)
     return found
