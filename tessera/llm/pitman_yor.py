@@ -11,11 +11,12 @@ The seating is sampled by Gibbs sweeps. For a (context, word) with c customers o
 other tables its distribution is proportional to S(c, t), the generalised Stirling number, times the probability that the t
 tables open in the context and send their customers to the root, one after the other. It is drawn exactly for c up to 256.
 Beyond that S(c, t) follows from its row of 256 customers, since it depends on t / c^discount but for known factors, and t is
-drawn one by one up to 128, and beyond from cells that each span a few per cent. Words are dealt out over buckets. In
-a bucket the draws of a sweep go by turns, each of them given what the turns before have changed in the context's tables and at
-the root; what other buckets have changed is seen in the next sweep (as in distributed samplers for topic models). So a sweep is
-one pass over the counts, of which only sums by context are shuffled. Predictive probabilities are averaged over the sweeps
-after ``burn_in``. Draws are seeded by the words and the sweep, so a lost and repeated task draws the same.
+drawn one by one up to 128, and beyond from cells that each span a few per cent. The draws of a sweep go by turns, each of them
+given what the turns before have changed of the word's own tables in all contexts; what other words have changed in the sums of
+contexts and of the root is seen in the next sweep (as in distributed samplers for topic models). So a sweep is one pass over the
+counts, of which only sums by context are shuffled. Predictive probabilities are averaged over the sweeps after ``burn_in``. Draws
+are seeded by the words and the sweep and depend on no bucket, task or file, so a lost and repeated task draws the same, and
+the scores are a function of the table.
 
 Everything is joined by Spark on word hashes; bounded arrays hold what a task works on. Hash buckets bound what one task
 holds: their number follows the number of tokens.
@@ -45,6 +46,8 @@ _EXACT = 256
 _SINGLE, _CELLS = 128, 256  # numbers of tables looked at one by one, and in cells, for a dish with more customers
 _TURNS = 8  # of a sweep; a power of two
 _BUCKET_TOKENS = 2_000_000  # tokens that one bucket should hold
+_HELD_WORDS = 1_000_000  # words whose counts a task holds
+_BROADCAST_BYTES = 48 << 20  # of the words that are scored where the texts are
 
 
 def _stream(batch: pa.RecordBatch, m: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,17 +68,31 @@ def _stream(batch: pa.RecordBatch, m: Shape) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _frequent_words(docs: DataFrame, most: int) -> np.ndarray:
-    """Sorted hashes of the ``most`` most frequent words. A slice of texts counts for the words that make up 1/4000 of it, so no
-    more than 4000 rows leave a slice."""
+    """Sorted hashes of the ``most`` most frequent words. All words are counted; a task hands its counts on once it holds many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return words, np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
+
+        def made() -> pa.RecordBatch:
+            words, n = added()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 data, offsets = T.buffer_of(batch.column("text"))
                 starts, ends, _ = T.words(data, offsets)
-                words, n = np.unique(T.word_hashes(data, starts, ends), return_counts=True)
-                kept = n * 4000 >= len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(words[kept].view(np.int64)), pa.array(n[kept])], ["word", "n"])
+                held.append(np.unique(T.word_hashes(data, starts, ends), return_counts=True))
+                if sum(len(h[0]) for h in held) > _HELD_WORDS:
+                    held[:] = [added()]
+                    if len(held[0][0]) > _HELD_WORDS // 2:
+                        yield made()
+        if held:
+            yield made()
 
     counts = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "word").limit(most).collect()
@@ -282,7 +299,7 @@ def _by_word(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def seatings(words: np.ndarray, context: np.ndarray, n: np.ndarray, history: list[Totals], m: Shape) -> Iterator[np.ndarray]:
     """Tables of every (word, context): all customers of a dish at one table at first, then after each sweep of ``history``.
 
-    A sweep depends on the bucket's own counts and the totals before it, so it can be replayed anywhere with the same result.
+    A sweep of a word depends on its own counts and the totals before it, so it can be replayed anywhere with the same result.
     """
     first, own = _by_word(words)
     tables = np.ones(len(words), np.int64)
@@ -295,14 +312,13 @@ def seatings(words: np.ndarray, context: np.ndarray, n: np.ndarray, history: lis
         turn = (seed & T.U64(_TURNS - 1)).astype(np.int64)
         around, total = before.tables.astype(float), float(before.tables.sum())
         sent = np.add.reduceat(tables, first) if len(first) else np.zeros(0, np.int64)
+        started = sent.copy()
         for now in range(_TURNS):
             chosen = np.flatnonzero(turn == now)
             part = many[chosen]
-            # What this bucket has changed in the sweep so far is seen at once; a dish's own tables stand up first.
-            was, at, word = tables[part], context[part], own[part]
-            new = draw_tables(n[part], around[at] - was, sent[word] - was, total - was, m, uniform[chosen])
-            around += np.bincount(at, weights=new - was, minlength=m.contexts + 1)
-            total += float((new - was).sum())
+            # What the turns before have changed for the word is seen at once; a dish's own tables stand up first.
+            was, word = tables[part], own[part]
+            new = draw_tables(n[part], around[context[part]] - was, sent[word] - was, total + (sent - started)[word] - was, m, uniform[chosen])
             np.add.at(sent, word, new - was)
             tables[part] = new
         yield tables
@@ -420,6 +436,26 @@ def _frequent(model: DataFrame, least: int, history: list[Totals], kept: list[in
     return out
 
 
+def _least_frequent(model: DataFrame, least: int, kept: int) -> int:
+    """The number of times, ``least`` or its smallest doubling, from which on the words' rows of the model fit a broadcast: sums by
+    powers of two, so few rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                counts, own = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("counts", np.int64), ("own", np.int32)))
+                level = np.where(counts >= least, 1 + np.log2(np.maximum(counts / least, 1)).astype(np.int64), 0)
+                sizes += np.bincount(level, 16 + 4 * kept + 9 * np.bincount(own, minlength=len(counts)), 64)[:64]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, 64), pa.int32()), pa.array(sizes[1:])], ["level", "size"])
+
+    sums = {r.level: r.size for r in model.select("counts", "own").mapInArrow(run, "level int, size double").groupBy("level").agg(F.sum("size").alias("size")).collect()}
+    level = 1
+    while sum(v for k, v in sums.items() if k >= level) > _BROADCAST_BYTES:
+        level += 1
+    return least << (level - 1)
+
+
 def _partial(ids: pa.Array, doc: np.ndarray, known: np.ndarray, base: np.ndarray, p: np.ndarray, rows: int, tokens: np.ndarray) -> pa.RecordBatch:
     n = len(ids)
     sums = [
@@ -431,12 +467,12 @@ def _partial(ids: pa.Array, doc: np.ndarray, known: np.ndarray, base: np.ndarray
     return pa.RecordBatch.from_arrays([ids, *sums], ["doc_id", *_PARTIAL])
 
 
-def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes: int = 48, sweeps: int = 4, burn_in: int = 1, root_discount: float = 0.75, discount: float = 0.7, strength: float = 1.0, most_frequent: int = 100_000) -> DataFrame:
+def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes: int = 48, sweeps: int = 6, burn_in: int = 2, root_discount: float = 0.75, discount: float = 0.7, strength: float = 1.0, most_frequent: int = 100_000) -> DataFrame:
     """Score the texts of ``docs`` (columns doc_id, text) under the model of those for which ``train`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text). Words that make
     up a ``most_frequent``-th of the training tokens or more, of which there can be no more than that many, are scored where
-    the texts are; all others travel to their bucket of the model and back.
+    the texts are, as far as their rows fit a broadcast of bounded size; all others travel to their bucket of the model and back.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
@@ -451,7 +487,7 @@ def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes
     kept = list(range(burn_in + 1, sweeps + 1))
     model = materialize(_model(counts, history, kept, m), "model")
     n_train, v = int(history[0].customers.sum()), int(history[0].words)
-    least = max(1, math.ceil(n_train / most_frequent))
+    least = _least_frequent(model, max(1, math.ceil(n_train / most_frequent)), len(kept))
     near = spark.sparkContext.broadcast(_frequent(model, least, history, kept, m))
     floor = math.log10(n_train + 0.1 * (v + 1))
     # Rows with the same id and text are added up and told apart again at the end.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from common import SF, odd_documents
 from tessera.llm import pitman_yor as P
+from tessera.llm import text as T
 
 
 def tokens(text):
@@ -218,3 +219,46 @@ def test_odd_tables(spark):
     assert P.fit_and_score(odd_documents(spark, empty=True), F.lit(True)).count() == 0
     unknown = P.fit_and_score(odd, F.lit(False)).collect()
     assert len(unknown) == 11 and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == pytest.approx(0) for r in unknown)
+
+
+def test_shared_contexts_against_a_plain_sampler(spark):
+    """Three words are contexts of their own, all others share two restaurants."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("aaaabbbcc" "defghijklmn") if rng.random() < 0.6 else "abc"[k % 3] for k in range(30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = F.col("doc_id") < 50
+    rows = {r.doc_id: r.score for r in P.fit_and_score(docs, train, words_of_their_own=3, classes=2, sweeps=12, burn_in=4).collect()}
+    m = P.Shape(P._frequent_words(docs.where(train).select("text"), 3), 2, 0.75, 0.7, 1.0, 1)
+    own = {w: np.frombuffer(w.encode(), np.uint8) for t in texts for w in t.split()}
+    context = {w: int(m.context_of(T.word_hashes(b, np.array([0]), np.array([len(b)])))[0]) for w, b in own.items()}
+    assert {context[w] for w in "abc"} == {0, 1, 2} and {context[w] for w in "defghijklmn"} == {3, 4}
+    log_p = customer_by_customer(texts[:50], lambda w: None if w is None else context[w], 0.7, 0.75, 1.0, 30, 10)
+    for d, t in list(enumerate(texts))[50:]:
+        stream = tokens(t)
+        assert rows[d] == pytest.approx(sum(log_p(context.get(u), w) for u, w in zip([None, *stream[:-1]], stream)), rel=0.02, abs=0.1), d
+
+
+def test_scores_depend_on_no_layout(spark, monkeypatch):
+    """The same scores from one partition and from a hundred, and however many buckets the words are dealt over."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    train = F.col("doc_id") % 3 != 0
+    score = lambda d, **how: {r.doc_id: r.score for r in P.fit_and_score(d, train, **how).collect()}
+    one = score(docs.coalesce(1))
+    assert score(docs.repartition(100)) == pytest.approx(one, rel=1e-6)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(P, "_BUCKET_TOKENS", size // 6 // 64)
+    assert score(docs) == pytest.approx(one, rel=1e-6)
+    # A broadcast that holds few words, or none, changes where words are scored, and not how.
+    monkeypatch.setattr(P, "_BROADCAST_BYTES", 3000)
+    assert score(docs) == pytest.approx(one, rel=1e-6)
+
+
+def test_frequent_words_are_counted_exactly(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    count = Counter(w for r in docs.collect() for w in tokens(r.text)[:-1])
+    hashed = {w: int(T.word_hashes(b := np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(b)]))[0]) for w in count}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    want = sorted(hashed[w] for w in sorted(count, key=lambda w: (-count[w], signed(hashed[w])))[:192])
+    assert P._frequent_words(docs, 192).tolist() == want
+    monkeypatch.setattr(P, "_HELD_WORDS", 50)
+    assert P._frequent_words(docs.repartition(7), 192).tolist() == want
