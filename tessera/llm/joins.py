@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SHARE = 1000
+_MOST_KEYS = 1_000_000  # of a few numbers each: some 40 MB
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
@@ -17,3 +18,9 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     hot = F.broadcast(table.where(F.col(count) * _SHARE > total))
     rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) * _SHARE <= total), key, how)
     return rows.join(hot, key).unionByName(rest)
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``gone``, a stored table of keys. Where these are few, as their count tells, they are broadcast
+    and no row moves; beyond that both sides are shuffled once."""
+    return rows.join(F.broadcast(gone) if gone.count() <= _MOST_KEYS else gone, key, "left_anti")

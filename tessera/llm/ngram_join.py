@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm import text as T
 from tessera.llm.components import components
 from tessera.llm.filters import bit_table
+from tessera.llm.joins import drop_rows
 from tessera.llm.storage import discard, materialize
 
 _WORDS = 5
@@ -385,7 +386,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id",
     rows = linked(docs, id_column, text_column, threshold)
     dropped = materialize(rows.where("doc <> group_doc").select("doc").distinct(), "dropped")
     whole = docs.select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.struct(*docs.columns).alias("row"))
-    return whole.join(dropped, "doc", "left_anti").select("row.*")
+    return drop_rows(whole, dropped, "doc").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
