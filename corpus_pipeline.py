@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, langid, ngram_join, pii
+from tessera.llm.joins import drop_rows
 from tessera.llm.storage import materialize
 
 
@@ -32,8 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = materialize(found.select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(hit, docs["doc_id"] == F.col("_hit"), "left_anti")
+    hit = materialize(found.select("doc_id").distinct(), "contaminated")
+    return drop_rows(docs, hit, "doc_id").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
