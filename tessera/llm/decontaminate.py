@@ -10,7 +10,8 @@ positions; substitutions at its rim count for its length, but not for the place
 tokens are too short to be evidence and match nothing.
 
 A seed that comes often, as in a text of one repeated word, is one row with all of its places: the diagonals of a stretch and an
-item are worked out where the two are compared, and each of them is compared once.
+item are worked out where the two are compared, and each of them is compared once. A stretch's tokens move once for the items that
+it meets, and a seed or an item that is met everywhere is spread over tasks.
 
 Defined cases: null and empty texts have no tokens and match nothing; texts of any length are read whole; rows without an id
 cannot be named and are left out; repeated documents and items, and several texts of one id, each match by themselves, and the
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
@@ -39,6 +40,10 @@ SHORT_MASKS = ((0, 1, 2, 4),)
 SHORT = 12  # tokens from which on an item needs none of those
 SHORTEST = 6  # tokens of an item
 _CONTEXT = 64  # tokens kept on either side of a hit for the comparison
+_PAIRS = 1 << 18  # pairs of places whose differences are formed one by one
+_ITEMS = 256  # items that go to a stretch in one row
+_MOST_ROWS = 500_000  # of a table with three numbers a row, to be broadcast
+_SALTS = 32
 
 
 def _tokens(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, ...]:
@@ -164,7 +169,12 @@ def best_overlap(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, min_tokens
     first token, in ascending order): of most agreeing tokens, then of fewest tokens, then the earliest."""
     best = None
     least = min(min_tokens, len(b))
-    for shift in diagonals.tolist():
+    # The longest overlaps first: what is shorter than the best one's agreement can't be better.
+    long = np.minimum(len(a), diagonals + len(b)) - np.maximum(0, diagonals)
+    for k in np.argsort(-long, kind="stable").tolist():
+        shift = int(diagonals[k])
+        if long[k] < least or best is not None and long[k] < best[0][0]:
+            break
         low, high = max(0, shift), min(len(a), shift + len(b))
         same = a[low:high] == b[low - shift : high - shift]
         s, e = best_stretch(same, identity, least)
@@ -174,37 +184,64 @@ def best_overlap(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, min_tokens
         hit = np.flatnonzero(same[s:e])
         if len(hit):
             s, e = s + int(hit[0]), s + int(hit[-1]) + 1
-            if best is None or (len(hit), best[1] - best[0]) > (best[2], e - s):
-                best = low + s, low + e, len(hit)
+            rank = len(hit), s - e, -shift
+            if best is None or rank > best[0]:
+                best = rank, low + s, low + e
             if len(hit) == len(b):  # no later diagonal is better
                 break
-    return best
+    return None if best is None else (best[1], best[2], best[0][0])
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The different values of x - y over all pairs of two lists of places, in ascending order. Long lists are correlated, so memory
+    is that of the places' range and not of the pairs."""
+    if len(x) * len(y) <= _PAIRS:
+        return np.unique(x[:, None] - y[None, :])
+    low, high = int(x.min()), int(y.max())
+    one, two = np.zeros(int(x.max()) - low + 1), np.zeros(high - int(y.min()) + 1)
+    one[x - low], two[high - y] = 1, 1
+    n = 1 << (len(one) + len(two) - 1).bit_length()
+    met = np.fft.irfft(np.fft.rfft(one, n) * np.fft.rfft(two, n), n)
+    return np.flatnonzero(met > 0.5) + low - high
 
 
 def _compare(pairs: DataFrame, min_tokens: int, identity: float) -> DataFrame:
-    """(doc, item, start, end, n_aligned, n_same, item_tokens) of the pairs of a stretch and an item that match."""
+    """(doc, item, start, end, n_aligned, n_same, item_tokens) of the stretches and items that match; a row has a stretch and items that
+    it meets."""
     names = ["doc", "item", "start", "end", "n_aligned", "n_same", "item_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, out = [], []
-            column = {c: batch.column(c) for c in ("tokens", "starts", "ends", "item_tokens", "met")}
             for k in range(batch.num_rows):
-                a, b = (column[c][k].values.to_numpy() for c in ("tokens", "item_tokens"))
-                met = column["met"][k].values
-                met = zip(*(met.field(c) for c in ("at", "item_at")), strict=True)
-                shifts = [np.unique(x.values.to_numpy()[:, None] - y.values.to_numpy()[None, :]) for x, y in met]
-                found = best_overlap(a, b, np.unique(np.concatenate(shifts)), min_tokens, identity)
-                if found is not None:
-                    s, e, same = found
-                    keep.append(k)
-                    out.append((column["starts"][k].values[s].as_py(), column["ends"][k].values[e - 1].as_py(), e - s, same, len(b)))
+                tokens, starts, ends = (batch.column(c)[k].values.to_numpy() for c in ("tokens", "starts", "ends"))
+                own = batch.column("items")[k].values
+                for j in range(len(own)):
+                    met = own.field("met")[j].values
+                    shifts = [differences(x.values.to_numpy().astype(np.int64), y.values.to_numpy().astype(np.int64)) for x, y in zip(met.field("at"), met.field("item_at"), strict=True)]
+                    b = own.field("item_tokens")[j].values.to_numpy()
+                    found = best_overlap(tokens, b, np.unique(np.concatenate(shifts)), min_tokens, identity)
+                    if found is not None:
+                        s, e, same = found
+                        keep.append(k)
+                        out.append((own.field("item")[j], int(starts[s]), int(ends[e - 1]), e - s, same, len(b)))
             if keep:
-                ids = [batch.column(c).take(pa.array(keep)) for c in ("doc", "item")]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names)
+                items, *numbers = zip(*out, strict=True)
+                ids = [batch.column("doc").take(pa.array(keep)), pa.array([v.as_py() for v in items], batch.schema.field("items").type.value_type.field("item").type)]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int64()) for c in numbers)], names)
+
+    kinds = pairs.schema["doc"].dataType.simpleString(), pairs.schema["items"].dataType.elementType["item"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}, start long, end long, n_aligned long, n_same long, item_tokens long")
+
 
-    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("doc", "item")}
-    return pairs.mapInArrow(run, f"doc {kinds['doc']}, item {kinds['item']}, start long, end long, n_aligned long, n_same long, item_tokens long")
+def _spread(rows: DataFrame, table: DataFrame, key: str, small: bool) -> DataFrame:
+    """Join of ``rows`` with the benchmark's ``table``, however many rows have the same key: a table that was found ``small`` is broadcast,
+    another one repeated for each of ``_SALTS`` parts that its keys' rows are dealt over."""
+    if small:
+        return rows.join(F.broadcast(table), key)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "segment"), F.lit(_SALTS)))
+    many = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    return dealt.join(many, [key, "salt"]).drop("salt")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, min_tokens: int = 12, min_identity: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", text_column: str = "text", item_text: str = "text") -> DataFrame:
@@ -216,9 +253,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_tokens: int = 12, min_i
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text_column).alias("h")).alias("doc"), F.col(text_column).alias("text"))
     segments = materialize(_segments(texts, table, texts.schema["doc"].dataType.simpleString()), "segments")
     hits = segments.select("doc", "segment", F.explode(F.arrays_zip("seeds", "ats")).alias("h")).select("doc", "segment", F.col("h.seeds").alias("seed"), F.col("h.ats").alias("at"))
-    met = hits.join(seeds, "seed").groupBy("doc", "segment", "item").agg(F.collect_list(F.struct("at", "item_at")).alias("met"))
-    pairs = met.join(items.withColumnRenamed("tokens", "item_tokens"), "item").join(segments.select("doc", "segment", "tokens", "starts", "ends"), ["doc", "segment"])
-    found = _compare(pairs, min_tokens, min_identity)
+    met = _spread(hits, seeds, "seed", seeds.count() <= _MOST_ROWS).groupBy("doc", "segment", "item").agg(F.collect_list(F.struct("at", "item_at")).alias("met"))
+    # Items go to the stretches, some hundred at a time, and so a stretch's tokens move once for all of them.
+    n = F.count("*").over(Window.partitionBy("doc", "segment"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("item"), F.ceil(n / _ITEMS)))
+    size = items.agg(F.coalesce(F.sum(F.size("tokens") + 8), F.lit(0))).first()[0]
+    met = _spread(met, items.withColumnRenamed("tokens", "item_tokens"), "item", size <= 4 * _MOST_ROWS)
+    met = met.groupBy("doc", "segment", "part").agg(F.collect_list(F.struct("item", "item_tokens", "met")).alias("items"))
+    found = _compare(met.join(segments.select("doc", "segment", "tokens", "starts", "ends"), ["doc", "segment"]), min_tokens, min_identity)
     best = F.struct("n_same", (-F.col("n_aligned")).alias("a"), (-F.col("start")).alias("s"), "end", "item_tokens")
     found = found.groupBy(F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id")).agg(F.max(best).alias("b"))
     return found.select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), (-F.col("b.a")).alias("n_aligned"), F.col("b.n_same").alias("n_same"), F.col("b.item_tokens").alias("item_tokens"))

@@ -5,9 +5,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from common import SF, odd_documents
-from tessera.llm.decontaminate import MASKS, SHORT, SHORT_MASKS, SHORTEST, best_stretch, decontaminate
+from tessera.llm import decontaminate as D
+from tessera.llm.decontaminate import MASKS, SHORT, SHORT_MASKS, SHORTEST, best_overlap, best_stretch, decontaminate, differences
 
 words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -123,3 +125,56 @@ def test_repeated_ids_and_items(spark):
     bench = spark.createDataFrame([(7, passage), (7, "twelve quite different tokens under one item id and still it must be found"), (7, passage)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "nothing here"), (1, f"x {passage}"), (1, f"x {passage}"), (2, "y y twelve quite different tokens under one item id and still it must be found")], "doc_id long, text string")
     assert {(r.doc_id, r.item_id, r.start) for r in decontaminate(docs, bench).collect()} == {(1, 7, 2), (2, 7, 4)} and decontaminate(docs, bench).count() == 2
+
+
+def test_long_texts_of_equal_words_in_little_memory():
+    """Twenty thousand equal words on both sides have 400 million pairs of places."""
+    import tracemalloc
+
+    a, b, at = np.full(20_000, 7), np.full(20_000, 7), np.arange(20_000)
+    tracemalloc.start()
+    shifts = differences(at, at)
+    found = best_overlap(a, b, shifts, 12, 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shifts.tolist() == list(range(-19_999, 20_000)) and found == (0, 20_000, 20_000) and most < 200 << 20
+
+
+def test_differences(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = (np.unique(rng.integers(0, 300, rng.integers(1, 60))) for _ in range(2))
+        want = np.unique(x[:, None] - y[None, :])
+        monkeypatch.setattr(D, "_PAIRS", 0)
+        assert differences(x, y).tolist() == want.tolist()
+
+
+def test_best_overlap_tries_all_diagonals():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = rng.integers(0, 3, rng.integers(1, 40)), rng.integers(0, 3, rng.integers(6, 30))
+        shifts = np.arange(-len(b) + 1, len(a))
+        best = None
+        for shift in shifts.tolist():
+            low, high = max(0, shift), min(len(a), shift + len(b))
+            same = a[low:high] == b[low - shift : high - shift]
+            s, e = best_stretch(same, 0.8, min(12, len(b)))
+            hit = np.flatnonzero(same[s:e])
+            if e - s >= min(12, len(b)) and len(hit) and (best is None or (len(hit), hit[0] - hit[-1]) > (best[2], best[0] + 1 - best[1])):
+                best = low + s + int(hit[0]), low + s + int(hit[-1]) + 1, len(hit)
+        assert best_overlap(a, b, shifts, 12, 0.8) == best
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_phrase_in_every_item_and_text(spark, monkeypatch, broadcast):
+    """Every text meets every item by a phrase; only the texts that hold the rest of an item match, and they match it alone."""
+    if not broadcast:
+        monkeypatch.setattr(D, "_MOST_ROWS", 0)
+    monkeypatch.setattr(D, "_ITEMS", 16)
+    phrase = "as everyone has always known for sure"
+    item = lambda k: f"{phrase} " + " ".join(f"w{k}x{j}" for j in range(14))
+    bench = spark.createDataFrame([(k, item(k)) for k in range(100)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"text {d} {phrase} it {d}" if d % 5 else f"text {d} {item(d % 100)}") for d in range(400)], "doc_id long, text string")
+    got = decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_same) for r in got) == [(d, d % 100, 21) for d in range(0, 400, 5)]
+    assert decontaminate(docs.where(F.col("doc_id") % 5 != 0), bench).count() == 0
