@@ -1,9 +1,10 @@
 """WARC archives of pages, and their index as globally ordered capture histories.
 
 Every task writes its pages as gzipped records (one member each) to archives of bounded size, and gives the captures of an
-archive as a run sorted by URL key and time. The index is merged outside of any single memory: the range of all keys is dealt
-out over tasks by sampled bounds (time and record id are part of the key, so one URL can spread over many tasks), and each
-task merges its share of all runs with a loser tree. The files of the result, in order, are the global order.
+archive as a run sorted by URL key and time. Runs are kept in files, in blocks, and merged from these: a task takes a range of keys
+(time and record id are part of the key, so one URL can spread over many tasks), reads from each run the blocks that the range
+meets, one at a time, and merges them with a loser tree. Only the blocks' places go through a shuffle. Many runs are merged in
+several passes. The files of the result, in order, are the global order.
 
 Pages with equal payloads of ``least`` bytes or more are revisits of the one with the largest id. Archives are read back by
 the index's offsets.
@@ -21,6 +22,7 @@ import hashlib
 import math
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +34,9 @@ from tessera.llm.storage import materialize, new_path
 from tessera.llm.text import slices
 
 _EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
-_RUN_ROWS = 250_000  # captures that one merging task should hold
+_SECONDS = 250_000_000_000  # up to the last date that can be written
+_RUN_ROWS = 250_000  # captures that one merging task should read
+_MOST_BROADCAST = 500_000  # revisits, of some hundred bytes each
 _READ_BYTES = 64 << 20  # of archives that one task should read
 
 CAPTURE = "url_key string, timestamp string, record_id string, archive string, offset long, length long, record_type string"
@@ -132,7 +136,9 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(payload_column).alias("payload"))
     # An id can have several payloads, of which some stand elsewhere.
     stated = rows.withColumns({"digest": F.sha1(F.coalesce("payload", F.lit(""))), "n_bytes": F.octet_length(F.coalesce("payload", F.lit("")))})
-    rows = stated.join(refers, ["id", "digest", "n_bytes"], "left").select("id", "url", "payload", "refers_to")
+    # Payloads stay where they are unless there are very many revisits.
+    small = refers.count() <= _MOST_BROADCAST
+    rows = stated.join(F.broadcast(refers) if small else refers, ["id", "digest", "n_bytes"], "left").select("id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
@@ -156,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
                         name, at = f"crawl-{uuid.uuid4().hex}.warc.gz", 0
                         out = files.open_output_stream(f"{root}/{name}", compression=None)  # its members are packed one by one
                     own = f"urn:x-page:{x['id']}" if x["id"] is not None else f"urn:uuid:{uuid.uuid4()}"
-                    date = (_EPOCH + datetime.timedelta(seconds=(x["id"] or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                    date = (_EPOCH + datetime.timedelta(seconds=(x["id"] or 0) % _SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
                     refers_to = f"urn:x-page:{x['refers_to']}" if x["refers_to"] is not None else None
                     packer = zlib.compressobj(3, zlib.DEFLATED, 31)
                     member = packer.compress(record(own, x["url"], date, (x["payload"] or "").encode(), refers_to)) + packer.flush()
@@ -170,28 +176,181 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     return materialize(rows.mapInArrow(run, CAPTURE), "captures")
 
 
-def merge_index(captures: DataFrame) -> DataFrame:
-    """All captures in the order of URL key, time and record id."""
-    keys = ["url_key", "timestamp", "record_id"]
-    parts = max(1, math.ceil(captures.count() / _RUN_ROWS))
-    dealt = captures.repartitionByRange(parts, *keys).sortWithinPartitions("archive", *keys)
+_KEYS = ["url_key", "timestamp", "record_id"]
+_NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
+_PLACE = "run string, file string, offset long, length long, n long, first array<string>, last array<string>"
+
+
+class _Blocks:
+    """Writes sorted captures to a file of the shared folder, block by block, and says where each block lies and what it spans."""
+
+    def __init__(self, folder: str):
+        self.files, root = pafs.FileSystem.from_uri(folder)
+        self.files.create_dir(root, recursive=True)
+        self.name, self.at = f"{root}/run-{uuid.uuid4().hex}", 0
+        self.out = None
+
+    def write(self, run: str, rows: list[tuple]) -> tuple:
+        if self.out is None:
+            self.out = self.files.open_output_stream(self.name, compression=None)
+        columns = [pa.array(c) for c in zip(*rows, strict=True)]
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays(columns, _NAMES)
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(batch)
+        data = sink.getvalue()
+        self.out.write(data)
+        place = run, self.name, self.at, len(data), len(rows), list(rows[0][:3]), list(rows[-1][:3])
+        self.at += len(data)
+        return place
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        archive = table.column("archive").to_pylist()
-        cuts = [0, *(k for k in range(1, len(archive)) if archive[k] != archive[k - 1]), len(archive)]
-        columns = [table.column(c).to_pylist() for c in keys]
 
-        def numbered(a: int, b: int) -> Iterator:
-            return zip(*(c[a:b] for c in columns), range(a, b), strict=True)
+def _places(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _PLACE.split(", ")])
 
-        order = [head[-1] for _, head in LoserTree([numbered(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])]
-        yield from table.take(pa.array(order)).to_batches(max_chunksize=10_000)
 
-    return materialize(dealt.mapInArrow(run, captures.schema), "index")
+def sorted_runs(captures: DataFrame, folder: str) -> DataFrame:
+    """Captures as runs in files of the shared folder; a row for each block. The captures of an archive come sorted from their writer and
+    are a run as they are; what isn't sorted is sorted batch by batch, and a run ends where a key is smaller than the one before."""
+    block = _block_rows()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, last, name = _Blocks(folder), [], None, ""
+        places: list[tuple] = []
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            turn = {archive: k for k, archive in enumerate(dict.fromkeys(r[3] for r in rows))}
+            for row in sorted(rows, key=lambda r: (turn[r[3]], r[:3])):
+                if last is None or row[:3] < last:
+                    if held:
+                        places.append(out.write(name, held))
+                        held = []
+                    name = uuid.uuid4().hex
+                held.append(row)
+                last = row[:3]
+                if len(held) == block:
+                    places.append(out.write(name, held))
+                    held = []
+            if len(places) > 1000:
+                yield _places(places)
+                places = []
+        if held:
+            places.append(out.write(name, held))
+        out.close()
+        if places:
+            yield _places(places)
+
+    return materialize(captures.select(*_NAMES).mapInArrow(run, _PLACE), "runs")
+
+
+def _block_rows() -> int:
+    return max(16, min(1024, _RUN_ROWS // 32))
+
+
+def _read_run(files: pafs.FileSystem, places: list[tuple], low: tuple, high: tuple | None) -> Iterator[tuple]:
+    """The captures of a run from key ``low`` on and before ``high``, one block in memory at a time."""
+    for file, offset, length in places:
+        with files.open_input_file(file) as source:
+            table = pa.ipc.open_stream(source.read_at(length, offset)).read_all()
+        for row in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            if high is not None and row[:3] >= high:
+                return
+            if row[:3] >= low:
+                yield row
+
+
+def _merged(blocks: DataFrame, folder: str, groups: int, last: bool) -> DataFrame:
+    """Runs of ``blocks`` merged within ``groups`` of them: as runs again, or the ``last`` time as captures in order.
+
+    The keys of a group are cut into ranges at keys where some of its blocks begin, so that a task merges about ``_RUN_ROWS`` captures:
+    it reads from each run the blocks that the range meets, and holds one block of each run."""
+    rows = blocks.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int"))
+    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("blocks")).first()
+    parts = max(1, math.ceil(total.n / _RUN_ROWS / groups))  # of a group
+    # Bounds balance the tasks' work and nothing else, so a few blocks a range, by hash, are enough to find them.
+    share = min(1.0, 16 * parts * groups / max(1, total.blocks))
+    some = rows.where(F.pmod(F.xxhash64("file", "offset"), F.lit(1 << 20)) < int(share * (1 << 20))).select("group", "first").collect()
+    begins: dict[int, list[tuple]] = {}
+    for r in some:
+        begins.setdefault(r.group, []).append(tuple(r.first))
+    bounds = {}
+    for g, keys in begins.items():
+        keys = sorted(set(keys))
+        bounds[g] = sorted({keys[len(keys) * k // parts] for k in range(1, parts)})
+    shared = blocks.sparkSession.sparkContext.broadcast(bounds)
+    names = [x.split()[0] for x in _PLACE.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, ranges = [], []
+            for k, (g, first, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("group", "first", "last")), strict=True)):
+                own = shared.value.get(g, [])
+                met = range(bisect_right(own, tuple(first)), bisect_right(own, tuple(end)) + 1)
+                take += [k] * len(met)
+                ranges += met
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(take, pa.int64())) for c in ("group", *names)), pa.array(ranges, pa.int32())], ["group", *names, "range"])
+
+    dealt = rows.select("group", *names).mapInArrow(deal, f"group int, {_PLACE}, range int")
+    tasks = parts * groups
+    spread = dealt.repartitionByRange(tasks, "group", "range") if last else dealt.repartition(tasks, "group", "range")
+    spread = spread.sortWithinPartitions("group", "range", "run", "first").select("group", "range", "run", "file", "offset", "length")
+    block = _block_rows()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = pafs.FileSystem.from_uri(folder)
+        out = None if last else _Blocks(folder)
+
+        def one(group: int, number: int, places: dict[str, list[tuple]]) -> Iterator[pa.RecordBatch]:
+            own = [(), *shared.value.get(group, []), None]
+            held, written = [], []
+            for _, row in LoserTree([_read_run(files, p, own[number], own[number + 1]) for p in places.values()]):
+                held.append(row)
+                if len(held) == block:
+                    yield from done(held, group, written)
+            if held:
+                yield from done(held, group, written)
+            if written:
+                yield _places(written)
+
+        def done(held: list[tuple], group: int, written: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], _NAMES)
+            else:
+                written.append(out.write(f"group-{group}", held))
+            held.clear()
+
+        now, places = None, {}
+        for batch in batches:
+            for group, number, run, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, number) != now:
+                    if places:
+                        yield from one(*now, places)
+                    now, places = (group, number), {}
+                places.setdefault(run, []).append(tuple(place))
+        if places:
+            yield from one(*now, places)
+        if out is not None:
+            out.close()
+
+    return materialize(spread.mapInArrow(merge, CAPTURE if last else _PLACE), "index" if last else "merged_runs")
+
+
+def merge_index(captures: DataFrame, folder: str | None = None, fan_in: int = 64) -> DataFrame:
+    """All captures in the order of URL key, time and record id, by merging their sorted runs from the files they are kept in: about
+    ``fan_in`` runs at a time, as often as it takes, and the last time into the table of all captures."""
+    folder = folder or new_path(captures.sparkSession, "index_runs")
+    blocks = sorted_runs(captures, folder)
+    runs = blocks.select("run").distinct().count()
+    while runs > fan_in:
+        groups = math.ceil(runs / fan_in)
+        blocks = _merged(blocks, folder, groups, False)
+        runs = groups
+    return _merged(blocks, folder, 1, True)
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:

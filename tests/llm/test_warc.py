@@ -94,3 +94,30 @@ def test_several_payloads_of_one_id(spark):
     refers = {(1, shared): "urn:x-page:2", (1, second): "urn:x-page:3"}
     want = [(f"urn:x-page:{k}", hashlib.sha1(t.encode()).hexdigest(), refers.get((k, t)), None if (k, t) in refers else t) for k, _, t in rows]
     assert got == sorted(want, key=lambda r: r[:2])
+
+
+@pytest.mark.parametrize(("fan_in", "rows_a_task"), [(64, 250_000), (3, 200), (2, 5000)])
+def test_external_merge_of_many_runs(spark, monkeypatch, fan_in, rows_a_task):
+    """Runs longer than a block, more runs than are merged at a time, one URL in a third of all captures, and repeated captures."""
+    monkeypatch.setattr(warc, "_RUN_ROWS", rows_a_task)
+    rng = random.Random(fan_in)
+    rows = []
+    for archive in range(9):
+        own = [("com,hot)/" if rng.random() < 0.35 else f"com,{rng.randrange(200)})/", f"2024-01-{1 + rng.randrange(28):02d}T00:00:00Z", f"urn:x-page:{rng.randrange(900)}", f"a{archive}", k, 1, "response") for k in range(700)]
+        rows += sorted(own)
+    captures = spark.createDataFrame(rows, warc.CAPTURE).repartition(4, "archive").sortWithinPartitions("archive", "url_key", "timestamp", "record_id")
+    runs = warc.sorted_runs(captures, new_path(spark, "runs"))
+    assert runs.select("run").distinct().count() == 9 and runs.agg({"n": "sum"}).first()[0] == 6300 and runs.agg({"n": "max"}).first()[0] <= warc._block_rows()
+    merged = warc.merge_index(captures, fan_in=fan_in)
+    order = [[tuple(r) for r in spark.read.schema(merged.schema).parquet(f).collect()] for f in sorted(merged.inputFiles())]
+    got = sum(order, [])
+    assert sorted(got) == sorted(rows) and [r[:3] for r in got] == sorted(r[:3] for r in rows)
+    assert len(order) == 1 or rows_a_task < 6300
+
+
+def test_very_long_payload(spark):
+    text = "x" * 30_000_000
+    folder = new_path(spark, "archives")
+    index = warc.merge_index(warc.write_archives(spark.createDataFrame([(1, "http://a.com/", text), (2, "http://a.com/", "short")], "page_id long, url string, html string"), folder))
+    got = {r.record_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(index, folder).select("record_id", "payload_bytes", "payload_digest").collect()}
+    assert got == {"urn:x-page:1": (30_000_000, hashlib.sha1(text.encode()).hexdigest()), "urn:x-page:2": (5, hashlib.sha1(b"short").hexdigest())}
