@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as T
 from tessera.llm.storage import materialize
+from tessera.operators.order import numbered
 
 _BUCKETS, _LEAST_WORDS, _SEED, _PERCENT = 10_000, 20, 2024, 10
 _SPACED = bytes(0x20 if cut else low for cut, low in zip(T.NOT_ALNUM.tolist(), T.LOWER.tolist(), strict=True))
@@ -113,28 +114,6 @@ def gumbel(key: Column) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` with ``rank`` (1, 2, ...) in that order, found range by range; ``rows`` should be a stored table, as it is read twice."""
-    spark = rows.sparkSession
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    fields = ranges.schema.simpleString().removeprefix("struct<").removesuffix(">")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n + 1, n + 1 + batch.num_rows))], [*batch.schema.names, "_place"])
-            n += batch.num_rows
-
-    placed = materialize(ranges.mapInArrow(run, f"{fields}, _place long").withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = dict(placed.groupBy("_range").agg(F.max("_place")).collect())  # a row for each range
-    before, firsts = 0, []
-    for k in sorted(sizes):
-        firsts.append((k, before))
-        before += sizes[k]
-    firsts = F.broadcast(spark.createDataFrame(firsts, "_range int, _before long"))
-    return placed.join(firsts, "_range").withColumn("rank", F.col("_before") + F.col("_place")).drop("_range", "_before", "_place")
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = _PERCENT, buckets: int = _BUCKETS, longest: int = 1, least_words: int = _LEAST_WORDS, seed: int = _SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_features, weight, score, and rank if it is among the ``percent`` drawn of the
     documents with ``least_words`` words. ``target`` has its texts in the column ``text``."""
@@ -146,8 +125,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = _PERCENT, bucket
     scored = materialize(known.withColumn("score", F.col("weight") + gumbel(key)), "scored")
     enough = scored.where(F.col("n_words") >= least_words)
     drawn = enough.count() * percent // 100
-    rows = ranked(enough, [F.col("score").desc(), F.col("id").asc_nulls_last()])
-    rows = rows.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
+    rows = numbered(enough, [F.col("score").desc(), F.col("id").asc_nulls_last()])
+    rows = rows.withColumn("rank", F.when(F.col("position") <= drawn, F.col("position"))).drop("position", "range")
     rest = scored.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     return rows.unionByName(rest).select(F.col("id").alias("doc_id"), "n_words", "n_features", "weight", "score", "rank")
 

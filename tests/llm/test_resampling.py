@@ -68,11 +68,3 @@ def test_blocks_hold_every_row(spark):
     blocks = resampling.count_blocks(docs.repartition(3), 50, 1).collect()
     assert sorted(map(str, (i for b in blocks for i in b.ids))) == sorted(str(r.id) for r in docs.collect())
     assert all(len(b.ids) == len(b.n_words) == len(b.ends) and len(b.buckets) == len(b.counts) == 4 * b.ends[-1] for b in blocks)
-
-
-def test_ranks_over_many_ranges(spark):
-    table = spark.range(1000).selectExpr("id", "cast(id % 7 as long) as score").repartition(6)
-    from pyspark.sql import functions as F
-
-    rows = resampling.ranked(table, [F.col("score").desc(), F.col("id").asc()]).orderBy("rank").collect()
-    assert [(r.score, r.id) for r in rows] == sorted(((k % 7, k) for k in range(1000)), key=lambda x: (-x[0], x[1])) and [r["rank"] for r in rows] == list(range(1, 1001))
