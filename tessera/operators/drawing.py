@@ -22,6 +22,8 @@ from tessera.sources.storage import materialize
 
 _MOST_SLACK = 512  # 32 levels, in sixteenths
 _LEVELS = 3  # halvings of a round
+_DRAW_BYTES = 9600 // 77  # what a draw is worth
+_MASK_BYTES = 128 + 1 + 3 * 256  # of a bitmap beside its rows
 
 
 def _key() -> Column:
@@ -112,9 +114,9 @@ def fills_of(flat: DataFrame) -> DataFrame:
     return merge_fills(own.select("image_id", "seq", "x", "y", "w", "h", "ground", (F.col("box_w") == 0).alias("solid")))
 
 
-def draws(px: DataFrame, boxes: DataFrame, fills: DataFrame | None = None, stretched: bool = True) -> DataFrame:
-    """(image_id, draws): runs of one colour along the rows of the boxes, and one for each fill. Where a preview
-    is ``stretched`` over pairs of rows, every second row of a box is painted twice."""
+def draws(px: DataFrame, boxes: DataFrame, fills: DataFrame | None = None, stretched: bool = True, spared: DataFrame | None = None) -> DataFrame:
+    """(image_id, draws): runs of one colour along the rows of the boxes, and one for each fill, less what masks (``spared``) save. Where
+    a preview is ``stretched`` over pairs of rows, every second row of a box is painted twice."""
     held = _places(boxes.select("image_id", "seq", "box_y", "box_h", "box_x", "box_w"), "box_x", "box_y", "box_w", "box_h").join(_keys(px), ["image_id", "px", "py"])
     row = Window.partitionBy("image_id", "seq", "py").orderBy("px")
     starts = F.coalesce(F.lag("key").over(row) != F.col("key"), F.lit(True))
@@ -122,8 +124,10 @@ def draws(px: DataFrame, boxes: DataFrame, fills: DataFrame | None = None, stret
     cost = held.select("image_id", F.when(starts, F.when(twice, 2).otherwise(1)).otherwise(0).alias("n"))
     if fills is not None:
         cost = cost.union(fills.select("image_id", F.lit(1)))
+    if spared is not None:
+        cost = cost.union(spared.select("image_id", -F.col("spared")))
     pictures = boxes.select("image_id").distinct()
-    return pictures.join(cost.groupBy("image_id").agg(F.sum("n").cast("long").alias("draws")), "image_id", "left").select("image_id", F.coalesce("draws", F.lit(0).cast("long")).alias("draws"))
+    return pictures.join(cost.groupBy("image_id").agg(F.sum("n").cast("long").alias("draws")), "image_id", "left").select("image_id", F.greatest(F.coalesce("draws", F.lit(0).cast("long")), F.lit(0).cast("long")).alias("draws"))
 
 
 def _grounds(boxes: DataFrame, fills: DataFrame) -> DataFrame:
@@ -135,6 +139,43 @@ def _grounds(boxes: DataFrame, fills: DataFrame) -> DataFrame:
     return last.join(stands, ["image_id", "seq"], "left_semi")
 
 
+def masks(px: DataFrame, boxes: DataFrame, fills: DataFrame, worth: int, stretched: bool = True) -> DataFrame:
+    """(image_id, seq, refine, x, y, w, h, spared, bytes): the bitmaps that spare draws worth more than they cost.
+
+    The first mask of a box spares the pixels that are exactly the ground under them; the second, where a preview is ``stretched`` over
+    pairs of rows, those of the upper row that are like the pixel below and not spared before. A run of spared pixels is a draw
+    less, two where its row is painted twice. A mask covers what it spares, at one bit a pixel, rows packed by run lengths; it
+    is kept if its draws, at their worth in bytes, exceed its size and ``worth``."""
+    by, box = ["image_id", "seq"], ["box_x", "box_y", "box_w", "box_h"]
+    own = _places(boxes.select(*by, *box), *box).join(_keys(px), ["image_id", "px", "py"]).join(_grounds(boxes, fills), [*by, "px", "py"], "left")
+    own = own.withColumn("plain", F.coalesce(F.col("key") == F.col("under"), F.lit(False)))
+    own = own.withColumn("below", F.lead("key").over(Window.partitionBy(*by, "px").orderBy("py")))
+    odd = F.pmod(F.col("py") - F.col("box_y"), F.lit(2)) == 1
+    paired = ~odd & ~F.col("plain") & F.coalesce(F.col("key") == F.col("below"), F.lit(False))
+    layers = [F.struct(F.lit(False).alias("refine"), F.col("plain").alias("spared"), F.when(F.lit(stretched) & (F.col("box_h") > 1) & odd, 2).otherwise(1).alias("paints"))]
+    if stretched:
+        layers.append(F.struct(F.lit(True).alias("refine"), paired.alias("spared"), F.lit(1).alias("paints")))
+    rows = own.select(*by, "px", "py", F.explode(F.array(*layers)).alias("m")).select(*by, "px", "py", "m.*")
+    mask, row = [*by, "refine"], Window.partitionBy(*by, "refine", "py")
+    begins = F.col("spared") & ~F.coalesce(F.lag("spared").over(row.orderBy("px")), F.lit(False))
+    rows = rows.withColumn("n", F.when(begins, F.col("paints")).otherwise(0))
+    some = lambda f, c: f(F.when(F.col("spared"), F.col(c)))
+    found = rows.groupBy(*mask).agg(F.sum("n").alias("runs"), some(F.min, "px").alias("x"), some(F.min, "py").alias("y"), (some(F.max, "px") - some(F.min, "px") + 1).alias("w"), (some(F.max, "py") - some(F.min, "py") + 1).alias("h")).where("runs > 0")
+    inside = rows.join(found.select(*mask, "x", "y", "w", "h"), mask).where("px between x and x + w - 1 and py between y and y + h - 1")
+    at = F.col("px") - F.col("x")
+    bits = inside.groupBy(*mask, "py", F.floor(at / 8).cast("int").alias("byte")).agg(F.sum(F.when(F.col("spared"), 0).otherwise(F.expr("shiftleft(1, 7 - (px - x) % 8)"))).cast("int").alias("value"))
+    wide = F.ceil(F.col("w") / 8).cast("int")
+    padding = found.where(F.pmod(wide, F.lit(2)) == 1).select(*mask, F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("py"), wide.alias("byte"), F.lit(0).alias("value"))
+    line = row.orderBy("byte")
+    runs = bits.union(padding).withColumn("new", F.coalesce(F.lag("value").over(line) != F.col("value"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(line))
+    runs = runs.groupBy(*mask, "py", "run", "value").agg(F.count("*").alias("n"))
+    rest = F.pmod(F.col("n"), F.lit(63))
+    cost = F.floor(F.col("n") / 63) * 2 + F.when(rest == 0, 0).when((rest > 1) | (F.col("value") >= 0xC0), 2).otherwise(1)
+    sizes = runs.groupBy(*mask).agg((F.sum(cost) + _MASK_BYTES).cast("long").alias("bytes"))
+    kept = found.join(sizes, mask).where(F.col("runs") * _DRAW_BYTES > worth + F.col("bytes"))
+    return kept.select(*mask, "x", "y", "w", "h", F.col("runs").cast("long").alias("spared"), "bytes")
+
+
 def _near(one: np.ndarray, two: np.ndarray, slack: np.ndarray) -> np.ndarray:
     ok = one >> 24 == two >> 24
     for n in (16, 8, 0):

@@ -12,6 +12,7 @@ from tessera.operators import byte_cache, drawing
 from tessera.plans import oracles as O
 from tessera.plans.queries import _gray
 from tessera.sources import files, raster
+from tessera.sources.storage import materialize
 
 _BYTES, _TTL = 60_000, 43_200.0
 
@@ -68,6 +69,19 @@ def draw_cost(spark: SparkSession, sf_dir: str, stretched: bool) -> DataFrame:
     return drawing.draws(px, flat, drawing.fills_of(flat), stretched)
 
 
+def masks_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = framed(spark, sf_dir, 128)
+    flat = materialize(drawing.flatten(px, cuts_of(px).where("image_id % 4 in (0, 2)"), 0), "flat")
+    return drawing.masks(px, flat, drawing.fills_of(flat), 0)
+
+
+def draw_cost_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = framed(spark, sf_dir, 128)
+    flat = materialize(drawing.flatten(px, cuts_of(px).where("image_id % 4 in (0, 2)"), 0), "flat")
+    fills = materialize(drawing.fills_of(flat), "fills")
+    return drawing.draws(px, flat, fills, True, drawing.masks(px, flat, fills, 0))
+
+
 def slack_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst error and the draws of each picture, at slacks from 3 to 34 levels."""
     px = framed(spark, sf_dir, 1)
@@ -129,7 +143,7 @@ def etc1_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.etc1_pixels(rows.select("image_id", (F.col("y") % 4).alias("bx"), F.floor(F.col("y") / 4).cast("int").alias("by"), block.alias("block")))
 
 
-QUERIES = {f.__name__: f for f in (byte_lru_totals, fills_merged, slack_walk, slack_least, names_written, paths_globbed, blob_formats, requests_refused, etc1_decoded)}
+QUERIES = {f.__name__: f for f in (byte_lru_totals, fills_merged, masks_kept, draw_cost_masked, slack_walk, slack_least, names_written, paths_globbed, blob_formats, requests_refused, etc1_decoded)}
 QUERIES |= {"byte_lru": partial(byte_lru, ranges=1 << 18), "byte_lru_ranges": partial(byte_lru, ranges=300)}
 QUERIES |= {"fills_kept": partial(fills_kept, even=False), "fills_even": partial(fills_kept, even=True), "fills_near": partial(fills_kept, even=False, levels=64)}
 QUERIES |= {"draw_cost": partial(draw_cost, stretched=True), "draw_cost_flat": partial(draw_cost, stretched=False)}
@@ -197,6 +211,17 @@ def _fill_rows(flat: str) -> str:
     return f"WITH {flat} SELECT image_id, seq, x, y, w, h, CASE WHEN g IS NOT NULL THEN {_WHITE.format(v='g')} END AS ground, box_x, box_y, box_w, box_h FROM fl"
 
 
+_MASKED = (
+    "mo AS (SELECT fl.image_id, fl.seq, p.x, p.y, fl.box_y, fl.box_h, coalesce(p.v = g, false) AS plain, p.v, lead(p.v) OVER (PARTITION BY fl.image_id, fl.seq, p.x ORDER BY p.y) AS below FROM fl JOIN fr p ON p.image_id = fl.image_id AND p.x >= box_x AND p.x < box_x + box_w AND p.y >= box_y AND p.y < box_y + box_h), "
+    "ml AS (SELECT image_id, seq, x, y, false AS refine, plain AS spared, CASE WHEN box_h > 1 AND (y - box_y) % 2 = 1 THEN 2 ELSE 1 END AS paints FROM mo UNION ALL "
+    "SELECT image_id, seq, x, y, true, (y - box_y) % 2 = 0 AND NOT plain AND coalesce(v = below, false), 1 FROM mo), "
+    "mr AS (SELECT *, CASE WHEN spared AND NOT coalesce(lag(spared) OVER (PARTITION BY image_id, seq, refine, y ORDER BY x), false) THEN paints ELSE 0 END AS n FROM ml), "
+    "mf AS (SELECT image_id, seq, refine, CAST(sum(n) AS BIGINT) AS runs, min(x) FILTER (spared) AS x0, min(y) FILTER (spared) AS y0, max(x) FILTER (spared) AS x1, max(y) FILTER (spared) AS y1 FROM mr GROUP BY ALL HAVING sum(n) > 0), "
+    # Pictures are of 8 pixels at most, so a row is a byte of bits and one of padding.
+    "mb AS (SELECT mf.image_id, mf.seq, mf.refine, mr.y, sum(CASE WHEN spared THEN 0 ELSE 1 << CAST(7 - (mr.x - x0) AS INT) END) AS b FROM mf JOIN mr ON mr.image_id = mf.image_id AND mr.seq = mf.seq AND mr.refine = mf.refine AND mr.x BETWEEN x0 AND x1 AND mr.y BETWEEN y0 AND y1 GROUP BY ALL), "
+    "ms AS (SELECT image_id, seq, refine, CAST(897 + sum(CASE WHEN b = 0 THEN 2 WHEN b >= 192 THEN 3 ELSE 2 END) AS BIGINT) AS size FROM mb GROUP BY ALL), "
+    "mk AS (SELECT image_id, seq, refine, x0 AS x, y0 AS y, CAST(x1 - x0 + 1 AS INT) AS w, CAST(y1 - y0 + 1 AS INT) AS h, runs AS spared, size AS bytes FROM mf JOIN ms USING (image_id, seq, refine) WHERE runs * 124 > size)"
+)
 _WALKED = (
     "sl AS (SELECT fl.*, 50 + image_id % 6 * 100 AS s FROM fl WHERE box_w > 0), "
     "ks AS (SELECT sl.image_id, sl.seq, any_value(box_w) AS box_w, any_value(box_h) AS box_h, any_value(box_x) AS box_x, any_value(box_y) AS box_y, any_value(g) AS g, any_value(s) AS s, list(p.v ORDER BY p.y, p.x) AS k "
@@ -212,6 +237,7 @@ _WALKED = (
 
 _OVER = f"CASE WHEN z.size % 40 = 0 THEN {_BYTES} + z.size ELSE z.size END"
 _OUTCOMES = f"WITH {_lru(_OVER)} SELECT id, outcome = 'hit' AS hit, outcome, CASE WHEN prev IS NOT NULL THEN CAST(apart AS BIGINT) END AS distance FROM f"
+_MASK_FLAT = _flat(0, step=128).replace(_CUT_ROWS, _CUT_ROWS.removesuffix(")") + " WHERE i.image_id % 4 IN (0, 2))")
 _STEPPED = _flat(20, levels="(50 + he.image_id % 6 * 100) // 16", step=1)
 ORACLES = {
     "byte_lru": _OUTCOMES,
@@ -224,6 +250,8 @@ ORACLES = {
     "fills_merged": f"WITH {_flat(0)}, {_MERGE} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY x, y) AS INT) AS place, x, y, w, h, {_WHITE.format(v='g')} AS ground, solid FROM f6",
     "draw_cost": f"WITH {_flat(20)}, {_MERGE}, {_cost(True, 'fr')} SELECT * FROM co",
     "draw_cost_flat": f"WITH {_flat(20)}, {_MERGE}, {_cost(False, 'fr')} SELECT * FROM co",
+    "masks_kept": f"WITH {_MASK_FLAT}, {_MASKED} SELECT * FROM mk",
+    "draw_cost_masked": f"WITH {_MASK_FLAT}, {_MERGE}, {_MASKED}, {_cost(True, 'fr')} SELECT co.image_id, CAST(greatest(0, draws - coalesce(m.spared, 0)) AS BIGINT) AS draws FROM co LEFT JOIN (SELECT image_id, sum(spared) AS spared FROM mk GROUP BY 1) m USING (image_id)",
     "slack_walk": f"WITH RECURSIVE {_STEPPED}, {_MERGE}, {_WALKED}, {_cost(True, 'nw')}, wo AS (SELECT image_id, max(off) AS worst FROM nw GROUP BY 1) SELECT image_id, worst, draws FROM wo JOIN co USING (image_id)",
 }
 

@@ -187,3 +187,68 @@ def test_plan_and_search(spark):
     for percent in (0, 55):
         got = {r.image_id: r.slack for r in drawing.least_slack(px, rects, 24, percent).collect()}
         assert got == {d: plain_search(pictures[d], cuts[d], 24, percent) if percent else 0 for d in pictures}
+
+
+def plain_masks(px, flat, worth, stretched):
+    """[(seq, refine, x, y, w, h, spared, bytes)], from bitmaps that are written out and packed."""
+    out = []
+    for seq, (ground, (x, y, w, h)) in flat.items():
+        if not w or ground is None:
+            plain = {}
+        else:
+            plain = {p: px[p] == ground for p in ((i, j) for j in range(y, y + h) for i in range(x, x + w))}
+        twice = {}
+        if stretched and h > 1:
+            for j in range(y, y + h - 1, 2):
+                for i in range(x, x + w):
+                    twice[i, j] = not plain.get((i, j), False) and px[i, j] == px[i, j + 1]
+        for refine, spared in ((False, plain), (True, twice)):
+            some = [p for p, v in spared.items() if v]
+            if not some:
+                continue
+            runs = sum((2 if not refine and stretched and h > 1 and (j - y) % 2 else 1) for i, j in some if not (i > x and spared.get((i - 1, j), False)))
+            x0, y0, x1, y1 = min(p[0] for p in some), min(p[1] for p in some), max(p[0] for p in some), max(p[1] for p in some)
+            size = 128 + 769
+            for j in range(y0, y1 + 1):
+                bits = "".join("0" if spared.get((i, j), False) else "1" for i in range(x0, x1 + 1))
+                row = [int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8)]
+                row += [0] * (len(row) % 2)
+                while row:
+                    n = 1
+                    while n < min(63, len(row)) and row[n] == row[0]:
+                        n += 1
+                    size += 2 if n > 1 or row[0] >= 0xC0 else 1
+                    row = row[n:]
+            if runs * 124 > worth + size:
+                out.append((seq, refine, x0, y0, x1 - x0 + 1, y1 - y0 + 1, runs, size))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("stretched", [True, False])
+def test_masks(spark, stretched):
+    rng = random.Random(31)
+    sizes = {0: (1100, 4), 1: (40, 17), 2: (9, 3), 3: (130, 9)}
+    colours = [(9, 9, 9, 255), (200, 10, 30, 255), (0, 0, 250, 255)]
+    pictures, cuts = {}, {}
+    for d, (w, h) in sizes.items():
+        now, px = colours[0], {}
+        for j in range(h):
+            for i in range(w):
+                now = rng.choice(colours) if rng.random() < (0.02 if d == 0 else 0.3) else now
+                px[i, j] = px[i, j - 1] if j % 2 and rng.random() < 0.8 else now
+        pictures[d], cuts[d] = px, [(0, 0, 0, w // 2, h), (1, w // 2, 0, w - w // 2, h)]
+    px, rects = tables(spark, pictures, cuts)
+    # Cuts that are drawn whole on a fill of all of them, as a worth below nothing makes them.
+    flat = {d: {s: (g, b) for s, (g, b) in plain_flatten(pictures[d], cuts[d], -1).items()} for d in pictures}
+    boxes = drawing.flatten(px, rects, -1).cache()
+    fills = drawing.fills_of(boxes)
+    found = drawing.masks(px, boxes, fills, 50, stretched)
+    rows = {d: [] for d in pictures}
+    for r in found.collect():
+        rows[r.image_id].append((r.seq, r.refine, r.x, r.y, r.w, r.h, r.spared, r.bytes))
+    want = {d: plain_masks(pictures[d], flat[d], 50, stretched) for d in pictures}
+    assert {d: sorted(v) for d, v in rows.items()} == want and sum(map(len, want.values())) >= 3
+    counts = {r.image_id: r.draws for r in drawing.draws(px, boxes, fills, stretched, found).collect()}
+    for d in pictures:
+        n_fills = len(plain_merge([(*c[1:], flat[d][c[0]][0]) for c in cuts[d] if flat[d][c[0]][0] is not None]))
+        assert counts[d] == max(0, plain_draws(pictures[d], [b for _, b in flat[d].values()], n_fills, stretched) - sum(m[6] for m in want[d]))
