@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
-from tessera.llm.storage import materialize
+from tessera.llm.storage import discard, materialize
 
 _END = T.U64(0x5851F42D4C957F2D)  # the hash of the end token, which no word has but by chance
 _EXACT = 256
@@ -296,47 +296,77 @@ def _by_word(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change), np.cumsum(change) - 1
 
 
-def seatings(words: np.ndarray, context: np.ndarray, n: np.ndarray, history: list[Totals], m: Shape) -> Iterator[np.ndarray]:
-    """Tables of every (word, context): all customers of a dish at one table at first, then after each sweep of ``history``.
+def sweep(words: np.ndarray, context: np.ndarray, n: np.ndarray, tables: np.ndarray, before: Totals, number: int, m: Shape) -> np.ndarray:
+    """Tables of every (word, context) after one more sweep, given the totals before it.
 
-    A sweep of a word depends on its own counts and the totals before it, so it can be replayed anywhere with the same result.
-    """
+    What a word gets depends on its own counts and tables and on the totals, so it is the same wherever it is drawn."""
     first, own = _by_word(words)
-    tables = np.ones(len(words), np.int64)
-    yield tables
+    tables = tables.copy()
     many = np.flatnonzero(n > 1)  # a lone customer sits at a table of its own
-    for k, before in enumerate(history, 1):
-        tables = tables.copy()
-        seed = T.mix(words[many] + T.mix(context[many].astype(np.uint64) + T.U64(1000 * k)))
-        uniform = (seed >> T.U64(11)).astype(np.float64) / 2.0**53
-        turn = (seed & T.U64(_TURNS - 1)).astype(np.int64)
-        around, total = before.tables.astype(float), float(before.tables.sum())
-        sent = np.add.reduceat(tables, first) if len(first) else np.zeros(0, np.int64)
-        started = sent.copy()
-        for now in range(_TURNS):
-            chosen = np.flatnonzero(turn == now)
-            part = many[chosen]
-            # What the turns before have changed for the word is seen at once; a dish's own tables stand up first.
-            was, word = tables[part], own[part]
-            new = draw_tables(n[part], around[context[part]] - was, sent[word] - was, total + (sent - started)[word] - was, m, uniform[chosen])
-            np.add.at(sent, word, new - was)
-            tables[part] = new
-        yield tables
-
-
-def _totals(counts: DataFrame, history: list[Totals], m: Shape) -> Totals:
-    """Sums after the sweeps of ``history``: at most a row for each bucket and context is shuffled, one for each context sent."""
+    seed = T.mix(words[many] + T.mix(context[many].astype(np.uint64) + T.U64(1000 * number)))
+    uniform = (seed >> T.U64(11)).astype(np.float64) / 2.0**53
+    turn = (seed & T.U64(_TURNS - 1)).astype(np.int64)
+    around, total = before.tables.astype(float), float(before.tables.sum())
+    sent = np.add.reduceat(tables, first) if len(first) else np.zeros(0, np.int64)
+    started = sent.copy()
+    for now in range(_TURNS):
+        chosen = np.flatnonzero(turn == now)
+        part = many[chosen]
+        # What the turns before have changed for the word is seen at once; a dish's own tables stand up first.
+        was, word = tables[part], own[part]
+        new = draw_tables(n[part], around[context[part]] - was, sent[word] - was, total + (sent - started)[word] - was, m, uniform[chosen])
+        np.add.at(sent, word, new - was)
+        tables[part] = new
+    return tables
+
+
+_STATE = "bucket int, words binary, contexts binary, counts binary, tables binary, seated binary, sent binary"
+
+
+def _seated(counts: DataFrame) -> DataFrame:
+    """The state before the first sweep: all customers of a dish at one table, which is what missing tables stand for."""
+    return counts.select("bucket", "words", "contexts", "counts", *(F.lit(None).cast("binary").alias(c) for c in ("tables", "seated", "sent")))
+
+
+def _tables(batch: pa.RecordBatch, r: int, size: int) -> np.ndarray:
+    held = batch.column("tables")[r].as_buffer()
+    return np.ones(size, np.int64) if held is None else np.frombuffer(held, np.uint32).astype(np.int64)
+
+
+def _swept(state: DataFrame, before: Totals, number: int, kept: bool, m: Shape) -> DataFrame:
+    """The state after one more sweep. If it is ``kept``, what its tables give to each (word, context) is added to ``seated``, and the
+    customers that each word has sent to the root are another row of ``sent``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                words, context, n = _row(batch, r)
+                tables = sweep(words, context, n, _tables(batch, r, len(words)), before, number, m)
+                held = [batch.column(c)[r].as_buffer() for c in ("seated", "sent")]
+                seated = np.zeros(len(words), np.float32) if held[0] is None else np.frombuffer(held[0], np.float32)
+                sent = b"" if held[1] is None else held[1].to_pybytes()
+                if kept:
+                    seated = (seated + (n - m.discount * tables) / (m.strength + before.customers[context])).astype(np.float32)
+                    sent += np.add.reduceat(tables, _by_word(words)[0]).astype(np.uint32).tobytes()
+                made = [pa.array([x], pa.binary()) for x in (tables.astype(np.uint32).tobytes(), seated.tobytes(), sent)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in ("bucket", "words", "contexts", "counts")), *made], batch.schema.names)
+
+    return materialize(state.mapInArrow(run, _STATE), "seating")
+
+
+def _totals(state: DataFrame, m: Shape) -> Totals:
+    """Sums over a state: at most a row for each bucket and context is shuffled, one for each context sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 words, context, n = _row(batch, r)
-                *_, tables = seatings(words, context, n, history, m)
+                tables = _tables(batch, r, len(words))
                 by = [np.bincount(context, weights=x, minlength=m.contexts + 1).astype(np.int64) for x in (n, tables)]
                 names = [*range(m.contexts + 1), -1]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([*by[0], len(_by_word(words)[0])], pa.int64()), pa.array([*by[1], 0], pa.int64())], ["context", "n", "t"])
 
-    sums = counts.mapInArrow(run, "context int, n long, t long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    sums = state.select("words", "contexts", "counts", "tables").mapInArrow(run, "context int, n long, t long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     customers, tables, words = np.zeros(m.contexts + 1), np.zeros(m.contexts + 1), 0
     for r in sums:
         if r.context < 0:
@@ -346,29 +376,25 @@ def _totals(counts: DataFrame, history: list[Totals], m: Shape) -> Totals:
     return Totals(customers, tables, float(words))
 
 
-def _model(counts: DataFrame, history: list[Totals], kept: list[int], m: Shape) -> DataFrame:
+def _model(state: DataFrame, samples: list[Totals], m: Shape) -> DataFrame:
     """One row for each bucket: distinct words with their counts and the root's probability in each kept sample, and for each
     (word, context) the part of the averaged probability that its own tables give."""
-    samples = {k: history[k] for k in kept}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 words, context, n = _row(batch, r)
                 first, own = _by_word(words)
-                seated, roots = np.zeros(len(words)), []
-                for k, tables in enumerate(seatings(words, context, n, history[: max(kept)], m)):
-                    if k in samples:
-                        s = samples[k]
-                        seated += (n - m.discount * tables) / (m.strength + s.customers[context]) / len(kept)
-                        roots.append(s.root(np.add.reduceat(tables, first), m).astype(np.float32))
+                sent = np.frombuffer(batch.column("sent")[r].as_buffer(), np.uint32).reshape(len(samples), -1)
+                roots = np.stack([s.root(x.astype(np.int64), m).astype(np.float32) for s, x in zip(samples, sent, strict=True)])
+                seated = np.frombuffer(batch.column("seated")[r].as_buffer(), np.float32) / np.float32(len(samples))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("bucket").slice(r, 1)]
-                    + [pa.array([x.tobytes()], pa.binary()) for x in (words[first], np.add.reduceat(n, first), np.stack(roots), own.astype(np.int32), context.astype(np.uint8), seated.astype(np.float32))],
+                    + [pa.array([x.tobytes()], pa.binary()) for x in (words[first], np.add.reduceat(n, first), roots, own.astype(np.int32), context.astype(np.uint8), seated.astype(np.float32))],
                     ["bucket", "words", "counts", "roots", "own", "contexts", "seated"],
                 )
 
-    return counts.mapInArrow(run, "bucket int, words binary, counts binary, roots binary, own binary, contexts binary, seated binary")
+    return state.mapInArrow(run, "bucket int, words binary, counts binary, roots binary, own binary, contexts binary, seated binary")
 
 
 class Lookup:
@@ -481,11 +507,16 @@ def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes
     own = _frequent_words(docs.where(train).select("text"), words_of_their_own)
     m = Shape(own, classes, root_discount, discount, strength, max(32, math.ceil(size / 6 / _BUCKET_TOKENS)))
     counts = materialize(_gather(_count(docs.where(train).select("text"), m).repartition(m.buckets, "bucket")), "counts")
-    history: list[Totals] = []
-    for _ in range(sweeps + 1):
-        history.append(_totals(counts, history, m))
     kept = list(range(burn_in + 1, sweeps + 1))
-    model = materialize(_model(counts, history, kept, m), "model")
+    state = _seated(counts)
+    history = [_totals(state, m)]
+    for number in range(1, sweeps + 1):
+        state = _swept(state, history[-1], number, number in kept, m)
+        discard(counts)
+        counts = state
+        history.append(_totals(state, m))
+    model = materialize(_model(state, [history[k] for k in kept], m), "model")
+    discard(state)
     n_train, v = int(history[0].customers.sum()), int(history[0].words)
     least = _least_frequent(model, max(1, math.ceil(n_train / most_frequent)), len(kept))
     near = spark.sparkContext.broadcast(_frequent(model, least, history, kept, m))

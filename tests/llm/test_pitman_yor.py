@@ -63,9 +63,9 @@ def test_probabilities_add_up_to_one():
     words, context = np.sort(rng.integers(1, 200, 3000).astype(np.uint64)), rng.integers(0, 5, 3000)
     words, context, n = P._tally(words, context)
     context = context.astype(np.int64)
-    history = []
-    for _ in range(4):
-        *_, t = P.seatings(words, context, n, history, m)
+    history, t = [], np.ones(len(words), np.int64)
+    for number in range(4):
+        t = P.sweep(words, context, n, t, history[-1], number, m) if number else t
         first, own = P._by_word(words)
         assert (t >= 1).all() and (t <= n).all()
         history.append(P.Totals(*(np.bincount(context, weights=x, minlength=5) for x in (n, t)), float(len(first))))
