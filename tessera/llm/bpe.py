@@ -240,7 +240,7 @@ def bpe(docs: DataFrame, path: str, digests: bool = True, ids: bool = False, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for whole in batches:
-            for batch in slices(whole, text_column, 2 << 20):
+            for batch in slices(whole, text_column, 1 << 20):
                 counts, a, b, arrays, texts = [], [], [], [], []
                 for id_text, decoded, n in encoder.encode(batch.column(text_column).to_pylist()):
                     counts.append(n)

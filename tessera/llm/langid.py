@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, spans: bool =
         m = own.value
         names = pa.array([*m.langs, "und"], pa.string())
         for whole in batches:
-            for batch in slices(whole, text_column, 2 << 20):
+            for batch in slices(whole, text_column, 1 << 20):
                 texts = [t or "" for t in batch.column(text_column).to_pylist()]
                 pred, score, lists = np.full(len(texts), len(m.langs)), np.zeros(len(texts)), [[] for _ in texts]
                 if m.langs:
