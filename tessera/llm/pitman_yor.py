@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
-from tessera.llm.storage import discard, materialize
+from tessera.llm.storage import discard, materialize, small_batches
 
 _END = T.U64(0x5851F42D4C957F2D)  # the hash of the end token, which no word has but by chance
 _EXACT = 256
@@ -500,10 +500,18 @@ def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes
     up a ``most_frequent``-th of the training tokens or more, of which there can be no more than that many, are scored where
     the texts are, as far as their rows fit a broadcast of bounded size; all others travel to their bucket of the model and back.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     if words_of_their_own + classes > 255:
         raise ValueError("contexts are numbered in a byte: at most 255 besides the start of a text")
+    with small_batches(docs.sparkSession):  # jobs take their bound when they run, so the scores are written here
+        scores, used = _scored(docs, train, words_of_their_own, classes, sweeps, burn_in, root_discount, discount, strength, most_frequent)
+        out = materialize(scores, "scores")
+    discard(*used)
+    return out
+
+
+def _scored(docs: DataFrame, train, words_of_their_own: int, classes: int, sweeps: int, burn_in: int, root_discount: float, discount: float, strength: float, most_frequent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The scores, still to be worked out, and the tables that they are worked out from."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     own = _frequent_words(docs.where(train).select("text"), words_of_their_own)
     m = Shape(own, classes, root_discount, discount, strength, max(32, math.ceil(size / 6 / _BUCKET_TOKENS)))
     counts = materialize(_gather(_count(docs.where(train).select("text"), m).repartition(m.buckets, "bucket")), "counts")
@@ -519,7 +527,7 @@ def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes
     discard(state)
     n_train, v = int(history[0].customers.sum()), int(history[0].words)
     least = _least_frequent(model, max(1, math.ceil(n_train / most_frequent)), len(kept))
-    near = spark.sparkContext.broadcast(_frequent(model, least, history, kept, m))
+    near = docs.sparkSession.sparkContext.broadcast(_frequent(model, least, history, kept, m))
     floor = math.log10(n_train + 0.1 * (v + 1))
     # Rows with the same id and text are added up and told apart again at the end.
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
@@ -587,9 +595,10 @@ def fit_and_score(docs: DataFrame, train, words_of_their_own: int = 192, classes
     sums = moved.union(both.where("bucket is null").select(moved.columns)).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in _PARTIAL))
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
     n = F.col("n_rows")
-    return each.select(
+    scores = each.select(
         "doc_id.doc_id", F.expr("n_tokens div n_rows").alias("n_tokens"), F.expr("n_known div n_rows").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base_score") / n).alias("base_score"), (F.col("score") / n).alias("score")
     )
+    return scores, [model, both]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

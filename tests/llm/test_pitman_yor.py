@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +263,21 @@ def test_frequent_words_are_counted_exactly(spark, monkeypatch):
     assert P._frequent_words(docs, 192).tolist() == want
     monkeypatch.setattr(P, "_HELD_WORDS", 50)
     assert P._frequent_words(docs.repartition(7), 192).tolist() == want
+
+
+def test_tasks_are_handed_small_batches(spark, monkeypatch):
+    """All tables of an operator's run are written under the bound, also where the rows lie in one partition; then it is as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, write = spark.conf.get(name), [], P.materialize
+    texts = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words "), 700), F.col("id").cast("string")).alias("text"))
+    largest = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+
+    def watched(df, table):
+        seen.append((table, max(r.n for r in texts.mapInArrow(largest, "n long").collect())))
+        return write(df, table)
+
+    monkeypatch.setattr(P, "materialize", watched)
+    assert P.fit_and_score(texts.limit(20), F.lit(True), sweeps=3, burn_in=1).count() == 20
+    assert [t for t, _ in seen] == ["counts", *["seating"] * 3, "model", "local_scores", "scores"]
+    assert all(n < 10 << 20 for _, n in seen)
+    assert spark.conf.get(name) == before
