@@ -252,3 +252,77 @@ def test_masks(spark, stretched):
     for d in pictures:
         n_fills = len(plain_merge([(*c[1:], flat[d][c[0]][0]) for c in cuts[d] if flat[d][c[0]][0] is not None]))
         assert counts[d] == max(0, plain_draws(pictures[d], [b for _, b in flat[d].values()], n_fills, stretched) - sum(m[6] for m in want[d]))
+
+
+def broadcasts(spark, run):
+    """What ``run`` returns, and the rows of each table that was broadcast meanwhile."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    before = store.executionsCount()
+    result = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executions = store.executionsList().drop(before).iterator()
+    while executions.hasNext():
+        number = executions.next().executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            while node.name() == "BroadcastExchange" and metrics.hasNext():
+                m = metrics.next()
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    out.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return result, out
+
+
+def test_search_broadcasts_nothing(spark):
+    pictures, cuts = made(5, 3)
+    px, rects = tables(spark, pictures, cuts)
+    got, sent = broadcasts(spark, lambda: {r.image_id: r.slack for r in drawing.least_slack(px, rects, 24, 55).collect()})
+    assert sent == [] and got == {d: plain_search(pictures[d], cuts[d], 24, 55) for d in pictures}
+
+
+def test_search_over_batches(spark):
+    """Pictures begin and end anywhere in an Arrow batch, or go on over several; their ids may be of any type."""
+    from pyspark.sql import functions as F
+
+    pictures, cuts = made(9, 7)
+    px, rects = tables(spark, pictures, cuts)
+    rects = rects.union(spark.createDataFrame([(7, 0, 0, 0, 2, 2), (8, 0, 0, 0, 0, 3)], CUTS))  # cuts without pixels
+    named = lambda df: df.withColumn("image_id", F.struct(F.concat(F.lit("p"), "image_id").alias("name"), F.lit(1).alias("k")))
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    try:
+        for n in (1, 3):
+            spark.conf.set(most, n)
+            got = {r.image_id.name: r.slack for r in drawing.least_slack(named(px), named(rects), 24, 40).collect()}
+            assert got == {f"p{d}": plain_search(pictures[d], cuts[d], 24, 40) for d in pictures} | {"p7": 0, "p8": 0}
+    finally:
+        spark.conf.set(most, before)
+
+
+def test_search_with_missing_pixels(spark):
+    """A box that misses pixels stays as it is, and so its runs aren't fewer with any slack."""
+    rows = [(d, i, 0, v, v, v, 255) for d, own in ((0, [10, 11, None, 10, 11, None]), (1, [10, 11, 10, 11, 10, 11])) for i, v in enumerate(own) if v is not None]
+    px, rects = spark.createDataFrame(rows, HEAD), spark.createDataFrame([(d, 0, 0, 0, 6, 1) for d in (0, 1)], CUTS)
+    assert {r.image_id: r.slack for r in drawing.least_slack(px, rects, 1000, 50).collect()} == {0: 512, 1: 16}
+
+
+@pytest.mark.parametrize("at_once", [1, 100, 1 << 20])
+def test_cuts_in_a_task(monkeypatch, at_once):
+    monkeypatch.setattr(drawing, "_AT_ONCE", at_once)
+    pictures, cuts = made(at_once, 4)
+    for slack, worth in ((0, 24), (70, 24), (300, 0)):
+        rows = [(d, c) for d in pictures for c in cuts[d]]
+        packed = [np.array([((j * w + i) << 32) + key(pictures[d][x + i, y + j]) for j in range(h) for i in range(w)]) for d, (_, x, y, w, h) in rows]
+        seen = set()
+        for at, keys in drawing.Cuts(np.array([c[1:] for _, c in rows]), packed).tables():
+            ground, boxes, now, cost = drawing.as_drawn(keys, drawing.commonest(keys), np.full(len(at), slack), worth, 1)
+            for k, n in enumerate(at.tolist()):
+                d, c = rows[n]
+                want, box = plain_flatten(pictures[d], [c], worth, slack // 16)[c[0]]
+                walked = plain_walk(pictures[d], [(want, box)], slack)
+                assert ground[k] == (-1 if want is None else key(want))
+                assert (boxes[k] + (c[1], c[2], 0, 0)).tolist() == list(box) and cost[k] == plain_draws(walked, [box], 0)
+                assert now[k].tolist() == [[key(walked[c[1] + i, c[2] + j]) for i in range(c[3])] for j in range(c[4])]
+                seen.add(n)
+        assert len(seen) == len(rows)
