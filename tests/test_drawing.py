@@ -326,3 +326,26 @@ def test_cuts_in_a_task(monkeypatch, at_once):
                 assert now[k].tolist() == [[key(walked[c[1] + i, c[2] + j]) for i in range(c[3])] for j in range(c[4])]
                 seen.add(n)
         assert len(seen) == len(rows)
+
+
+def test_walk_broadcasts_no_pixels(spark):
+    """Tables of a row a picture at most, however small the files are in which cuts and fills are kept."""
+    from tessera.plans import further
+
+    rows, sent = broadcasts(spark, lambda: further.slack_walk(spark, "/root/testdata/sf0.001").collect())
+    assert len(rows) == 500 and max(sent) <= 500
+
+
+def test_walk_with_missing_pixels(spark):
+    """A box that misses pixels stays as it is, also beside one that doesn't; pixels outside of cuts stay too."""
+    own = {0: [10, 11, None, 10, 11, None, 90], 1: [10, 11, 10, 11, 10, 11, 91]}
+    rows = [(d, i, 0, v, v, v, 255) for d, values in own.items() for i, v in enumerate(values) if v is not None]
+    px, rects = spark.createDataFrame(rows, HEAD), spark.createDataFrame([(0, 0, 0, 0, 6, 1), (1, 0, 0, 0, 6, 1), (1, 1, 7, 0, 2, 2), (2, 0, 0, 0, 0, 4)], CUTS)
+    from pyspark.sql import functions as F
+
+    drawn, boxes, fills = drawing.planned(px, rects.withColumn("slack", F.lit(16)), 1000, "slack")
+    got = {(r.image_id, r.x, r.y): (r.r, r.g, r.b, r.a) for r in drawn.collect()}
+    assert got == {(d, i, 0): (v, v, v, 255) for d, values in {0: own[0], 1: [10] * 6 + [91]}.items() for i, v in enumerate(values) if v is not None}
+    flat = sorted((r.image_id, r.seq, r.ground, r.box_x, r.box_y, r.box_w, r.box_h) for r in boxes.collect())
+    assert flat == [(0, 0, None, 0, 0, 6, 1), (1, 0, None, 0, 0, 6, 1), (1, 1, None, 7, 0, 2, 2), (2, 0, None, 0, 0, 0, 4)] and fills.count() == 0
+    assert {r.image_id: r.draws for r in drawing.draws(drawn, boxes, fills).collect()} == {0: 4, 1: 1, 2: 0}
